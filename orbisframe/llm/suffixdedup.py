@@ -28,6 +28,7 @@ don't count against each other.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,52 +36,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbisframe.llm.suffixes import equal_run_ids, suffix_arrays
-from orbisframe.llm.textvec import Texts, covered, member, mix, ranges
+from orbisframe.llm.textvec import Texts, member, mix, prefix_sums, ranges, span_hashes
 
 SIZE, GRAM = 50, 20
 #: Text bytes of one batch, and segment bytes of one bucket, in about.
-BATCH_BYTES, BUCKET_BYTES = 6 << 20, 24 << 20
+BATCH_BYTES, BUCKET_BYTES = 12 << 20, 6 << 20
+#: Text bytes worked on at once inside a batch.
+PART_BYTES = 1 << 20
 #: Different surroundings (per batch, summed) from which an anchor is hot.
 HOT = 3000
 _LAST = 2**62
 
 
-class Segments:
-    """Segments of the texts of a batch: key, start byte, number of windows."""
-
-    def __init__(self, t: Texts, size: int, gram: int):
-        n = len(t.data)
-        wide = size - gram + 1
-        self.key = self.start = self.count = self.doc = np.empty(0, np.int64)
-        if n < size:
-            return
-        prefix = t.prefix()
-        at = np.arange(n - gram + 1)
-        h = t.hashes(at, at + gram)
-        best = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
+def segments(t: Texts, size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segments by parts of the batch: key, start byte, number of windows,
+    text, hash of the segment's bytes, and the part with its first byte."""
+    wide = size - gram + 1
+    for first_text, p in t.parts(PART_BYTES):
+        n = len(p.data)
+        windows = ranges(p.off[:-1], np.maximum(p.lengths - size + 1, 0))
+        if not len(windows):
+            continue
+        h = p.hashes(np.arange(n - gram + 1), np.arange(gram, n + 1))
+        best = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - np.arange(n - gram + 1, dtype=np.uint64))
         span = 1
         while span * 2 <= wide:
             best = np.minimum(best[:-span], best[span:])
             span *= 2
         if span < wide:
             best = np.minimum(best[: n - size + 1], best[wide - span : wide - span + n - size + 1])
-        windows = ranges(t.off[:-1], np.maximum(t.lengths - size + 1, 0))
-        if not len(windows):
-            return
-        anchor = (np.uint64(0xFFFFFFFF) - (best[windows] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-        first = np.zeros(n, bool)
-        first[t.off[:-1][t.lengths > 0]] = True
+        anchor = best[windows] & np.uint64(0xFFFFFFFF)
+        head = np.zeros(n, bool)
+        head[p.off[:-1][p.lengths > 0]] = True
         new = np.ones(len(windows), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | first[windows[1:]]
+        np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+        new[1:] |= head[windows[1:]]
         b = np.flatnonzero(new)
-        self.key, self.start = h[anchor[b]], windows[b]
-        self.count = np.diff(np.append(b, len(windows)))
-        self.doc = np.searchsorted(t.off, self.start, side="right") - 1
-        self.prefix, self.hashes = prefix, t.hashes
-
-    def take(self, keep: np.ndarray) -> None:
-        for k in ("key", "start", "count", "doc"):
-            setattr(self, k, getattr(self, k)[keep])
+        key, start = h[(np.uint64(0xFFFFFFFF) - anchor[b]).astype(np.int64)], windows[b]
+        count = np.diff(np.append(b, len(windows)))
+        text = np.searchsorted(p.off, start, side="right") - 1
+        base = int(t.off[first_text])
+        yield key, start + base, count, text + first_text, p.hashes(start, start + count + (size - 1)), (p, base)
 
 
 def _bucket(key: np.ndarray, n: int) -> np.ndarray:
@@ -98,21 +94,35 @@ def _read(table: pa.Table) -> tuple[Texts, np.ndarray]:
     return Texts(table.column("text")), ids
 
 
+def _code(key: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (_bucket(key, n_buckets).astype(np.uint64) << np.uint64(32)) | _low(key)
+
+
 def _anchor_lists(n_buckets: int, size: int, gram: int):
     def work(key: tuple, table: pa.Table) -> pa.Table:
         t, ids = _read(table)
-        s = Segments(t, size, gram)
         rows: dict[str, list] = {"bucket": [], "batch": [], "lows": [], "multi": [], "weights": []}
-        if len(s.key):
-            code = (_bucket(s.key, n_buckets).astype(np.uint64) << np.uint64(32)) | _low(s.key)
-            seg = s.hashes(s.start, s.start + s.count + (size - 1))
-            order = np.lexsort((seg, code))
-            c, g, d = code[order], seg[order], ids[s.doc[order]]
+        got = [(_code(k, n_buckets), seg, ids[text]) for k, _, _, text, seg, _ in segments(t, size, gram)]
+        if got:
+            code, seg, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
+            order = np.argsort(code)
+            c, g, d = code[order], seg[order], doc[order]
             head = np.concatenate(([True], c[1:] != c[:-1]))
-            other = np.concatenate(([True], (c[1:] != c[:-1]) | (g[1:] != g[:-1])))
             b = np.flatnonzero(head)
-            weight = np.minimum(np.add.reduceat(other.astype(np.int64), b), 255).astype(np.uint8)
-            multi = np.minimum.reduceat(d, b) != np.maximum.reduceat(d, b)
+            size_of = np.diff(np.append(b, len(c)))
+            multi = np.zeros(len(b), bool)
+            weight = np.ones(len(b), np.uint8)
+            many = np.flatnonzero(size_of > 1)
+            if len(many):  # anchors that the batch holds more than once: few
+                at = ranges(b[many], size_of[many])
+                own = np.repeat(np.arange(len(many)), size_of[many])
+                f = np.cumsum(size_of[many]) - size_of[many]
+                multi[many] = np.minimum.reduceat(d[at], f) != np.maximum.reduceat(d[at], f)
+                o = np.lexsort((g[at], own))
+                other = np.ones(len(at), np.int64)
+                other[1:] = (own[o][1:] != own[o][:-1]) | (g[at][o][1:] != g[at][o][:-1])
+                weight[many] = np.minimum(np.add.reduceat(other, f), 255)
             c = c[b]
             of = (c >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
@@ -153,7 +163,6 @@ class Local:
     batch's texts and shared anchors only; hot anchors give single windows."""
 
     def __init__(self, t: Texts, ids: np.ndarray, shared: pa.Table, n_buckets: int, size: int, gram: int):
-        s = Segments(t, size, gram)
         codes, hots = [np.empty(0, np.uint64)], [np.empty(0, bool)]
         for bucket, lows, hot in zip(*(shared.column(k).to_pylist() for k in ("bucket", "lows", "hot")), strict=True):
             low = np.frombuffer(lows, np.uint32)
@@ -162,24 +171,26 @@ class Local:
         code, hot = np.concatenate(codes), np.concatenate(hots)
         order = np.argsort(code)
         code, hot = code[order], hot[order]
-        self.size = size
-        self.group = self.rep = np.empty(0, np.int64)
-        self.key, self.start, self.count, self.doc = np.empty(0, np.uint64), s.start[:0], s.count[:0], s.doc[:0]
-        if not len(s.key) or not len(code):
+        parts = []
+        for key, start, count, text, seg, (p, base) in segments(t, size, gram) if len(code) else ():
+            own = _code(key, n_buckets)
+            at = np.searchsorted(code, own)
+            at[at == len(code)] = 0
+            yes = code[at] == own
+            is_hot = yes & hot[at]
+            some = yes & ~is_hot
+            parts.append((key[some], start[some], count[some], text[some], seg[some]))
+            if is_hot.any():
+                w = ranges(start[is_hot] - base, count[is_hot])
+                h = p.hashes(w, w + size)
+                parts.append((mix(h), w + base, np.ones(len(w), np.int64), np.repeat(text[is_hot], count[is_hot]), h))
+        self.group = self.rep = self.start = self.count = self.doc = np.empty(0, np.int64)
+        self.key = np.empty(0, np.uint64)
+        if not sum(len(x[0]) for x in parts):
             return
-        own = (_bucket(s.key, n_buckets).astype(np.uint64) << np.uint64(32)) | _low(s.key)
-        s.take(member(own, code))
-        own = (_bucket(s.key, n_buckets).astype(np.uint64) << np.uint64(32)) | _low(s.key)
-        is_hot = hot[np.searchsorted(code, own)] if len(own) else np.empty(0, bool)
-        parts = [(s.key[~is_hot], s.start[~is_hot], s.count[~is_hot], s.doc[~is_hot])]
-        if is_hot.any():
-            at = ranges(s.start[is_hot], s.count[is_hot])
-            parts.append((mix(s.hashes(at, at + size)), at, np.ones(len(at), np.int64), np.repeat(s.doc[is_hot], s.count[is_hot])))
-        self.key, self.start, self.count, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(self.key):
-            return
-        seg = s.hashes(self.start, self.start + self.count + (size - 1))
-        order = np.lexsort((self.start, seg, self.key))
+        self.key, self.start, self.count, self.doc, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(mix(self.key ^ mix(seg)), kind="stable")  # equal segments stay in the order of their texts
         for k in ("key", "start", "count", "doc"):
             setattr(self, k, getattr(self, k)[order])
         seg = seg[order]
@@ -210,12 +221,12 @@ def _segment_rows(n_buckets: int, n_groups: int, size: int, gram: int):
     return work
 
 
-def window_owners(key: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, size: int, most: int = 1 << 20, long: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def window_owners(key: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, size: int, most: int = 1 << 20, long: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Smallest document of every window of every segment, flat, and offsets.
 
     Segments with one key form one text for the suffix array, each closed by
     a separator. A text longer than ``long`` is taken window by window
-    instead, keyed by the window's hash, to keep the steps few."""
+    instead, each distinct window once, to keep the steps few."""
     n = len(key)
     windows = length - size + 1
     w_off = np.concatenate(([0], np.cumsum(windows)))
@@ -231,18 +242,19 @@ def window_owners(key: np.ndarray, raw: np.ndarray, start: np.ndarray, length: n
     big = order[~jobs[0][1]]
     # (segment start, length, key, doc, place of its first window in owner)
     parts = [(start[small], length[small], key[small], doc[small], w_off[small])]
+    back = None
     if len(big):
         at = ranges(start[big], windows[big])
-        from orbisframe.llm.textvec import prefix_sums, span_hashes
-
-        prefix = prefix_sums(raw)
-        h = span_hashes(prefix, at, at + size)
-        o = np.argsort(h, kind="stable")
-        parts.append((at[o], np.full(len(at), size), h[o], np.repeat(doc[big], windows[big])[o], ranges(w_off[big], windows[big])[o]))
+        h = span_hashes(prefix_sums(raw), at, at + size)
+        whose = np.repeat(doc[big], windows[big])
+        o = np.lexsort((whose, h))
+        one = np.concatenate(([True], h[o][1:] != h[o][:-1]))
+        place, rep = ranges(w_off[big], windows[big])[o], np.flatnonzero(one)
+        parts.append((at[o][rep], np.full(len(rep), size), h[o][rep], whose[o][rep], place[rep]))
+        back = (place, place[rep][np.cumsum(one) - 1])
     for s, ln, k, d, w in parts:
         if not len(s):
             continue
-        # equal segments of one key are one: its smallest document stands for it
         b = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         text = np.repeat(np.arange(len(b)), np.diff(np.append(b, len(k))))
         size_of = np.add.reduceat(ln + 1, b) + 1
@@ -257,6 +269,8 @@ def window_owners(key: np.ndarray, raw: np.ndarray, start: np.ndarray, length: n
             done = upto
             seg = ranges(seg_first[texts], seg_first[texts + 1] - seg_first[texts])
             _one_batch(raw, s[seg], ln[seg], text[seg], d[seg], w[seg], size, owner)
+    if back is not None:
+        owner[back[0]] = owner[back[1]]
     return owner, w_off
 
 
@@ -291,8 +305,6 @@ def _answers(size: int):
         raw, ln = np.frombuffer(b"".join(cols["raw"]), np.uint8), ln.astype(np.int64)
         start = np.cumsum(ln) - ln
         # equal segments that came from several batches are one, with the smallest document
-        from orbisframe.llm.textvec import prefix_sums, span_hashes
-
         seg = span_hashes(prefix_sums(raw), start, start + ln)
         order = np.lexsort((d, seg, k))
         fresh = np.concatenate(([True], (k[order][1:] != k[order][:-1]) | (seg[order][1:] != seg[order][:-1])))
@@ -321,7 +333,7 @@ def _answers(size: int):
 def _finish(n_buckets: int, size: int, gram: int):
     def work(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
         t, ids = _read(docs)
-        gone = np.zeros(len(t.data), bool)
+        gone = begins = np.zeros(len(t.data), bool)
         is_answer = told.column("bucket").combine_chunks().is_null()
         shared = told.filter(pa.compute.invert(is_answer))
         x = Local(t, ids, shared, n_buckets, size, gram)
@@ -334,10 +346,20 @@ def _finish(n_buckets: int, size: int, gram: int):
             whole = doc > doc[x.rep][x.group]  # a copy of the batch's first: all of its windows go
             m = np.where(whole, np.uint64(2**64 - 1), mask[x.group])
             some = m != 0
-            at = ranges(x.start[some], x.count[some])
-            bit = ranges(np.zeros(int(some.sum()), np.int64), x.count[some]).astype(np.uint64)
-            hit = (np.repeat(m[some], x.count[some]) >> bit) & np.uint64(1) > 0
-            gone = covered(at[hit], at[hit] + size, len(t.data))
+            where, step = np.flatnonzero(some), 1 << 17
+            for lo in range(0, len(where), step):
+                w = where[lo : lo + step]
+                at = ranges(x.start[w], x.count[w])
+                bit = ranges(np.zeros(len(w), np.int64), x.count[w]).astype(np.uint64)
+                begins[at[(np.repeat(m[w], x.count[w]) >> bit) & np.uint64(1) > 0]] = True
+            del x
+            # a byte goes if a found window begins at it or up to size - 1 bytes before
+            gone, span = begins, 1
+            while span < size:
+                more = min(span, size - span)
+                wide = gone.copy()
+                wide[more:] |= gone[:-more]
+                gone, span = wide, span + more
         starts, ends, first = t.runs(gone)
         n_removed, raw, digest = t.per_text(gone), memoryview(t.data.tobytes()), []
         so, eo = starts.tolist(), ends.tolist()
@@ -367,7 +389,7 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, gram: int = GRAM, batch_
     """One row per document with its removed spans (byte offsets)."""
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches = max(1, -(-total // batch_bytes))
-    n_buckets = max(1, -(-total // (4 * batch_bytes)))
+    n_buckets = max(1, -(-total // (6 * batch_bytes)))
     n_groups = max(1, -(-total // bucket_bytes))
     base = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).alias("batch"))
     by_batch = lambda frame: frame.groupBy("batch")

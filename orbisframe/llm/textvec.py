@@ -59,6 +59,21 @@ class Texts:
         self.n = len(column)
         self._prefix = None
 
+    def part(self, a: int, b: int) -> "Texts":
+        """Texts a to b as a view of their own."""
+        out = object.__new__(Texts)
+        out.data, out.off = self.data[self.off[a] : self.off[b]], self.off[a : b + 1] - self.off[a]
+        out.n, out._prefix = b - a, None
+        return out
+
+    def parts(self, limit: int | None = None) -> "Iterator[tuple[int, Texts]]":
+        """Views of at most ``limit`` bytes, one text at least, with their first text."""
+        start, limit = 0, limit or SLICE_BYTES
+        while start < self.n:
+            end = max(start + 1, int(np.searchsorted(self.off, self.off[start] + limit, side="right")) - 1)
+            yield start, self.part(start, end)
+            start = end
+
     @property
     def lengths(self) -> np.ndarray:
         return np.diff(self.off)
