@@ -1,15 +1,849 @@
-"""All queries of the library, with their SQL for comparison."""
+"""All queries of the library over the derived world, with the SQL that gives
+the same rows. ``@query(sql)`` registers a function of a ``World``; queries
+without SQL are checked by tests against invariants or brute force."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbisframe.functions import edges as E
+from orbisframe.functions import geo
+from orbisframe.functions.rand import bernoulli, normal, uniform
+from orbisframe.operators import biomes as B
+from orbisframe.operators import climate, graph, people, settle, terrain, water
+from orbisframe.plans.world import World, oracle
+
+_QUERIES: dict[str, tuple[Callable[[World], DataFrame], str | None]] = {}
+G = "grouping_"
+R6 = lambda c: F.round(c, 6)
+
+
+def query(sql: str | None = None, **tables: str):
+    def add(f: Callable[[World], DataFrame]):
+        _QUERIES[f.__name__] = (f, oracle(sql, **tables) if sql else None)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(World(spark, sf_dir))) for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+# climate
+
+_TEMP = "(-57e0/8100e0)*site_y*site_y+27e0-case when grouping_='Ocean' then 0e0 else elevation/1000e0*6.5e0 end"
+
+
+@query(f"select fid, sign(t)*floor(abs(t)*100e0+0.5e0)/100e0 temperature from (select fid, {_TEMP} t from tiles)")
+def temperature(w):
+    return climate.temperature(w.tiles, grouping=G).select("fid", "temperature")
+
+
+_WIND = "case when site_y>=60e0 and site_y<90.1e0 then 225 when site_y>=30e0 and site_y<60e0 then 45 when site_y>=0e0 and site_y<30e0 then 225 when site_y>=-30e0 and site_y<0e0 then 315 when site_y>=-60e0 and site_y<-30e0 then 135 when site_y>=-90e0 and site_y<-60e0 then 315 else 90 end"
+
+
+@query(f"select fid, {_WIND} wind from tiles")
+def winds(w):
+    return climate.winds(w.tiles).select("fid", "wind")
+
+
+range_join_wind = query(f"select {_WIND} wind, count(*) n from tiles group by 1")(lambda w: climate.winds(w.tiles).groupBy("wind").agg(F.count("*").alias("n")))
+_QUERIES["range_join_wind"] = _QUERIES.pop("<lambda>")
+
+
+@query("select fid, ([4e0,2e0,2e0,2e0,1e0,1e0,2e0,2e0,2e0,2e0,3e0,3e0,2e0,2e0,1e0,1e0,1e0,0.5e0])[greatest(0,floor((abs(site_y)-1e0)/5e0))::int+1] factor from tiles")
+def lat_modifier(w):
+    return w.tiles.select("fid", climate.latitude_factor(F.col("site_y")).alias("factor"))
+
+
+@query()
+def precipitation(w):
+    e = w.edges.join(w.tiles.select(F.col("fid").alias("src"), F.col("site_x").alias("x1"), F.col("site_y").alias("y1")), "src").join(w.tiles.select(F.col("fid").alias("dst"), F.col("site_x").alias("x2"), F.col("site_y").alias("y2")), "dst")
+    x2 = F.when(F.col("kind") == "CrossMap", geo.across_antimeridian(F.col("x2"), F.col("x1"))).otherwise(F.col("x2"))
+    b = F.pmod(F.lit(450.0) - F.round(F.degrees(F.atan2(F.col("y2") - F.col("y1"), x2 - F.col("x1")))), F.lit(360.0))
+    return climate.precipitation(w.tiles, e.select("src", "dst", b.alias("bearing")), grouping=G)
+
+
+# terrain
+
+_CL = "greatest(-11000e0,least(9000e0,{}))"
+
+
+def _heights(w, f):
+    return f(w.tiles).select("fid", "elevation")
+
+
+@query(f"select fid, case when elevation between 0e0 and 9000e0 then {_CL.format('elevation+0.1e0*9000e0')} else elevation end elevation from tiles")
+def terrain_add(w):
+    return _heights(w, lambda t: terrain.add(t, 10, terrain.Span(5, 95)))
+
+
+@query(f"select fid, case when elevation between -11000e0 and 0e0 then {_CL.format('elevation*1.5e0')} else elevation end elevation from tiles")
+def terrain_multiply(w):
+    return _heights(w, lambda t: terrain.multiply(t, 1.5, terrain.Span(-50, 0)))
+
+
+@query("select fid, 0e0*elevation elevation from tiles")
+def terrain_clear(w):
+    return _heights(w, terrain.clear)
+
+
+@query("select fid, case when grouping_='Ocean' then 'Continent' else grouping_ end grouping_ from tiles")
+def terrain_clear_ocean(w):
+    return terrain.clear_ocean(w.tiles, G).select("fid", G)
+
+
+@query("select fid, case when elevation<0 then 'Ocean' else grouping_ end grouping_ from (select fid, elevation-1000e0 elevation, grouping_ from tiles)")
+def terrain_fill_ocean(w):
+    return terrain.fill_ocean(w.tiles.withColumn("elevation", F.col("elevation") - 1000.0), G).select("fid", G)
+
+
+@query(f"select fid, {_CL.format('elevation+(-450e0+U(ru,fid)*1350e0)')} elevation from tiles")
+def terrain_random_uniform(w):
+    return _heights(w, lambda t: terrain.random_uniform(t, terrain.Span(-5, 10)))
+
+
+_NX, _NY = "(2e0*(site_x+180e0)/360e0-1e0)", "(2e0*(site_y+90e0)/180e0-1e0)"
+
+
+@query(f"select fid, {_CL.format(f'(elevation*(2e0-1e0)+elevation*((1-{_NX}*{_NX})*(1-{_NY}*{_NY})))/2e0')} elevation from tiles")
+def terrain_mask(w):
+    return _heights(w, lambda t: terrain.mask(t, 2.0))
+
+
+_NEAR = "select src, sum(n) s, count(*) c from (select e.src, t.elevation n from edges e join tiles t on e.dst=t.fid) group by src"
+
+
+@query("select fid, round(greatest(-11000e0,least(9000e0,(elevation*1e0+(elevation+s)/(1+c))/2e0)),6) elevation from tiles join near on fid=src", near=_NEAR)
+def terrain_smooth(w):
+    return terrain.smooth(w.tiles, w.edges).select("fid", R6(F.col("elevation")).alias("elevation"))
+
+
+@query("select fid, round((elevation+s)/(1+c),6) mean from tiles join near on fid=src", near=_NEAR)
+def mean_neighbors(w):
+    return terrain.smooth(w.tiles, w.edges, 1.0).select("fid", R6(F.col("elevation")).alias("mean"))
+
+
+@query("select a.fid, round(b.elevation,6) elevation from tiles a join tiles b on b.col=a.w-1-a.col and b.rw=a.w-1-a.rw")
+def terrain_invert(w):
+    cell = 40.0
+    return terrain.invert(w.tiles, 1.0, "xy", cell=cell).select("fid", R6(F.col("elevation")).alias("elevation"))
+
+
+@query("select key, fid, round(d2,6) d2 from (select key, fid, d2, row_number() over(partition by key order by d2, fid) r from (select key, t.fid, (t.site_x-p.x)*(t.site_x-p.x)+(t.site_y-p.y)*(t.site_y-p.y) d2 from p cross join tiles t)) where r=1",
+       p="select s_suppkey key, -180e0+U(px,s_suppkey)*360e0 x, -90e0+U(py,s_suppkey)*180e0 y from supplier")
+def nearest_tile(w):
+    s = w.spark.read.parquet(f"{w.sf_dir}/supplier.parquet")
+    p = s.select(F.col("s_suppkey").alias("key"), (-180.0 + uniform("px", "s_suppkey") * 360.0).alias("x"), (-90.0 + uniform("py", "s_suppkey") * 180.0).alias("y"))
+    return terrain.nearest_tile(p, w.tiles, 40.0).select("key", "fid", R6(F.col("d2")).alias("d2"))
+
+
+def _grid(w) -> int:
+    return w.spark.read.parquet(f"{w.sf_dir}/customer.parquet").count()
+
+
+def _raster(w, f, *more):
+    side = 2 * int(_grid(w) ** 0.5)
+    return f(w.tiles, w.raster, side, side, *more)
+
+
+_PIXEL = "tiles t left join raster r on r.px=floor((site_x+180e0)/(360e0/(2*w))) and r.py=floor((site_y+90e0)/(180e0/(2*w)))"
+
+
+@query(f"select fid, value sample from {_PIXEL}")
+def raster_sample(w):
+    return _raster(w, terrain.raster_sample).select("fid", "sample")
+
+
+@query(f"select fid, coalesce(value,elevation) elevation from {_PIXEL}")
+def terrain_sample_elevation(w):
+    return _raster(w, terrain.sample_elevation).select("fid", "elevation")
+
+
+@query(f"select fid, case when value is not null then 'Ocean' else grouping_ end grouping_ from {_PIXEL}")
+def terrain_sample_ocean_masked(w):
+    return _raster(w, lambda *a: terrain.sample_ocean_masked(*a, grouping=G)).select("fid", G)
+
+
+@query(f"select fid, case when value<2000e0 then 'Ocean' else grouping_ end grouping_ from {_PIXEL}")
+def terrain_sample_ocean_below(w):
+    return _raster(w, lambda *a: terrain.sample_ocean_below(*a, 2000.0, grouping=G)).select("fid", G)
+
+
+@query("select min(value) low, max(value) high from raster")
+def raster_min_max(w):
+    return w.raster.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+@query("select fid, elevation_scaled from tiles")
+def elevation_scale(w):
+    return terrain.elevation_scale(w.tiles).select("fid", "elevation_scaled")
+
+
+@query("select fid from tiles where elevation between -11000e0 and 9000e0 and elevation>=0e0")
+def height_filter(w):
+    return w.tiles.where(terrain.height_filter(terrain.Span(30, 60), terrain.Limits())).select("fid")
+
+
+@query("select fid, elevation from (select fid, elevation, case when elevation>=0 then elevation*2e0 else elevation end e2 from tiles) where e2<>elevation")
+def changed_rows_only(w):
+    after = w.tiles.withColumn("elevation", F.when(F.col("elevation") >= 0, F.col("elevation") * 2).otherwise(F.col("elevation")))
+    return terrain.changed_rows(w.tiles, after).select("fid", (F.col("elevation") / 2).alias("elevation"))
+
+
+_FLOOD = """select fid, case when fid in (select fid from r) then 'Ocean' else g end grouping_ from m"""
+
+
+@query(_FLOOD, m="select fid, elevation-1500e0 elevation, case when elevation<-3000e0 then 'Ocean' else 'Continent' end g from tiles",
+       r="select * from (with /*rec*/ recursive q as (select fid from m where g='Ocean' union select e.dst from q join edges e on e.src=q.fid join m on m.fid=e.dst where m.elevation<0) select * from q)")
+def terrain_flood_ocean(w):
+    m = w.tiles.select("fid", (F.col("elevation") - 1500.0).alias("elevation"), F.when(F.col("elevation") < -3000, "Ocean").otherwise("Continent").alias(G))
+    return terrain.flood_ocean(m, w.edges, G).select("fid", G)
+
+
+def _kernel_query(name, f):
+    def run(w):
+        return f(w).select("fid", R6(F.col("elevation")).alias("elevation"))
+
+    run.__name__ = name
+    query()(run)
+
+
+_kernel_query("terrain_add_hill", lambda w: terrain.add_hill(w.tiles, w.edges, 3, terrain.Span(20, 40), grouping=G))
+_kernel_query("terrain_add_range", lambda w: terrain.add_range(w.tiles, w.edges, 2, terrain.Span(20, 40), grouping=G))
+_kernel_query("terrain_add_strait", lambda w: terrain.add_strait(w.tiles, w.edges, 2, grouping=G))
+_kernel_query("terrain_erode", lambda w: terrain.erode(w.tiles, w.edges, 500, 3, grouping=G))
+
+
+@query()
+def terrain_seed_ocean(w):
+    return terrain.seed_ocean(w.tiles.withColumn(G, F.lit("Continent")), w.edges, 5, grouping=G).select("fid", G)
+
+
+@query()
+def terrain_recipe(w):
+    tasks = [{"task": "Add", "height_delta": 10}, {"task": "Smooth", "fr": 2}, {"task": "Mask", "power": 2}, {"task": "FillOcean"}]
+    return terrain.recipe(w.tiles.withColumnRenamed(G, "grouping"), w.edges, tasks).select("fid", R6(F.col("elevation")).alias("elevation"), "elevation_scaled", "grouping")
+
+
+# biomes and water
+
+_MATRIX_SQL = " union all ".join(
+    f"select {m} moisture, {t} temperature, '{name}' biome" for m, runs in enumerate(B.MATRIX_RUNS) for t, name in enumerate([n for n, k in runs for _ in range(k)])
+)
+
+
+@query("select moisture, temperature, biome from mx", mx=_MATRIX_SQL)
+def biome_matrix(w):
+    return B.matrix(B.defaults(w.spark))
+
+
+@query("select biome, count(*)::bigint n from mx group by 1", mx=_MATRIX_SQL)
+def biome_defaults(w):
+    return B.defaults(w.spark).where("kind = 'Matrix'").select(F.col("name").alias("biome"), F.size("cells").cast("long").alias("n"))
+
+
+_BANDS = "case when precipitation<1e0 then 0 when precipitation<2e0 then 1 when floor(precipitation/20e0)<=2 then 2 when floor(precipitation/20e0)<=3 then 3 else 4 end mb, least(25,floor(greatest(0e0,20e0-t.temperature)))::int tb"
+
+
+@query("""select fid, case when grouping_='Ocean' then 'Ocean' when temp < -5e0 then 'Glacier' when water_flow>400e0 or coalesce(lt='Marsh',false) then 'Wetland' else biome end biome
+  from (select t.fid, t.grouping_, t.temperature temp, t.water_flow, l.type_ lt, BANDS from tiles t left join lakes l on t.lake_id=l.fid) x join mx on moisture=mb and mx.temperature=tb""".replace("BANDS", _BANDS), mx=_MATRIX_SQL)
+def apply_biomes(w):
+    return B.apply(w.tiles, w.lakes, B.defaults(w.spark), grouping=G).select("fid", "biome")
+
+
+@query(f"select fid, moisture, band, mx.biome from (select fid, {_BANDS.replace(' mb', ' moisture_').replace(' tb', ' band')} from tiles t) join mx on moisture=moisture_ and temperature=band", mx=_MATRIX_SQL)
+def matrix_lookup_biome(w):
+    t = w.tiles.select("fid", B.moisture_band(F.col("precipitation")).alias("moisture"), B.temperature_band(F.col("temperature")).alias("band"))
+    return t.join(F.broadcast(B.matrix(B.defaults(w.spark)).withColumnRenamed("temperature", "band")), ["moisture", "band"]).select("fid", "moisture", "band", "biome")
+
+
+@query("""select fid, round(temperature,6) temperature, round(((700e0*(temperature+0.006e0*elevation))/50e0+75e0)/(80e0-temperature)*n,6) evaporation, n n_tiles
+  from (select l.fid, l.elevation, avg(t.temperature) temperature, count(*) n from lakes l join tiles t on t.lake_id=l.fid group by 1,2)""")
+def lake_temp_evap(w):
+    out = water.lake_climate(w.tiles, w.lakes)
+    return out.select("fid", R6(F.col("temperature")).alias("temperature"), R6(F.col("evaporation")).alias("evaporation"), "n_tiles")
+
+
+@query("""select fid, case when temperature < -3e0 then 'Frozen' when has_outlet then (case when abs(bottom_elevation-elevation)<2.220446049250313e-16 then 'Marsh' else 'Fresh' end)
+  when evaporation>flow/size*4e0 then 'Dry' when abs(bottom_elevation-elevation)<2.220446049250313e-16 then 'Pluvial' else 'Salt' end kind from lakes""")
+def lake_type(w):
+    c = F.col
+    return w.lakes.select("fid", water.lake_type(c("temperature"), c("evaporation"), c("flow"), c("size"), c("elevation"), c("bottom_elevation"), c("has_outlet")).alias("kind"))
+
+
+@query("""select src, lowest, array_to_string(list_sort(list(dst)),',') tos from (select e.src, e.dst, t.elevation h, min(t.elevation) over(partition by e.src) lowest from edges e join tiles t on t.fid=e.dst) where abs(h-lowest)<2.220446049250313e-16 group by 1,2""")
+def lowest_neighbors(w):
+    return graph.lowest_neighbors(w.tiles, w.edges).select("src", "lowest", F.array_join(F.transform("to", lambda x: x.cast("string")), ",").alias("tos"))
+
+
+argmin_all_ties = query("select src, round(lowest,6)+0e0 lowest, n from (select src, min(h) lowest, count(*) filter (h=lo) n from (select e.src, round(t.elevation,-3) h, min(round(t.elevation,-3)) over(partition by e.src) lo from edges e join tiles t on t.fid=e.dst) group by src)")(
+    lambda w: graph.lowest_neighbors(w.tiles.withColumn("elevation", F.round("elevation", -3)), w.edges).select("src", (R6(F.col("lowest")) + 0.0).alias("lowest"), F.size("to").cast("long").alias("n"))
+)
+_QUERIES["argmin_all_ties"] = _QUERIES.pop("<lambda>")
+
+
+@query("""select src, harbor, n water_count from (select src, count(*)::int n, first(dst order by d, dst) harbor from
+  (select a.fid src, b.fid dst, round((case when e.kind='CrossMap' then (case when a.site_x>0 then b.site_x+360e0 else b.site_x-360e0 end) else b.site_x end-a.site_x)
+  *(case when e.kind='CrossMap' then (case when a.site_x>0 then b.site_x+360e0 else b.site_x-360e0 end) else b.site_x end-a.site_x)+(b.site_y-a.site_y)*(b.site_y-a.site_y),9) d
+  from edges e join tiles a on a.fid=e.src join tiles b on b.fid=e.dst where a.grouping_<>'Ocean' and b.grouping_='Ocean') group by src)""")
+def argmin_first(w):
+    sea = F.col(G) == "Ocean"
+    return graph.nearest_water(w.tiles, w.edges, sea, sea)
+
+
+@query("""select src, biome value from (select src, biome, row_number() over(partition by src order by n desc, biome) r from
+  (select e.src, t.biome, count(*) n from edges e join tiles t on t.fid=e.dst where e.kind='Tile' group by 1,2)) where r=1""")
+def majority_vote(w):
+    return graph.majority(w.tiles, w.edges, "biome")
+
+
+_SHORE = """select fid, case when sea then -hops else hops end shore_distance from best join m using (fid)"""
+
+
+@query(_SHORE, m="select fid, grouping_='Ocean' sea from tiles", same="select e.src, e.dst from edges e join m a on a.fid=e.src join m b on b.fid=e.dst where a.sea=b.sea",
+       best="""select fid, min(hops)::int hops from (with /*rec*/ recursive q(fid,hops) as (select distinct e.src, 1 from edges e join m a on a.fid=e.src join m b on b.fid=e.dst where a.sea<>b.sea
+       union select s.dst, q.hops+1 from q join same s on s.src=q.fid where q.hops<40) select * from q) group by fid""")
+def shore_distance(w):
+    return graph.shore_distance(w.tiles, w.edges, F.col(G) == "Ocean").where("shore_distance is not null")
+
+
+@query("select fid, label from cc", m="select fid, case when grouping_='Ocean' then 'o' when lake_id is not null then 'l'||lake_id else 'c' end k from tiles",
+       same="select e.src, e.dst from edges e join m a on a.fid=e.src join m b on b.fid=e.dst where a.k=b.k",
+       cc="""select fid, label from (with /*rec*/ recursive r(fid,label) using key (fid) as (select fid, fid label from m union
+       select s.dst, max(r.label) from r join same s on s.src=r.fid join recurring.r p on p.fid=s.dst where r.label>p.label group by s.dst) select fid, label from r)""")
+def grouping_components(w):
+    k = F.when(F.col(G) == "Ocean", "o").when(F.col("lake_id").isNotNull(), F.concat(F.lit("l"), F.col("lake_id").cast("string"))).otherwise("c")
+    return graph.components(w.tiles, w.edges, k)
+
+
+@query()
+def grouping(w):
+    return graph.grouping(w.tiles.drop("grouping_id"), w.edges, F.col(G) == "Ocean", F.col("lake_id"))
+
+
+@query("select label, n, case when n>floor(total/100) then 'Continent' when n>floor(total/1000) then 'Island' else 'Islet' end klass from (select mod(fid,7) label, count(*) n, (select count(*) from tiles) total from tiles where grouping_<>'Ocean' group by 1)")
+def group_lengths(w):
+    n = w.tiles.agg(F.count("*").alias("total"))
+    g = w.tiles.where(F.col(G) != "Ocean").groupBy((F.col("fid") % 7).alias("label")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(n))
+    return g.select("label", "n", F.when(F.col("n") > F.floor(F.col("total") / 100), "Continent").when(F.col("n") > F.floor(F.col("total") / 1000), "Island").otherwise("Islet").alias("klass"))
+
+
+_SEG = """select f.src "from", f.dst "to", t.water_flow/n.n to_flow, false from_lake from flows f join (select src, count(*) n from flows group by 1) n on n.src=f.src join tiles t on t.fid=f.src
+  union all select o.outlet_from, o.fid, t.water_flow, true from outlets o join tiles t on t.fid=o.fid"""
+_DEDUP = """select "from", "to", max(to_flow) to_flow, bool_or(from_lake) from_lake from seg group by 1,2"""
+
+
+@query('select "from", "to", to_flow, from_lake from seg', seg=_SEG)
+def river_segments(w):
+    return water.river_segments(w.tiles, w.flows, w.outlets)
+
+
+@query('select "from", "to", to_flow, from_lake from s', seg=_SEG, s=_DEDUP)
+def dedupe_segments(w):
+    return water.dedupe_segments(water.river_segments(w.tiles, w.flows, w.outlets))
+
+
+@query("""select "from", "to", from_lake, round(to_flow,6) to_flow,
+  case when from_lake then (case when n_out>1 then 'BranchingLake' else 'Lake' end) when coalesce(before,0)=0 then 'Source' when before=1 then (case when n_out>1 then 'Branch' else 'Continuing' end)
+   else (case when n_out>1 then 'BranchingConfluence' else 'Confluence' end) end from_type,
+  round(case when from_lake then to_flow when coalesce(before,0)=0 then 0e0 when n_out>1 then flow_in/n_out else flow_in end,6) from_flow,
+  case when coalesce(aft,0)=0 then 'Mouth' when aft=1 then (case when coalesce(meet,0)>1 then 'Confluence' else 'Continuing' end) else (case when coalesce(meet,0)>1 then 'BranchingConfluence' else 'Branch' end) end to_type
+  from s join o on o.k=s."from" left join (select k k1, n before, flow flow_in from i) on k1=s."from" left join (select k k2, n meet from i) on k2=s."to" left join (select k k3, n_out aft from o) on k3=s."to"
+  where to_flow<>0""", seg=_SEG, s=_DEDUP, o='select "from" k, count(*) n_out from s group by 1', i='select "to" k, count(*) n, sum(to_flow) flow from s group by 1')
+def river_topology(w):
+    out = water.river_topology(water.river_segments(w.tiles, w.flows, w.outlets))
+    return out.withColumn("to_flow", R6(F.col("to_flow"))).withColumn("from_flow", R6(F.col("from_flow")))
+
+
+@query('select "to" k, arg_max("from", to_flow) "from", round(sum(to_flow),6) total from s group by 1', seg=_SEG, s=_DEDUP)
+def flowingest(w):
+    s = water.dedupe_segments(water.river_segments(w.tiles, w.flows, w.outlets))
+    return s.groupBy(F.col("to").alias("k")).agg(F.max_by("from", F.struct("to_flow", "from")).alias("from"), R6(F.sum("to_flow")).alias("total"))
+
+
+@query("""select s."from", s."to", count(distinct p."from")::bigint prev, count(distinct n."to")::bigint nxt from s left join s p on p."to"=s."from" left join s n on n."from"=s."to" group by 1,2""", seg=_SEG, s=_DEDUP)
+def next_prev_segment(w):
+    s = water.dedupe_segments(water.river_segments(w.tiles, w.flows, w.outlets)).select("from", "to")
+    p = s.groupBy(F.col("to").alias("_k")).agg(F.count("*").alias("prev"))
+    n = s.groupBy(F.col("from").alias("_m")).agg(F.count("*").alias("nxt"))
+    out = s.join(p, F.col("from") == F.col("_k"), "left").join(n, F.col("to") == F.col("_m"), "left")
+    return out.select("from", "to", F.coalesce("prev", F.lit(0)).alias("prev"), F.coalesce("nxt", F.lit(0)).alias("nxt"))
+
+
+@query()
+def water_flow(w):
+    t = w.tiles.withColumnRenamed(G, "grouping")
+    return water.water_flow(t, w.edges).select("fid", R6(F.col("water_flow")).alias("water_flow"), R6(F.col("water_accumulation")).alias("water_accumulation"), F.size("flow_to").alias("n_to"))
+
+
+@query()
+def water_fill(w):
+    t = w.tiles.withColumnRenamed(G, "grouping")
+    f = water.water_flow(t, w.edges).select("fid", "water_accumulation")
+    return water.water_fill(t.drop("water_accumulation").join(f, "fid"), w.edges)
+
+
+# people
+
+_TOTALS = "select sum(water_flow)/count(*) fm, max(water_flow) fx, sum(area)/count(*) am from tiles"
+_BIO = " union all ".join(f"select '{r[0]}' name, {r[1]}e0 habitability, {r[4]} movement_cost, {str(r[5]).lower()} supports_nomadic, {str(r[6]).lower()} supports_hunting" for r in B.DEFAULTS)
+_POP = """select fid, base, case when base>0 then (base+greatest(0e0,least(1e0,(water_flow-fm)/(fx-fm)))*250e0-(elevation_scaled-50)::double/5e0
+  +case when shore_distance=1 then case when water_flow>10e0 then 15e0 else 0e0 end+case when hid is null then 0e0 when hlt is not null then (case hlt when 'Fresh' then 30e0 when 'Salt' then 10e0 when 'Frozen' then 1e0 when 'Pluvial' then -2e0 when 'Dry' then -5e0 else 5e0 end)
+  when hg='Ocean' then 5e0+case when water_count=1 then 20e0 else 0e0 end else 0e0 end else 0e0 end)/5e0 else 0e0 end hab, area, am from
+  (select t.*, h.fid hid, h.grouping_ hg, l.type_ hlt, case when t.lake_id is not null then 0e0 else b.habitability end base from tiles t join bio b on b.name=t.biome left join tiles h on h.fid=t.harbor_tile_id left join lakes l on l.fid=h.lake_id) x, tot"""
+
+
+@query("select fid, round(hab,6) habitability from pop", bio=_BIO, tot=_TOTALS, pop=_POP)
+def population(w):
+    return people.population(w.tiles, B.defaults(w.spark), w.lakes, grouping=G).select("fid", R6(F.col("habitability")).alias("habitability"))
+
+
+@query("select round(fm,6) flow_mean, fx flow_max, round(am,6) area_mean, round(fx-fm,6) flow_divisor from tot", tot=_TOTALS)
+def agg_flow_area(w):
+    t = people.flow_totals(w.tiles)
+    return t.select(R6(F.col("flow_mean")).alias("flow_mean"), "flow_max", R6(F.col("area_mean")).alias("area_mean"), R6(F.col("flow_divisor")).alias("flow_divisor"))
+
+
+@query("select max(habitability) top from tiles where population>0")
+def agg_max_habitability(w):
+    return w.tiles.where("population > 0").agg(F.max("habitability").alias("top"))
+
+
+@query("select fid, round((ceil(habitability/30e0*3e0)/(abs(temperature-18e0)+1e0))*(case when biome in ('Savanna','Grassland') then 1e0 else 0.5e0 end)-shore_distance,6) score from tiles")
+def culture_preference(w):
+    tree = {"Add": [{"Multiply": [{"Divide": ["NormalizedHabitability", {"Temperature": 18}]}, {"Biomes": [["Savanna", "Grassland"], 0.5]}]}, {"Negate": "ShoreDistance"}]}
+    return w.tiles.select("fid", R6(people.preference(tree, 30.0)).alias("score"))
+
+
+_CT = """case when elevation_scaled<70 and supports_nomadic then 'Nomadic' when elevation_scaled>50 then 'Highland' when water_count is not null and coalesce(ls,0)>5 then 'Lake'
+  when water_count is not null and ((ls is null and U(ct_sea,fid)<0.1e0) or (water_count=1 and U(ct_bay,fid)<0.6e0)) then 'Naval' when water_flow>10e0 then 'River' when shore_distance>2 and supports_hunting then 'Hunting' else 'Generic' end"""
+
+
+@query(f"select fid, {_CT} kind from (select t.*, l.size ls, b.supports_nomadic, b.supports_hunting from tiles t join bio b on b.name=t.biome left join tiles h on h.fid=t.harbor_tile_id left join lakes l on l.fid=h.lake_id)", bio=_BIO)
+def culture_type(w):
+    return _with_lake_size(w).withColumnRenamed(G, "grouping").select("fid", people.culture_type().alias("kind"))
+
+
+def _with_lake_size(w):
+    h = w.tiles.select(F.col("fid").alias("_h"), F.col("lake_id").alias("_l")).join(w.lakes.select(F.col("fid").alias("_f"), F.col("size").alias("neighboring_lake_size")), F.col("_l") == F.col("_f"), "left")
+    b = F.broadcast(B.defaults(w.spark).select(F.col("name").alias("biome"), "supports_nomadic", "supports_hunting", "movement_cost"))
+    return w.tiles.join(b, "biome").join(h, F.col("harbor_tile_id") == F.col("_h"), "left").drop("_h", "_l", "_f")
+
+
+@query("select fid, harbor_tile_id, h_lake, lsize from (select t.fid, t.harbor_tile_id, h.lake_id h_lake, l.size lsize from tiles t left join tiles h on h.fid=t.harbor_tile_id left join lakes l on l.fid=h.lake_id)")
+def join_harbor(w):
+    h = w.tiles.select(F.col("fid").alias("harbor_tile_id"), F.col("lake_id").alias("h_lake"))
+    return w.tiles.select("fid", "harbor_tile_id").join(h, "harbor_tile_id", "left").join(w.lakes.select(F.col("fid").alias("h_lake"), F.col("size").alias("lsize")), "h_lake", "left").select("fid", "harbor_tile_id", "h_lake", "lsize")
+
+
+_BASE = "case type_ when 'Lake' then 0.8e0 when 'Naval' then 1.5e0 when 'Nomadic' then 1.5e0 when 'River' then 0.9e0 when 'Hunting' then 0.7e0 when 'Highland' then 1.2e0 else 1e0 end"
+
+
+@query(f"select culture_key, (U(expansion,culture_key)*1e0/2e0+1e0)*{_BASE} expansionism from cultures")
+def expansionism(w):
+    return w.cultures.select("culture_key", people.expansionism(F.col("type_"), "culture_key").alias("expansionism"))
+
+
+_SHC = "case when ty='Lake' then (case when shore_distance in (1,2,-1) then 0e0 else 100e0 end) when ty='Naval' then (case when shore_distance in (1,-1) then 0e0 when shore_distance=2 then 30e0 else 100e0 end) when ty='Nomadic' then (case when shore_distance=1 then 60e0 when shore_distance=2 then 30e0 else 0e0 end) else (case when shore_distance=1 then 20e0 else 0e0 end) end"
+_RVC = "case when ty='River' then (case when water_flow>10e0 then 0e0 else 100e0 end) when water_flow<=10e0 then 0e0 else greatest(20e0,least(100e0,water_flow/10e0)) end"
+_DRY = "case when elevation_scaled>=67 then 200e0 when elevation_scaled>44 then 30e0 else 0e0 end"
+_HTC = f"case when ty='Lake' and lake_id is not null then 10e0 when ty='Highland' then (case when sea then area*6e0 when elevation_scaled<44 then 3000e0 when elevation_scaled<62 then 200e0 else 0e0 end) when sea then area*(case ty when 'Naval' then 2e0 when 'Nomadic' then 50e0 else 6e0 end) else {_DRY} end"
+_FOR = "('Tropical Seasonal Forest','Temperate Deciduous Forest','Tropical Rainforest','Temperate Rainforest','Taiga')"
+_BMC = f"case when home=biome then 10e0 else movement_cost*(case when ty='Hunting' then 5e0 when ty='Nomadic' and biome in {_FOR} then 10e0 else 2e0 end) end"
+_CX = "select t.*, t.grouping_='Ocean' sea, b.movement_cost, c.type_ ty, c.expansionism x, c.culture_key owner, h.biome home from tiles t join bio b on b.name=t.biome, cultures c join tiles h on h.fid=c.center_tile_id"
+
+
+@query(f"select owner::bigint owner, fid, round(({_BMC}+{_HTC}+{_RVC}+{_SHC})/x,6) cost from cx", bio=_BIO, cx=_CX)
+def culture_costs(w):
+    out = people.culture_entries(w.tiles, w.cultures, B.defaults(w.spark), grouping=G)
+    return out.select(F.col("owner").cast("long").alias("owner"), "fid", R6(F.col("cost")).alias("cost"))
+
+
+_NDRY = "case when elevation_scaled>=67 then 2200e0 when elevation_scaled>44 then 300e0 else 0e0 end"
+_NHC = f"case when ty='Lake' and lake_id is not null then 10e0 when ty='Highland' then (case when deep then 1000e0 when elevation_scaled<62 then 1100e0 else 0e0 end) when deep then (case when ty='Naval' then 300e0 else 1000e0 end) else {_NDRY} end"
+_NBC = f"case when home=biome then 10e0 else movement_cost*(case when ty='Hunting' then 2e0 when ty='Nomadic' and biome in {_FOR} then 3e0 else 1e0 end) end"
+_NXS = "select t.*, (t.shore_distance < -1 or t.grouping_='Ocean') deep, b.movement_cost, c.type_ ty, c.expansionism x, c.fid owner, c.culture_key own, h.biome home from tiles t join bio b on b.name=t.biome, nations c join tiles h on h.fid=c.center_tile_id"
+
+
+@query(f"""select owner, fid, round(greatest(0e0,(case when own is not distinct from culture_key then -9e0 else 100e0 end)+(case when grouping_='Ocean' then 0e0 when habitability>0 then greatest(0e0,20e0-habitability) else 5000e0 end)
+  +{_NBC}+{_NHC}+{_RVC}+{_SHC})*area/x+10e0,6) cost from cx""", bio=_BIO, cx=_NXS)
+def nation_costs(w):
+    return people.nation_entries(w.tiles, w.nations, B.defaults(w.spark), grouping=G).select("owner", "fid", R6(F.col("cost")).alias("cost"))
+
+
+@query("select fid, case when shore_distance>=-3 then (case when elevation_scaled>=70 then 100e0 when elevation_scaled>=50 then 30e0 else 10e0 end)*area end cost from tiles")
+def subnation_costs(w):
+    return w.tiles.select("fid", people.subnation_cost(F.col("elevation_scaled"), F.col("area"), F.col("shore_distance")).alias("cost"))
+
+
+@query()
+def expand_cultures(w):
+    e = people.culture_entries(w.tiles, w.cultures, B.defaults(w.spark), grouping=G)
+    return people.expand(e, w.edges, w.cultures.select(F.col("culture_key").alias("owner"), F.col("center_tile_id").alias("center")), 4000.0).select("fid", "owner", R6(F.col("cost")).alias("cost"))
+
+
+@query()
+def expand_nations(w):
+    e = people.nation_entries(w.tiles, w.nations, B.defaults(w.spark), grouping=G)
+    return people.expand(e, w.edges, w.nations.select(F.col("fid").alias("owner"), F.col("center_tile_id").alias("center")), 20000.0).select("fid", "owner", R6(F.col("cost")).alias("cost"))
+
+
+@query()
+def expand_subnations(w):
+    t = w.tiles.where("nation_id is not null")
+    s = settle.subnation_seats(w.towns.join(t.select(F.col("fid").alias("tile_id"), "nation_id"), "tile_id"), 50.0)
+    cost = people.subnation_cost(F.col("elevation_scaled"), F.col("area"), F.col("shore_distance"))
+    seeds = s.select(F.col("fid").alias("owner"), F.col("tile_id").alias("center"), "nation_id")
+    e = t.join(seeds.select("owner", "nation_id"), "nation_id").select("owner", "fid", cost.alias("cost"), "nation_id").where("cost is not null")
+    return people.expand(e, w.edges, seeds, 5000.0, "nation_id").select("fid", "owner", R6(F.col("cost")).alias("cost"))
+
+
+# towns, nations, subnations
+
+_NRM = "(sqrt(-2e0*ln(1e0-U({0}_a,fid)))*cos(6.283185307179586e0*U({0}_b,fid)))"
+_SCORE = f"select fid, habitability*(U(town_c,fid)*0.5e0+0.5e0) cs, habitability*greatest(0e0,least(20e0,1e0+3e0*{_NRM.format('town_t')})) ts from tiles where habitability>0"
+
+
+@query("select fid, round(cs,6) capital_score, round(ts,6) town_score from sc", sc=_SCORE)
+def score_tiles(w):
+    return settle.score_tiles(w.tiles).select("fid", R6(F.col("capital_score")).alias("capital_score"), R6(F.col("town_score")).alias("town_score"))
+
+
+@query("select fid from sc order by cs desc, fid limit 12", sc=_SCORE)
+def capitals_topk(w):
+    return settle.capitals_topk(settle.score_tiles(w.tiles), 12).select("fid")
+
+
+@query("select fid from sc where fid not in (select fid from cap) order by ts desc, fid limit 30", sc=_SCORE, cap="select fid from sc order by cs desc, fid limit 12")
+def towns_topk(w):
+    s = settle.score_tiles(w.tiles)
+    return settle.towns_topk(s, settle.capitals_topk(s, 12), 30).select("fid")
+
+
+@query("""select tile_id, is_capital, row_number() over(order by is_capital desc, score desc, tile_id) fid from
+  (select fid tile_id, true is_capital, cs score from (select * from sc order by cs desc, fid limit 12) union all select fid, false, ts from (select * from sc where fid not in (select fid from cap) order by ts desc, fid limit 30))""",
+       sc=_SCORE, cap="select fid from sc order by cs desc, fid limit 12")
+def generate_towns(w):
+    return settle.generate_towns(w.tiles, 12, 30)
+
+
+_PT = """select o.fid, o.is_capital, t.habitability, t.water_flow, t.site_x, t.site_y, h.fid hf, h.grouping_id hg,
+  coalesce(h.temperature>0 and (case when h.lake_id is not null then coalesce(l.size>1,false) else h.grouping_='Ocean' end) and (o.is_capital or coalesce(t.water_count=1,false)),false) port
+  from towns o join tiles t on t.fid=o.tile_id left join tiles h on h.fid=t.harbor_tile_id left join lakes l on l.fid=h.lake_id"""
+_SHIFT = "(case when not port and water_flow>10e0 then least(water_flow/150e0,1e0) else 0e0 end)"
+
+
+@query(f"""select fid, floor(greatest(habitability/2e0*1000e0,100e0)*(case when is_capital then 1.3e0 else 1e0 end)*(case when port then 1.3e0 else 1e0 end))::int population,
+  port and not (hf is not null and count(*) over(partition by hg)=1) is_port, case when site_x%2e0<1e0 then site_x+{_SHIFT} else site_x-{_SHIFT} end x, case when site_y%2e0<1e0 then site_y+{_SHIFT} else site_y-{_SHIFT} end y from pt""", pt=_PT)
+def populate_towns(w):
+    return settle.populate_towns(w.towns, w.tiles, w.lakes, grouping=G)
+
+
+@query("select h.grouping_id, count(*) n from towns o join tiles t on t.fid=o.tile_id join tiles h on h.fid=t.harbor_tile_id group by 1")
+def towns_per_water_body(w):
+    h = w.tiles.select(F.col("fid").alias("harbor_tile_id"), "grouping_id")
+    return w.towns.select("tile_id").join(w.tiles.select(F.col("fid").alias("tile_id"), "harbor_tile_id"), "tile_id").join(h, "harbor_tile_id").groupBy("grouping_id").agg(F.count("*").alias("n"))
+
+
+@query("select row_number() over(order by o.fid) fid, o.fid capital_town_id, o.culture_key, o.tile_id center_tile_id, coalesce(c.type_,'Generic') type_, 1e0+(U(nation_x,o.fid)*0.9e0+0.1e0)*1e0 expansionism from towns o left join cultures c on c.culture_key=o.culture_key where o.is_capital")
+def generate_nations(w):
+    return settle.generate_nations(w.towns, w.cultures)
+
+
+def _norm_sql(owner: str, within: str = "") -> str:
+    same = f"and a.{within} is not distinct from b.{within}" if within else ""
+    return f"select e.src, a.{owner} own, b.{owner} o, count(*) n from edges e join tiles a on a.fid=e.src join tiles b on b.fid=e.dst where a.grouping_<>'Ocean' and b.grouping_<>'Ocean' {same} group by 1,2,3"
+
+
+_NORM = """select src, sum(case when o is not distinct from own then n else 0 end) bud, sum(case when o is distinct from own then n else 0 end) adv, count(*) filter (o is distinct from own) kinds,
+  max(n) filter (o is distinct from own) tn, first(o order by n desc, o nulls first) filter (o is distinct from own) top from kinds_ group by src"""
+
+
+@query("""select t.fid, case when c.src is not null and t.town_id is null and t.fid not in (select e.src from edges e join tiles x on x.fid=e.dst join towns o on o.tile_id=x.fid where o.is_capital) then c.top else t.nation_id end nation_id
+  from tiles t left join (select * from nm where adv>=2 and bud<=2 and kinds>=bud and tn>bud) c on c.src=t.fid""", kinds_=_norm_sql("nation_id"), nm=_NORM)
+def normalize_nations(w):
+    return settle.normalize_nations(w.tiles, w.edges, w.towns, G).select("fid", "nation_id")
+
+
+@query("""select t.fid, case when c.src is not null and t.town_id is null and t.fid not in (select fid from seat) and t.fid not in (select e.src from edges e join seat on seat.fid=e.dst) then c.top else t.subnation_id end subnation_id
+  from tiles t left join (select * from nm where adv>=2 and bud<=2 and kinds>=bud and tn>bud) c on c.src=t.fid""", kinds_=_norm_sql("subnation_id", "nation_id"), nm=_NORM, seat="select tile_id fid from towns where not is_capital")
+def normalize_subnations(w):
+    return settle.normalize_subnations(w.tiles, w.edges, w.towns.where("not is_capital").select(F.col("tile_id").alias("fid")), G).select("fid", "subnation_id")
+
+
+@query("select src, bud::bigint buddies, adv::bigint adversaries, kinds, top, tn top_count from nm", kinds_=_norm_sql("nation_id"), nm=_NORM)
+def adversary_counts(w):
+    return settle.neighbor_counts(w.tiles, w.edges, "nation_id", F.col(G) != "Ocean")
+
+
+@query(f"select fid, nation_id from (select *, row_number() over(partition by nation_id order by population*greatest(0.5e0,least(1.5e0,1e0+0.2e0*{_NRM.format('seat')})), fid) k, count(*) over(partition by nation_id) n from (select o.fid, o.population, t.nation_id from towns o join tiles t on t.fid=o.tile_id where t.nation_id is not null)) where k<=floor(greatest(2e0,n*20e0/100e0))")
+def subnation_seats(w):
+    t = w.towns.join(w.tiles.where("nation_id is not null").select(F.col("fid").alias("tile_id"), "nation_id"), "tile_id")
+    return settle.subnation_seats(t).select("fid", "nation_id")
+
+
+@query()
+def fill_empty_subnations(w):
+    t = w.tiles.withColumn("subnation_id", F.when(F.col("subnation_id") < 6, F.col("subnation_id")))
+    return settle.fill_empty_subnations(t, w.edges, grouping=G)
+
+
+@query("""select s.fid, round(k*360e0/al+i*(360e0/al)/n,6) hue_low, round(k*360e0/al+(i+1)*(360e0/al)/n,6) hue_high from
+  (select fid, nation_id, row_number() over(partition by nation_id order by fid)-1 i, count(*) over(partition by nation_id) n from sn) s
+  join (select nation_id, row_number() over(order by nation_id)-1 k, count(*) over() al from (select distinct nation_id from sn)) using(nation_id)""", sn="select fid, mod(fid,4) nation_id from towns")
+def assign_subnation_colors(w):
+    out = settle.assign_colors(w.towns.select("fid", F.pmod("fid", F.lit(4)).alias("nation_id")))
+    return out.select("fid", R6(F.col("hue_low")).alias("hue_low"), R6(F.col("hue_high")).alias("hue_high"))
+
+
+@query("select fid, case when n>1 then name||' '||(['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV','XVI','XVII','XVIII','XIX','XX'])[k] else name end name from (select fid, name, row_number() over(partition by name order by fid) k, count(*) over(partition by name) n from nm) where k<=20",
+       nm="select fid, 'N'||(fid//15) as name from lakes")
+def name_duplicates(w):
+    return settle.name_duplicates(w.lakes.select("fid", F.concat(F.lit("N"), F.expr("fid div 15").cast("string")).alias("name")))
+
+
+@query("""select t.fid, case when t.shore_distance=-1 then v.value else t.biome end theme from tiles t left join (select src, biome value from (select src, biome, row_number() over(partition by src order by n desc, biome) r from
+  (select e.src, t.biome, count(*) n from edges e join tiles t on t.fid=e.dst where e.kind='Tile' group by 1,2)) where r=1) v on v.src=t.fid""")
+def dissolve_theme(w):
+    return settle.dissolve_theme(w.tiles, w.edges, "biome")
+
+
+# joins, construction, projections
+
+_VERT = "select fid, -180e0+(col+dx)*(360e0/w) x, -90e0+(rw+dy)*(180e0/w) y from tiles, (values (0,0),(0,1),(1,0),(1,1)) v(dx,dy)"
+
+
+def _vertices(w):
+    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (0, 1) for b in (0, 1)])
+    t = w.tiles.withColumn("s", F.explode(steps))
+    return t.select("fid", (-180.0 + (F.col("col") + F.col("s.dx")) * (F.lit(360.0) / F.col("w"))).alias("x"), (-90.0 + (F.col("rw") + F.col("s.dy")) * (F.lit(180.0) / F.col("w"))).alias("y"))
+
+
+@query("select distinct a.fid src, b.fid dst from vt a join vt b on a.x=b.x and a.y=b.y and a.fid<>b.fid", vt=_VERT)
+def vertex_hash_join(w):
+    return graph.vertex_neighbors(_vertices(w))
+
+
+@query("select x, y, count(*) n from vt group by 1,2", vt=_VERT)
+def vertex_use_count(w):
+    return _vertices(w).groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+_BOX = "select fid, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from vt group by fid"
+
+
+@query("select a.fid src, b.fid dst, 'West' edge from bx a join bx b on a.x0=-180e0 and b.x1=(select max(x1) from bx) and a.y0<b.y1 and b.y0<a.y1 union all select b.fid, a.fid, 'East' from bx a join bx b on a.x0=-180e0 and b.x1=(select max(x1) from bx) and a.y0<b.y1 and b.y0<a.y1", vt=_VERT, bx=_BOX)
+def antimeridian_interval_join(w):
+    box = _vertices(w).groupBy("fid").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    east = box.agg(F.max("x_max")).first()[0]
+    return graph.antimeridian_neighbors(box, -180.0, east)
+
+
+@query("select min(x) west, min(y) south, max(x)-min(x) width, max(y)-min(y) height from vt", vt=_VERT)
+def layer_extent(w):
+    return _vertices(w).agg(F.min("x").alias("west"), F.min("y").alias("south"), (F.max("x") - F.min("x")).alias("width"), (F.max("y") - F.min("y")).alias("height"))
+
+
+@query("select count(*) n, round(64800e0/count(*),6) avg_area from tiles")
+def avg_tile_area(w):
+    return w.tiles.agg(F.count("*").alias("n"), R6(F.lit(64800.0) / F.count("*")).alias("avg_area"))
+
+
+row_count = query("select count(*) n from edges")(lambda w: w.edges.agg(F.count("*").alias("n")))
+_QUERIES["row_count"] = _QUERIES.pop("<lambda>")
+
+
+@query("select src, array_to_string(list(dst order by r, dst, edge),',') nbs from (select src, dst, coalesce(edge,'') edge, case kind when 'OffMap' then 0 when 'Tile' then 1 else 2 end r from edges) group by src")
+def calc_neighbors(w):
+    return graph.neighbor_list(w.edges).select("src", F.array_join(F.transform("neighbors", lambda x: x["dst"].cast("string")), ",").alias("nbs"))
+
+
+sort_neighbors = query("select src, array_to_string(list(kind||':'||dst order by r, dst),' ') nbs from (select src, dst, kind, case kind when 'Tile' then 1 else 2 end r from edges) group by src")(
+    lambda w: graph.neighbor_list(w.edges).select("src", F.array_join(F.transform("neighbors", lambda x: F.concat(F.when(x["r"] == 1, "Tile:").otherwise("CrossMap:"), x["dst"].cast("string"))), " ").alias("nbs"))
+)
+_QUERIES["sort_neighbors"] = _QUERIES.pop("<lambda>")
+
+
+@query("select e.src, e.dst, e.kind, t.elevation n_elevation, t.grouping_ n_grouping_ from edges e join tiles t on t.fid=e.dst")
+def join_tile_neighbors(w):
+    return graph.gather(w.tiles, w.edges, "elevation", G).select("src", "dst", "kind", "n_elevation", "n_grouping_")
+
+
+@query("select t.fid, b.habitability::int habitability, b.movement_cost from tiles t join bio b on b.name=t.biome", bio=_BIO)
+def join_tile_biome(w):
+    b = F.broadcast(B.defaults(w.spark).select(F.col("name").alias("biome"), F.col("habitability").alias("bh"), "movement_cost"))
+    return w.tiles.join(b, "biome").select("fid", F.col("bh").alias("habitability"), "movement_cost")
+
+
+@query("select t.fid, l.type_ lake_type from tiles t left join lakes l on l.fid=t.lake_id")
+def join_tile_lake(w):
+    return w.tiles.select("fid", F.col("lake_id").alias("_l")).join(w.lakes.select(F.col("fid").alias("_l"), F.col("type_").alias("lake_type")), "_l", "left").select("fid", "lake_type")
+
+
+@query("select t.fid, coalesce(c.name,'default') culture from tiles t left join cultures c on c.culture_key=t.culture_key")
+def join_culture_by_name(w):
+    return w.tiles.join(F.broadcast(w.cultures.select("culture_key", "name")), "culture_key", "left").select("fid", F.coalesce("name", F.lit("default")).alias("culture"))
+
+
+@query("select o.fid, t.biome, t.habitability from towns o join tiles t on t.fid=o.tile_id")
+def join_town_tile(w):
+    return w.towns.select("fid", "tile_id").join(w.tiles.select(F.col("fid").alias("tile_id"), "biome", "habitability"), "tile_id").select("fid", "biome", "habitability")
+
+
+@query("select t.fid, o.name from tiles t left join towns o on o.fid=t.town_id")
+def join_tile_town(w):
+    return w.tiles.select("fid", "town_id").join(w.towns.select(F.col("fid").alias("town_id"), "name"), "town_id", "left").select("fid", "name")
+
+
+@query("select nation_id, count(*) n, array_to_string(list_sort(list(town_id)),',') towns from tiles where nation_id is not null and town_id is not null group by 1")
+def group_towns_by_nation(w):
+    t = w.tiles.where("nation_id is not null and town_id is not null").groupBy("nation_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("town_id")).alias("t"))
+    return t.select("nation_id", "n", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("towns"))
+
+
+@query("select nation_id, count(distinct subnation_id) n from tiles where nation_id is not null and subnation_id is not null group by 1")
+def join_subnation_nation(w):
+    return w.tiles.where("nation_id is not null and subnation_id is not null").select("nation_id", "subnation_id").distinct().groupBy("nation_id").agg(F.count("*").alias("n"))
+
+
+@query("select t.fid, c.culture_key theme_id from tiles t left join cultures c on c.culture_key=t.culture_key")
+def join_theme_id(w):
+    return w.tiles.select("fid", "culture_key").join(F.broadcast(w.cultures.select(F.col("culture_key"), F.col("culture_key").alias("theme_id"))), "culture_key", "left").select("fid", "theme_id")
+
+
+@query("select fid, row_number() over(order by site_x, site_y) new_fid from tiles")
+def load_tiles(w):
+    from orbisframe.operators.tables import number_rows
+
+    return number_rows(w.tiles.select("fid", "site_x", "site_y"), ["site_x", "site_y"], "new_fid").select("fid", "new_fid")
+
+
+sort_sites = query("select fid, row_number() over(order by site_x, site_y) place from tiles")(lambda w: load_tiles(w).withColumnRenamed("new_fid", "place"))
+_QUERIES["sort_sites"] = _QUERIES.pop("<lambda>")
+
+
+@query("select fid, row_number() over(order by elevation desc, fid) place from tiles")
+def sort_elevation_desc(w):
+    from orbisframe.operators.tables import number_rows
+
+    return number_rows(w.tiles.select("fid", (-F.col("elevation")).alias("k")), ["k", "fid"], "place").select("fid", "place")
+
+
+@query("select fid, elevation, biome from tiles where fid in (3,5,7)")
+def point_lookup(w):
+    return w.tiles.where(F.col("fid").isin(3, 5, 7)).select("fid", "elevation", "biome")
+
+
+@query("select fid, grouping_='Ocean' is_ocean, (grouping_='Ocean' or lake_id is not null) is_water from tiles")
+def is_ocean(w):
+    return w.tiles.select("fid", (F.col(G) == "Ocean").alias("is_ocean"), ((F.col(G) == "Ocean") | F.col("lake_id").isNotNull()).alias("is_water"))
+
+
+@query("select fid from tiles where site_x>=-90e0 and site_x<=90e0 and site_y>=-30e0 and site_y<=60e0")
+def extent_contains(w):
+    return w.tiles.where(E.extent_contains(F.col("site_x"), F.col("site_y"), -90.0, -30.0, 180.0, 90.0)).select("fid")
+
+
+_OPP = "case edge when 'West' then 'East' when 'East' then 'West' end"
+
+
+@query(f"select src, dst, {_OPP} opposite, case edge when 'West' then 270 else 90 end direction from edges where edge is not null")
+def edge_opposite(w):
+    return w.edges.where("edge is not null").select("src", "dst", E.opposite(F.col("edge")).alias("opposite"), E.direction(F.col("edge")).alias("direction"))
+
+
+@query("select fid, case when c is null then r when r is null then c else r||lower(c) end edge from (select fid, case when col=0 then 'West' when col=w-1 then 'East' end c, case when rw=0 then 'South' when rw=w-1 then 'North' end r from tiles)")
+def edge_combine(w):
+    c = F.when(F.col("col") == 0, "West").when(F.col("col") == F.col("w") - 1, "East")
+    r = F.when(F.col("rw") == 0, "South").when(F.col("rw") == F.col("w") - 1, "North")
+    return w.tiles.select("fid", E.combine(r, c).alias("edge"))
+
+
+@query("select fid, round(degrees(2e0*asin(sqrt(least(1e0,pow(sin((radians(site_y)-0e0)/2e0),2)+cos(0e0)*cos(radians(site_y))*pow(sin(radians(site_x)/2e0),2))))),6) d, round(sqrt(site_x*site_x+site_y*site_y),6) p from tiles")
+def distance(w):
+    z = F.lit(0.0)
+    return w.tiles.select("fid", R6(geo.distance(z, z, F.col("site_x"), F.col("site_y"), True)).alias("d"), R6(geo.distance(z, z, F.col("site_x"), F.col("site_y"))).alias("p"))
+
+
+@query("select src, dst, ((450e0-round(degrees(atan2(y,x))))%360e0+360e0)%360e0 bearing from (select e.src, e.dst, b.site_y-a.site_y y, b.site_x-a.site_x x from edges e join tiles a on a.fid=e.src join tiles b on b.fid=e.dst where e.kind='Tile')")
+def bearing(w):
+    e = w.edges.where("kind = 'Tile'").join(w.tiles.select(F.col("fid").alias("src"), F.col("site_x").alias("x1"), F.col("site_y").alias("y1")), "src").join(w.tiles.select(F.col("fid").alias("dst"), F.col("site_x").alias("x2"), F.col("site_y").alias("y2")), "dst")
+    return e.select("src", "dst", geo.bearing(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("bearing"))
+
+
+@query("select fid, least(abs(wind-90),360-abs(wind-90))<45 near from tiles")
+def angle_difference(w):
+    return w.tiles.select("fid", (geo.angle_difference(F.col("wind"), F.lit(90)) < 45).alias("near"))
+
+
+@query(f"select fid, U(draw,fid) u, U(coin,fid)<0.3e0 b, round(2e0+0.5e0*{_NRM.format('nn')},6) z from tiles")
+def keyed_draws(w):
+    return w.tiles.select("fid", uniform("draw", "fid").alias("u"), bernoulli("coin", "fid", 0.3).alias("b"), R6(normal("nn", "fid", 2.0, 0.5)).alias("z"))
+
+
+@query("select tile_id fid, true is_capital from towns where is_capital union all select fid, false from tiles where fid not in (select tile_id from towns) and habitability>25e0")
+def set_operations(w):
+    a = w.towns.where("is_capital").select(F.col("tile_id").alias("fid"), F.lit(True).alias("is_capital"))
+    b = w.tiles.where("habitability > 25").join(w.towns.select(F.col("tile_id").alias("fid")), "fid", "left_anti").select("fid", F.lit(False).alias("is_capital"))
+    return a.unionByName(b)
+
+
+# names
+
+@query("select lang, round(avg(strlen(word)),6) mean, round(stddev_pop(strlen(word)),6) sd, min(strlen(word)) least_ from words group by lang")
+def mean_std_min_len(w):
+    from orbisframe.operators.naming import length_statistics
+
+    out = length_statistics(w.words, "lang", "word")
+    return out.select("lang", R6(F.col("mean")).alias("mean"), R6(F.col("sd")).alias("sd"), F.col("least").cast("long").alias("least_"))
+
+
+@query("select distinct lang, letter from (select lang, word, unnest(string_split(word,'')) letter, generate_subscripts(string_split(word,''),1) i from words) where substr(word,i+1,1)=letter")
+def duplicate_letters(w):
+    from orbisframe.operators.naming import duplicate_letters as f
+
+    return f(w.words, "lang", "word")
+
+
+@query()
+def markov_chain(w):
+    from orbisframe.operators.naming import markov_chain as f
+
+    return f(w.words, "lang", "word").select("lang", "prev", "syllable", "n")
+
+
+@query()
+def markov_word(w):
+    from orbisframe.operators.naming import make_words, markov_chain as f, length_statistics
+
+    return make_words(w.nations.select("fid", F.lit("en").alias("lang")), f(w.words, "lang", "word"), length_statistics(w.words, "lang", "word"), "lang", "fid")
+
+
+@query()
+def state_name(w):
+    from orbisframe.operators.naming import state_names
+
+    return state_names(w.cultures.select(F.col("culture_key").alias("fid"), F.initcap("name").alias("name")))
+
+
+@query("select fid, name from (select fid, (['Ael','Bor','Cym','Dun'])[mod(row_number() over(order by md5('pick:'||fid), fid)-1,4)+1] as name from nations)")
+def list_pick(w):
+    from orbisframe.operators.naming import list_pick as f
+
+    return f(w.nations.select("fid"), ["Ael", "Bor", "Cym", "Dun"])
+
+
+@query()
+def random_colors(w):
+    from orbisframe.operators.naming import random_colors as f
+
+    return f(w.nations.select("fid"))
