@@ -31,8 +31,7 @@ def suffix_arrays(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
     text = np.repeat(np.arange(k), lengths)
     # groups by first symbol; a group is named by its first place in the order
     key = text * (int(sym.max()) + 1) + sym
-    place_of = np.argsort(key, kind="stable")
-    sa = place_of.copy()
+    sa = np.argsort(key.astype(np.int32) if k * 258 < 2**31 else key)
     place = np.empty(n, np.int64)
     place[sa] = np.arange(n)
     head = np.concatenate(([True], key[sa][1:] != key[sa][:-1]))
@@ -68,7 +67,7 @@ def suffix_arrays(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
         if not len(p):
             continue
         old = group[p]
-        order = np.lexsort((times, old))
+        order = np.argsort(old * (int(times.max()) + 1) + times)
         p, old, times = p[order], old[order], times[order]
         fresh = np.ones(len(p), bool)
         fresh[1:] = old[1:] != old[:-1]
@@ -97,8 +96,8 @@ def suffix_arrays(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
         size[target[at]] = many
 
     # emit: children of j are the suffixes whose Lyndon prefix ends at j
-    child = np.argsort(ends_at, kind="stable")
-    c_off = np.searchsorted(ends_at[child], np.arange(n + 1))
+    child = np.argsort(ends_at.astype(np.int32) if n < 2**31 - 2 else ends_at)
+    c_off = np.concatenate(([0], np.cumsum(np.bincount(ends_at, minlength=n + 2)[: n + 1])))
     front = np.arange(n)
     out = np.empty(n, np.int64)
     by_length = np.argsort(-lengths, kind="stable")
