@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbisframe.llm.textvec import Texts, covered, member, mix, ranges, slices
+from orbisframe.session import cut
 
 #: Bytes of benchmark text that one block may hold; blocks are broadcast one
 #: by one, so a larger benchmark takes more passes, not more memory.
@@ -185,48 +186,57 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     A block of the benchmark is broadcast; its size is checked against
     ``block_bytes`` while it is read. Several blocks give one pass each, and
-    their results are merged by document row."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(Benchmark(b, window, gram)) for b in blocks(benchmark, block_bytes)]
+    their results are merged by doc_id and text."""
+    parts = [_against(docs, b, window, gram) for b in blocks(benchmark, block_bytes)]
+    if len(parts) == 1:
+        return parts[0].drop("key")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    merged = whole.groupBy("doc_id", "key").agg(
+        F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("times"),
+    )
+    return merged.select("doc_id", "n_words", "hit_words", "items", F.explode(F.sequence(F.lit(1), "times")).alias("_t")).drop("_t")
+
+
+def _against(docs: DataFrame, block: list[tuple], window: int, gram: int) -> DataFrame:
+    """One pass over the documents with one block."""
+    sent = docs.sparkSession.sparkContext.broadcast(Benchmark(block, window, gram))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in slices(batches):
             words, first = word_hashes(t)
-            hit, pairs = np.zeros(len(words), bool), []
-            for one in sent:
-                flags, text, item = one.value.hits(words, first)
-                hit |= flags
-                pairs.append(np.column_stack((text, item)))
-                if len(sent) > 1:
-                    one.unpersist()
-            pair = np.unique(np.concatenate(pairs), axis=0)
-            pair = pair[pair[:, 1] != -1] if len(pair) else pair.reshape(0, 2)
+            hit, text, item = sent.value.hits(words, first)
+            text, item = text[item != -1], item[item != -1]
             at, off = _spans(hit, first, t.n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(np.diff(first).astype(np.int64)),
+                    part.column(0), part.column(2), pa.array(np.diff(first).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(at.astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(pair[:, 0], np.arange(t.n + 1)).astype(np.int32)), pa.array(pair[:, 1].astype(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(t.n + 1)).astype(np.int32)), pa.array(item.astype(np.int64))),
                 ],
-                ["doc_id", "n_words", "hit_words", "items"],
+                ["doc_id", "key", "n_words", "hit_words", "items"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_words long, hit_words array<int>, items array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(work, "doc_id long, key long, n_words long, hit_words array<int>, items array<long>")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any hit, with all their columns. A benchmark of
+    several blocks takes a pass each, materialised in between."""
+    for k, block in enumerate(blocks(benchmark, block_bytes)):
+        docs = _clean(cut(docs) if k else docs, block, window, gram)
+    return docs
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(Benchmark(b, window, gram)) for b in blocks(benchmark)]
+def _clean(docs: DataFrame, block: list[tuple], window: int, gram: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(Benchmark(block, window, gram))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, t in slices(batches):
             words, first = word_hashes(t)
-            hit = np.zeros(len(words), bool)
-            for one in sent:
-                hit |= one.value.hits(words, first)[0]
-                if len(sent) > 1:
-                    one.unpersist()
+            hit = sent.value.hits(words, first)[0]
             clean = np.ones(t.n, bool)
             clean[np.searchsorted(first, np.flatnonzero(hit), side="right") - 1] = False
             yield part.filter(pa.array(clean))
@@ -238,10 +248,10 @@ def digest_items(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The digest columns: n_hit, n_items, items_sha256, contaminated."""
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return find_contamination(docs, benchmark, window).select(
+    return find_contamination(docs, benchmark, window, block_bytes=block_bytes).select(
         "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"),
     )
