@@ -53,6 +53,12 @@ _BAD = re.compile(
     r"legal|disclaimer|copyright|skip|hidden|search\w*|form|rating\w*|feedback|shoutbox|poll)(?:$|[\s_-])",
     re.I,
 )
+# a class or id of one of these words, also with further parts, whatever else it says
+_SURE = re.compile(
+    r"(?!(?:has|with|no|is|js|layout)[-_])(?:\w+?[-_]+)*(?:comments?|commentlist|disqus\w*|respond|replies|sidebar|newsletter|cookies?|consent|gdpr|advert\w*|adsense|sponsor\w*|promo|"
+    r"share|sharing|social|related|recommended|recommendations|breadcrumbs?|navbar|menu|popup|modal|subscribe|outbrain|taboola)(?:[-_]+(?!layout|page)\w+)*",
+    re.I,
+)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main\w*|page|post\w*|text|blog|story\w*|hentry|prose)(?:$|[\s_-])", re.I)
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog status tooltip".split())
 
@@ -79,8 +85,10 @@ def _kind(name: str, raw: str, inside: bool) -> tuple[bool, float]:
         if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _BAD_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
             skip = True
         names = f"{a.get('class', '')} {a.get('id', '')}".strip()
-        if names and name not in ("html", "body", "article", "main"):
+        if names and name not in ("html", "body", "main"):
             good = bool(_GOOD.search(names))
+            skip |= any(_SURE.fullmatch(x) for x in names.split())
+        if names and name not in ("html", "body", "article", "main"):
             if _BAD.search(names):
                 weight -= 25
                 skip |= not good

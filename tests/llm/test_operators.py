@@ -169,6 +169,12 @@ def test_main_text(tag):
     assert got.split("\n\n") == ["Title & more", "First paragraph, with bold and a link. Next", "Second paragraph of the article, which is long enough, I hope, to be counted as text of the page and not as a heading.", "Third <one>"]
 
 
+def test_boilerplate_by_names():
+    body = "<p>Text of the article, long enough, with commas, so that it counts as its own.</p>"
+    page = f'<body class="has-sidebar"><div class="content has-sidebar"><div class="post-content">{body}</div><ol class="comment-content"><li>Me, too, I think, and so on, and on, and on.</li></ol><article class="comment-body"><p>Mine, also, long, as it is, my friends.</p></article></div></body>'
+    assert mainhtml.extract_text(page) == "Text of the article, long enough, with commas, so that it counts as its own."
+
+
 def test_pages_without_text(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<p>only"), (4, "u", "<div>" * 5000 + "deep")], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in mainhtml.extract_pages(df).collect()}
