@@ -14,13 +14,13 @@ shingles themselves. Equal texts are one node from the start.
 
 What is found: a pair of similarity s shares a band with probability
 1 - (1 - s^r)^b; with r = 5 and b = 40 a pair at 0.8 is missed with
-probability 1.3e-7. Inside a bucket all members are compared with its leader;
-those not linked to it with a second leader; and by the triangle inequality
-of 1 - J only members at 0.6 to 0.8 from a leader can be linked to members of
-that leader's class, so these are compared with those members of it that the
-inequality leaves, in rounds of a bounded number of pairs a bucket until none
-is left. Comparisons that could only join what is connected already are left
-out: documents meet their leaders in waves, and a bucket of one class is done.
+probability 1.3e-7. Inside a bucket all members are compared with its leader,
+in waves, without those that are connected with it by then. Then every pair of
+members that are still in different classes is compared, in a buffer of the
+bucket's shingles; a large bucket is dealt in parts and taken by pairs of
+parts. Only comparisons that could join what is connected already, or whose
+shingle numbers rule the threshold out, are left out, so the classes are those
+of all pairs that banding brings together.
 
 Defined results: null and empty texts, and texts without words, have no
 shingles and are classed with equal texts only (null with null); a text of one
@@ -30,19 +30,21 @@ class. An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbisframe.llm.decontaminate import gram_hashes, within, word_hashes
 from orbisframe.llm.textvec import Texts, mix, ranges, slices
-from orbisframe.session import cut
+from orbisframe.session import cut, shared_folder
 
 ROWS, BANDS, SHINGLE = 5, 40, 5
-PAIRS = 200_000
+#: Shingles in a part of a bucket whose members are compared with each other.
+PART = 200_000
 #: Leaders of a document compared in one wave, by their place in its list.
 WAVES = ((0, 0), (1, 4), (5, 2**31 - 1))
 _ID_BITS = np.uint64(44)
@@ -193,16 +195,25 @@ def _verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").select("x", "y", "x_ids", "x_counts", "y_ids", "y_counts").mapInArrow(_overlap, "x long, y long, sim double")
 
 
+def _store(df: DataFrame) -> DataFrame:
+    """``df`` as files in the shared folder, read again. A checkpoint keeps the
+    size that the planner expected; over rounds of joins these are products
+    of products, too long to compute with."""
+    path = f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): smallest node of each connected component, by rounds of
     neighbour minimum and pointer jumping until nothing changes."""
-    both = cut(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).union(edges.select("y", "x")))
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
+    both = _store(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).union(edges.select("y", "x")).distinct())
+    labels = _store(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = cut(labels.join(near, F.col("u") == F.col("node")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         up = step.select(F.col("node").alias("at"), F.col("label").alias("up"))
-        labels = cut(step.join(up, F.col("label") == F.col("at")).select("node", "old", F.least("label", "up").alias("label")))
+        labels = _store(step.join(up, F.col("label") == F.col("at")).select("node", "old", F.least("label", "up").alias("label")))
         if labels.where("label != old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
@@ -226,6 +237,74 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.where("x_class != y_class").drop("x_class", "y_class")
 
 
+def _mixed(member: DataFrame, widest: bool) -> DataFrame:
+    """(key, y, label, parts): members of the buckets with several classes, one
+    bucket of each set of members. ``widest`` takes only buckets that are the
+    largest one of some member. A bucket is dealt in so many parts that each
+    has about PART shingles."""
+    one = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "y"))
+    seen = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total"), one(1).alias("a"), one(2).alias("b"))
+    seen = seen.where("low < high").groupBy("n", "a", "b").agg(F.min("key").alias("key"), F.first("total").alias("total"))
+    held = cut(member.join(seen.select("key", "n", F.ceil(F.col("total") / PART).cast("int").alias("parts")), "key"))
+    if widest:
+        first = held.groupBy("y").agg(F.max(F.struct("n", "key")).alias("top")).select(F.col("top.key").alias("key")).distinct()
+        held = held.join(first, "key", "left_semi")
+    return held.select("key", "y", "label", "parts")
+
+
+def cross_links(label: np.ndarray, side: np.ndarray, ids: np.ndarray, counts: np.ndarray, off: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between members of different classes, as places. Classes that a
+    link joins are one from then on; every pair that stays in two classes has
+    been compared. Members of one side aren't compared if there are two."""
+    n = len(label)
+    _, group, n_of = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((group, n_of[group]))  # small classes first: the last one meets nobody
+    group, side, span = group[order].copy(), side[order], np.diff(off)[order]
+    at = ranges(off[:-1][order], span)
+    ids, counts = np.unique(ids[at], return_inverse=True)[1], counts[at].astype(np.int64)
+    off = np.concatenate(([0], np.cumsum(span)))
+    total = np.add.reduceat(counts, off[:-1])
+    two = len(np.unique(side)) > 1
+    table = np.zeros(int(ids.max()) + 1, np.int64)
+    xs, ys = [], []
+    for k in range(n - 1):
+        able = (group[k + 1 :] != group[k]) & (np.minimum(total[k + 1 :], total[k]) >= threshold * np.maximum(total[k + 1 :], total[k]) - 1e-9)
+        if two:
+            able &= side[k + 1 :] != side[k]
+        to = k + 1 + np.flatnonzero(able)
+        if not len(to):
+            continue
+        mine = slice(off[k], off[k + 1])
+        table[ids[mine]] = counts[mine]
+        at = ranges(off[to], span[to])
+        shared = np.add.reduceat(np.minimum(table[ids[at]], counts[at]), np.cumsum(span[to]) - span[to])
+        table[ids[mine]] = 0
+        for j in to[shared / np.maximum(total[to] + total[k] - shared, 1) >= threshold]:
+            if group[j] != group[k]:
+                xs.append(k), ys.append(j)
+                group[group == group[j]] = group[k]
+    return order[np.array(xs, np.int64)], order[np.array(ys, np.int64)]
+
+
+def _across(member: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): links between the classes of each bucket. A bucket of several
+    parts is taken by pairs of parts, so no group grows with it."""
+    part = F.pmod(F.xxhash64(F.lit(3), "y"), F.col("parts")).cast("int")
+    dealt = member.withColumn("part", part).withColumn("to", F.explode(F.expr("sequence(0, parts - 1)")))
+    unit = dealt.select("key", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"), "part", F.col("y").alias("doc_id"), "label")
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        doc, label, side = (table.column(c).to_numpy() for c in ("doc_id", "label", "part"))
+        bag = table.column("ids").combine_chunks(), table.column("counts").combine_chunks()
+        ids, counts = (np.asarray((x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten()) for x in bag)
+        off = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(bag[0])))))
+        x, y = cross_links(label, side, ids, counts, off, threshold)
+        return pa.table({"x": np.minimum(doc[x], doc[y]), "y": np.maximum(doc[x], doc[y])})
+
+    return unit.join(bags, "doc_id").groupBy("key", "i", "j").applyInArrow(work, "x long, y long")
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and n_shingles."""
     docs = docs.where("doc_id is not null")
@@ -238,7 +317,6 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, rows: int =
     wanted = member.select(F.col("y").alias("doc_id")).union(member.select("x")).distinct()
     texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id")
     bags = cut(_bags(texts, size))
-    near = 1 - 2 * (1 - threshold)
 
     # a document meets its smallest leader first, then the next ones, then the
     # rest; leaders that it is connected with by then say nothing new
@@ -250,38 +328,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, rows: int =
             pairs = _apart(pairs, _stars(seen.where(F.col("sim") >= threshold)))
         wave = cut(_verify(pairs, bags))
         seen = wave if seen is None else seen.unionByName(wave)
-    # only buckets that still hold two classes go on, with all their members
-    mixed = _apart(member, components(seen.where(F.col("sim") >= threshold))).select("key").distinct()
-    member = cut(member.join(mixed, "key", "left_semi"))
-    seen = seen.unionByName(cut(_verify(member.select("x", "y").distinct().join(seen, ["x", "y"], "left_anti"), bags)))
-    judged = member.join(seen, ["x", "y"])
-    # second leaders: members that their bucket's first leader isn't linked to
-    loose = judged.where(F.col("sim") < threshold).select("key", "y")
-    lead = loose.groupBy("key").agg(F.min("y").alias("x"), F.max("y").alias("last")).where("x < last").drop("last")
-    again = loose.join(lead, "key").where("x < y").select("x", "y").distinct().join(seen, ["x", "y"], "left_anti")
-    more = cut(_verify(again, bags))
-    edges = seen.unionByName(more).where(F.col("sim") >= threshold).select("x", "y")
-    # members near a leader's class but outside it: compared with the members
-    # of that class that they can be linked to, at most PAIRS a bucket and round
-    tried, linked = seen.unionByName(more), judged.where(F.col("sim") >= threshold).select("key", "y", F.col("sim").alias("s"))
-    label = edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("label"))
-    many = linked.groupBy("key").agg(F.count("*").alias("n_y"))
-    open_ = judged.where((F.col("sim") < threshold) & (F.col("sim") >= near)).join(many, "key").select("key", F.col("y").alias("b"), F.col("x").alias("head"), "sim", "n_y")
-    while True:
-        of = lambda frame, c: frame.join(label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_class")), c, "left").withColumn(f"{c}_class", F.coalesce(f"{c}_class", c))  # noqa: E731, B023
-        waiting = cut(of(of(open_, "b"), "head").where("b_class != head_class").drop("head_class"))
-        if waiting.isEmpty():
-            break
-        turn = waiting.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("b"))).where(F.col("n") <= F.greatest(F.lit(1), F.floor(F.lit(PAIRS) / F.col("n_y"))))
-        can = (F.col("s") <= F.col("sim") + (1 - threshold) + 1e-9) & (F.col("y_class") != F.col("b_class"))
-        pairs = of(linked.join(turn, "key"), "y").where(can).select(F.least("b", "y").alias("x"), F.greatest("b", "y").alias("y")).distinct()
-        found = cut(_verify(pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti"), bags))
-        links = found.where(F.col("sim") >= threshold).select("x", "y")
-        left = cut(waiting.join(turn.select("key", "b"), ["key", "b"], "left_anti").select("key", "b", "head", "sim", "n_y"))
-        tried, edges = tried.unionByName(found), edges.unionByName(links)
-        if left.isEmpty():
-            break
-        open_, label = left, components(edges)
+    # every member has met its leaders; a bucket whose other members are of
+    # several classes goes on, until all its pairs across classes are judged
+    edges = seen.where(F.col("sim") >= threshold).select("x", "y")
+    size_of = sig.groupBy(F.col("doc_id").alias("y")).agg(F.max("n_shingles").alias("size"))
+    member = cut(member.select("key", "y").join(size_of, "y"))
+    for widest in (True, False):
+        of = components(edges).withColumnRenamed("node", "y")
+        now = cut(member.join(of, "y", "left").select("key", "y", F.coalesce("label", "y").alias("label"), "size"))
+        edges = edges.unionByName(cut(_across(_mixed(now, widest), bags, threshold)))
     label = components(edges)
     classes = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
     return sig.select("doc_id", "digest", "n_shingles").join(classes, "digest").select("doc_id", "class_id", "n_shingles")

@@ -96,6 +96,46 @@ def test_near_duplicates(spark, rows):
     assert got == brute.classes(rows)
 
 
+def test_near_family(spark):
+    """Hundreds of edited copies of one text, many pairs at 0.6 to 0.8."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(400):
+        w = [f"w{k}" for k in range(100)]
+        for k in rng.sample(range(100), rng.randint(1, 7)):
+            w[k] = f"e{rng.randrange(10**6)}" if rng.random() < 0.5 else f"s{k}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r[0]: r[1] for r in neardup.near_duplicate_classes(_docs(spark, rows)).collect()}
+    assert got == brute.classes(rows)
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_links_across_classes(sides):
+    rng = np.random.default_rng(4)
+    sets = [rng.choice(12, rng.integers(6, 12), replace=False).astype(np.int32) for _ in range(60)]
+    bags = [{int(i): int(rng.integers(1, 3)) for i in x} for x in sets]
+    label, side = rng.integers(0, 40, 60), np.arange(60) % sides
+    flat = [(i, c) for b in bags for i, c in b.items()]
+    off = np.concatenate(([0], np.cumsum([len(b) for b in bags])))
+    x, y = neardup.cross_links(label, side, np.array([i for i, _ in flat], np.int32), np.array([c for _, c in flat], np.int32), off, 0.7)
+
+    def classes(links):
+        of = label.copy()
+        for a, b in links:
+            of[of == of[a]] = of[b]
+        return len(np.unique(of))
+
+    def sim(a, b):
+        a, b = brute.Counter(bags[a]), brute.Counter(bags[b])
+        return brute.overlap(a, b)
+
+    want = [(a, b) for a in range(60) for b in range(a) if (sides == 1 or side[a] != side[b]) and sim(a, b) >= 0.7]
+    assert len(x) and all(sim(a, b) >= 0.7 for a, b in zip(x, y, strict=True))
+    assert classes(zip(x, y, strict=True)) == classes(want)
+
+
 def test_weighted_signature_is_unbiased():
     rng = np.random.default_rng(3)
     ids = rng.integers(1, 2**44, 40).astype(np.uint64)
