@@ -88,7 +88,9 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 #: Every known sentence contains one of these.
-KEYWORDS = ("licen", "copyright", "warrant", "permission", "redistribut", "reserved", "liable", "gnu ", "spdx", "cc0")
+KEYWORDS = ("licen", "copyright", "warrant", "permission", "redistribut", "reserved", "liable", "gnu", "spdx", "cc0", "cc by", "creative commons")
+#: The same in text that isn't normalised.
+RAW_KEYWORDS = "(?i)" + "|".join(k.replace(" ", "[^a-z0-9]+") for k in KEYWORDS)
 MAX_GAP = 3
 
 _SPLIT = re.compile(r"\n\s*\n|(?<=[.!?;])(?=\s)|\n(?=\s*(?:[-*#]|\d+[.)])\s)|(?<=[.!?;:])\n")
@@ -130,7 +132,7 @@ def _lines(part: str) -> Iterator[tuple[int, int]]:
 
 
 def _known(sentence: str) -> str | None:
-    if not any(k.strip() in sentence for k in KEYWORDS) and "compliance" not in sentence and "basis" not in sentence and "source code form" not in sentence:
+    if not any(k in sentence for k in KEYWORDS):
         return None
     m = _PATTERN.fullmatch(sentence)
     return m.lastgroup if m else None
@@ -161,11 +163,10 @@ def recognise(text: str | None) -> tuple[list[str], list[tuple[str, int, int]]]:
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentences, licenses, starts, ends, n_licenses.
     starts and ends are code points."""
-    words = "(?i)" + "|".join(k.strip() for k in KEYWORDS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maybe = pc.fill_null(pc.match_substring_regex(batch.column(1), words), False)
+            maybe = pc.fill_null(pc.match_substring_regex(batch.column(1), RAW_KEYWORDS), False)
             got = [recognise(x.as_py()) if y else ([], []) for x, y in zip(batch.column(1), maybe.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -228,6 +228,39 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: ["Apache-2.0"], 3: [], 4: [], 5: ["GPL-3.0", "MIT"]}
 
 
+def _examples(parsed):
+    """Texts of every alternative and optional part of a pattern."""
+    outs = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            more = [chr(v) if str(k) == "LITERAL" else "1" for k, v in arg]
+        elif op == "BRANCH":
+            more = [x for b in arg[1] for x in _examples(b)]
+        elif op == "SUBPATTERN":
+            more = _examples(arg[-1])
+        elif op == "MAX_REPEAT":
+            more = ([""] if arg[0] == 0 else []) + [x * max(arg[0], 1) for x in _examples(arg[2])]
+        else:
+            more = ["1"]
+        outs = [a + b for a in outs for b in more]
+    return outs
+
+
+def test_keywords_pass_every_known_sentence():
+    for name, pattern in licenses.SENTENCES.items():
+        for x in _examples(licenses.re._parser.parse(pattern)):
+            assert licenses._known(x) and licenses.pc.match_substring_regex(pa.array([x.upper().replace(" ", "-\n")]), licenses.RAW_KEYWORDS)[0].as_py(), (name, x)
+
+
+def test_licenses_without_the_word(spark):
+    rows = [(1, "This article is available under CC BY-SA 4.0."), (2, "Released under Creative\nCommons Attribution 4.0 International."), (3, "Text.\nDistributed under CC-BY-NC 4.0.\nMore.")]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(_docs(spark, rows)).collect()}
+    assert got == {1: ["CC-BY-SA-4.0"], 2: ["CC-BY-4.0"], 3: ["CC-BY-NC-4.0"]}
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
