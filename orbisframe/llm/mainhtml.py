@@ -255,18 +255,21 @@ def extract_text(page: str | None) -> str:
         out: list[str] = []
         _blocks(root, out)
         return "\n\n".join(out)
-    best = max(named or scored, key=lambda x: (value[id(x)], x.size)) if scored or named else root
+    best = max(scored or named, key=lambda x: (value[id(x)], x.size))
     while best.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "tbody", "thead", "ul", "ol", "dl", "dd", "dt", "") and best.parent is not None and best.name != "":
         best = best.parent
-    # a parent whose only other text is the best one's own is the better container
+    # a parent whose only other text is the best one's own is the better
+    # container, and so is the article that the best one is a part of
     while best.parent is not None and best.parent.name not in ("", "html", "body") and value[id(best.parent)] > 0.75 * value[id(best)]:
         best = best.parent
+    up = best
+    while up is not None and up.name not in ("article", "main"):
+        up = up.parent
+    if up is not None and density(up) < 0.5:
+        best = up
     out = []
-    if best.parent is None or best.name in ("article", "main"):
+    if best.parent is None:
         siblings = [best]
-        if best.parent is not None and best.name == "article":
-            least = max(10.0, 0.2 * value[id(best)])
-            siblings = [c for c in best.parent.children if c is best or (not isinstance(c, tuple) and not c.skip and c.name == "article" and value.get(id(c), 0) >= least)]
     else:
         least = max(10.0, 0.2 * value[id(best)])
         siblings = []

@@ -215,6 +215,18 @@ def test_boilerplate_by_names():
     assert mainhtml.extract_text(page) == "Text of the article, long enough, with commas, so that it counts as its own."
 
 
+def test_all_containers_compete():
+    p = "<p>Running text of the story, long enough, with commas, so that it counts, and so on, for a while at least.</p>"
+    page = f'<body><div id="story">{p * 8}</div><div class="cards"><article><p>A teaser, short, of some other page.</p></article></div></body>'
+    text = mainhtml.extract_text(page)
+    assert text.count("Running text") == 8 and "teaser" not in text
+    for rest in ("div", "section"):
+        text = mainhtml.extract_text(f"<body><article>{p * 3}</article><{rest}>{p * 3}</{rest}></body>")
+        assert text.count("Running text") == 6
+    assert mainhtml.extract_text(f"<body><main>{p * 3}</main>{p}</body>").count("Running text") == 4
+    assert mainhtml.extract_text(f"<body><article><p>Short start.</p><div>{p * 3}</div><div><p>Short end.</p></div></article></body>").split("\n\n")[::4] == ["Short start.", "Short end."]
+
+
 def test_pages_without_text(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<p>only"), (4, "u", "<div>" * 5000 + "deep")], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in mainhtml.extract_pages(df).collect()}
