@@ -59,42 +59,53 @@ _SURE = re.compile(
     r"share|sharing|social|related|recommended|recommendations|breadcrumbs?|navbar|menu|popup|modal|subscribe|outbrain|taboola)(?:[-_]+(?!layout|page)\w+)*",
     re.I,
 )
+# names of a page's topic or layout, which say nothing about what an element is
+_NEUTRAL = re.compile(r"(?:(?:post[-_])?(?:category|categories|cat|tag|tagged|topic)[-_]\S+|(?:\w+[-_])*(?:sidebar|menu|navbar)[-_](?:left|right|both|none|no)|(?:left|right|both|no)[-_]sidebar|related[-_]work)", re.I)
+_READERS = re.compile(r"(?:^|[-_])(?:comments?|commentlist|disqus\w*|respond|replies)(?:$|[-_])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main\w*|page|post\w*|text|blog|story\w*|hentry|prose)(?:$|[\s_-])", re.I)
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog status tooltip".split())
 
 
 class _Node:
-    __slots__ = ("children", "links", "name", "parent", "score", "weight", "size", "skip", "own")
+    __slots__ = ("children", "links", "name", "parent", "score", "weight", "size", "skip", "own", "doubt")
 
     def __init__(self, name: str, parent: "_Node | None", skip: bool, weight: float):
         self.name, self.parent, self.skip, self.weight = name, parent, skip, weight
         self.children: list = []  # nodes, and texts as (text, in a link)
-        self.score, self.links, self.size, self.own = 0.0, 0, 0, 0
+        self.score, self.links, self.size, self.own, self.doubt = 0.0, 0, 0, 0, False
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "" for m in _ATTR.finditer(raw)}
 
 
-def _kind(name: str, raw: str, inside: bool) -> tuple[bool, float]:
-    """Whether an element is boilerplate, and the weight of its names."""
+def _kind(name: str, raw: str, inside: bool) -> tuple[bool, float, bool]:
+    """Whether an element is boilerplate, the weight of its names, and whether
+    it is boilerplate by a name that others of its names speak against."""
     weight = {"article": 25.0, "main": 25.0, "section": 3.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "div": 5.0, "body": 0.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0, "th": -5.0}.get(name, 0.0)
+    doubt = False
     skip = name in _SKIP or (name in ("header", "footer") and not inside)
     if raw and not raw.isspace():
         a = _attributes(raw)
         if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _BAD_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
             skip = True
-        names = f"{a.get('class', '')} {a.get('id', '')}".strip()
+        full = f"{a.get('class', '')} {a.get('id', '')}".split()
+        names = " ".join(x for x in full if not _NEUTRAL.fullmatch(x))
+        if not names or all(x.lower().startswith(("sidebar", "menu", "navbar", "left-", "right-", "left_", "right_")) for x in full):
+            names = " ".join(x for x in full if not re.match(r"(?:related[-_]work|(?:post[-_])?(?:category|categories|cat|tag|tagged|topic)[-_])", x, re.I))
         if names and name not in ("html", "body", "main"):
             good = bool(_GOOD.search(names))
-            skip |= any(_SURE.fullmatch(x) for x in names.split())
+            sure = [x for x in names.split() if _SURE.fullmatch(x)]
+            if any(_READERS.match(x) if name == "article" else _READERS.search(x) for x in sure) or name != "article" and sure and not good:
+                skip = True
+            doubt = bool(sure) and name != "article" and not skip
         if names and name not in ("html", "body", "article", "main"):
             if _BAD.search(names):
                 weight -= 25
                 skip |= not good
             if good:
                 weight += 25
-    return skip, weight
+    return skip, weight, doubt
 
 
 def _tree(page: str) -> _Node:
@@ -163,7 +174,8 @@ def _tree(page: str) -> _Node:
         if name in _INLINE:
             skip = False
             if m[4] and not m[4].isspace():
-                skip = _kind(name, m[4], True)[0] and name == "span"
+                hard, _, doubt = _kind(name, m[4], True)
+                skip = (hard or doubt) and name == "span"
             if skip:
                 node = _Node(name, at, True, 0.0)
                 at.children.append(node)
@@ -174,8 +186,9 @@ def _tree(page: str) -> _Node:
             stack.append(name)
             links += name == "a"
             continue
-        skip, weight = _kind(name, m[4], any(x in ("article", "main") for x in stack) and name == "header")
+        skip, weight, doubt = _kind(name, m[4], any(x in ("article", "main") for x in stack) and name == "header")
         node = _Node(name, at, skip or at.skip, weight)
+        node.doubt = doubt and not node.skip
         at.children.append(node)
         at = node
         stack.append(name)
@@ -213,6 +226,25 @@ def _blocks(top: _Node, out: list[str], begin: list[str] | None = None) -> None:
                 run = []
 
 
+def _settle(root: _Node) -> None:
+    """An element in doubt stays if it holds most of the page's text outside
+    of links; the others are boilerplate."""
+    order, work, in_doubt = [], [root], False
+    while work:
+        node = work.pop()
+        order.append(node)
+        in_doubt |= node.doubt
+        work += [c for c in node.children if not isinstance(c, tuple) and not c.skip]
+    if not in_doubt:
+        return
+    held: dict[int, int] = {}
+    for node in reversed(order):
+        mine = sum(len(_WHITE.sub(" ", c[0]).strip()) for c in node.children if isinstance(c, tuple) and not c[1])
+        held[id(node)] = mine + sum(held[id(c)] for c in node.children if not isinstance(c, tuple) and not c.skip)
+    for node in order:
+        node.skip |= node.doubt and 2 * held[id(node)] <= held[id(root)]
+
+
 def _measure(root: _Node) -> list[_Node]:
     """Sizes and points of all containers, from the leaves up."""
     order, work = [], [root]
@@ -246,6 +278,7 @@ def extract_text(page: str | None) -> str:
     if not page:
         return ""
     root = _tree(page)
+    _settle(root)
     order = _measure(root)
     density = lambda x: x.links / x.size if x.size else 0.0
     value = {id(x): (x.score + (x.weight if x.score else 0)) * (1 - density(x)) for x in order}

@@ -227,6 +227,14 @@ def test_all_containers_compete():
     assert mainhtml.extract_text(f"<body><article><p>Short start.</p><div>{p * 3}</div><div><p>Short end.</p></div></article></body>").split("\n\n")[::4] == ["Short start.", "Short end."]
 
 
+@pytest.mark.parametrize("tag", ['article class="post category-social"', 'article class="post tag-cookies"', 'article class="social-post"', 'div class="content sidebar-right"', 'div class="post-content social"', 'div class="left-sidebar content"'])
+def test_names_of_topic_and_layout(tag):
+    p = "<p>Running text of the story, long enough, with commas, so that it counts, and so on, for a while at least.</p>"
+    side = '<div class="sidebar-right"><p>Popular, things, that, people, read, on, this, site, and others.</p></div><div class="content related"><p>Other, stories, of, this, site.</p></div>'
+    text = mainhtml.extract_text(f'<body><{tag}>{p * 3}<section id="related-work">{p * 2}</section></{tag.split(" ")[0]}>{side}</body>')
+    assert text.count("Running text") == 5 and "Popular" not in text and "stories" not in text
+
+
 def test_pages_without_text(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<p>only"), (4, "u", "<div>" * 5000 + "deep")], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in mainhtml.extract_pages(df).collect()}
