@@ -45,18 +45,24 @@ def majority(tiles: DataFrame, edges: DataFrame, column: str) -> DataFrame:
 
 def hops(tiles: DataFrame, edges: DataFrame, seed: Column, medium: Column) -> DataFrame:
     """(fid, hops): steps from the nearest seed through tiles of its medium,
-    by a frontier loop; seeds are at 1. Unreached tiles have null."""
+    by a frontier loop; seeds are at 1. Unreached tiles have null. Every edge
+    stands in both directions."""
     tiles = cut(tiles.select("fid", medium.alias("m"), seed.alias("seed")))
     same = cut(edges.where("dst is not null").select("src", "dst").join(tiles.select(F.col("fid").alias("src"), F.col("m").alias("a")), "src").join(tiles.select(F.col("fid").alias("dst"), F.col("m").alias("b")), "dst").where("a = b").select("src", "dst"))
-    reached = frontier = cut(tiles.where("seed").select("fid", F.lit(1).alias("hops")))
-    step = 1
+    # links go both ways, so a step reaches the last two frontiers and new tiles
+    # only: just these are compared, and all frontiers are put together once
+    waves = [cut(tiles.where("seed").select("fid", F.lit(1).alias("hops")))]
     while True:
-        step += 1
-        nxt = same.join(frontier, same["src"] == frontier["fid"]).select(F.col("dst").alias("fid")).distinct()
-        nxt = cut(nxt.join(reached, "fid", "left_anti").select("fid", F.lit(step).alias("hops")))
+        nxt = same.join(waves[-1], same["src"] == waves[-1]["fid"]).select(F.col("dst").alias("fid")).distinct()
+        for old in waves[-2:]:
+            nxt = nxt.join(old.select("fid"), "fid", "left_anti")
+        nxt = cut(nxt.select("fid", F.lit(len(waves) + 1).alias("hops")))
         if nxt.isEmpty():
+            reached = waves[0]
+            for wave in waves[1:]:
+                reached = reached.unionByName(wave)
             return tiles.select("fid").join(reached, "fid", "left")
-        reached, frontier = cut(reached.unionByName(nxt)), nxt
+        waves.append(nxt)
 
 
 def shore_distance(tiles: DataFrame, edges: DataFrame, water: Column) -> DataFrame:

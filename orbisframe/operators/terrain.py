@@ -419,19 +419,25 @@ def seed_ocean(tiles: DataFrame, edges: DataFrame, count: int, x: Span = _ALL, y
 
 def flood_ocean(tiles: DataFrame, edges: DataFrame, grouping: str = "grouping", rounds: int | None = None) -> DataFrame:
     """Ocean spreads through neighbours below zero until nothing changes: a
-    frontier loop of joins, whose length is the flooded region's reach."""
+    frontier loop of joins, whose length is the flooded region's reach. Every
+    edge stands in both directions, so a step meets the last two frontiers and
+    new tiles only; the frontiers are put together once."""
     from orbisframe.session import cut
 
     low = cut(tiles.select("fid", (F.col("elevation") < 0).alias("low"), (F.col(grouping) == "Ocean").alias("sea")))
-    frontier = wet = low.where("sea").select("fid")
-    step = 0
-    while rounds is None or step < rounds:
-        nxt = edges.join(frontier, edges["src"] == frontier["fid"]).select(F.col("dst").alias("fid")).distinct()
-        nxt = cut(nxt.join(low.where("low"), "fid", "left_semi").join(wet, "fid", "left_anti"))
+    waves = [low.where("sea").select("fid")]
+    while rounds is None or len(waves) <= rounds:
+        nxt = edges.join(waves[-1], edges["src"] == waves[-1]["fid"]).select(F.col("dst").alias("fid")).distinct()
+        nxt = nxt.join(low.where("low"), "fid", "left_semi")
+        for old in waves[-2:]:
+            nxt = nxt.join(old, "fid", "left_anti")
+        nxt = cut(nxt)
         if nxt.isEmpty():
             break
-        wet = cut(wet.unionByName(nxt))
-        frontier, step = nxt, step + 1
+        waves.append(nxt)
+    wet = waves[0]
+    for wave in waves[1:]:
+        wet = wet.unionByName(wave)
     mark = wet.select(F.col("fid").alias("_wet"))
     return tiles.join(mark, tiles["fid"] == F.col("_wet"), "left").withColumn(grouping, F.when(F.col("_wet").isNotNull(), F.lit("Ocean")).otherwise(F.col(grouping))).drop("_wet")
 

@@ -1,9 +1,10 @@
-"""Session helpers: shared checkpoint folder and materialised cuts of a lineage."""
+"""Session helpers: the folder that all executors share, and materialised cuts of a lineage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,21 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) one is made
-    below the system's temporary folder.
+    Where the session names none, a local master gets one below the system's
+    temporary folder (tests, a single machine); on a cluster that is an error,
+    since executors don't see each other's folders.
     """
     sc = spark.sparkContext
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(got)
         return got
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "orbisframe-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isEmpty():
+        return known.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set; name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "orbisframe-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder and read it back.
+
+    A written table has its own size as its statistics. ``checkpoint()`` would
+    keep the planner's estimate of the plan it replaces; in a loop of joins
+    these are products of products, until no join is planned as a broadcast
+    and the number itself gets too long to compute with.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from orbisframe.plans import registry
 from orbisframe.plans.world import World
@@ -125,3 +126,25 @@ def test_syllables_overlap():
 
     got = syllables("banana")
     assert len(got) == 6 and got[0][0] == "" and got[1][0] == "b"
+
+
+def test_cuts_carry_their_own_size(spark):
+    """The planner's estimate of a loop of joins doesn't grow with the rounds."""
+    from orbisframe.session import cut
+
+    df = cut(spark.range(20).selectExpr("id as k", "id as v"))
+    first = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    for _ in range(8):
+        df = cut(df.join(df.selectExpr("k as k2", "v as v2"), df["v"] == F.col("k2")).select("k", F.col("v2").alias("v")))
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= 4 * first and df.count() == 20
+
+
+def test_components_and_hops_of_a_long_chain(spark):
+    from orbisframe.operators import graph
+
+    n = 2000
+    tiles = spark.range(n).selectExpr("id as fid", "id = 0 as seed")
+    edges = spark.range(n - 1).selectExpr("id as a", "id + 1 as b").selectExpr("stack(2, a, b, b, a) as (src, dst)").selectExpr("src", "dst", "'Tile' as kind")
+    assert {r.label for r in graph.components(tiles, edges, F.lit(1)).select("label").distinct().collect()} == {n - 1}
+    got = graph.hops(tiles.where("fid < 9"), edges.where("src < 9 and dst < 9"), F.col("seed"), F.lit(1)).collect()
+    assert {r.fid: r.hops for r in got} == {k: k + 1 for k in range(9)}
