@@ -16,13 +16,18 @@ neighbours.
    meet by anchor; suffix arrays tell which windows start in a smaller one.
 4. The answers return to the batch as one bit a window.
 
-An anchor with very many different surroundings is hot: its windows travel
-singly, keyed by their own hash, so that no task gets them all. Nothing is
-dropped: the anchor hash only decides what meets, bytes decide what is equal.
+An anchor with very many different surroundings is hot: it is split by the
+widest anchor there is, the window itself, so that no task gets it all. An
+anchor whose segments are long together is split by wider anchors inside its
+task. Nothing is dropped: anchors only decide what meets, bytes decide what is
+equal. A segment that no other one meets has nothing to be compared with.
 
 Defined results: a null text is empty; a text under ``size`` bytes loses
-nothing; rows with a null doc_id come after all ids; rows that share a doc_id
-don't count against each other.
+nothing, however long a text is, it is one row of its batch; rows with a null
+doc_id rank as the largest id, 2**63 - 1, which no other row has; rows that
+share a doc_id, or have none, don't count against each other, and each gives a
+row. An empty table gives no rows. Only doc_id and text are read, so further
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbisframe.llm.suffixes import equal_run_ids, suffix_arrays
-from orbisframe.llm.textvec import Texts, member, mix, prefix_sums, ranges, span_hashes
+from orbisframe.llm.textvec import Texts, equal_spans, member, mix, prefix_sums, ranges, span_hashes
 
 SIZE, GRAM = 50, 20
 #: Text bytes of one batch, and segment bytes of one bucket, in about.
@@ -45,7 +50,8 @@ BATCH_BYTES, BUCKET_BYTES = 12 << 20, 6 << 20
 PART_BYTES = 1 << 20
 #: Different surroundings (per batch, summed) from which an anchor is hot.
 HOT = 3000
-_LAST = 2**62
+#: Rank of rows without an id.
+_LAST = 2**63 - 1
 
 
 def segments(t: Texts, size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -87,11 +93,13 @@ def _low(key: np.ndarray) -> np.ndarray:
     return (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _read(table: pa.Table) -> tuple[Texts, np.ndarray]:
-    """A batch in a fixed order: by doc_id, nulls last, then text."""
+def _read(table: pa.Table) -> tuple[Texts, np.ndarray, np.ndarray]:
+    """A batch in a fixed order, by doc_id, nulls last, then text: the texts,
+    their ranks, and which of them have no doc_id."""
     table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    ids = np.asarray(pa.compute.fill_null(table.column("doc_id"), _LAST).combine_chunks())
-    return Texts(table.column("text")), ids
+    ids = table.column("doc_id").combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
+    return Texts(table.column("text")), np.asarray(pa.compute.fill_null(ids, _LAST)), np.asarray(ids.is_null())
 
 
 def _code(key: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -100,7 +108,7 @@ def _code(key: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def _anchor_lists(n_buckets: int, size: int, gram: int):
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        t, ids = _read(table)
+        t, ids, _ = _read(table)
         rows: dict[str, list] = {"bucket": [], "batch": [], "lows": [], "multi": [], "weights": []}
         got = [(_code(k, n_buckets), seg, ids[text]) for k, _, _, text, seg, _ in segments(t, size, gram)]
         if got:
@@ -195,6 +203,12 @@ class Local:
             setattr(self, k, getattr(self, k)[order])
         seg = seg[order]
         fresh = np.concatenate(([True], (self.key[1:] != self.key[:-1]) | (seg[1:] != seg[:-1])))
+        copy, of = np.flatnonzero(~fresh), np.cumsum(fresh) - 1
+        first = np.flatnonzero(fresh)[of[copy]]
+        alike = self.count[copy] == self.count[first]
+        alike[alike] = equal_spans(t.data, self.start[copy[alike]], self.start[first[alike]], self.count[copy[alike]] + (size - 1))
+        if not alike.all():  # a clash of hashes: each of these is a segment of its own
+            fresh |= member(of, np.unique(of[copy[~alike]]))
         self.group = np.cumsum(fresh) - 1
         self.rep = np.flatnonzero(fresh)  # texts are in the order of doc_id, so the first has the smallest
 
@@ -203,7 +217,7 @@ def _segment_rows(n_buckets: int, n_groups: int, size: int, gram: int):
     def work(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
         out: dict[str, list] = {"bucket": [], "batch": [], "idx": [], "key": [], "len": [], "doc": [], "raw": []}
         if docs.num_rows and shared.num_rows:
-            t, ids = _read(docs)
+            t, ids, _ = _read(docs)
             x = Local(t, ids, shared, n_buckets, size, gram)
             if len(x.rep):
                 k, start, length, doc = x.key[x.rep], x.start[x.rep], x.count[x.rep] + (size - 1), ids[x.doc[x.rep]]
@@ -221,57 +235,84 @@ def _segment_rows(n_buckets: int, n_groups: int, size: int, gram: int):
     return work
 
 
-def window_owners(key: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, size: int, most: int = 1 << 20, long: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def distinct_segments(key: np.ndarray, seg: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One segment of each set of equal ones with one key, the one with the
+    smallest document, and for each segment its number. ``seg`` (a hash)
+    brings equal segments together; bytes decide."""
+    order = np.lexsort((doc, seg, key))
+    fresh = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (seg[order][1:] != seg[order][:-1])))
+    first = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    copy = np.flatnonzero(~fresh)
+    a, b = order[copy], first[copy]
+    same = length[a] == length[b]
+    same[same] = equal_spans(raw, start[a[same]], start[b[same]], length[a[same]])
+    rep_of = order.copy()
+    rep_of[copy[same]] = first[copy[same]]  # a clash of hashes stays a segment of its own
+    rep, of = np.unique(rep_of, return_inverse=True)
+    out = np.empty(len(key), np.int64)
+    out[order] = of
+    return rep, out
+
+
+def split_segments(raw: np.ndarray, prefix: np.ndarray, start: np.ndarray, length: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Each segment's runs of windows with one wider anchor: hash of that
+    anchor, parent segment, first window of it, number of windows."""
+    count = length - size + 1
+    at = ranges(start, count)
+    best, where = np.full(len(at), np.uint64(2**64 - 1)), np.zeros(len(at), np.int64)
+    for k in range(size - gram + 1):
+        h = span_hashes(prefix, at + k, at + k + gram)
+        less = h < best
+        best[less], where[less] = h[less], (at + k)[less]
+    parent = np.repeat(np.arange(len(start)), count)
+    new = np.concatenate(([True], (where[1:] != where[:-1]) | (parent[1:] != parent[:-1])))
+    b = np.flatnonzero(new)
+    parent = parent[b]
+    return best[b], parent, at[b] - start[parent], np.diff(np.append(b, len(at)))
+
+
+def window_owners(key: np.ndarray, raw: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, size: int, wider: tuple[int, ...] = (35, 50), most: int = 1 << 20, long: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Smallest document of every window of every segment, flat, and offsets.
 
-    Segments with one key form one text for the suffix array, each closed by
-    a separator. A text longer than ``long`` is taken window by window
-    instead, each distinct window once, to keep the steps few."""
+    Different segments with one key form one text for the suffix array, each
+    closed by a separator; one alone has nothing to be compared with. A text
+    longer than ``long`` is split by wider anchors, as the corpus was split by
+    anchors, into several texts: equal windows have equal wider anchors."""
     n = len(key)
     windows = length - size + 1
-    w_off = np.concatenate(([0], np.cumsum(windows)))
-    owner = np.empty(int(w_off[-1]), np.int64)
+    off = np.concatenate(([0], np.cumsum(windows)))
     if not n:
-        return owner, w_off
-    order = np.argsort(key, kind="stable")
-    head = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-    n_of = np.diff(np.append(head, n))
-    text_len = np.add.reduceat(length[order] + 1, head) + 1
-    jobs = [(order, np.repeat(text_len <= long, n_of), head)]
-    small = order[jobs[0][1]]
-    big = order[~jobs[0][1]]
-    # (segment start, length, key, doc, place of its first window in owner)
-    parts = [(start[small], length[small], key[small], doc[small], w_off[small])]
-    back = None
-    if len(big):
-        at = ranges(start[big], windows[big])
-        h = span_hashes(prefix_sums(raw), at, at + size)
-        whose = np.repeat(doc[big], windows[big])
-        o = np.lexsort((whose, h))
-        one = np.concatenate(([True], h[o][1:] != h[o][:-1]))
-        place, rep = ranges(w_off[big], windows[big])[o], np.flatnonzero(one)
-        parts.append((at[o][rep], np.full(len(rep), size), h[o][rep], whose[o][rep], place[rep]))
-        back = (place, place[rep][np.cumsum(one) - 1])
-    for s, ln, k, d, w in parts:
-        if not len(s):
-            continue
-        b = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        text = np.repeat(np.arange(len(b)), np.diff(np.append(b, len(k))))
-        size_of = np.add.reduceat(ln + 1, b) + 1
-        rank = np.argsort(size_of, kind="stable")
-        total = np.cumsum(size_of[rank])
-        done = 0
-        seg_first = np.append(b, len(k))
-        while done < len(rank):
-            base = total[done - 1] if done else 0
-            upto = max(done + 1, int(np.searchsorted(total, base + most, side="right")))
-            texts = rank[done:upto]
-            done = upto
-            seg = ranges(seg_first[texts], seg_first[texts + 1] - seg_first[texts])
-            _one_batch(raw, s[seg], ln[seg], text[seg], d[seg], w[seg], size, owner)
-    if back is not None:
-        owner[back[0]] = owner[back[1]]
-    return owner, w_off
+        return np.empty(0, np.int64), off
+    prefix = prefix_sums(raw)
+    rep, of = distinct_segments(key, span_hashes(prefix, start, start + length), raw, start, length, doc)
+    rep = rep[by_key := np.argsort(key[rep], kind="stable")]
+    place = np.empty(len(rep), np.int64)
+    place[by_key] = np.arange(len(rep))
+    k, s, ln, d = key[rep], start[rep], length[rep], doc[rep]
+    w = np.cumsum(windows[rep]) - windows[rep]
+    owner = np.repeat(d, windows[rep])
+    head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    n_of = np.diff(np.append(head, len(k)))
+    text_len = np.add.reduceat(ln + 1, head) + 1
+    wide = (text_len > long) & (n_of > 1) & bool(wider)
+    if wide.any():
+        x = np.flatnonzero(np.repeat(wide, n_of))
+        anchor, parent, first, count = split_segments(raw, prefix, s[x], ln[x], size, wider[0])
+        parent = x[parent]
+        inner, _ = window_owners(mix(anchor ^ mix(k[parent])), raw, s[parent] + first, count + (size - 1), d[parent], size, wider[1:], most, long)
+        owner[ranges(w[parent] + first, count)] = inner
+    small = np.flatnonzero((n_of > 1) & ~wide)
+    rank = small[np.argsort(text_len[small], kind="stable")]
+    total = np.cumsum(text_len[rank])
+    done = 0
+    while done < len(rank):
+        base = total[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(total, base + most, side="right")))
+        texts = rank[done:upto]
+        done = upto
+        seg = ranges(head[texts], n_of[texts])
+        _one_batch(raw, s[seg], ln[seg], np.repeat(np.arange(len(texts)), n_of[texts]), d[seg], w[seg], size, owner)
+    return owner[ranges(w[place[of]], windows)], off
 
 
 def _one_batch(raw: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.ndarray, doc: np.ndarray, where: np.ndarray, size: int, owner: np.ndarray) -> None:
@@ -292,7 +333,7 @@ def _one_batch(raw: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.
     if not len(at):
         return
     seg = np.searchsorted(begin, at, side="right") - 1
-    low = np.full(int(run[-1]) + 1, _LAST + 1)
+    low = np.full(int(run[-1]) + 1, _LAST)
     np.minimum.at(low, run, doc[seg])
     owner[where[seg] + (at - begin[seg])] = low[run]
 
@@ -304,18 +345,10 @@ def _answers(size: int):
         k, ln, d = (np.concatenate([np.frombuffer(x, kind) for x in cols[c]]) for c, kind in (("key", np.uint64), ("len", np.uint16), ("doc", np.int64)))
         raw, ln = np.frombuffer(b"".join(cols["raw"]), np.uint8), ln.astype(np.int64)
         start = np.cumsum(ln) - ln
-        # equal segments that came from several batches are one, with the smallest document
-        seg = span_hashes(prefix_sums(raw), start, start + ln)
-        order = np.lexsort((d, seg, k))
-        fresh = np.concatenate(([True], (k[order][1:] != k[order][:-1]) | (seg[order][1:] != seg[order][:-1])))
-        rep = order[np.flatnonzero(fresh)]
-        of = np.empty(len(k), np.int64)
-        of[order] = np.cumsum(fresh) - 1
-        owner, off = window_owners(k[rep], raw, start[rep], ln[rep], d[rep], size)
+        owner, _ = window_owners(k, raw, start, ln, d, size)
         count = ln - size + 1
-        flat = ranges(off[of], count)
         bit = ranges(np.zeros(len(k), np.int64), count).astype(np.uint64)
-        later = (owner[flat] < np.repeat(d, count)).astype(np.uint64) << bit
+        later = (owner < np.repeat(d, count)).astype(np.uint64) << bit
         first = np.cumsum(count) - count
         mask = np.bitwise_or.reduceat(later, first)
         out = {"batch": [], "idx": [], "mask": []}
@@ -332,7 +365,7 @@ def _answers(size: int):
 
 def _finish(n_buckets: int, size: int, gram: int):
     def work(key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
-        t, ids = _read(docs)
+        t, ids, no_id = _read(docs)
         gone = begins = np.zeros(len(t.data), bool)
         is_answer = told.column("bucket").combine_chunks().is_null()
         shared = told.filter(pa.compute.invert(is_answer))
@@ -373,7 +406,7 @@ def _finish(n_buckets: int, size: int, gram: int):
         base = np.repeat(t.off[:-1], np.diff(first))
         off = pa.array(first.astype(np.int32))
         return pa.table({
-            "doc_id": pa.array(np.where(ids == _LAST, 0, ids), mask=ids == _LAST), "n_bytes": t.lengths, "n_removed": n_removed,
+            "doc_id": pa.array(ids, mask=no_id), "n_bytes": t.lengths, "n_removed": n_removed,
             "n_spans": np.diff(first).astype(np.int64), "kept_sha256": digest,
             "span_starts": pa.ListArray.from_arrays(off, pa.array((starts - base).astype(np.int64))),
             "span_ends": pa.ListArray.from_arrays(off, pa.array((ends - base).astype(np.int64))),
@@ -391,7 +424,7 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, gram: int = GRAM, batch_
     n_batches = max(1, -(-total // batch_bytes))
     n_buckets = max(1, -(-total // (6 * batch_bytes)))
     n_groups = max(1, -(-total // bucket_bytes))
-    base = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).alias("batch"))
+    base = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).alias("batch"))
     by_batch = lambda frame: frame.groupBy("batch")
     anchors = by_batch(base).applyInArrow(_anchor_lists(n_buckets, size, gram), "bucket long, batch long, lows binary, multi binary, weights binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared, "batch long, bucket long, lows binary, hot binary")

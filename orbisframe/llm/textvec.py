@@ -168,6 +168,20 @@ def member(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == keys
 
 
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """True for each pair of spans, of eight bytes at least, with equal bytes.
+    They are read as overlapping words of eight bytes."""
+    out = np.empty(len(a), bool)
+    words = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,)) if len(data) >= 8 else None
+    for lo in range(0, len(a), step):
+        n = length[lo : lo + step]
+        count = -(-n // 8)
+        at = np.minimum(ranges(np.zeros(len(n), np.int64), count) * 8, np.repeat(n - 8, count))
+        same = words[np.repeat(a[lo : lo + step], count) + at] == words[np.repeat(b[lo : lo + step], count) + at]
+        out[lo : lo + step] = np.logical_and.reduceat(same, np.cumsum(count) - count)
+    return out
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated ``range(start, start + length)`` of all rows."""
     lengths = np.asarray(lengths, np.int64)

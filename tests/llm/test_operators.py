@@ -60,6 +60,44 @@ def test_substrings(spark, rows, hot, monkeypatch):
     assert got == brute.substrings(rows)
 
 
+def test_substrings_of_large_and_missing_ids(spark):
+    rng = random.Random(8)
+    a, b = _prose(rng, 30), _prose(rng, 30)
+    rows = [(2**62 + 7, a), (2**62 + 5, a + b), (2**62, b), (-(2**63), "y" + a[5:]), (2**63 - 2, b + a), (None, a), (None, b), (None, None)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffixdedup.dedup_substrings(_docs(spark, rows), batch_bytes=200, bucket_bytes=300).collect()}
+    ids = [i for i, _ in rows if i is not None] + [2**63 - 1] * 3
+    want = brute.substrings([(k, t) for (_, t), k in zip(rows, [sorted(ids).index(i) for i in ids], strict=True) if k < 5])
+    for (i, t), k in zip(rows[:5], [sorted(ids).index(i) for i in ids], strict=False):
+        assert got[i, len(t.encode())] == want[k][1], i
+    assert got[None, len(a.encode())] == len(a.encode()) and got[None, len(b.encode())] == len(b.encode()) and got[None, 0] == 0
+    assert suffixdedup.dedup_substrings(_docs(spark, rows).limit(0)).count() == 0
+
+
+def test_substrings_of_many_surroundings():
+    """One anchor with thousands of different segments, some equal, against sets of windows."""
+    rng = np.random.default_rng(6)
+    core = rng.integers(97, 123, 30).astype(np.uint8)
+    segs = [np.concatenate((rng.integers(97, 99, 14), core, rng.integers(97, 99, 16))).astype(np.uint8) for _ in range(3500)]
+    raw, length = np.concatenate(segs), np.array([len(x) for x in segs])
+    start, doc = np.cumsum(length) - length, rng.permutation(len(segs)) // 2
+    owner, off = suffixdedup.window_owners(np.zeros(len(segs), np.uint64), raw, start, length, doc, 50)
+    first: dict = {}
+    for s, d in zip(segs, doc.tolist(), strict=True):
+        for k in range(len(s) - 49):
+            w = s[k : k + 50].tobytes()
+            first[w] = min(first.get(w, d), d)
+    for j, s in enumerate(segs):
+        assert owner[off[j] : off[j + 1]].tolist() == [first[s[k : k + 50].tobytes()] for k in range(len(s) - 49)]
+
+
+def test_spans_are_compared_by_bytes():
+    data = np.frombuffer(b"abcdefghijabcdefghiXabcdefghij", np.uint8)
+    assert suffixdedup.equal_spans(data, np.array([0, 0, 0]), np.array([20, 10, 10]), np.array([10, 10, 9])).tolist() == [True, False, True]
+    raw = np.frombuffer(b"abcdefghij" * 2 + b"abcdefghiX", np.uint8)
+    rep, of = suffixdedup.distinct_segments(np.zeros(3, np.uint64), np.zeros(3, np.uint64), raw, np.array([0, 10, 20]), np.full(3, 10), np.array([5, 3, 4]))
+    assert sorted(rep.tolist()) == [1, 2] and rep[of].tolist() == [1, 1, 2]
+
+
 def test_counts_and_base_rule(spark, rows):
     got = {r[0]: tuple(r)[1:6] + (r.base_failed,) for r in quality.score_quality(_docs(spark, rows), None).collect()}
     assert got == {i: brute.counts(t) for i, t in rows}
