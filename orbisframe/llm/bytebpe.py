@@ -23,7 +23,8 @@ from orbisframe.llm.textvec import Texts, ranges
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSAFE = 0, 1, 2, 3, 9
-_MEMORY_LIMIT = 3_000_000
+#: Pre-tokens that a worker remembers at most, about 40 bytes each; beyond it, it begins anew.
+_MEMORY_LIMIT = 750_000
 
 
 def _class_of(code: int) -> int:
@@ -127,7 +128,7 @@ class ByteBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.first, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.first, self.size = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
         self.ids, self.used = np.empty(0, np.uint32), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -140,14 +141,15 @@ class ByteBpe:
         got = []
         for k in range(0, len(words), 8192):
             got += [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 8192], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
+        size = np.fromiter(map(len, got), np.uint32, len(got))
         flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(size.sum()))
+        del got
         if self.used + len(flat) > len(self.ids):
-            room = np.empty(max(2 * len(self.ids), self.used + len(flat), 1 << 16), np.uint32)
+            room = np.empty(max(3 * len(self.ids) // 2, self.used + len(flat), 1 << 16), np.uint32)
             room[: self.used] = self.ids[: self.used]
             self.ids = room
         self.ids[self.used : self.used + len(flat)] = flat
-        first = self.used + np.cumsum(size) - size
+        first = (self.used + np.cumsum(size) - size).astype(np.uint32)
         self.used += len(flat)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.first, self.size = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.first, first), (self.size, size)))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbisframe.llm.suffixes import equal_run_ids, suffix_arrays
-from orbisframe.llm.textvec import Texts, equal_spans, member, mix, prefix_sums, ranges, span_hashes
+from orbisframe.llm.textvec import Texts, equal_spans, member, mix, prefix_sums, ranges, span_hashes, trim
 
 SIZE, GRAM = 50, 20
 #: Text bytes of one batch, and segment bytes of one bucket, in about.
@@ -96,6 +96,7 @@ def _low(key: np.ndarray) -> np.ndarray:
 def _read(table: pa.Table) -> tuple[Texts, np.ndarray, np.ndarray]:
     """A batch in a fixed order, by doc_id, nulls last, then text: the texts,
     their ranks, and which of them have no doc_id."""
+    trim()
     table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
     ids = table.column("doc_id").combine_chunks()
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
@@ -145,6 +146,7 @@ def _anchor_lists(n_buckets: int, size: int, gram: int):
 
 def _shared(key: tuple, table: pa.Table) -> pa.Table:
     """Of a bucket's anchors, those in two documents at least; hot ones marked."""
+    trim()
     batch = np.asarray(table.column("batch").combine_chunks())
     lows = [np.frombuffer(x, np.uint32) for x in table.column("lows").to_pylist()]
     multi = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)).astype(bool) for m, x in zip(table.column("multi").to_pylist(), lows, strict=True)]
@@ -340,6 +342,7 @@ def _one_batch(raw: np.ndarray, start: np.ndarray, length: np.ndarray, text: np.
 
 def _answers(size: int):
     def work(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         cols = {k: table.column(k).to_pylist() for k in ("batch", "idx", "key", "len", "doc", "raw")}
         idx = [np.frombuffer(x, np.uint32) for x in cols["idx"]]
         k, ln, d = (np.concatenate([np.frombuffer(x, kind) for x in cols[c]]) for c, kind in (("key", np.uint64), ("len", np.uint16), ("doc", np.int64)))

@@ -8,6 +8,7 @@ hash from one prefix sum, so no Python code runs per word or per character.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.RandomState(20240).randint(1, 2**63 - 1, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOW = 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,14 +35,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        for k, base in ((0, _BASE), (1, _INV)):
-            out = np.full(size, np.uint64(base))
-            out[0] = 1
-            _POW[k] = np.multiply.accumulate(out)
-    return _POW[0][:n], _POW[1][:n]
+class _Powers:
+    """Powers of an odd number modulo 2^64 by two small tables, whatever the
+    exponents' size: those of the low bits, and of the multiples above."""
+
+    def __init__(self, base: int):
+        self.low = self._table(base, 1 << _LOW)
+        self.step = pow(base, 1 << _LOW, 1 << 64)
+        self.high = self._table(self.step, 1)
+
+    @staticmethod
+    def _table(base: int, n: int) -> np.ndarray:
+        out = np.full(n, np.uint64(base))
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def _grow(self, top: int) -> None:
+        if len(self.high) <= top >> _LOW:
+            self.high = self._table(self.step, 2 * (top >> _LOW) + 1)
+
+    def first(self, n: int) -> np.ndarray:
+        self._grow(n)
+        return np.multiply.outer(self.high[: (n >> _LOW) + 1], self.low).ravel()[:n]
+
+    def at(self, where: np.ndarray, top: int) -> np.ndarray:
+        self._grow(top)
+        return self.high[where >> _LOW] * self.low[where & ((1 << _LOW) - 1)]
+
+
+_UP, _DOWN = _Powers(_BASE), _Powers(_INV)
+
+
+def trim() -> None:
+    """Give memory that numpy and Arrow have freed back to the system; Python
+    workers are used again, also by stages that need little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 class Texts:
@@ -115,15 +147,14 @@ class Texts:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum(_TABLE[data] * _UP.first(len(data)), out=out[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span; equal spans have equal hashes wherever
     they stand. Length enters the hash, so a span of zero bytes is distinct."""
-    inv = _powers(len(prefix))[1]
-    h = (prefix[ends] - prefix[starts]) * inv[starts]
+    h = (prefix[ends] - prefix[starts]) * _DOWN.at(np.asarray(starts), len(prefix))
     return mix(h + (np.asarray(ends - starts).astype(np.uint64) << np.uint64(1)))
 
 
@@ -148,6 +179,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int | N
             part = batch.slice(start, end - start)
             yield part, Texts(part.column(part.schema.get_field_index(text)))
             start = end
+        del batch, col
+        trim()
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
