@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orbisframe.llm import decontaminate, linededup, neardup, packing, quality
 from orbisframe.llm.queries import tokenizer_file
@@ -17,8 +18,9 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go; a document stays, shorter."""
-    return linededup.dedup_lines(docs).select(*docs.columns)
+    """Later occurrences of three-line windows go; a document stays, shorter,
+    and ``n_chars`` says its new length."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
