@@ -25,12 +25,13 @@ of all pairs that banding brings together.
 Defined results: null and empty texts, and texts without words, have no
 shingles and are classed with equal texts only (null with null); a text of one
 to four words has one shingle, all of it. Rows that share a doc_id get one
-class. An empty table gives no rows.
+class. Every row gives a row: one without a doc_id takes the class of the rows
+with an equal text, and a null class if none of these has an id, since a class
+is named by an id. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from orbisframe.llm.decontaminate import gram_hashes, within, word_hashes
 from orbisframe.llm.textvec import Texts, mix, ranges, slices
-from orbisframe.session import cut, shared_folder
+from orbisframe.session import cut
 
 ROWS, BANDS, SHINGLE = 5, 40, 5
 #: Shingles in a part of a bucket whose members are compared with each other.
@@ -195,25 +196,16 @@ def _verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").select("x", "y", "x_ids", "x_counts", "y_ids", "y_counts").mapInArrow(_overlap, "x long, y long, sim double")
 
 
-def _store(df: DataFrame) -> DataFrame:
-    """``df`` as files in the shared folder, read again. A checkpoint keeps the
-    size that the planner expected; over rounds of joins these are products
-    of products, too long to compute with."""
-    path = f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): smallest node of each connected component, by rounds of
     neighbour minimum and pointer jumping until nothing changes."""
-    both = _store(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).union(edges.select("y", "x")).distinct())
-    labels = _store(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
+    both = cut(edges.select(F.col("x").alias("u"), F.col("y").alias("v")).union(edges.select("y", "x")).distinct())
+    labels = cut(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = cut(labels.join(near, F.col("u") == F.col("node")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         up = step.select(F.col("node").alias("at"), F.col("label").alias("up"))
-        labels = _store(step.join(up, F.col("label") == F.col("at")).select("node", "old", F.least("label", "up").alias("label")))
+        labels = cut(step.join(up, F.col("label") == F.col("at")).select("node", "old", F.least("label", "up").alias("label")))
         if labels.where("label != old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
@@ -307,8 +299,9 @@ def _across(member: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, rows: int = ROWS, bands: int = BANDS, size: int = SHINGLE) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and n_shingles."""
+    every = cut(signatures(docs, rows, bands, size))
+    sig = every.where("doc_id is not null")
     docs = docs.where("doc_id is not null")
-    sig = cut(signatures(docs, rows, bands, size))
     reps = sig.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     heads = reps.select(F.col("rep").alias("doc_id")).distinct()
     row = sig.join(heads, "doc_id").select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("key"))
@@ -339,7 +332,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, rows: int =
         edges = edges.unionByName(cut(_across(_mixed(now, widest), bags, threshold)))
     label = components(edges)
     classes = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
-    return sig.select("doc_id", "digest", "n_shingles").join(classes, "digest").select("doc_id", "class_id", "n_shingles")
+    return every.select("doc_id", "digest", "n_shingles").join(classes, "digest", "left").select("doc_id", "class_id", "n_shingles")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
