@@ -12,20 +12,27 @@ walked.
 Defined results: null and empty html give an empty text, as do pages without
 any text outside boilerplate. Unclosed and misnested tags are closed where
 HTML closes them; markup that is cut off at the end ends there. A page's depth
-is bounded by a stack, not by recursion.
+is bounded by a stack, not by recursion, and open elements are counted by name,
+so the work grows with the page's length and not with its depth. Every row of
+the table gives a row, also repeated ones; an empty table gives none. The other
+columns of the input stay as they are, but for ``text`` and ``n_chars``, which
+the result's own columns replace.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+# a comment, which ">" or "->" ends at once, a tag, or another declaration; only
+# after an equals sign does a quote open a value, and ">" then doesn't end the tag
 _TOKEN = re.compile(
-    r"<!--(.*?)(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    r"<!--(?:-?>|(.*?)(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -114,6 +121,8 @@ def _tree(page: str) -> _Node:
     at, links, depth_of_skip = root, 0, None
     stack: list[str] = []
     nodes: list[_Node] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # open elements of a name
+    blocks: list[int] = []  # open elements that aren't inline
     pos, n = 0, len(page)
 
     def text(s: str) -> None:
@@ -124,6 +133,10 @@ def _tree(page: str) -> _Node:
         nonlocal at, links
         for name in stack[k:]:
             links -= name == "a"
+            if name:
+                places[name].pop()
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
         for node in reversed(nodes[k:]):
             if node is not None:
                 at = node.parent
@@ -142,14 +155,15 @@ def _tree(page: str) -> _Node:
         if m[2]:
             if name == "br":
                 text(" ")
-            elif name == "p" and "p" not in stack:
+            elif name == "p" and not places["p"]:
                 at.children.append(_Node("p", at, at.skip, 0.0))
-            elif name in stack:
-                k = len(stack) - 1 - stack[::-1].index(name)
+            elif places[name]:
+                k = places[name][-1]
                 # an inline end tag doesn't close blocks that were opened inside it
-                if name in _INLINE and any(x not in _INLINE for x in stack[k + 1 :]):
+                if name in _INLINE and blocks and blocks[-1] > k:
                     links -= name == "a"
-                    stack[k] = "span" if name != "span" else "b"
+                    places[name].pop()
+                    stack[k] = ""  # closed, but its place stays
                 else:
                     close(k)
             continue
@@ -157,15 +171,14 @@ def _tree(page: str) -> _Node:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else n
             continue
-        if name in _P_ENDS and "p" in stack:
-            close(len(stack) - 1 - stack[::-1].index("p"))
+        if name in _P_ENDS and places["p"]:
+            close(places["p"][-1])
         if name in _SAME_ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k] in _SCOPE.get(name, ()):
-                    break
-                if stack[k] in _SAME_ENDS[name]:
-                    close(k)
-                    break
+            # the innermost element that this one ends, unless its list or table was opened since
+            scope = max((places[x][-1] for x in _SCOPE.get(name, ()) if places[x]), default=-1)
+            ends = [places[x][-1] for x in _SAME_ENDS[name] if places[x] and places[x][-1] > scope]
+            if ends:
+                close(max(ends))
         if name in ("br", "hr"):
             text(" ") if name == "br" else at.children.append(_Node("hr", at, True, 0.0))
             continue
@@ -183,14 +196,17 @@ def _tree(page: str) -> _Node:
                 nodes.append(node)
             else:
                 nodes.append(None)
+            places[name].append(len(stack))
             stack.append(name)
             links += name == "a"
             continue
-        skip, weight, doubt = _kind(name, m[4], any(x in ("article", "main") for x in stack) and name == "header")
+        skip, weight, doubt = _kind(name, m[4], name == "header" and bool(places["article"] or places["main"]))
         node = _Node(name, at, skip or at.skip, weight)
         node.doubt = doubt and not node.skip
         at.children.append(node)
         at = node
+        places[name].append(len(stack))
+        blocks.append(len(stack))
         stack.append(name)
         nodes.append(node)
     if pos < n:
