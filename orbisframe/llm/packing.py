@@ -2,14 +2,17 @@
 
 Documents are encoded once into pieces of at most ``capacity`` tokens; only
 longer ones are cut. Groups of pieces are packed by best-fit decreasing on
-their own; bins with no room left that anything could use are done, and the
-others become items of the next round, in fewer and wider groups, until one
-group remains or a round no longer joins any bins. Every group is bounded, and
-a bin travels as (id, fill) only: its members are found again by joining the
+their own; bins with no room left that anything could use are done (full, or
+with less room than the smallest bin there is), and the others become items of
+the next round, in fewer and wider groups, dealt anew, until one group has been
+packed whole or a round no longer joins any bins. Every group is bounded, and a
+bin travels as (id, fill) only: its members are found again by joining the
 rounds' placements.
 
 Defined results: a null text is empty and is packed as the end token alone.
-Every row is packed, also repeated ones. An empty table gives no pieces.
+Every row is packed, also repeated ones and those with a null doc_id, whose
+pieces have a null doc_id. An empty table gives no pieces. A text of any length
+is encoded whole. Only doc_id and text are read of the input.
 """
 
 from __future__ import annotations
@@ -102,27 +105,28 @@ def _pack_round(items: DataFrame, groups: int, salt: int, capacity: int) -> Data
     return keyed.groupBy("g").applyInPandas(lambda pdf: work(pdf), "item long, parent long, offset long, total long")
 
 
-def pack(pieces: DataFrame, capacity: int, slack: int = 2, group_items: int = 60_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, group_items: int = 60_000) -> DataFrame:
     """Place every piece: adds ``sequence_id`` and ``offset``.
 
-    ``slack``: a bin with at most so many free tokens counts as full.
-    ``group_items``: items of one group, which bounds a task's memory whatever
-    the input's size."""
-    full = F.col("length") >= capacity - slack
+    ``group_items``: items of one group, in about, which bounds a task's memory
+    whatever the input's size."""
+    full = F.col("length") >= capacity
     numbered = cut(pieces.withColumn("item", F.monotonically_increasing_id()))
     done = numbered.where(full).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = numbered.where(~full).select("item", F.col("length").alias("fill"))
-    left = items.count()
-    rounds: list[DataFrame] = []
-    salt = 0
+    left, salt, rounds = items.count(), 0, []
     while left:
         groups = -(-left // group_items)
         placed = cut(_pack_round(items, groups, salt, capacity))
         rounds.append(placed)
-        bins = placed.where("item = parent")
-        items = bins.where(F.col("total") < capacity - slack).select(F.col("item"), F.col("total").alias("fill"))
-        before, left, salt = left, items.count(), salt + 1
-        if groups == 1 or left > 0.98 * before:
+        if groups == 1:
+            break
+        bins = placed.where("item = parent").select("item", F.col("total").alias("fill"))
+        joined = left - bins.count()
+        least = bins.agg(F.min("fill")).first()[0]
+        items = bins.where(F.col("fill") <= capacity - least)
+        left, salt = items.count(), salt + 1
+        if not joined:
             break
     if not rounds:
         return numbered.join(done, "item").drop("item")
@@ -135,7 +139,7 @@ def pack(pieces: DataFrame, capacity: int, slack: int = 2, group_items: int = 60
     return numbered.join(place.unionByName(done), "item").drop("item")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, slack: int = 2, group_items: int = 60_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_items: int = 60_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    out = pack(encode_pieces(docs, tokenizer_path, capacity, end_id), capacity, slack, group_items)
+    out = pack(encode_pieces(docs, tokenizer_path, capacity, end_id), capacity, group_items)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
