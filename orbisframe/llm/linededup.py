@@ -9,8 +9,12 @@ Defined results: a null text stays null and has no lines; a text of fewer
 than three lines has no window and stays whole; windows of white space alone
 don't count. Rows with equal doc_id and text are one document to the operator
 and get equal results; rows that share a doc_id only are ordered by the text's
-hash; a null doc_id comes after all others. The windows travel as hashes, are
-aggregated before they are shuffled, and the join side is one row a window.
+hash; a null doc_id comes after all others, and rows without one are told apart
+by their text. An empty table gives no rows; a text of any length is one row.
+Columns of the input keep their names, whatever these are; only ``lines_total``
+and ``lines_removed`` are replaced. The windows travel as hashes, are
+aggregated before they are shuffled, and the join side is one row a window; a
+window with very many places is a skewed join key, which AQE deals anew.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ SIZE = 3
 
 
 def _windows(keyed: DataFrame, size: int) -> DataFrame:
-    """(doc_id, row_key, pos, win): a 128-bit hash of every window."""
+    """(doc_id, row_key, pos, a, b): a 128-bit hash of every window."""
     lines = F.split("text", "\n", -1)
     # two 64-bit hashes of a line with different seeds; a blank line is marked
     marked = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(11)).alias("b"), (F.length(F.trim(F.regexp_replace(x, r"\s+", ""))) > 0).alias("w")))
@@ -47,7 +51,7 @@ def _windows(keyed: DataFrame, size: int) -> DataFrame:
 def later_windows(keyed: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, row_key, cover): where a row's later occurrences begin."""
     windows = _windows(keyed, size)
-    place = F.struct(F.col("doc_id").alias("d"), F.col("row_key").alias("r"), F.col("pos").alias("p"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("r"), F.col("pos").alias("p"))
     firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     later = windows.join(firsts, ["a", "b"]).where(place != F.col("first"))
     return later.groupBy("doc_id", "row_key").agg(F.collect_list("pos").alias("cover"))
@@ -74,15 +78,18 @@ def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The columns of ``docs`` with the cleaned ``text``, then ``lines_total``
     and ``lines_removed``. A text that loses every line becomes empty. Only
     the texts that lose lines go through Python."""
-    key = [F.coalesce("doc_id", F.lit(2**62)).alias("doc_id"), F.xxhash64("text").alias("row_key"), F.col("text")]
-    found = later_windows(docs.select(*key), size).withColumnRenamed("doc_id", "_d").withColumnRenamed("row_key", "_k")
-    out = docs.join(found, (F.coalesce(docs["doc_id"], F.lit(2**62)) == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left")
-    fixed = _remove(size)(F.when(F.col("cover").isNotNull(), F.col("text")), F.col("cover"))
-    out = out.withColumn("_fixed", fixed)
-    text = F.when(F.col("cover").isNull(), F.col("text")).otherwise(F.col("_fixed.text"))
-    total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    kept = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
+    found = later_windows(docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text"), size)
+    # the input's columns stay inside one struct, so their names can't clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.xxhash64("text").alias("row_key"))
+    out = whole.join(found, F.col("row.doc_id").eqNullSafe(found["doc_id"]) & (whole["row_key"] == found["row_key"]), "left").select("row", "cover")
+    fixed = _remove(size)(F.when(F.col("cover").isNotNull(), F.col("row.text")), F.col("cover"))
+    out = out.withColumn("fixed", fixed)
+    old = F.col("row.text")
+    text = F.when(F.col("cover").isNull(), old).otherwise(F.col("fixed.text"))
+    total = F.when(old.isNull(), F.lit(0)).otherwise(F.length(old) - F.length(F.translate(old, "\n", "")) + 1)
     return out.select(
-        *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
+        *[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept],
         total.cast("long").alias("lines_total"),
-        F.coalesce("_fixed.n_removed", F.lit(0)).cast("long").alias("lines_removed"),
+        F.coalesce("fixed.n_removed", F.lit(0)).cast("long").alias("lines_removed"),
     )
