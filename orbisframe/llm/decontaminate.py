@@ -10,7 +10,10 @@ words are one window each and are looked up by their own length.
 
 Defined results: null and empty texts have no words and no hits; an item
 without words matches nothing; repeated benchmark rows count once by item_id,
-and a null item_id is never listed, though its words count as hit.
+and a null item_id is never listed, though its words count as hit. Every
+document row gives a row, also repeated ones and those with a null doc_id; an
+empty benchmark hits nothing, an empty table gives no rows. Further columns
+don't matter, whatever their names. A text of any length is looked at whole.
 """
 
 from __future__ import annotations
@@ -88,7 +91,9 @@ class Benchmark:
         self.window, self.gram = window, gram
         t = Texts(pa.array([x[1] for x in items], pa.string()))
         words, first = word_hashes(t)
-        ids = np.array([-1 if x[0] is None else x[0] for x in items], np.int64)
+        # items are numbered by their distinct ids; rows without an id get the number after the last
+        self.ids = np.unique(np.array([x[0] for x in items if x[0] is not None], np.int64))
+        ids = np.array([len(self.ids) if x[0] is None else np.searchsorted(self.ids, x[0]) for x in items], np.int64)
         n_words = np.diff(first)
         wide = gram_hashes(words, window)
         at = np.flatnonzero(within(first, window, len(words)))
@@ -208,7 +213,8 @@ def _against(docs: DataFrame, block: list[tuple], window: int, gram: int) -> Dat
         for part, t in slices(batches):
             words, first = word_hashes(t)
             hit, text, item = sent.value.hits(words, first)
-            text, item = text[item != -1], item[item != -1]
+            named = item < len(sent.value.ids)
+            text, item = text[named], sent.value.ids[item[named]]
             at, off = _spans(hit, first, t.n)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -8,9 +8,13 @@ sentences that nobody knows between them skipped up to a gap. Longer rules go
 first and their sentences aren't used again.
 
 Defined results: null and empty texts have no licence. A licence that stands
-several times is counted each time, listed once. Every sentence of the whole
-text is looked at; texts without any of the words that all known sentences
-contain are settled by one search over the batch.
+several times is counted and listed each time, in order of its place. Every
+sentence of the whole text is looked at; texts without any of the words of
+which each known sentence contains one are settled by one search over the
+batch. Every row gives a row, also repeated ones and those with a null doc_id;
+an empty table gives none. Only doc_id and text are read, so further columns
+don't matter. The work grows with a text's length, also where one sentence
+stands thousands of times.
 """
 
 from __future__ import annotations
@@ -143,21 +147,36 @@ def recognise(text: str | None) -> tuple[list[str], list[tuple[str, int, int]]]:
     if not text:
         return [], []
     found = [(n, a, b, k) for n, (a, b, s) in enumerate(sentences(text)) if (k := _known(s))]
+    out = [(name, found[chain[0]][1], found[chain[-1]][2]) for name, chain in match_rules([(n, k) for n, _, _, k in found])]
+    return [x[3] for x in found], sorted(out, key=lambda x: x[1:])
+
+
+def match_rules(found: list[tuple[int, str]], rules: list[tuple[str, tuple[str, ...]]] = RULES) -> list[tuple[str, list[int]]]:
+    """(rule's name, places in ``found``) of every match; ``found`` holds
+    (sentence number, identifier) in order. Rules go in their order, each from
+    left to right, and a place is used once."""
+    places: dict[str, list[int]] = {}
+    for i, (_, k) in enumerate(found):
+        places.setdefault(k, []).append(i)
     used, out = set(), []
-    for name, rule in RULES:
-        for i in range(len(found)):
-            if i in used or found[i][3] != rule[0]:
+    for name, rule in rules:
+        for i in places.get(rule[0], ()):
+            if i in used:
                 continue
             chain = [i]
             for want in rule[1:]:
-                j = next((j for j in range(chain[-1] + 1, len(found)) if found[j][3] == want and j not in used), None)
-                if j is None or found[j][0] - found[chain[-1]][0] > MAX_GAP + 1:
+                # sentences are numbered in order, so only a few places can be near enough
+                top = found[chain[-1]][0] + MAX_GAP + 1
+                j = chain[-1] + 1
+                while j < len(found) and found[j][0] <= top and (found[j][1] != want or j in used):
+                    j += 1
+                if j == len(found) or found[j][0] > top:
                     break
                 chain.append(j)
             if len(chain) == len(rule):
                 used.update(chain)
-                out.append((name, found[chain[0]][1], found[chain[-1]][2]))
-    return [x[3] for x in found], sorted(out, key=lambda x: x[1:])
+                out.append((name, chain))
+    return out
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

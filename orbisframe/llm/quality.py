@@ -7,8 +7,10 @@ model as plain node arrays, scored for a whole batch level by level.
 
 Defined results: a null or empty text has no words, so it fails the base rule
 and is not kept. Repeated rows give repeated rows. Further columns of the
-input are left alone. Without usable labels (none, or of one class only) the
-verdict is the base rule alone.
+input are left alone, whatever their names. Rows that share a doc_id count once
+in training; a null doc_id has no label. Without usable labels (none, or of one
+class only) the verdict is the base rule alone. Empty tables give no rows. A
+text of any length is measured whole, alone if it is longer than a slice.
 """
 
 from __future__ import annotations
@@ -193,7 +195,8 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, max_train_rows: int =
     """Fit on a bounded sample of labelled documents: the ``max_train_rows``
     labels whose hashed id is smallest, so the sample doesn't depend on
     partitioning. The sample's ids and features are the only rows that reach
-    the driver, at most ``max_train_rows`` of each."""
+    the driver, at most ``max_train_rows`` of each: of rows that share an id
+    the one with the smallest features is taken, before they are collected."""
     chosen = (
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
@@ -202,9 +205,10 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, max_train_rows: int =
     chosen = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, quality int")
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-        .mapInArrow(_feature_rows, "doc_id long, quality int, features array<double>").collect()
+        .mapInArrow(_feature_rows, "doc_id long, quality int, features array<double>")
+        .groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("r")).select("doc_id", "r.*").collect()
     )
-    rows = sorted({r.doc_id: r for r in rows}.values(), key=lambda r: r.doc_id)
+    rows.sort(key=lambda r: r.doc_id)
     y = np.array([r.quality for r in rows], float)
     if not len(y) or y.min() == y.max():
         return None

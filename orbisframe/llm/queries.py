@@ -84,7 +84,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINE_DEDUP_SQL}
+    return {"op9_line_dedup": LINE_DEDUP_SQL, "op10_chat_format": CHAT_SQL}
+
+
+#: Each turn is framed by 20 characters, and each control string or backslash inside it takes one more.
+CHAT_SQL = r"""
+with r as (
+  select conv_id::bigint as conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7::bigint, 0, 'user', '</s>[INST] ok [/INST]'), (-7::bigint, 1, 'assistant', '</s>[INST] ok [/INST]')
+), x as (
+  select *, role || chr(10) || text || chr(10) as shown,
+    20 + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '\\|<s>|\[INST\]|\[/INST\]|</s>|<image>|<audio>|<document>')) as chars
+  from r
+)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(shown, '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars
+from x group by conv_id
+"""
 
 
 LINE_DEDUP_SQL = r"""

@@ -5,7 +5,9 @@ Documents' digests are joined to it; only the distinct texts it lacks are
 encoded, and their counts are appended before the final join.
 
 Defined results: a null text counts as empty (0 tokens). Copies share one
-cache row, and repeated document rows give repeated result rows.
+cache row, and repeated document rows give repeated result rows; a null doc_id
+stays null. An empty table gives no rows and adds none to the cache. A text of
+any length is encoded whole. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -64,13 +66,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     keyed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     cached = spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if _exists(docs, cache_path) else spark.createDataFrame([], CACHE_SCHEMA)
     known = cached.where(F.col("version") == version).select("digest")
-    missing = keyed.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(2**62)))).alias("rep")).join(known, "digest", "left_anti")
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**62))).alias("rep"), text.alias("text"))
-    todo = (
-        texts.join(missing.hint("shuffle_hash"), "rep")
-        .where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
-        .select("digest", "text")
-    )
+    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(known, "digest", "left_anti")
+    texts = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("own"), text.alias("text"))
+    todo = texts.join(missing.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("digest"))).select("digest", "text")
     counts = todo.mapInArrow(count_batches(tokenizer_path), "digest binary, n_tokens long")
     counts = counts.select("digest", F.lit(version).alias("version"), "n_tokens")
     counts.write.mode("append").parquet(cache_path)

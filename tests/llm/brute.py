@@ -88,3 +88,31 @@ def classes(docs, threshold=0.8):
                 x, y = find(i), find(j)
                 label[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in docs}
+
+
+def rule_matches(found, rules, gap):
+    """Every rule at every place, each wanted sentence looked for one by one."""
+    used, out = set(), []
+    for name, rule in rules:
+        for i in range(len(found)):
+            chain = []
+            for want in rule:
+                after = [j for j in range(chain[-1] + 1, len(found)) if found[j][0] - found[chain[-1]][0] <= gap + 1] if chain else [i]
+                fit = [j for j in after if found[j][1] == want and j not in used]
+                if not fit:
+                    break
+                chain.append(fit[0])
+            else:
+                used |= set(chain)
+                out.append((name, chain))
+    return out
+
+
+def tree_verdict(model, row):
+    """Log-odds of one row, one tree and one node at a time."""
+    total = model.bias
+    for node in model.roots:
+        while model.feature[node] >= 0:
+            node = model.child[node] + int(row[model.feature[node]] > model.threshold[node])
+        total += model.value[node]
+    return total

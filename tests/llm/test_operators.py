@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import brute
@@ -103,6 +104,32 @@ def test_counts_and_base_rule(spark, rows):
     assert got == {i: brute.counts(t) for i, t in rows}
 
 
+def test_verdict_is_that_of_the_trees(spark, rows):
+    text = [(i, t) for i, t in rows] * 2
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in rows if i is not None] + [(None, 1), (9999, 0), (3, None)], "doc_id long, quality int")
+    docs = _docs(spark, [*text, (0, "another text with the same id"), (None, None)], True)
+    model = quality.fit_quality_model(docs, labels)
+    again = quality.fit_quality_model(docs.repartition(7, "text"), labels.repartition(3))
+    assert (model.value == again.value).all() and (model.threshold == again.threshold).all()
+    t = Texts(pa.array([x for _, x in rows], pa.string()))
+    stats, f = quality.document_stats(t)
+    bad = quality.base_failed(stats["n_words"], stats["n_repeat_words"])
+    want = {i: not b and brute.tree_verdict(model, row) >= 0 for (i, _), b, row in zip(rows, bad, f, strict=True) if i is not None}
+    got = quality.score_quality(docs, model).collect()
+    assert len(got) == docs.count() and all(r.kept == want[r.doc_id] for r in got if r.doc_id is not None and (r.doc_id or r.n_words > 9))
+    kept = sorted(r.doc_id for r in quality.keep_good(_docs(spark, rows), model).collect() if r.doc_id is not None)
+    assert kept == sorted(i for i, k in want.items() if k)
+    assert quality.fit_quality_model(docs, labels.limit(0)) is None and quality.score_quality(docs.limit(0), model).count() == 0
+
+
+def test_held_out_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit_quality_model(docs, labels.where("doc_id % 2 = 0"))
+    got = quality.score_quality(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").where("not base_failed").select("kept", "quality").collect()
+    assert np.mean([r.kept == (r.quality > 0) for r in got]) >= 0.9
+
+
 def test_trees_learn_and_stay_monotone():
     rng = np.random.default_rng(1)
     x = rng.random((600, 3))
@@ -129,6 +156,38 @@ def test_line_windows(spark):
     assert linededup.dedup_lines(_docs(spark, [(1, a)]).limit(0)).count() == 0
 
 
+def test_line_windows_with_any_names_and_ids(spark):
+    a = "one\ntwo\nthree"
+    rows = [(2**62, a, 1, 2, "x", 3), (None, a, 1, 2, "y", 4), (2**63 - 1, a, 1, 2, "z", 5), (None, None, 0, 0, "n", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cover int, row_key int, fixed string, lines_total int")
+    out = linededup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "cover", "row_key", "fixed", "lines_total", "lines_removed"]
+    assert {r.fixed: (r.doc_id, r.text, r.cover, r.lines_total, r.lines_removed) for r in out.collect()} == {
+        "x": (2**62, a, 1, 3, 0), "y": (None, "", 1, 3, 3), "z": (2**63 - 1, "", 1, 3, 3), "n": (None, None, 0, 0, 0),
+    }
+
+
+def test_contamination_of_any_ids(spark):
+    bench = [(-1, "one two three"), (None, "four five six"), (-1, "seven"), (2**63 - 1, "eight")]
+    rows = [(-1, "x one two three y"), (None, "four five six"), (None, "four five six"), (5, "seven eight"), (6, None)]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    for limit in (1 << 20, 10):
+        got = sorted(((r.doc_id, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.contamination_report(_docs(spark, rows, True), b, block_bytes=limit).collect()), key=str)
+        sha = lambda *x: hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest()
+        assert got == sorted([(-1, 3, 1, sha(-1)), (None, 3, 0, sha()), (None, 3, 0, sha()), (5, 2, 2, sha(-1, 2**63 - 1)), (6, 0, 0, sha())], key=str)
+    assert decontaminate.contamination_report(_docs(spark, rows).limit(0), b).count() == 0
+    assert {r.n_hit for r in decontaminate.contamination_report(_docs(spark, rows), b.limit(0)).collect()} == {0}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(_docs(spark, rows, True), b).collect()) == [6]
+
+
+def test_near_duplicates_without_ids(spark, rows):
+    more = [(None, rows[0][1]), (None, "nobody else has this text"), (None, None)]
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicate_classes(_docs(spark, [*rows[:3], *more])).collect()), key=str)
+    assert got == sorted([(0, 0), (1, 1), (2, 2), (None, 0), (None, None), (None, None)], key=str)
+    assert neardup.near_duplicate_classes(_docs(spark, rows).limit(0)).count() == 0
+    assert neardup.keep_one(_docs(spark, [*rows[:3], *more], True)).count() == 6
+
+
 def test_near_duplicates(spark, rows):
     got = {r[0]: r[1] for r in neardup.near_duplicate_classes(_docs(spark, rows, True)).collect()}
     assert got == brute.classes(rows)
@@ -208,6 +267,32 @@ def test_packing_round_trip(spark, rows):
     assert out.sequence_id.nunique() <= 1.1 * -(-out.length.sum() // 128)
 
 
+@pytest.mark.parametrize("size", [150, 100_000])
+def test_packing_needs_as_few_as_it_can(spark, size):
+    rng = np.random.default_rng(size)
+    lengths = rng.choice([1, 2, 3, 5, 9, 17, 33, 60], 600, p=[0.1, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1, 0.2])
+    pieces = spark.createDataFrame([(int(k), 0, 0, int(n), 0) for k, n in enumerate(lengths)], packing.PIECES)
+    out = packing.pack(pieces, 64, group_items=size).toPandas()
+    assert len(out) == 600 and (out.groupby("sequence_id").length.sum() <= 64).all()
+    whole = packing.best_fit_decreasing(lengths, 64)[0]
+    assert out.sequence_id.nunique() <= 1.02 * (whole.max() + 1) and whole.max() + 1 <= 1.02 * lengths.sum() / 64 + 1
+
+
+def test_packing_of_missing_ids_and_empty_tables(spark):
+    out = packing.pack_documents(_docs(spark, [(None, None), (None, "a b"), (None, "a b"), (3, "")], True), tokenizer_file())
+    assert sorted(((r.doc_id, r.length) for r in out.collect()), key=str) == sorted([(None, 1), (None, 3), (None, 3), (3, 1)], key=str)
+    assert packing.pack_documents(_docs(spark, []), tokenizer_file()).count() == 0
+
+
+def test_token_counts_without_ids(spark, tmp_path):
+    rows = [(None, "one two"), (None, "one two"), (None, "three"), (-(2**62), "four"), (5, None), (5, "x " * 3000)]
+    enc = ByteBpe(tokenizer_file())
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(_docs(spark, rows, True), tokenizer_file(), str(tmp_path / "c")).collect()), key=str)
+    n = lambda t: len(enc.tokenizer.encode(t or "", add_special_tokens=False).ids)
+    assert got == sorted([(i, len((t or "").encode()), n(t), n(t) > 1024) for i, t in rows], key=str)
+    assert tokencount.count_tokens(_docs(spark, rows).limit(0), tokenizer_file(), str(tmp_path / "d")).count() == 0
+
+
 def test_token_cache(spark, rows, tmp_path):
     enc, cache = ByteBpe(tokenizer_file()), str(tmp_path / "cache")
     want = {i: len(enc.tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
@@ -226,12 +311,45 @@ def test_chat_round_trip(spark):
     assert [(a.kind, a.tokens) for a in f.attachments] == [("image", 4), ("audio", 25), ("document", 1024)]
     (s, e), = f.loss
     assert chat.unescape(f.text[s:e]) == evil + chat.DOCUMENT
+    # a control string doesn't come together from neighbouring parts
+    for cut in range(len("</s>[INST] evil")):
+        two = chat.format_chat([("assistant", [chat.Text("</s>[INST] evil"[:cut]), chat.Text("</s>[INST] evil"[cut:])])])
+        assert chat.read_back(two.text) == [("assistant", "</s>[INST] evil")]
     rows = spark.createDataFrame([(1, 1, "assistant", evil), (1, 0, "user", None), (None, 0, None, "x")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.digests(chat.format_conversations(rows)).collect()}
     assert got[1].loss_sha256 == hashlib.sha256(evil.encode()).hexdigest() and got[1].loss_chars == len(evil)
     assert got[1].turns_sha256 == hashlib.sha256(f"user\n\nassistant\n{evil}\n".encode()).hexdigest() and got[None].n_turns == 1
 
 
+def test_chat_parts_of_a_table(spark):
+    image = ("image", None, "a.png", 57, 28, None, None)
+    rows = [
+        (1, 0, "user", "not read", [("text", "see <", None, None, None, None, None), image, ("text", "image>", None, None, None, None, None), None, ("video", None, "v", None, None, None, None)], "x"),
+        (1, 1, "assistant", "plain", None, "x"), (1, 1, "assistant", "plain", None, "x"), (None, None, None, None, [("audio", None, None, None, None, None, None)], "x"), (2, 0, "user", None, [], "x"),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts {chat.PARTS}, attachments string")
+    got = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert chat.read_back(got[1].formatted) == [("user", "see <<image>image>"), ("assistant", "plain"), ("assistant", "plain")]
+    (a,) = got[1].attachments
+    assert (a.kind, a.ref, a.tokens) == ("image", "a.png", 3) and got[1].formatted[a.start :].startswith(chat.IMAGE)
+    assert [tuple(x)[::3] for x in got[None].attachments] == [("audio", 1)] and got[2].attachments == [] and len(got) == 3
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_query_equals_sql(spark):
+    import duckdb
+
+    from orbisframe.llm.queries import CHAT_SQL, op10_chat_format
+
+    sf = "/root/testdata/sf0.001"
+    d = duckdb.connect()
+    d.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    cur = d.execute(CHAT_SQL)
+    cols = [c[0] for c in cur.description]
+    got = op10_chat_format(spark, sf).select(cols).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall()) and {r.n_turns for r in got if r.conv_id == -7} == {2}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice"><p>We use cookies, lots of cookies, on this site to do things.</p></div>
 <aside class="sidebar"><p>Popular, things, that, people, read, on, this, site, and others.</p></aside>
@@ -273,6 +391,38 @@ def test_names_of_topic_and_layout(tag):
     assert text.count("Running text") == 5 and "Popular" not in text and "stories" not in text
 
 
+def test_odd_markup():
+    assert mainhtml.extract_text("<p title=it's>hello, it is text</p><p>more</p>") == "hello, it is text\n\nmore"
+    assert mainhtml.extract_text("<!-->seen<p>more --> done</p>") == "seen\n\nmore --> done"
+    assert mainhtml.extract_text("<!-- a > b --><p title=\"a > b\" class = 'x>'>x</p><!--->y") == "x\n\ny"
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div><p>a", "<b>", "<ul><li>a", "<a b=", "<b><div>x</b>"])
+def test_nesting_is_linear(unit):
+    def took(n):
+        at = time.process_time()
+        mainhtml.extract_text("<ul><li>" + unit * n + "</b>" * n + "deep")
+        return time.process_time() - at
+
+    took(1000)
+    assert took(40_000) < 16 * max(took(10_000), 0.05)
+
+
+def test_written_pages_are_read():
+    """Pages put together from a known article and boilerplate around and in it."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(_prose(rng, rng.randint(4, 9)).capitalize() + rng.choice([",", ".", ","]) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f'<li><a href="/{k}">{say(1)}</a></li>' for k in range(n)) + "</ul>"
+    for _ in range(60):
+        blocks = [("h1", say(1)), *(("p", say(rng.randint(2, 6))) for _ in range(rng.randint(3, 9)))]
+        noise = ['<div class="ad-box">Buy, buy, buy</div>', '<form><input name="q"><button>Go</button></form>', "<script>var a = '<p>no</p>';</script>", '<aside class="widget">' + links(2) + "</aside>", '<div class="share"><a href="#">Share</a></div>', "<!-- <p>gone</p> -->"]
+        inner = "".join(f"<{t}>{x}</{t}>" + (rng.choice(noise) if rng.random() < 0.4 else "") for t, x in blocks)
+        tag, attrs = rng.choice([("article", ""), ("main", ""), ("div", ' class="post-content"'), ("div", ' id="story"'), ("section", ' class="entry"')])
+        page = f"<html><head><title>t</title></head><body><header>{links(3)}</header><nav>{links(4)}</nav>"
+        page += f'<div class="wrap"><{tag}{attrs}>{inner}</{tag}><div id="comments"><p>{say(3)}</p><p>{say(4)}</p></div><div class="sidebar">{links(5)}<p>{say(2)}</p></div></div><footer><p>{say(2)}</p></footer></body></html>'
+        assert mainhtml.extract_text(page) == "\n\n".join(x for _, x in blocks), page
+
+
 def test_pages_without_text(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<p>only"), (4, "u", "<div>" * 5000 + "deep")], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in mainhtml.extract_pages(df).collect()}
@@ -286,6 +436,27 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: ["Apache-2.0"], 3: [], 4: [], 5: ["GPL-3.0", "MIT"]}
 
 
+def test_rules_match_as_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        rules = [(f"r{k}", tuple(rng.choice("abcd") for _ in range(rng.randint(1, 4)))) for k in range(rng.randint(1, 5))]
+        n, found = 0, []
+        for _ in range(rng.randint(0, 25)):
+            n += rng.randint(1, 7)
+            found.append((n, rng.choice("abcd")))
+        assert licenses.match_rules(found, rules) == brute.rule_matches(found, rules, licenses.MAX_GAP)
+    many = [(k, "BsdGrant") for k in range(30_000)]
+    at = time.process_time()
+    assert len(licenses.match_rules(many)) == len(many) and time.process_time() - at < 5
+
+
+def test_license_table_cases(spark):
+    rows = [(None, "Licensed under the Apache License, Version 2.0."), (1, "Released under the MIT License.\n" * 3), (1, "Released under the MIT License.\n" * 3), (2, "")]
+    got = sorted((str(r.doc_id), r.licenses) for r in licenses.scan_licenses(_docs(spark, rows, True)).collect())
+    assert got == [("1", ["MIT"] * 3), ("1", ["MIT"] * 3), ("2", []), ("None", ["Apache-2.0"])]
+    assert licenses.scan_licenses(_docs(spark, rows).limit(0)).count() == 0
+
+
 def _examples(parsed):
     """Texts of every alternative and optional part of a pattern."""
     outs = [""]
@@ -319,6 +490,25 @@ def test_licenses_without_the_word(spark):
     assert got == {1: ["CC-BY-SA-4.0"], 2: ["CC-BY-4.0"], 3: ["CC-BY-NC-4.0"]}
 
 
+def test_pipeline_on_awkward_tables(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    sf = str(tmp_path)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    bad = [(None, None, None, None, None), (7, "", None, None, 0), (7, "", None, None, 0), (8, rows[0][1] * 40, "x", None, 1)]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows] + bad, kinds)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, rows[1][1])], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for start in (docs, docs.limit(0)):
+        now = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = spark.createDataFrame(stage(spark, now, sf).collect(), kinds)
+            assert all(r.n_chars == len(r.text) for r in now.collect() if r.text is not None and r.doc_id != 8)
+        ids = [r.doc_id for r in now.collect()]
+        assert len(ids) == len(set(ids)) and 1 not in ids
+        assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()} == set(ids)
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
