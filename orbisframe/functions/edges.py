@@ -54,3 +54,20 @@ def point_on_edge(x: Column, y: Column, west: float, south: float, width: float,
     side = F.when(y == south + height, "North").when(y == south, "South")
     across = F.when(x == west, "West").when(x == west + width, "East")
     return F.when(side.isNull(), across).when(across.isNull(), side).otherwise(F.concat(side, F.lower(across)))
+
+
+def box_on_edge(x_min: Column, y_min: Column, x_max: Column, y_max: Column, west: float, south: float, width: float, height: float) -> Column:
+    """Edge of the map that a box touches; null inside, and for one that
+    touches opposite sides the side across counts (north before south)."""
+    side = F.when(y_max >= south + height, "North").when(y_min <= south, "South")
+    across = F.when(x_min <= west, "West").when(x_max >= west + width, "East")
+    return F.when(side.isNull(), across).when(across.isNull(), side).otherwise(F.concat(side, F.lower(across)))
+
+
+def open_edge(edge: Column, wraps: bool, north_pole: bool, south_pole: bool) -> Column:
+    """What of an edge lies beside nothing: sides that wrap have neighbours
+    across the map, and nothing leaves it over a pole."""
+    low = F.lower(edge)
+    side = F.when(low.startswith("north") & F.lit(not north_pole), "North").when(low.startswith("south") & F.lit(not south_pole), "South")
+    across = F.when(low.endswith("west") & F.lit(not wraps), "West").when(low.endswith("east") & F.lit(not wraps), "East")
+    return F.when(side.isNull(), across).when(across.isNull(), side).otherwise(F.concat(side, F.lower(across)))

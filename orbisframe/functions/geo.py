@@ -34,6 +34,48 @@ def midpoint(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Co
     return (x1 + x2) / 2, (y1 + y2) / 2
 
 
+def sphere_midpoint(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    """Middle of the great circle between two points."""
+    a, b, d = F.radians(y1), F.radians(y2), F.radians(x2 - x1)
+    east, north = F.cos(b) * F.cos(d), F.cos(b) * F.sin(d)
+    side = F.cos(a) + east
+    lat = F.atan2(F.sin(a) + F.sin(b), F.sqrt(side * side + north * north))
+    return x1 + F.degrees(F.atan2(north, side)), F.degrees(lat)
+
+
+def interpolate_at_longitude(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, sphere: bool = False) -> Column:
+    """Latitude at which the line between two points passes a longitude."""
+    if not sphere:
+        return y1 + (y2 - y1) * (x - x1) / (x2 - x1)
+    tan, sin = (lambda v: F.tan(F.radians(v))), (lambda v: F.sin(F.radians(v)))
+    return F.degrees(F.atan((tan(y1) * sin(x2 - x) + tan(y2) * sin(x - x1)) / sin(x2 - x1)))
+
+
+def to_edge(x: Column, y: Column, edge: Column, west: float, south: float, width: float, height: float) -> tuple[Column, Column]:
+    """The point moved straight to an edge of the map, or to a corner of it."""
+    name = F.lower(edge)
+    at_x = F.when(name.endswith("west"), F.lit(float(west))).when(name.endswith("east"), F.lit(float(west + width))).otherwise(x)
+    at_y = F.when(name.startswith("north"), F.lit(float(south + height))).when(name.startswith("south"), F.lit(float(south))).otherwise(y)
+    return at_x, at_y
+
+
+def add(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    return a[0] + b[0], a[1] + b[1]
+
+
+def subtract(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    return a[0] - b[0], a[1] - b[1]
+
+
+def multiply(a: tuple[Column, Column], factor: Column | float) -> tuple[Column, Column]:
+    return a[0] * factor, a[1] * factor
+
+
+def perpendicular(a: tuple[Column, Column]) -> tuple[Column, Column]:
+    """A quarter turn to the left."""
+    return -a[1], a[0]
+
+
 def angle_difference(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.when(d > 180, 360 - d).otherwise(d)

@@ -27,7 +27,7 @@ def lowest_neighbors(tiles: DataFrame, edges: DataFrame, off_map_lowest: bool =
     return h.join(low, "src").where(tie).groupBy("src").agg(F.first("lowest").alias("lowest"), F.array_sort(F.collect_list("dst")).alias("to"))
 
 
-def nearest_water(tiles: DataFrame, edges: DataFrame, is_water: Column, far_is_water: Column) -> DataFrame:
+def nearest_water(tiles: DataFrame, edges: DataFrame, is_water: Column) -> DataFrame:
     """(src, harbor, water_count) of land tiles that touch water: the nearest
     water neighbour by distance, then id, and the number of water neighbours."""
     near = gather(tiles.withColumn("_w", is_water), edges, "site_x", "site_y", "_w").join(tiles.where(~is_water).select(F.col("fid").alias("src"), F.col("site_x").alias("x"), F.col("site_y").alias("y")), "src").where("n__w")
@@ -117,10 +117,9 @@ def grouping(tiles: DataFrame, edges: DataFrame, ocean: Column, lake: Column) ->
     )
     ids = what.select("label", name.alias("grouping"), F.col("label").alias("_l"))
     order = ids.groupBy("label", "grouping").agg(F.first("_l").alias("_l"))
-    from pyspark.sql import Window
+    from orbisframe.operators.tables import number_rows
 
-    # one row a component: their number is small against the tiles
-    ranked = order.withColumn("grouping_id", F.row_number().over(Window.orderBy(F.desc("label"))).cast("long"))
+    ranked = number_rows(order.withColumn("_d", -F.col("label")), ["_d"], "grouping_id").drop("_d")
     return member.select("fid", "label").join(ranked, "label").select("fid", "grouping", "grouping_id")
 
 

@@ -125,42 +125,84 @@ def subnation_seats(towns: DataFrame, percentage: float = 20.0, largest_first: b
     return ranked.where(F.col("_k") <= F.floor(F.greatest(F.lit(2.0), F.col("_n") * percentage / 100))).drop("_k", "_n")
 
 
-def fill_empty_subnations(tiles: DataFrame, edges: DataFrame, limit: float = 20.0, grouping: str = "grouping") -> DataFrame:
-    """(fid, subnation_id): in each nation the most populated land tile without
-    a subnation founds one, named by the negative of its fid, and spreads over
-    free tiles at ten times their area a step, until none is free. Nations are
-    independent groups and run in parallel."""
+def generate_subnations(towns: DataFrame, nations: DataFrame, cultures: DataFrame, made_name: Column, percentage: float = 20.0) -> DataFrame:
+    """(fid, name, culture_key, center_tile_id, type_, seat_town_id, nation_id,
+    color): one a seat in every nation of two towns at least, called after its
+    town or, in half of the cases, by ``made_name``, a Column over the seats;
+    type of its culture, colour of its nation. ``towns`` have nation_id."""
+    many = towns.groupBy("nation_id").agg(F.count("*").alias("_towns")).where("_towns >= 2").select("nation_id")
+    seats = subnation_seats(towns.join(many, "nation_id", "left_semi"), percentage)
+    c = cultures.select(F.col("culture_key").alias("_c"), F.col("type_").alias("_t"))
+    n = nations.select(F.col("fid").alias("nation_id"), "color")
+    rows = seats.withColumn("_made", made_name).join(F.broadcast(c), F.col("culture_key") == F.col("_c"), "left").join(n, "nation_id")
+    from orbisframe.operators.tables import number_rows
+
+    numbered = number_rows(rows.withColumnRenamed("fid", "seat_town_id"), ["nation_id", "seat_town_id"], "fid")
+    return numbered.select(
+        "fid", F.when(uniform("sub_name", "seat_town_id") < 0.5, F.col("name")).otherwise(F.col("_made")).alias("name"), "culture_key",
+        F.col("tile_id").alias("center_tile_id"), F.coalesce("_t", F.lit("Generic")).alias("type_"), "seat_town_id", "nation_id", "color",
+    )
+
+
+def subnation_cost_limit(average_area: float, percentage: float = 20.0, z: float = 0.0) -> float:
+    """How much a subnation may spend on spreading; ``z`` is a standard normal
+    draw, which only counts below 100 percent."""
+    most = max(500.0 / average_area, 5.0)
+    return most if percentage == 100 else min(max(most / 5 + 5 * z, 5.0), most) * percentage**0.5
+
+
+def fill_empty_subnations(tiles: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
+    """(fid, subnation_id, seat_town_id): in each nation the most populated
+    tile without a subnation founds one, named by the negative of its fid, and
+    spreads over free tiles of the nation, not through deep water, at ten times
+    their area a step and up to ``limit`` in all, until none is free. Its seat
+    is the town on its most populated tile with one. Nations are independent
+    groups and run in parallel."""
     near = edges.where("dst is not null").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("near"))
-    rows = tiles.where(F.col("nation_id").isNotNull() & ~F.col(grouping).isin("Ocean", "Lake")).select("fid", "nation_id", "subnation_id", "population", "area")
+    rows = tiles.where("nation_id is not null").select("fid", "nation_id", "subnation_id", "population", "area", "shore_distance", "town_id")
     rows = rows.join(near, F.col("fid") == F.col("src"), "left").drop("src")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         import heapq
 
-        owner = {f: (None if pd.isna(s) else int(s)) for f, s in zip(pdf["fid"].tolist(), pdf["subnation_id"], strict=True)}
-        near = {f: ([] if n is None else list(n)) for f, n in zip(pdf["fid"].tolist(), pdf["near"], strict=True)}
-        area = dict(zip(pdf["fid"].tolist(), pdf["area"].tolist(), strict=True))
-        for f in pdf.sort_values(["population", "fid"], ascending=[False, True])["fid"].tolist():
-            if owner[f] is not None:
+        pdf = pdf.sort_values(["population", "fid"], ascending=[False, True], ignore_index=True)
+        fids = pdf["fid"].tolist()
+        people, area, shore = (dict(zip(fids, pdf[c].tolist(), strict=True)) for c in ("population", "area", "shore_distance"))
+        town = {f: None if pd.isna(x) else int(x) for f, x in zip(fids, pdf["town_id"], strict=True)}
+        near = {f: () if n is None else n for f, n in zip(fids, pdf["near"], strict=True)}
+        owner = {f: None if pd.isna(x) else int(x) for f, x in zip(fids, pdf["subnation_id"], strict=True)}
+        free = {f for f in fids if owner[f] is None}
+        seat: dict[int, int] = {}
+        for center in fids:
+            if center not in free:
                 continue
-            name, queue = -f - 1, [(0.0, f)]
-            owner[f] = name
+            name, queue, towns = -center - 1, [(0.0, center)], []
+            free.discard(center)
             while queue:
-                cost, t = heapq.heappop(queue)
+                spent, t = heapq.heappop(queue)
+                owner[t] = name
+                if town[t] is not None:
+                    towns.append((-people[t], len(towns), town[t]))
                 for n in near[t]:
-                    if n in owner and owner[n] is None and cost + 10 * area[n] <= limit * 10 * area[f]:
-                        owner[n] = name
-                        heapq.heappush(queue, (cost + 10 * area[n], n))
-        return pd.DataFrame({"fid": list(owner), "subnation_id": list(owner.values())}).astype({"subnation_id": "Int64"})
+                    cost = spent + 10 * area.get(n, 0.0)
+                    if n in free and shore[n] >= -3 and cost <= limit:
+                        free.discard(n)
+                        heapq.heappush(queue, (cost, n))
+            if towns:
+                seat[name] = min(towns)[2]
+        out = [(f, owner[f], seat.get(owner[f])) for f in fids]
+        return pd.DataFrame(out, columns=["fid", "subnation_id", "seat_town_id"]).astype({"subnation_id": "Int64", "seat_town_id": "Int64"})
 
-    return rows.groupBy("nation_id").applyInPandas(lambda pdf: work(pdf), "fid long, subnation_id long")
+    return rows.groupBy("nation_id").applyInPandas(lambda pdf: work(pdf), "fid long, subnation_id long, seat_town_id long")
 
 
 def assign_colors(subnations: DataFrame) -> DataFrame:
     """(fid, hue_low, hue_high): the hue circle in equal parts by nation, and
     each part by its subnations."""
     per = subnations.groupBy("nation_id").agg(F.count("*").alias("n"))
-    nations = per.withColumn("k", F.row_number().over(Window.orderBy("nation_id")) - 1).crossJoin(F.broadcast(per.agg(F.count("*").alias("all"))))
+    from orbisframe.operators.tables import number_rows
+
+    nations = number_rows(per, ["nation_id"], "k", 0).crossJoin(F.broadcast(per.agg(F.count("*").alias("all"))))
     own = F.row_number().over(Window.partitionBy("nation_id").orderBy("fid")) - 1
     j = subnations.join(nations, "nation_id").withColumn("i", own)
     step = F.lit(360.0) / F.col("all")

@@ -40,65 +40,6 @@ def water_flow(tiles: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda pdf: work(pdf), "fid long, water_flow double, water_accumulation double, flow_to array<long>")
 
 
-def water_fill(tiles: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lakes where water gathers: (fid, lake_id, lake_elevation, lake_flow,
-    outlet). A lake grows from its seed over the lowest tile of its shore,
-    joins lakes it meets, and stops at an outlet below its surface or when
-    evaporation, one unit a tile, takes all that flows in.
-
-    Tiles have fid, elevation, water_accumulation and grouping. Seeds are taken
-    by descending accumulation, then fid; a lake that can't settle within one
-    step a tile keeps what it has."""
-    near = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.coalesce("dst", F.lit(-1)))).alias("near"))
-    rows = tiles.select("fid", "elevation", "water_accumulation", (F.col("grouping") == "Ocean").alias("sea")).join(near, F.col("fid") == F.col("src"), "left").drop("src")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        height = dict(zip(pdf["fid"].tolist(), pdf["elevation"].tolist(), strict=True))
-        around = {f: ([] if n is None else list(n)) for f, n in zip(pdf["fid"].tolist(), pdf["near"], strict=True)}
-        sea = set(pdf.loc[pdf["sea"], "fid"])
-        lake_of: dict[int, int] = {}
-        lakes: dict[int, dict] = {}
-        seeds = pdf[pdf["water_accumulation"] > 0].sort_values(["water_accumulation", "fid"], ascending=[False, True])
-        for r in seeds.itertuples():
-            if r.fid in lake_of:
-                lakes[lake_of[r.fid]]["flow"] += r.water_accumulation
-                continue
-            lake = {"tiles": {r.fid}, "level": r.elevation, "bottom": r.elevation, "flow": r.water_accumulation, "outlet": None}
-            for _ in range(len(pdf)):
-                shore = {n for t in lake["tiles"] for n in around[t] if n not in lake["tiles"]}
-                if -1 in shore:
-                    lake["outlet"] = -1
-                    break
-                if not shore:
-                    break
-                low = min(shore, key=lambda n: (height[n], n))
-                if low in lake_of:
-                    other = lakes.pop(lake_of[low])
-                    lake["tiles"] |= other["tiles"]
-                    lake["flow"] += other["flow"]
-                    lake["level"] = max(lake["level"], other["level"])
-                    lake["bottom"] = min(lake["bottom"], other["bottom"])
-                    if other["outlet"] is not None:
-                        lake["outlet"] = other["outlet"]
-                        break
-                    continue
-                if height[low] < lake["level"] or low in sea:
-                    lake["outlet"] = low
-                    break
-                if lake["flow"] <= len(lake["tiles"]) + 1:
-                    break
-                lake["tiles"].add(low)
-                lake["level"] = max(lake["level"], height[low])
-            name = min(lake["tiles"])
-            lakes[name] = lake
-            for t in lake["tiles"]:
-                lake_of[t] = name
-        out = [(t, k, v["level"], v["bottom"], v["flow"], v["outlet"]) for k, v in lakes.items() for t in sorted(v["tiles"])]
-        return pd.DataFrame(out, columns=["fid", "lake_id", "lake_elevation", "bottom_elevation", "lake_flow", "outlet"]).astype({"outlet": "Int64"})
-
-    return rows.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda pdf: work(pdf), "fid long, lake_id long, lake_elevation double, bottom_elevation double, lake_flow double, outlet long")
-
-
 def lake_evaporation(temperature: Column, elevation: Column, size: Column) -> Column:
     return ((700 * (temperature + 0.006 * elevation)) / 50 + 75) / (80 - temperature) * size
 

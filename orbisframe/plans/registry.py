@@ -13,7 +13,7 @@ from orbisframe.functions import edges as E
 from orbisframe.functions import geo
 from orbisframe.functions.rand import bernoulli, normal, uniform
 from orbisframe.operators import biomes as B
-from orbisframe.operators import climate, graph, people, settle, terrain, water
+from orbisframe.operators import climate, graph, joins, layers, people, settle, terrain, water
 from orbisframe.plans.world import World, oracle
 
 _QUERIES: dict[str, tuple[Callable[[World], DataFrame], str | None]] = {}
@@ -297,7 +297,7 @@ _QUERIES["argmin_all_ties"] = _QUERIES.pop("<lambda>")
   from edges e join tiles a on a.fid=e.src join tiles b on b.fid=e.dst where a.grouping_<>'Ocean' and b.grouping_='Ocean') group by src)""")
 def argmin_first(w):
     sea = F.col(G) == "Ocean"
-    return graph.nearest_water(w.tiles, w.edges, sea, sea)
+    return graph.nearest_water(w.tiles, w.edges, sea)
 
 
 @query("""select src, biome value from (select src, biome, row_number() over(partition by src order by n desc, biome) r from
@@ -330,11 +330,9 @@ def grouping(w):
     return graph.grouping(w.tiles.drop("grouping_id"), w.edges, F.col(G) == "Ocean", F.col("lake_id"))
 
 
-@query("select label, n, case when n>floor(total/100) then 'Continent' when n>floor(total/1000) then 'Island' else 'Islet' end klass from (select mod(fid,7) label, count(*) n, (select count(*) from tiles) total from tiles where grouping_<>'Ocean' group by 1)")
+@query("select label, n, case when n>floor(total/100) then 'Continent' when n>floor(total/1000) then 'Island' else 'Islet' end kind from (select grouping_id label, count(*) n, (select count(*) from tiles where grouping_<>'Ocean') total from tiles where grouping_<>'Ocean' group by 1)")
 def group_lengths(w):
-    n = w.tiles.agg(F.count("*").alias("total"))
-    g = w.tiles.where(F.col(G) != "Ocean").groupBy((F.col("fid") % 7).alias("label")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(n))
-    return g.select("label", "n", F.when(F.col("n") > F.floor(F.col("total") / 100), "Continent").when(F.col("n") > F.floor(F.col("total") / 1000), "Island").otherwise("Islet").alias("klass"))
+    return joins.group_kinds(w.tiles.where(F.col(G) != "Ocean"), "grouping_id")
 
 
 _SEG = """select f.src "from", f.dst "to", t.water_flow/n.n to_flow, false from_lake from flows f join (select src, count(*) n from flows group by 1) n on n.src=f.src join tiles t on t.fid=f.src
@@ -385,13 +383,6 @@ def water_flow(w):
     return water.water_flow(t, w.edges).select("fid", R6(F.col("water_flow")).alias("water_flow"), R6(F.col("water_accumulation")).alias("water_accumulation"), F.size("flow_to").alias("n_to"))
 
 
-@query()
-def water_fill(w):
-    t = w.tiles.withColumnRenamed(G, "grouping")
-    f = water.water_flow(t, w.edges).select("fid", "water_accumulation")
-    return water.water_fill(t.drop("water_accumulation").join(f, "fid"), w.edges)
-
-
 # people
 
 _TOTALS = "select sum(water_flow)/count(*) fm, max(water_flow) fx, sum(area)/count(*) am from tiles"
@@ -550,8 +541,7 @@ def populate_towns(w):
 
 @query("select h.grouping_id, count(*) n from towns o join tiles t on t.fid=o.tile_id join tiles h on h.fid=t.harbor_tile_id group by 1")
 def towns_per_water_body(w):
-    h = w.tiles.select(F.col("fid").alias("harbor_tile_id"), "grouping_id")
-    return w.towns.select("tile_id").join(w.tiles.select(F.col("fid").alias("tile_id"), "harbor_tile_id"), "tile_id").join(h, "harbor_tile_id").groupBy("grouping_id").agg(F.count("*").alias("n"))
+    return joins.towns_per_water_body(w.towns, w.tiles)
 
 
 @query("select row_number() over(order by o.fid) fid, o.fid capital_town_id, o.culture_key, o.tile_id center_tile_id, coalesce(c.type_,'Generic') type_, 1e0+(U(nation_x,o.fid)*0.9e0+0.1e0)*1e0 expansionism from towns o left join cultures c on c.culture_key=o.culture_key where o.is_capital")
@@ -591,12 +581,6 @@ def subnation_seats(w):
     return settle.subnation_seats(t).select("fid", "nation_id")
 
 
-@query()
-def fill_empty_subnations(w):
-    t = w.tiles.withColumn("subnation_id", F.when(F.col("subnation_id") < 6, F.col("subnation_id")))
-    return settle.fill_empty_subnations(t, w.edges, grouping=G)
-
-
 @query("""select s.fid, round(k*360e0/al+i*(360e0/al)/n,6) hue_low, round(k*360e0/al+(i+1)*(360e0/al)/n,6) hue_high from
   (select fid, nation_id, row_number() over(partition by nation_id order by fid)-1 i, count(*) over(partition by nation_id) n from sn) s
   join (select nation_id, row_number() over(order by nation_id)-1 k, count(*) over() al from (select distinct nation_id from sn)) using(nation_id)""", sn="select fid, mod(fid,4) nation_id from towns")
@@ -619,13 +603,20 @@ def dissolve_theme(w):
 
 # joins, construction, projections
 
-_VERT = "select fid, -180e0+(col+dx)*(360e0/w) x, -90e0+(rw+dy)*(180e0/w) y from tiles, (values (0,0),(0,1),(1,0),(1,1)) v(dx,dy)"
+_VERT = "select fid, -180e0+((col+dx)*360e0)/w x, -90e0+((rw+dy)*180e0)/w y from tiles, (values (0,0),(0,1),(1,0),(1,1)) v(dx,dy)"
 
 
 def _vertices(w):
     steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (0, 1) for b in (0, 1)])
     t = w.tiles.withColumn("s", F.explode(steps))
-    return t.select("fid", (-180.0 + (F.col("col") + F.col("s.dx")) * (F.lit(360.0) / F.col("w"))).alias("x"), (-90.0 + (F.col("rw") + F.col("s.dy")) * (F.lit(180.0) / F.col("w"))).alias("y"))
+    return t.select("fid", (-180.0 + (F.col("col") + F.col("s.dx")) * 360.0 / F.col("w")).alias("x"), (-90.0 + (F.col("rw") + F.col("s.dy")) * 180.0 / F.col("w")).alias("y"))
+
+
+def rings(w):
+    """Tiles with their rings, counterclockwise; corners of neighbours are equal to the last bit."""
+    x = lambda d: -180.0 + (F.col("col") + d) * 360.0 / F.col("w")
+    y = lambda d: -90.0 + (F.col("rw") + d) * 180.0 / F.col("w")
+    return w.tiles.withColumn("ring", F.array(*[F.struct(x(a).alias("x"), y(b).alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))]))
 
 
 @query("select distinct a.fid src, b.fid dst from vt a join vt b on a.x=b.x and a.y=b.y and a.fid<>b.fid", vt=_VERT)
@@ -635,38 +626,37 @@ def vertex_hash_join(w):
 
 @query("select x, y, count(*) n from vt group by 1,2", vt=_VERT)
 def vertex_use_count(w):
-    return _vertices(w).groupBy("x", "y").agg(F.count("*").alias("n"))
+    return joins.vertex_use_count(_vertices(w))
 
 
 _BOX = "select fid, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from vt group by fid"
 
 
-@query("select a.fid src, b.fid dst, 'West' edge from bx a join bx b on a.x0=-180e0 and b.x1=(select max(x1) from bx) and a.y0<b.y1 and b.y0<a.y1 union all select b.fid, a.fid, 'East' from bx a join bx b on a.x0=-180e0 and b.x1=(select max(x1) from bx) and a.y0<b.y1 and b.y0<a.y1", vt=_VERT, bx=_BOX)
+@query("select a.fid src, b.fid dst, 'West' edge from bx a join bx b on a.x0=-180e0 and b.x1=180e0 and a.y0<b.y1 and b.y0<a.y1 union all select b.fid, a.fid, 'East' from bx a join bx b on a.x0=-180e0 and b.x1=180e0 and a.y0<b.y1 and b.y0<a.y1", vt=_VERT, bx=_BOX)
 def antimeridian_interval_join(w):
     box = _vertices(w).groupBy("fid").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
-    east = box.agg(F.max("x_max")).first()[0]
-    return graph.antimeridian_neighbors(box, -180.0, east)
+    return graph.antimeridian_neighbors(box, -180.0, 180.0)
 
 
 @query("select min(x) west, min(y) south, max(x)-min(x) width, max(y)-min(y) height from vt", vt=_VERT)
 def layer_extent(w):
-    return _vertices(w).agg(F.min("x").alias("west"), F.min("y").alias("south"), (F.max("x") - F.min("x")).alias("width"), (F.max("y") - F.min("y")).alias("height"))
+    return layers.layer_extent(_vertices(w))
+
+
+@query("select max(x)-min(x) width, max(y)-min(y) height from vt", vt=_VERT)
+def layer_size(w):
+    return layers.layer_size(_vertices(w))
 
 
 @query("select count(*) n, round(64800e0/count(*),6) avg_area from tiles")
 def avg_tile_area(w):
-    return w.tiles.agg(F.count("*").alias("n"), R6(F.lit(64800.0) / F.count("*")).alias("avg_area"))
+    return layers.average_tile_area(w.tiles).select("n", R6(F.col("avg_area")).alias("avg_area"))
 
 
-row_count = query("select count(*) n from edges")(lambda w: w.edges.agg(F.count("*").alias("n")))
+row_count = query("select count(*) n from edges")(lambda w: layers.row_count(w.edges))
 _QUERIES["row_count"] = _QUERIES.pop("<lambda>")
 
 
-@query("select src, array_to_string(list(dst order by r, dst, edge),',') nbs from (select src, dst, coalesce(edge,'') edge, case kind when 'OffMap' then 0 when 'Tile' then 1 else 2 end r from edges) group by src")
-def calc_neighbors(w):
-    return graph.neighbor_list(w.edges).select("src", F.array_join(F.transform("neighbors", lambda x: x["dst"].cast("string")), ",").alias("nbs"))
-
-
 sort_neighbors = query("select src, array_to_string(list(kind||':'||dst order by r, dst),' ') nbs from (select src, dst, kind, case kind when 'Tile' then 1 else 2 end r from edges) group by src")(
     lambda w: graph.neighbor_list(w.edges).select("src", F.array_join(F.transform("neighbors", lambda x: F.concat(F.when(x["r"] == 1, "Tile:").otherwise("CrossMap:"), x["dst"].cast("string"))), " ").alias("nbs"))
 )
@@ -680,44 +670,42 @@ def join_tile_neighbors(w):
 
 @query("select t.fid, b.habitability::int habitability, b.movement_cost from tiles t join bio b on b.name=t.biome", bio=_BIO)
 def join_tile_biome(w):
-    b = F.broadcast(B.defaults(w.spark).select(F.col("name").alias("biome"), F.col("habitability").alias("bh"), "movement_cost"))
-    return w.tiles.join(b, "biome").select("fid", F.col("bh").alias("habitability"), "movement_cost")
+    return joins.join_tile_biome(w.tiles.select("fid", "biome"), B.defaults(w.spark), {"habitability": "habitability", "movement_cost": "movement_cost"}).drop("biome")
 
 
 @query("select t.fid, l.type_ lake_type from tiles t left join lakes l on l.fid=t.lake_id")
 def join_tile_lake(w):
-    return w.tiles.select("fid", F.col("lake_id").alias("_l")).join(w.lakes.select(F.col("fid").alias("_l"), F.col("type_").alias("lake_type")), "_l", "left").select("fid", "lake_type")
+    return joins.join_tile_lake(w.tiles.select("fid", "lake_id"), w.lakes, {"type_": "lake_type"}).drop("lake_id")
 
 
 @query("select t.fid, coalesce(c.name,'default') culture from tiles t left join cultures c on c.culture_key=t.culture_key")
 def join_culture_by_name(w):
-    return w.tiles.join(F.broadcast(w.cultures.select("culture_key", "name")), "culture_key", "left").select("fid", F.coalesce("name", F.lit("default")).alias("culture"))
+    return joins.join_culture(w.tiles.select("fid", "culture_key"), w.cultures, {"name": "name"}).select("fid", F.coalesce("name", F.lit("default")).alias("culture"))
 
 
 @query("select o.fid, t.biome, t.habitability from towns o join tiles t on t.fid=o.tile_id")
 def join_town_tile(w):
-    return w.towns.select("fid", "tile_id").join(w.tiles.select(F.col("fid").alias("tile_id"), "biome", "habitability"), "tile_id").select("fid", "biome", "habitability")
+    return joins.join_town_tile(w.towns.select("fid", "tile_id"), w.tiles, {"biome": "biome", "habitability": "habitability"}).drop("tile_id")
 
 
 @query("select t.fid, o.name from tiles t left join towns o on o.fid=t.town_id")
 def join_tile_town(w):
-    return w.tiles.select("fid", "town_id").join(w.towns.select(F.col("fid").alias("town_id"), "name"), "town_id", "left").select("fid", "name")
+    return joins.join_tile_town(w.tiles.select("fid", "town_id"), w.towns, {"name": "name"}).drop("town_id")
 
 
 @query("select nation_id, count(*) n, array_to_string(list_sort(list(town_id)),',') towns from tiles where nation_id is not null and town_id is not null group by 1")
 def group_towns_by_nation(w):
-    t = w.tiles.where("nation_id is not null and town_id is not null").groupBy("nation_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("town_id")).alias("t"))
-    return t.select("nation_id", "n", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("towns"))
+    return joins.group_towns_by_nation(w.tiles).select("nation_id", "n", F.array_join(F.transform("towns", lambda x: x.cast("string")), ",").alias("towns"))
 
 
 @query("select nation_id, count(distinct subnation_id) n from tiles where nation_id is not null and subnation_id is not null group by 1")
 def join_subnation_nation(w):
-    return w.tiles.where("nation_id is not null and subnation_id is not null").select("nation_id", "subnation_id").distinct().groupBy("nation_id").agg(F.count("*").alias("n"))
+    return joins.subnations_of_nations(w.tiles)
 
 
 @query("select t.fid, c.culture_key theme_id from tiles t left join cultures c on c.culture_key=t.culture_key")
 def join_theme_id(w):
-    return w.tiles.select("fid", "culture_key").join(F.broadcast(w.cultures.select(F.col("culture_key"), F.col("culture_key").alias("theme_id"))), "culture_key", "left").select("fid", "theme_id")
+    return joins.join_culture(w.tiles.select("fid", "culture_key"), w.cultures.withColumn("id", F.col("culture_key")), {"id": "theme_id"}).select("fid", "theme_id")
 
 
 @query("select fid, row_number() over(order by site_x, site_y) new_fid from tiles")
@@ -740,12 +728,13 @@ def sort_elevation_desc(w):
 
 @query("select fid, elevation, biome from tiles where fid in (3,5,7)")
 def point_lookup(w):
-    return w.tiles.where(F.col("fid").isin(3, 5, 7)).select("fid", "elevation", "biome")
+    return layers.lookup_many(w.tiles, [3, 5, 7], "elevation", "biome")
 
 
 @query("select fid, grouping_='Ocean' is_ocean, (grouping_='Ocean' or lake_id is not null) is_water from tiles")
 def is_ocean(w):
-    return w.tiles.select("fid", (F.col(G) == "Ocean").alias("is_ocean"), ((F.col(G) == "Ocean") | F.col("lake_id").isNotNull()).alias("is_water"))
+    kind = F.when(F.col("lake_id").isNotNull(), "Lake").otherwise(F.col(G))
+    return w.tiles.select("fid", layers.is_ocean(F.col(G)).alias("is_ocean"), layers.is_water(kind).alias("is_water"))
 
 
 @query("select fid from tiles where site_x>=-90e0 and site_x<=90e0 and site_y>=-30e0 and site_y<=60e0")
@@ -828,13 +817,6 @@ def markov_word(w):
     return make_words(w.nations.select("fid", F.lit("en").alias("lang")), f(w.words, "lang", "word"), length_statistics(w.words, "lang", "word"), "lang", "fid")
 
 
-@query()
-def state_name(w):
-    from orbisframe.operators.naming import state_names
-
-    return state_names(w.cultures.select(F.col("culture_key").alias("fid"), F.initcap("name").alias("name")))
-
-
 @query("select fid, name from (select fid, (['Ael','Bor','Cym','Dun'])[mod(row_number() over(order by md5('pick:'||fid), fid)-1,4)+1] as name from nations)")
 def list_pick(w):
     from orbisframe.operators.naming import list_pick as f
@@ -842,8 +824,4 @@ def list_pick(w):
     return f(w.nations.select("fid"), ["Ael", "Bor", "Cym", "Dun"])
 
 
-@query()
-def random_colors(w):
-    from orbisframe.operators.naming import random_colors as f
-
-    return f(w.nations.select("fid"))
+from orbisframe.plans import more  # noqa: E402, F401  the queries of geometry, lakes, founding and naming

@@ -14,6 +14,8 @@ def read_word_lists(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(name, word) from files of one word a line, named by the file; a later
     file of the same name replaces an earlier one."""
     order = spark.createDataFrame([(k, os.path.splitext(os.path.basename(p))[0], p) for k, p in enumerate(paths)], "k int, name string, path string")
+    if not paths:
+        return spark.createDataFrame([], "name string, word string")
     last = order.groupBy("name").agg(F.max_by("path", "k").alias("path"))
     lines = [spark.read.text(r.path).select(F.lit(r.name).alias("name"), F.trim("value").alias("word")) for r in last.collect()]
     out = lines[0]
@@ -59,6 +61,54 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str
     return body.select("px", (F.lit(int(head["nrows"]) - 1) - F.col("r")).cast("int").alias("py"), F.when(value != none, value).otherwise(None).alias("value") if none is not None else value.alias("value")), head
 
 
+def read_namers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(name, method, words, doubled, behaviors, suffix) of namers: JSON files
+    hold lists of them, text files one word list each. Later files replace
+    earlier ones of the same name; behaviours and suffix are JSON."""
+    found: dict[str, tuple] = {}
+    for path in paths:
+        text = spark.read.text(path, wholetext=True).first()
+        body = text[0] if text else ""
+        if not path.endswith(".json"):
+            name = os.path.splitext(os.path.basename(path))[0]
+            found[name] = (name, "Markov", [w.strip() for w in body.split("\n") if w.strip()], [], "[]", '"Default"')
+            continue
+        for x in json.loads(body or "[]"):
+            kind, method = next(iter(x["method"].items()))
+            words = method["seed_words"] if kind == "Markov" else method
+            doubled = sorted(method.get("duplicatable_letters") or "") if kind == "Markov" else []
+            found[x["name"]] = (x["name"], kind, words, doubled, json.dumps(x.get("state_name") or []), json.dumps(x.get("state_suffix") or "Default"))
+    return spark.createDataFrame(list(found.values()), "name string, method string, words array<string>, doubled array<string>, behaviors string, suffix string")
+
+
+def namer_json(namers: DataFrame) -> str:
+    """Namers, a configuration's table, as the JSON that ``read_namers`` reads."""
+    out = []
+    for r in namers.orderBy("name").collect():
+        method = {"Markov": {"duplicatable_letters": "".join(r.doubled), "seed_words": list(r.words)}} if r.method == "Markov" else {r.method: list(r.words)}
+        out.append({"name": r.name, "method": method, "state_name": json.loads(r.behaviors), "state_suffix": json.loads(r.suffix)})
+    return json.dumps(out, ensure_ascii=False, indent=1)
+
+
+def culture_json(cultures: DataFrame) -> str:
+    """Culture sets as the JSON that ``read_cultures`` reads."""
+    rows = cultures.orderBy("position").collect()
+    return json.dumps([{"name": r.name, "namer": r.namer, "probability": r.probability, "preferences": json.loads(r.preferences)} for r in rows], ensure_ascii=False, indent=1)
+
+
+def task_json(task: dict) -> str:
+    """One terrain task as JSON, its name first."""
+    return json.dumps({"task": task["task"], **{k: v for k, v in task.items() if k != "task"}})
+
+
+def write_layer(rows: DataFrame, folder: str, name: str, overwrite: bool = False) -> DataFrame:
+    """A layer as a Parquet table of a world's folder, read back: points and
+    triangles too. An existing one is an error without ``overwrite``."""
+    path = os.path.join(folder, name)
+    rows.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def weighted_sets(cultures: DataFrame, count: int) -> DataFrame:
     """Choose ``count`` entries without replacement, likelier ones first: the
     largest keyed draws to the power of 1 / probability."""

@@ -56,6 +56,11 @@ class GeoPackage(DataSource):
         return _Writer(self.options, schema, overwrite)
 
 
+# The reference systems that every GeoPackage holds.
+_WGS84 = 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+_SYSTEMS = (("Undefined cartesian", -1, "NONE", -1, "undefined"), ("Undefined geographic", 0, "NONE", 0, "undefined"), ("WGS 84", 4326, "EPSG", 4326, _WGS84))
+
+
 class _Range(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -105,6 +110,10 @@ class _Writer(DataSourceWriter):
         fields = ", ".join(f'"{f.name}" ' + ("INTEGER PRIMARY KEY" if f.name == "fid" else kinds.get(type(f.dataType), "TEXT")) for f in self.schema)
         at = self.schema.fieldNames().index(self.geometry) if self.geometry in self.schema.fieldNames() else None
         with sqlite3.connect(self.path) as db:
+            db.execute("pragma application_id = 1196444487")  # "GPKG"
+            db.execute("create table if not exists gpkg_spatial_ref_sys (srs_name text not null, srs_id integer primary key, organization text not null, organization_coordsys_id integer not null, definition text not null, description text)")
+            for row in _SYSTEMS:
+                db.execute("insert or ignore into gpkg_spatial_ref_sys values (?,?,?,?,?,null)", row)
             db.execute("create table if not exists gpkg_contents (table_name text primary key, data_type text, identifier text, srs_id integer)")
             db.execute("create table if not exists gpkg_geometry_columns (table_name text, column_name text, geometry_type_name text, srs_id integer, z integer, m integer)")
             if db.execute("select 1 from gpkg_contents where table_name=?", (self.layer,)).fetchone():

@@ -49,16 +49,6 @@ def test_flow_keeps_water(spark):
     assert [round(got[k] * scale, 6) for k in range(5)] == [1, 2, 3, 4, 4]
 
 
-def test_bowl_makes_a_lake(spark):
-    from orbisframe.operators import water
-
-    cells = [(r * 3 + c, 1.0 if (r, c) == (1, 1) else 9.0, 100.0 if (r, c) == (1, 1) else 0.0, "Continent") for r in range(3) for c in range(3)]
-    tiles = spark.createDataFrame(cells, "fid long, elevation double, water_accumulation double, grouping string")
-    edges = spark.createDataFrame([(a, b) for a in range(9) for b in range(9) if a != b and abs(a // 3 - b // 3) <= 1 and abs(a % 3 - b % 3) <= 1], "src long, dst long")
-    rows = water.water_fill(tiles, edges).collect()
-    assert 4 in {r.fid for r in rows} and len({r.lake_id for r in rows}) == 1
-
-
 def test_erosion_keeps_mass(spark):
     from orbisframe.operators import terrain
 
