@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -152,43 +154,119 @@ def nation_biome_cost(t: Column, home: Column, biome: Column, movement: Column)
     return F.when(home == biome, 10.0).otherwise(away.cast("double"))
 
 
+def spread(near: dict[int, list[int]], seeds: list[tuple[int, int]], limit: float, cost: Callable[[int, int, int], float | None]) -> tuple[dict[int, int], dict[int, float]]:
+    """Owner and cost of each tile reached from the seeds (owner, center).
+    ``cost(owner, from, to)`` is that of a step, None where it can't be taken.
+    One queue serves all owners: an entry that was replaced by a cheaper owner
+    still spreads, seeds are never taken, and equal costs go to the smaller
+    (fid, owner)."""
+    held = {c for _, c in seeds}
+    owner, best, queue = {}, {}, []
+    for o, c in sorted(seeds):
+        owner[c], best[c] = o, 1.0
+        queue.append((0.0, c, o))
+    heapq.heapify(queue)
+    while queue:
+        so_far, f, o = heapq.heappop(queue)
+        for n in near.get(f, ()):
+            c = None if n in held else cost(o, f, n)
+            if c is None:
+                continue
+            total = so_far + c
+            if total <= limit and total < best.get(n, math.inf):
+                owner[n], best[n] = o, total
+                heapq.heappush(queue, (total, n, o))
+    return owner, best
+
+
+def _near(pdf: pd.DataFrame) -> dict[int, list[int]]:
+    return {f: list(n) for f, n in zip(pdf["fid"].tolist(), pdf["near"], strict=True) if isinstance(n, np.ndarray | list)}
+
+
+def _with_near(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    near = edges.where("dst is not null").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("near"))
+    return rows.join(near, F.col("fid") == F.col("src"), "left").drop("src")
+
+
 def expand(entries: DataFrame, edges: DataFrame, seeds: DataFrame, limit: float, world: str | None = None) -> DataFrame:
     """Least-cost expansion from seeds (owner, center).
 
     ``entries`` has one row (owner, fid, cost) per owner and tile that the
-    owner may enter: costs are computed before, as Columns, because they depend
-    on the owner's kind only. A kernel per world then runs one queue over all
-    owners: an entry that was replaced by a cheaper owner still spreads, seeds
-    are never taken, and equal costs go to the smaller (fid, owner)."""
+    owner may enter. Worlds, or regions that owners don't leave, are
+    independent groups, named by a column of both tables; within one, the
+    queue of ``spread`` runs over all owners."""
     one = [F.lit(0).alias("_w")] if world is None else [F.col(world).alias("_w")]
-    near = edges.where("dst is not null").groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("near"))
-    left = entries.select(*one, "owner", "fid", "cost").join(near, F.col("fid") == F.col("src"), "left").drop("src")
+    left = _with_near(entries.select(*one, "owner", "fid", "cost"), edges)
     right = seeds.select(*one, F.col("owner").alias("s_owner"), F.col("center"))
 
     def work(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         cost = {(o, f): c for o, f, c in zip(pdf["owner"].tolist(), pdf["fid"].tolist(), pdf["cost"].tolist(), strict=True)}
-        around = {f: list(n) for f, n in zip(pdf["fid"], pdf["near"], strict=True) if isinstance(n, np.ndarray | list)}
-        held = set(starts["center"].tolist())
-        owner, best, queue = {}, {}, []
-        for o, c in sorted(zip(starts["s_owner"].tolist(), starts["center"].tolist(), strict=True)):
-            owner[c], best[c] = o, 1.0
-            queue.append((0.0, c, o))
-        heapq.heapify(queue)
-        while queue:
-            so_far, f, o = heapq.heappop(queue)
-            for n in around.get(f, ()):
-                c = cost.get((o, n))
-                if n in held or c is None:
-                    continue
-                total = so_far + c
-                if total <= limit and total < best.get(n, float("inf")):
-                    owner[n], best[n] = o, total
-                    heapq.heappush(queue, (total, n, o))
+        owner, best = spread(_near(pdf), list(zip(starts["s_owner"].tolist(), starts["center"].tolist(), strict=True)), limit, lambda o, f, n: cost.get((o, n)))
         return pd.DataFrame({"fid": list(owner), "owner": list(owner.values()), "cost": [best[f] for f in owner]})
 
     return left.groupBy("_w").cogroup(right.groupBy("_w")).applyInPandas(lambda a, b: work(a, b), "fid long, owner long, cost double")
 
 
+def _expand_by_type(tiles: DataFrame, edges: DataFrame, owners: DataFrame, limit: float, base: Callable[[str], Column], away: Callable[[str], Column], nations: bool) -> DataFrame:
+    """Expansion whose costs depend on the owner's type and home biome only:
+    one row a tile, with the costs of each type as an array, however many
+    owners there are; the cost of a step is put together when it is taken."""
+    by_type = lambda f: F.array(*[f(t).cast("double") for t in EXPANSION_BASE])
+    rows = _with_near(tiles.select(F.lit(0).alias("_w"), "fid", "biome", "area", F.col("culture_key" if nations else "fid").alias("people"), by_type(base).alias("base"), by_type(away).alias("away")), edges)
+    home = tiles.select(F.col("fid").alias("center_tile_id"), F.col("biome").alias("home"))
+    starts = owners.join(home, "center_tile_id").select(F.lit(0).alias("_w"), "owner", "center_tile_id", "type_", "expansionism", "home")
+    kinds = list(EXPANSION_BASE)
+
+    def work(pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        fids = pdf["fid"].tolist()
+        base, away = (dict(zip(fids, np.stack(pdf[c].to_numpy()).tolist(), strict=True)) if fids else {} for c in ("base", "away"))
+        biome, area = dict(zip(fids, pdf["biome"].tolist(), strict=True)), dict(zip(fids, pdf["area"].tolist(), strict=True))
+        people = dict(zip(fids, pdf["people"].astype(object).where(pdf["people"].notna(), None).tolist(), strict=True))
+        who = {o: (kinds.index(t) if t in kinds else kinds.index("Generic"), x, h) for o, t, x, h in zip(*(starts[c].tolist() for c in ("owner", "type_", "expansionism", "home")), strict=True)}
+
+        def cost(o: int, f: int, n: int) -> float | None:
+            if n not in biome:
+                return None
+            k, x, own = who[o]
+            c = base[n][k] + (10.0 if biome[n] == own else away[n][k])
+            if nations:
+                return max(0.0, c + (-9.0 if people[f] == people[n] else 100.0)) * area[n] / x + 10.0
+            return c / x
+
+        owner, best = spread(_near(pdf), list(zip(starts["owner"].tolist(), starts["center_tile_id"].tolist(), strict=True)), limit, cost)
+        return pd.DataFrame({"fid": list(owner), "owner": list(owner.values()), "cost": [best[f] for f in owner]})
+
+    return rows.groupBy("_w").cogroup(starts.groupBy("_w")).applyInPandas(lambda a, b: work(a, b), "fid long, owner long, cost double")
+
+
+def expand_cultures(tiles: DataFrame, edges: DataFrame, cultures: DataFrame, biomes: DataFrame, limit: float, river_threshold: float = 10.0, grouping: str = "grouping") -> DataFrame:
+    """(fid, owner, cost): the culture (its culture_key) that reaches each tile first."""
+    t = tiles.join(F.broadcast(biomes.select(F.col("name").alias("biome"), "movement_cost")), "biome")
+    wet, c = F.col(grouping).isin("Ocean", "Lake"), F.col
+
+    def base(kind: str) -> Column:
+        k = F.lit(kind)
+        return height_cost(k, wet, c("lake_id"), c("elevation_scaled"), c("area")) + river_cost(k, c("water_flow"), river_threshold) + shore_cost(k, c("shore_distance"))
+
+    away = lambda kind: biome_cost(F.lit(kind), F.lit(None).cast("string"), c("biome"), c("movement_cost"))
+    return _expand_by_type(t, edges, cultures.withColumn("owner", c("culture_key").cast("long")), limit, base, away, False)
+
+
+def expand_nations(tiles: DataFrame, edges: DataFrame, nations: DataFrame, biomes: DataFrame, limit: float, river_threshold: float = 10.0, grouping: str = "grouping") -> DataFrame:
+    """(fid, owner, cost): the nation that reaches each tile first. A step into
+    a tile of another culture than that of the tile before costs more."""
+    t = tiles.join(F.broadcast(biomes.select(F.col("name").alias("biome"), "movement_cost")), "biome")
+    c = F.col
+    settled = F.when(c(grouping).isin("Ocean", "Lake"), 0.0).when(c("habitability") > 0, F.greatest(F.lit(0.0), 20.0 - c("habitability"))).otherwise(5000.0)
+
+    def base(kind: str) -> Column:
+        k = F.lit(kind)
+        return settled + nation_height_cost(k, c(grouping) == "Ocean", c("shore_distance"), c("lake_id"), c("elevation_scaled")) + river_cost(k, c("water_flow"), river_threshold) + shore_cost(k, c("shore_distance"))
+
+    away = lambda kind: nation_biome_cost(F.lit(kind), F.lit(None).cast("string"), c("biome"), c("movement_cost"))
+    return _expand_by_type(t, edges, nations.withColumn("owner", c("fid")), limit, base, away, True)
+
+
 def culture_entries(tiles: DataFrame, cultures: DataFrame, biomes: DataFrame, river_threshold: float = 10.0, grouping: str = "grouping") -> DataFrame:
     """(owner, fid, cost) of every tile for every culture; the culture table is
     small by configuration (tens), so it is the broadcast side."""
@@ -202,8 +280,9 @@ def culture_entries(tiles: DataFrame, cultures: DataFrame, biomes: DataFrame, ri
 
 
 def nation_entries(tiles: DataFrame, nations: DataFrame, biomes: DataFrame, river_threshold: float = 10.0, grouping: str = "grouping") -> DataFrame:
-    """As for cultures, without the step's own culture change, which depends
-    on both ends: the kernel's costs use the nation's culture instead."""
+    """(owner, fid, cost) of entering each tile from the nation's own culture:
+    a table of costs for each pair, for looking at; ``expand_nations`` doesn't
+    need it, and takes the cultures of a step's two tiles."""
     home = tiles.select(F.col("fid").alias("center_tile_id"), F.col("biome").alias("home"))
     n = nations.join(home, "center_tile_id").select(F.col("fid").alias("owner"), F.col("type_").alias("t"), F.col("expansionism").alias("x"), F.col("culture_key").alias("own"), "home")
     t = tiles.join(F.broadcast(biomes.select(F.col("name").alias("biome"), "movement_cost")), "biome").crossJoin(F.broadcast(n))

@@ -478,14 +478,12 @@ def subnation_costs(w):
 
 @query()
 def expand_cultures(w):
-    e = people.culture_entries(w.tiles, w.cultures, B.defaults(w.spark), grouping=G)
-    return people.expand(e, w.edges, w.cultures.select(F.col("culture_key").alias("owner"), F.col("center_tile_id").alias("center")), 4000.0).select("fid", "owner", R6(F.col("cost")).alias("cost"))
+    return people.expand_cultures(w.tiles, w.edges, w.cultures, B.defaults(w.spark), 4000.0, grouping=G).select("fid", "owner", R6(F.col("cost")).alias("cost"))
 
 
 @query()
 def expand_nations(w):
-    e = people.nation_entries(w.tiles, w.nations, B.defaults(w.spark), grouping=G)
-    return people.expand(e, w.edges, w.nations.select(F.col("fid").alias("owner"), F.col("center_tile_id").alias("center")), 20000.0).select("fid", "owner", R6(F.col("cost")).alias("cost"))
+    return people.expand_nations(w.tiles, w.edges, w.nations, B.defaults(w.spark), 20000.0, grouping=G).select("fid", "owner", R6(F.col("cost")).alias("cost"))
 
 
 @query()

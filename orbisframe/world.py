@@ -179,9 +179,8 @@ class WorldMap:
         self.warnings += more
         made = cut(found.withColumn("culture_key", F.col("fid").cast("int")))
         self.put("cultures", colors.random_colors(made))
-        entries = people.culture_entries(self.tiles, made, self.t["biomes"], threshold)
         area = layers.average_tile_area(self.tiles, lim).first().avg_area
-        spread = people.expand(entries, self.inner, made.select(F.col("culture_key").cast("long").alias("owner"), F.col("center_tile_id").alias("center")), 10000.0 / area * factor)
+        spread = people.expand_cultures(self.tiles, self.inner, made, self.t["biomes"], 10000.0 / area * factor, threshold)
         self.fill(spread.withColumn("culture_key", F.col("owner").cast("int")), "culture_key")
         return self._outline("culture_key", "cultures", "culture_key", curve)
 
@@ -211,8 +210,7 @@ class WorldMap:
         named = naming.state_names(named).drop("name", "namer").withColumnRenamed("state", "name")
         nations = self.put("nations", colors.random_colors(cut(named)))
         area = layers.average_tile_area(self.tiles, self.source.limits).first().avg_area
-        entries = people.nation_entries(self.tiles, nations, self.t["biomes"], threshold)
-        spread = people.expand(entries, self.inner, nations.select(F.col("fid").alias("owner"), F.col("center_tile_id").alias("center")), 5000.0 / area * factor)
+        spread = people.expand_nations(self.tiles, self.inner, nations, self.t["biomes"], 5000.0 / area * factor, threshold)
         self.fill(spread.withColumn("nation_id", F.col("owner")), "nation_id")
         self.put("tiles", settle.normalize_nations(self.tiles, self.inner, self.t["towns"]))
         return self._outline("nation_id", "nations", "fid", curve)

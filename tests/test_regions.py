@@ -217,6 +217,24 @@ def test_configuration_round_trip(spark, tmp_path):
         config.write_layer(t, str(tmp_path), "points")
 
 
+def test_expansion_by_type_equals_costs_by_pair(spark):
+    """One row a tile gives what a row for each pair of owner and tile gives;
+    for nations where all tiles have the nation's culture."""
+    from orbisframe.operators import biomes, people
+
+    w = World(spark, SF)
+    b = biomes.defaults(spark)
+    seeds = w.cultures.select(F.col("culture_key").cast("long").alias("owner"), F.col("center_tile_id").alias("center"))
+    want = people.expand(people.culture_entries(w.tiles, w.cultures, b, grouping="grouping_"), w.edges, seeds, 4000.0)
+    got = people.expand_cultures(w.tiles, w.edges, w.cultures, b, 4000.0, grouping="grouping_")
+    rows = lambda df: sorted((r.fid, r.owner, round(r.cost, 6)) for r in df.collect())
+    assert rows(got) == rows(want) and got.count() > 100
+    t, n = w.tiles.withColumn("culture_key", F.lit(1)), w.nations.withColumn("culture_key", F.lit(1))
+    seeds = n.select(F.col("fid").alias("owner"), F.col("center_tile_id").alias("center"))
+    want = people.expand(people.nation_entries(t, n, b, grouping="grouping_"), w.edges, seeds, 20000.0)
+    assert rows(people.expand_nations(t, w.edges, n, b, 20000.0, grouping="grouping_")) == rows(want)
+
+
 def test_a_whole_world(spark, tmp_path):
     from orbisframe.world import COMMANDS, Source, WorldMap, command_docs
 
