@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from orbisframe.llm.textvec import Texts, covered, member, mix, ranges, slices
 from orbisframe.session import cut
 
-#: Bytes of benchmark text that one block may hold; blocks are broadcast one
-#: by one, so a larger benchmark takes more passes, not more memory.
+#: Bytes of benchmark text that are broadcast at most.
 BLOCK_BYTES = 32 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -164,17 +163,11 @@ class Benchmark:
         return hit, pairs[:, 0], pairs[:, 1]
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """Items in blocks of at most ``limit`` bytes of text, one item at least."""
-    got, size = [], 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        more = len(r.text.encode())
-        if got and size + more > limit:
-            yield got
-            got, size = [], 0
-        got.append((r.item_id, r.text))
-        size += more
-    yield got
+def small_benchmark(benchmark: DataFrame, limit: int) -> list[tuple] | None:
+    """The items, if their texts have at most ``limit`` bytes together."""
+    rows = benchmark.select("item_id", "text").where("text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return [tuple(r) for r in rows.collect()] if size <= limit else None
 
 
 def _spans(hit: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,20 +182,110 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """Per document: doc_id, n_words, hit_words (numbers of the hit words) and
     items (ids of the items that occur), in order.
 
-    A block of the benchmark is broadcast; its size is checked against
-    ``block_bytes`` while it is read. Several blocks give one pass each, and
-    their results are merged by doc_id and text."""
-    parts = [_against(docs, b, window, gram) for b in blocks(benchmark, block_bytes)]
-    if len(parts) == 1:
-        return parts[0].drop("key")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    merged = whole.groupBy("doc_id", "key").agg(
-        F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(parts)).cast("int").alias("times"),
-    )
-    return merged.select("doc_id", "n_words", "hit_words", "items", F.explode(F.sequence(F.lit(1), "times")).alias("_t")).drop("_t")
+    A benchmark of up to ``block_bytes`` is broadcast, once its size has been
+    read. A larger one stays distributed, and its windows are joined with
+    those around the documents' fingerprints (``_joined``)."""
+    items = small_benchmark(benchmark, block_bytes)
+    if items is not None:
+        return _against(docs, items, window, gram).drop("key")
+    return _joined(docs, benchmark, window, gram).drop("key")
+
+
+#: Bits of the filter that says which fingerprints a large benchmark may hold:
+#: 16 MB, whatever the benchmark's size.
+FILTER_BITS = 27
+
+
+def _bits(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (mix(hashes + np.uint64(size)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _bench_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """(size, hash, bit, item_id): windows of the items by their size in
+    words, and as size 0 the fingerprints of the full windows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in slices(batches):
+            words, first = word_hashes(t)
+            n_words = np.diff(first)
+            full = np.flatnonzero(within(first, window, len(words)))
+            grams = gram_hashes(words, gram)
+            prints = fingerprints(grams, None, full, window - gram + 1)
+            sets = [(0, grams[prints], prints), (window, gram_hashes(words, window)[full] if len(full) else np.empty(0, np.uint64), full)]
+            sets += [(k, gram_hashes(words, k)[first[:-1][n_words == k]], first[:-1][n_words == k]) for k in range(1, window) if (n_words == k).any()]
+            size = np.concatenate([np.full(len(h), k) for k, h, _ in sets])
+            key = np.concatenate([h for _, h, _ in sets])
+            text = np.searchsorted(first, np.concatenate([at for _, _, at in sets]), side="right") - 1
+            bit = np.concatenate([_bits(h, k) for k, h, _ in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(bit), part.column(0).take(pa.array(text))], ["size", "hash", "bit", "item_id"])
+
+    return benchmark.select("item_id", "text").where("text is not null").mapInArrow(work, "size int, hash long, bit long, item_id long")
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, window: int, gram: int) -> DataFrame:
+    """Documents against a benchmark of any size, by joins.
+
+    A filter of fixed size holds a bit for each benchmark fingerprint and each
+    short item. One pass over the documents emits the windows around those of
+    their fingerprints that the filter lets through; joined with the
+    benchmark's windows by hash, they are the hits. Only such windows travel,
+    and the texts never do."""
+    spark = docs.sparkSession
+    windows = cut(_bench_windows(benchmark, window, gram))
+    filled = windows.where(F.col("size") != window).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    got = filled.toPandas()  # at most one row a word of the filter
+    table[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).view(np.uint64)
+    short = sorted(r.size for r in windows.where(~F.col("size").isin(0, window)).select("size").distinct().collect())
+    sent = spark.sparkContext.broadcast(table)
+
+    def held(hashes: np.ndarray, size: int) -> np.ndarray:
+        bit = _bits(hashes, size)
+        return (sent.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, t in slices(batches):
+            words, first = word_hashes(t)
+            n = len(words)
+            # every document gives a row of size -1, with its number of words
+            starts, sizes, keys = [first[:-1]], [np.full(t.n, -1)], [np.diff(first).astype(np.uint64)]
+            texts = [np.arange(t.n)]
+            if n >= window:
+                inside = within(first, window, n)
+                grams = gram_hashes(words, gram)
+                prints = fingerprints(grams, None, np.flatnonzero(inside), window - gram + 1)
+                prints = prints[held(grams[prints], 0)]
+                around = (prints[:, None] - np.arange(window - gram + 1)).ravel()
+                around = np.unique(around[(around >= 0) & (around < len(inside))])
+                around = around[inside[around]]
+                starts.append(around), sizes.append(np.full(len(around), window)), keys.append(gram_hashes(words, window)[around])
+                texts.append(np.searchsorted(first, around, side="right") - 1)
+            for k in short:
+                at = np.flatnonzero(within(first, k, n))
+                h = gram_hashes(words, k)[at] if len(at) else np.empty(0, np.uint64)
+                yes = held(h, k)
+                starts.append(at[yes]), sizes.append(np.full(int(yes.sum()), k)), keys.append(h[yes])
+                texts.append(np.searchsorted(first, at[yes], side="right") - 1)
+            text = np.concatenate(texts)
+            place = np.concatenate(starts) - first[text]
+            row = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(row), part.column(2).take(row), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(place.astype(np.int32))],
+                ["doc_id", "key", "size", "hash", "start"],
+            )
+
+    seen = cut(docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(work, "doc_id long, key long, size int, hash long, start int"))
+    marks = seen.where("size = -1").groupBy("doc_id", "key").agg(F.first("hash").alias("n_words"), F.count("*").cast("int").alias("times"))
+    named = windows.where("size != 0").groupBy("size", "hash").agg(F.collect_set("item_id").alias("ids"))
+    hits = seen.where("size > 0").select("doc_id", "key", "size", "hash", "start").join(named, ["size", "hash"])
+    hits = hits.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(start, start + size - 1)"))))).alias("hit_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
+    )
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    out = marks.join(hits, marks["doc_id"].eqNullSafe(hits["_d"]) & marks["key"].eqNullSafe(hits["_k"]), "left")
+    out = out.select("doc_id", "key", "n_words", none(F.col("hit_words"), "array<int>").alias("hit_words"), none(F.col("items"), "array<bigint>").alias("items"), F.explode(F.sequence(F.lit(1), "times")).alias("_t"))
+    return out.drop("_t")
 
 
 def _against(docs: DataFrame, block: list[tuple], window: int, gram: int) -> DataFrame:
@@ -229,11 +312,12 @@ def _against(docs: DataFrame, block: list[tuple], window: int, gram: int) -> Dat
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents without any hit, with all their columns. A benchmark of
-    several blocks takes a pass each, materialised in between."""
-    for k, block in enumerate(blocks(benchmark, block_bytes)):
-        docs = _clean(cut(docs) if k else docs, block, window, gram)
-    return docs
+    """The documents without any hit, with all their columns."""
+    items = small_benchmark(benchmark, block_bytes)
+    if items is not None:
+        return _clean(docs, items, window, gram)
+    hit = _joined(docs, benchmark, window, gram).where("size(hit_words) > 0").select(F.col("doc_id").alias("_hit_doc"), F.col("key").alias("_hit_key")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit_doc"]) & (F.xxhash64(docs["text"]) == hit["_hit_key"]), "left_anti")
 
 
 def _clean(docs: DataFrame, block: list[tuple], window: int, gram: int) -> DataFrame:
