@@ -22,15 +22,54 @@ DEFAULTS = (
     ("Glacier", 0, "Glacier", -5.0, 5000, False, False, "#D5E7EB"),
     ("Wetland", 12, "Wetland", 400.0, 150, False, True, "#0B9131"),
 )
-# Runs (biome, length) of each moisture band, driest first, over
-# the 26 temperature bands from hot to cold.
-MATRIX_RUNS = (
-    (("Hot Desert", 8), ("Cold Desert", 17), ("Tundra", 1)),
-    (("Savanna", 3), ("Grassland", 16), ("Taiga", 4), ("Tundra", 3)),
-    (("Tropical Seasonal Forest", 1), ("Temperate Deciduous Forest", 17), ("Taiga", 5), ("Tundra", 3)),
-    (("Tropical Seasonal Forest", 1), ("Temperate Deciduous Forest", 6), ("Temperate Rainforest", 10), ("Taiga", 6), ("Tundra", 3)),
-    (("Tropical Rainforest", 1), ("Temperate Rainforest", 16), ("Taiga", 7), ("Tundra", 2)),
-)
+# Biome by moisture band (rows, driest first) and temperature band (26, hot to cold).
+MATRIX = (
+    (
+        "Hot Desert", "Hot Desert", "Hot Desert", "Hot Desert",
+        "Hot Desert", "Hot Desert", "Hot Desert", "Hot Desert",
+        "Cold Desert", "Cold Desert", "Cold Desert", "Cold Desert",
+        "Cold Desert", "Cold Desert", "Cold Desert", "Cold Desert",
+        "Cold Desert", "Cold Desert", "Cold Desert", "Cold Desert",
+        "Cold Desert", "Cold Desert", "Cold Desert", "Cold Desert",
+        "Cold Desert", "Tundra",
+    ),
+    (
+        "Savanna", "Savanna", "Savanna", "Grassland",
+        "Grassland", "Grassland", "Grassland", "Grassland",
+        "Grassland", "Grassland", "Grassland", "Grassland",
+        "Grassland", "Grassland", "Grassland", "Grassland",
+        "Grassland", "Grassland", "Grassland", "Taiga",
+        "Taiga", "Taiga", "Taiga", "Tundra",
+        "Tundra", "Tundra",
+    ),
+    (
+        "Tropical Seasonal Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest",
+        "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest",
+        "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest",
+        "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest",
+        "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Taiga", "Taiga",
+        "Taiga", "Taiga", "Taiga", "Tundra",
+        "Tundra", "Tundra",
+    ),
+    (
+        "Tropical Seasonal Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest",
+        "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Deciduous Forest", "Temperate Rainforest",
+        "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest",
+        "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest",
+        "Temperate Rainforest", "Taiga", "Taiga", "Taiga",
+        "Taiga", "Taiga", "Taiga", "Tundra",
+        "Tundra", "Tundra",
+    ),
+    (
+        "Tropical Rainforest", "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest",
+        "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest",
+        "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest",
+        "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest", "Temperate Rainforest",
+        "Temperate Rainforest", "Taiga", "Taiga", "Taiga",
+        "Taiga", "Taiga", "Taiga", "Taiga",
+        "Tundra", "Tundra",
+    ),
+)
 SCHEMA = "name string, habitability int, kind string, threshold double, movement_cost int, supports_nomadic boolean, supports_hunting boolean, color string"
 
 
@@ -38,11 +77,9 @@ def defaults(spark: SparkSession, glacier: float | None = None, wetland: float |
     """The default biomes, with cells array<struct<moisture,temperature>>."""
     over = {"Glacier": glacier, "Wetland": wetland}
     cells: dict[str, list] = {}
-    for moisture, runs in enumerate(MATRIX_RUNS):
-        at = 0
-        for name, n in runs:
-            cells.setdefault(name, []).extend((moisture, at + k) for k in range(n))
-            at += n
+    for moisture, row in enumerate(MATRIX):
+        for temperature, name in enumerate(row):
+            cells.setdefault(name, []).append((moisture, temperature))
     rows = [(*r[:3], over.get(r[2]) if over.get(r[2]) is not None else r[3], *r[4:], cells.get(r[0], [])) for r in DEFAULTS]
     return spark.createDataFrame(rows, SCHEMA + ", cells array<struct<moisture:int,temperature:int>>")
 

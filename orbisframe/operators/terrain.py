@@ -6,6 +6,7 @@ take the edge table (src, dst). Random tasks draw by (tag, fid).
 
 from __future__ import annotations
 
+import hashlib
 import math
 import warnings
 from collections.abc import Callable
@@ -18,10 +19,15 @@ from pyspark.sql import functions as F
 
 from orbisframe.functions.rand import between, uniform
 
-# Spread powers by tile count, as (largest count, blob, line).
-POWERS = (
-    (1001, 0.93, 0.75), (2001, 0.95, 0.77), (5001, 0.97, 0.79), (10001, 0.98, 0.81), (20001, 0.99, 0.82), (30001, 0.991, 0.83), (40001, 0.993, 0.84),
-    (50001, 0.994, 0.86), (60001, 0.995, 0.87), (70001, 0.9955, 0.88), (80001, 0.996, 0.91), (90001, 0.9964, 0.92), (100001, 0.9973, 0.93), (None, 0.998, 0.94),
+# How far a hill spreads, by the largest number of tiles it holds for.
+BLOB_POWERS = (
+    (1001, 0.93), (2001, 0.95), (5001, 0.97), (10001, 0.98), (20001, 0.99), (30001, 0.991), (40001, 0.993),
+    (50001, 0.994), (60001, 0.995), (70001, 0.9955), (80001, 0.996), (90001, 0.9964), (100001, 0.9973), (None, 0.998),
+)
+# The same of a mountain range.
+LINE_POWERS = (
+    (1001, 0.75), (2001, 0.77), (5001, 0.79), (10001, 0.81), (20001, 0.82), (30001, 0.83), (40001, 0.84),
+    (50001, 0.86), (60001, 0.87), (70001, 0.88), (80001, 0.91), (90001, 0.92), (100001, 0.93), (None, 0.94),
 )
 
 
@@ -37,16 +43,16 @@ class Limits:
     height: float = 180.0
 
 
-def _power(n: int, which: int) -> float:
-    return next(row[which] for row in POWERS if row[0] is None or n <= row[0])
+def _power(n: int, table: tuple) -> float:
+    return next(power for most, power in table if most is None or n <= most)
 
 
 def blob_power(n_tiles: int) -> float:
-    return _power(n_tiles, 1)
+    return _power(n_tiles, BLOB_POWERS)
 
 
 def line_power(n_tiles: int) -> float:
-    return _power(n_tiles, 2)
+    return _power(n_tiles, LINE_POWERS)
 
 
 def relative_height(percent: float, lim: Limits, mode: Callable[[float], float] = lambda v: v) -> float:
@@ -454,12 +460,12 @@ _ROW_TASKS = {
     "Smooth": lambda t, e, p, lim: smooth(t, e, p.get("fr", 2), lim),
     "Invert": lambda t, e, p, lim: invert(t, p["probability"], p.get("axes", "xy").lower().replace("both", "xy"), lim),
     "Erode": lambda t, e, p, lim: erode(t, e, p.get("weathering_amount", 1000), p.get("iterations", 10), lim),
-    "AddHill": lambda t, e, p, lim: add_hill(t, e, int(Span.parse(p["count"]).high), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
-    "AddRange": lambda t, e, p, lim: add_range(t, e, int(Span.parse(p["count"]).high), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
-    "AddStrait": lambda t, e, p, lim: add_strait(t, e, Span.parse(p["width"]).high, p.get("direction", "Vertical") == "Vertical", lim),
-    "SeedOcean": lambda t, e, p, lim: seed_ocean(t, e, int(Span.parse(p.get("count", 1)).high), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
+    "AddHill": lambda t, e, p, lim: add_hill(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
+    "AddRange": lambda t, e, p, lim: add_range(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
+    "AddStrait": lambda t, e, p, lim: add_strait(t, e, _drawn(p, "width"), p.get("direction", "Vertical") == "Vertical", lim),
+    "SeedOcean": lambda t, e, p, lim: seed_ocean(t, e, _drawn(p, "count"), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
 }
-_KNOWN = {"task", "height_filter", "height_delta", "height_factor", "power", "fr", "probability", "axes", "weathering_amount", "iterations", "count", "x_filter", "y_filter", "width", "direction"}
+_KNOWN = {"task", "height_filter", "height_delta", "height_factor", "power", "fr", "probability", "axes", "weathering_amount", "iterations", "count", "x_filter", "y_filter", "width", "direction", "source", "recipe", "elevation"}
 
 
 def _opt(p: dict) -> Span | None:
@@ -470,14 +476,44 @@ def _axis(p: dict, name: str) -> Span:
     return Span.parse(p[name]) if p.get(name) is not None else _ALL
 
 
-def recipe(tiles: DataFrame, edges: DataFrame, tasks: list[dict], lim: Limits = Limits()) -> DataFrame:
+def _drawn(p: dict, name: str) -> int:
+    """A whole number out of a task's range, drawn by the task and its place."""
+    span = Span.parse(p.get(name, 1))
+    u = int(hashlib.md5(f"{p['task']}:{name}:{p.get('_place', '')}".encode()).hexdigest()[:8], 16) / 4294967296
+    return int(span.low + math.floor(u * max(span.high - span.low + span.inclusive, 1)))
+
+
+def recipe(
+    tiles: DataFrame, edges: DataFrame, tasks: list[dict], lim: Limits = Limits(), rasters: dict[str, tuple[DataFrame, int, int]] | None = None, recipes: dict[str, list[dict]] | None = None
+) -> DataFrame:
     """Run a list of tasks, then clamp and scale. Row-local tasks fuse into
-    one stage; unknown keys are warned about, unknown tasks are an error."""
-    for p in tasks:
+    one stage; unknown keys are warned about, unknown tasks are an error.
+
+    ``rasters``: height maps by the name that a task's ``source`` gives, each
+    with its columns and rows, for the three sample tasks. ``recipes``: task
+    lists by name for tasks that are recipes (``recipe`` names one, or is a
+    list itself)."""
+    return elevation_scale(_run(tiles, edges, tasks, lim, rasters or {}, recipes or {}, ""), lim)
+
+
+def _run(tiles: DataFrame, edges: DataFrame, tasks: list[dict], lim: Limits, rasters: dict, recipes: dict, place: str) -> DataFrame:
+    for k, p in enumerate(tasks):
         if extra := set(p) - _KNOWN:
-            warnings.warn(f"{p.get('task')}: keys without meaning: {sorted(extra)}", stacklevel=2)
-        tiles = _ROW_TASKS[p["task"]](tiles, edges, p, lim)
-    return elevation_scale(tiles, lim)
+            warnings.warn(f"{p.get('task')}: keys without meaning: {sorted(extra)}", stacklevel=3)
+        at = f"{place}{k}"
+        match p["task"]:
+            case "Recipe" | "RecipeSet":
+                named = p.get("recipe", p.get("source"))
+                tiles = _run(tiles, edges, named if isinstance(named, list) else recipes[named], lim, rasters, recipes, f"{at}.")
+            case "SampleOceanMasked":
+                tiles = sample_ocean_masked(tiles, *rasters[p["source"]])
+            case "SampleOceanBelow":
+                tiles = sample_ocean_below(tiles, *rasters[p["source"]], float(p["elevation"]))
+            case "SampleElevation":
+                tiles = sample_elevation(tiles, *rasters[p["source"]])
+            case task:
+                tiles = _ROW_TASKS[task](tiles, edges, {**p, "_place": at}, lim)
+    return tiles
 
 
 def changed_rows(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = ("elevation",)) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def water_flow(tiles: DataFrame, edges: DataFrame) -> DataFrame:
+def water_flow(tiles: DataFrame, edges: DataFrame, world: str | None = None) -> DataFrame:
     """(fid, water_flow, water_accumulation, flow_to): rain runs down from the
     highest tile to all lowest neighbours in equal parts; where none is lower
     or level it gathers. Descending height, then fid, is the order, so a world
-    is one group. An edge off the map (dst null) takes water away."""
+    is one group, and several, keyed by ``world``, are independent. An edge off the map (dst null) takes water away."""
     near = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.coalesce("dst", F.lit(-1)))).alias("near"))
-    rows = tiles.select("fid", "elevation", "precipitation", (F.col("grouping") == "Ocean").alias("sea")).join(near, F.col("fid") == F.col("src"), "left").drop("src")
+    key = F.lit(0) if world is None else F.col(world)
+    rows = tiles.select(key.alias("_w"), "fid", "elevation", "precipitation", (F.col("grouping") == "Ocean").alias("sea")).join(near, F.col("fid") == F.col("src"), "left").drop("src")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["elevation", "fid"], ascending=[False, True])
@@ -37,7 +38,7 @@ def water_flow(tiles: DataFrame, edges: DataFrame) -> DataFrame:
                 kept[r.fid] += flow[r.fid]
         return pd.DataFrame({"fid": list(flow), "water_flow": list(flow.values()), "water_accumulation": [kept[f] for f in flow], "flow_to": [to.get(f, []) for f in flow]})
 
-    return rows.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda pdf: work(pdf), "fid long, water_flow double, water_accumulation double, flow_to array<long>")
+    return rows.groupBy("_w").applyInPandas(lambda pdf: work(pdf), "fid long, water_flow double, water_accumulation double, flow_to array<long>")
 
 
 def lake_evaporation(temperature: Column, elevation: Column, size: Column) -> Column:

@@ -306,7 +306,12 @@ def color_bounds(w):
     return d.select("fid", R6(F.col("h")).alias("hue"), R6(F.col("s")).alias("saturation"), R6(colors.value_range(F.col("h"), F.col("s"), "Light")[0]).alias("low"))
 
 
-@query()
+_RGB = lambda k: f"printf('%02X', round((v-v*s*greatest(0e0,least(mod({k}e0+h/60e0,6e0),4e0-mod({k}e0+h/60e0,6e0),1e0)))*255e0)::int)"
+
+
+@query(f"""select fid, '#'||{_RGB(5)}||{_RGB(3)}||{_RGB(1)} color from (select fid, h, s, (v0+1e0)/2+U(val,fid)*(1e0-(v0+1e0)/2) v from
+  (select fid, h, s, coalesce((select v1+(s-s1)*((v2-v1)/(s2-s1)) from stp where stp.nr=x.nr and s>=s1 and s<=s2 order by i limit 1),0e0) v0 from (select d.*, s0+U(sat,fid)*(0.55e0-s0) s from (select fid, h, (select min(nr) from hue where hm>=lo and hm<=hi) nr from (select *, case when h>=334e0 then h-360e0 else h end hm from dl)) d join hue using(nr)) x))""",
+       hue=_HUES, stp=_STEPS, dl="select fid, (row_number() over(order by U(deal,fid), fid)-1+U(hue,fid))*360e0/count(*) over() h from nations")
 def random_colors(w):
     return colors.random_colors(w.nations.select("fid"))
 

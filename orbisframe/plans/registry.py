@@ -228,7 +228,10 @@ def terrain_seed_ocean(w):
     return terrain.seed_ocean(w.tiles.withColumn(G, F.lit("Continent")), w.edges, 5, grouping=G).select("fid", G)
 
 
-@query()
+@query(f"""select fid, round(elevation,6) elevation, cast(greatest(0,least(100,case when elevation>=0 then 20+floor(elevation*(80e0/9000e0)) else 20-floor(abs(elevation)*(20e0/11000e0)) end)) as int) elevation_scaled,
+  case when elevation<0 then 'Ocean' else grouping_ end as grouping from (select fid, grouping_, {_CL.format(f'(elevation*(2e0-1e0)+elevation*((1-{_NX}*{_NX})*(1-{_NY}*{_NY})))/2e0')} elevation
+  from (select fid, grouping_, site_x, site_y, greatest(-11000e0,least(9000e0,(elevation*1e0+(elevation+s)/(1+c))/2e0)) elevation from up join (select src, sum(n) s, count(*) c from (select e.src, u.elevation n from edges e join up u on e.dst=u.fid) group by src) on src=fid))""",
+       up=f"select fid, grouping_, site_x, site_y, {_CL.format('elevation+0.1e0*9000e0')} elevation from tiles")
 def terrain_recipe(w):
     tasks = [{"task": "Add", "height_delta": 10}, {"task": "Smooth", "fr": 2}, {"task": "Mask", "power": 2}, {"task": "FillOcean"}]
     return terrain.recipe(w.tiles.withColumnRenamed(G, "grouping"), w.edges, tasks).select("fid", R6(F.col("elevation")).alias("elevation"), "elevation_scaled", "grouping")
@@ -237,7 +240,7 @@ def terrain_recipe(w):
 # biomes and water
 
 _MATRIX_SQL = " union all ".join(
-    f"select {m} moisture, {t} temperature, '{name}' biome" for m, runs in enumerate(B.MATRIX_RUNS) for t, name in enumerate([n for n, k in runs for _ in range(k)])
+    f"select {m} moisture, {t} temperature, '{name}' biome" for m, row in enumerate(B.MATRIX) for t, name in enumerate(row)
 )
 
 
@@ -325,7 +328,15 @@ def grouping_components(w):
     return graph.components(w.tiles, w.edges, k)
 
 
-@query()
+_CC = """select fid, label from (with /*rec*/ recursive r(fid,label) using key (fid) as (select fid, fid label from m union
+  select s.dst, max(r.label) from r join same s on s.src=r.fid join recurring.r p on p.fid=s.dst where r.label>p.label group by s.dst) select fid, label from r)"""
+
+
+@query("""select cc.fid, case when k='o' then 'Ocean' when starts_with(k,'l') then 'Lake' when not coalesce(sea,false) and coalesce(near,0)=1 then 'LakeIsland' when n>floor(total/100) then 'Continent' when n>floor(total/1000) then 'Island' else 'Islet' end as grouping, grouping_id
+  from cc join (select label, any_value(k) k, count(*) n, row_number() over(order by label desc) grouping_id, (select count(*) from m) total from cc join m using(fid) group by label) using(label)
+  left join (select a.label, bool_or(mb.k='o') sea, count(distinct case when mb.k<>'o' then b.label end) near from edges e join cc a on a.fid=e.src join cc b on b.fid=e.dst join m mb on mb.fid=e.dst where a.label<>b.label group by 1) using(label)""",
+       m="select fid, case when grouping_='Ocean' then 'o' when lake_id is not null then 'l'||lake_id else 'c' end k from tiles",
+       same="select e.src, e.dst from edges e join m a on a.fid=e.src join m b on b.fid=e.dst where a.k=b.k", cc=_CC)
 def grouping(w):
     return graph.grouping(w.tiles.drop("grouping_id"), w.edges, F.col(G) == "Ocean", F.col("lake_id"))
 
