@@ -31,6 +31,11 @@ from pyspark.sql import DataFrame
 SENTENCES: dict[str, str] = {
     "MitGrant": r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*",
     "MitNotice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "ZlibAsIs": r"this software is provided as is without any express or implied warranty",
+    "ZlibGrant": r"permission is granted to anyone to use this software for any purpose including commercial applications.*",
+    "BoostGrant": r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license.*",
+    "UnlicenseRelease": r"this is free and unencumbered software released into the public domain",
+    "UnlicenseAnyone": r"anyone is free to copy modify publish use compile sell or distribute this software.*",
     "AsIs": r"(?:the|this) software is provided (?:by the copyright holders and contributors )?as is.*warrant.*",
     "NoLiability": r"in no event shall the (?:authors|copyright).*liable.*",
     "BsdGrant": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met.*",
@@ -48,12 +53,24 @@ SENTENCES: dict[str, str] = {
     "Gpl3Ref": r"(?:this .* is )?licensed under the gnu general public license version 3(?: or .*)?",
     "Gpl2Ref": r"(?:this .* is )?licensed under the gnu general public license version 2(?: or .*)?",
     "Lgpl3Ref": r"(?:this .* is )?licensed under the gnu lesser general public license version 3(?: or .*)?",
-    "GplFree": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*version (?:2|3).*",
+    "Lgpl21Ref": r"(?:this .* is )?licensed under the gnu lesser general public license version 2 1(?: or .*)?",
+    "Agpl3Ref": r"(?:this .* is )?licensed under the gnu affero general public license version 3(?: or .*)?",
+    "Gpl3Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu general public license.*version 3.*",
+    "Gpl2Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu general public license.*version 2.*",
+    "Lgpl3Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu lesser general public license.*version 3.*",
+    "Lgpl21Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu lesser general public license.*version 2 1.*",
+    "Agpl3Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu affero general public license.*version 3.*",
     "GplHope": r"this program is distributed in the hope that it will be useful but without any warranty.*",
     "GplSee": r"see the gnu general public license for more details",
     "GplCopy": r"you should have received a copy of the gnu general public license along with this program.*",
+    "EplRef": r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v|version |v )?2 0.*",
+    "ArtisticRef": r"(?:this .* is )?(?:released|licensed|distributed) under (?:the terms of )?the artistic license (?:version )?2 0",
+    "OflRef": r"this font software is licensed under the sil open font license version 1 1.*",
     "MplRef": r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0",
     "CcByNc4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by nc 4 0|creative commons attribution non ?commercial 4 0(?: international)?)(?: license)?",
+    "CcByNcSa4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by nc sa 4 0|creative commons attribution non ?commercial share ?alike 4 0(?: international)?)(?: license)?",
+    "CcByNcNd4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by nc nd 4 0|creative commons attribution non ?commercial no ?derivatives 4 0(?: international)?)(?: license)?",
+    "CcByNd4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by nd 4 0|creative commons attribution no ?derivatives 4 0(?: international)?)(?: license)?",
     "CcBySa4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by sa 4 0|creative commons attribution share ?alike 4 0(?: international)?)(?: license)?",
     "CcBy4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by 4 0|creative commons attribution 4 0(?: international)?)(?: license)?",
     "Cc0": r"(?:this .* is )?(?:released|licensed|dedicated|distributed|available) (?:to|under) (?:the public domain under )?(?:cc0|cc0 1 0)(?: license)?",
@@ -68,13 +85,24 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "AsIs")),
     ("MIT", ("MitGrant", "MitNotice", "AsIs")),
     ("Apache-2.0", ("ApacheGrant", "ApacheComply", "ApacheCopy", "ApacheAsIs")),
-    ("GPL", ("GplFree", "GplHope", "GplSee", "GplCopy")),
+    ("GPL-3.0", ("Gpl3Free", "GplHope", "GplSee", "GplCopy")),
+    ("GPL-2.0", ("Gpl2Free", "GplHope", "GplSee", "GplCopy")),
     ("MIT", ("MitGrant", "MitNotice")),
-    ("GPL", ("GplFree", "GplHope")),
+    ("GPL-3.0", ("Gpl3Free", "GplHope")),
+    ("GPL-2.0", ("Gpl2Free", "GplHope")),
+    ("Zlib", ("ZlibAsIs", "ZlibGrant")),
+    ("Unlicense", ("UnlicenseRelease", "UnlicenseAnyone")),
     ("ISC", ("IscGrant", "AsIs")),
     ("ISC", ("IscGrant",)),
     ("MIT", ("MitGrant",)),
-    ("GPL", ("GplFree",)),
+    ("GPL-3.0", ("Gpl3Free",)),
+    ("GPL-2.0", ("Gpl2Free",)),
+    ("LGPL-3.0", ("Lgpl3Free",)),
+    ("LGPL-2.1", ("Lgpl21Free",)),
+    ("AGPL-3.0", ("Agpl3Free",)),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("Zlib", ("ZlibGrant",)),
+    ("Unlicense", ("UnlicenseRelease",)),
     ("BSD", ("BsdGrant",)),
     ("Apache-2.0", ("ApacheGrant",)),
     ("Apache-2.0", ("ApacheRef",)),
@@ -83,7 +111,15 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("GPL-3.0", ("Gpl3Ref",)),
     ("GPL-2.0", ("Gpl2Ref",)),
     ("LGPL-3.0", ("Lgpl3Ref",)),
+    ("LGPL-2.1", ("Lgpl21Ref",)),
+    ("AGPL-3.0", ("Agpl3Ref",)),
+    ("EPL-2.0", ("EplRef",)),
+    ("Artistic-2.0", ("ArtisticRef",)),
+    ("OFL-1.1", ("OflRef",)),
     ("MPL-2.0", ("MplRef",)),
+    ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
+    ("CC-BY-NC-ND-4.0", ("CcByNcNd4",)),
+    ("CC-BY-ND-4.0", ("CcByNd4",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("CC-BY-4.0", ("CcBy4",)),
@@ -92,7 +128,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 #: Every known sentence contains one of these.
-KEYWORDS = ("licen", "copyright", "warrant", "permission", "redistribut", "reserved", "liable", "gnu", "spdx", "cc0", "cc by", "creative commons")
+KEYWORDS = ("licen", "copyright", "warrant", "permission", "redistribut", "reserved", "liable", "gnu", "spdx", "cc0", "cc by", "creative commons", "public domain", "free to copy")
 #: The same in text that isn't normalised.
 RAW_KEYWORDS = "(?i)" + "|".join(k.replace(" ", "[^a-z0-9]+") for k in KEYWORDS)
 MAX_GAP = 3

@@ -436,6 +436,17 @@ def test_licenses(spark):
     assert got == {1: ["MIT"], 2: ["Apache-2.0"], 3: [], 4: [], 5: ["GPL-3.0", "MIT"]}
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary.", "Unlicense"),
+    ("This software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications.", "Zlib"),
+    ("Released under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+])
+def test_known_licenses(text, want):
+    assert [x[0] for x in licenses.recognise(f"Some words before.\n\n{text}\n\nAnd after.")[1]] == [want]
+
+
 def test_rules_match_as_by_brute_force():
     rng = random.Random(12)
     for _ in range(300):
