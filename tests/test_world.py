@@ -138,3 +138,74 @@ def test_components_and_hops_of_a_long_chain(spark):
     assert {r.label for r in graph.components(tiles, edges, F.lit(1)).select("label").distinct().collect()} == {n - 1}
     got = graph.hops(tiles.where("fid < 9"), edges.where("src < 9 and dst < 9"), F.col("seed"), F.lit(1)).collect()
     assert {r.fid: r.hops for r in got} == {k: k + 1 for k in range(9)}
+
+
+def test_rain_of_two_tiles(spark):
+    """A packet from the sea gives to the coast in passing and rains out where
+    the wind ends; a tile holds 120 times its factor."""
+    from orbisframe.operators import climate
+
+    tiles = spark.createDataFrame([(1, 0.0, -50.0, 90, 20.0, "Ocean"), (2, 0.0, 100.0, 90, 20.0, "Continent")], "fid long, site_y double, elevation double, wind int, temperature double, grouping string")
+    edges = spark.createDataFrame([(1, 2, "Tile", 90.0), (2, 1, "Tile", 270.0)], "src long, dst long, kind string, bearing double")
+    got = {r.fid: r.precipitation for r in climate.precipitation(tiles, edges).collect()}
+    assert got == {1: 0.0, 2: 480.0}
+    cold = climate.precipitation(tiles.withColumn("temperature", F.lit(-20.0)), edges)
+    assert {r.fid: r.precipitation for r in cold.collect()} == {1: 0.0, 2: 480.0}
+    here = {"temperature": 10.0, "sea": False, "factor": 1.0, "elevation": 0.0, "rain": 0.0}
+    there = here | {"elevation": 700.0}
+    on = climate._transfer(here, there, 100.0)
+    assert here["rain"] == pytest.approx(100 / 10 + 7 + 1) and on == pytest.approx(100 - 18 + 10)
+
+
+@pytest.mark.parametrize("task", ["hill", "range", "strait"])
+def test_heights_move_one_way_and_stay_in_limits(spark, task):
+    from orbisframe.operators import terrain
+
+    w = World(spark, SF)
+    before = {r.fid: r.elevation for r in w.tiles.collect()}
+    if task == "strait":
+        after = terrain.add_strait(w.tiles, w.edges, 2, grouping="grouping_")
+    else:
+        after = getattr(terrain, f"add_{task}")(w.tiles, w.edges, 3, terrain.Span(20, 40), grouping="grouping_")
+    got = {r.fid: r.elevation for r in after.collect()}
+    moved = [f for f in got if got[f] != before[f]]
+    sign = -1 if task == "strait" else 1
+    assert len(got) == len(before) and moved and all(sign * (got[f] - before[f]) > 0 for f in moved)
+    assert all(-11000 <= h <= 9000 for h in got.values())
+
+
+def test_seeded_ocean_lies_below_zero(spark):
+    from orbisframe.operators import terrain
+
+    w = World(spark, SF)
+    land = w.tiles.withColumn("grouping_", F.lit("Continent"))
+    sea = terrain.seed_ocean(land, w.edges, 5, grouping="grouping_").where("grouping_ = 'Ocean'").collect()
+    assert 1 <= len(sea) <= 5 and all(r.elevation < 0 for r in sea)
+    flooded = terrain.flood_ocean(terrain.seed_ocean(land, w.edges, 5, grouping="grouping_"), w.edges, "grouping_").where("grouping_ = 'Ocean'")
+    assert flooded.count() >= len(sea) and flooded.where("elevation >= 0").isEmpty()
+
+
+def test_subnations_stay_in_their_nation(spark):
+    w = World(spark, SF)
+    t = {r.fid: r.nation_id for r in w.tiles.select("fid", "nation_id").collect()}
+    town = {r.fid: t[r.tile_id] for r in w.towns.collect()}
+    got = registry.queries()["expand_subnations"](spark, SF).collect()
+    assert got and all(t[r.fid] == town[r.owner] for r in got)
+    filled = registry.queries()["fill_empty_subnations"](spark, SF).collect()
+    assert all(r.subnation_id is not None and (r.subnation_id >= 0 or t[r.fid] == t[-r.subnation_id - 1]) for r in filled)
+
+
+def test_recipes_nest_draw_and_sample(spark):
+    from orbisframe.operators import terrain
+
+    w = World(spark, SF)
+    t = w.tiles.withColumnRenamed("grouping_", "grouping")
+    raster = spark.createDataFrame([(x, y, 100.0 * x) for x in range(2) for y in range(2)], "px int, py int, value double")
+    inner = [{"task": "SampleElevation", "source": "map"}, {"task": "SampleOceanBelow", "source": "map", "elevation": 50}]
+    out = terrain.recipe(t, w.edges, [{"task": "Recipe", "recipe": "named"}, {"task": "Recipe", "recipe": [{"task": "Add", "height_delta": 1}]}], rasters={"map": (raster, 2, 2)}, recipes={"named": inner})
+    got = {(r.site_x > 0, r.elevation, r.grouping == "Ocean") for r in out.collect()}
+    assert {(e, h) for e, h, _ in got} == {(False, 90.0), (True, 190.0)} and all(o for e, _, o in got if not e)
+    drawn = {terrain._drawn({"task": "AddHill", "count": "2..=5", "_place": str(k)}, "count") for k in range(60)}
+    assert drawn == {2, 3, 4, 5} and terrain._drawn({"task": "AddHill", "count": 3}, "count") == 3
+    with pytest.warns(UserWarning, match="keys without meaning"):
+        terrain.recipe(t, w.edges, [{"task": "Clear", "height_range": "1..2"}])
