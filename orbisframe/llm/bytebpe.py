@@ -23,8 +23,11 @@ from orbisframe.llm.textvec import Texts, ranges
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSAFE = 0, 1, 2, 3, 9
-#: Pre-tokens that a worker remembers at most, about 40 bytes each; beyond it, it begins anew.
-_MEMORY_LIMIT = 750_000
+#: Pre-tokens that a worker remembers at most, about 40 bytes each; beyond it,
+#: those go that no later slice has asked for again.
+_MEMORY_LIMIT = 1_000_000
+#: Bytes of text in a slice that is encoded at once.
+SLICE = 2 << 20
 
 
 def _class_of(code: int) -> int:
@@ -129,15 +132,27 @@ class ByteBpe:
 
     def _forget(self) -> None:
         self.keys, self.first, self.size = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
-        self.ids, self.used = np.empty(0, np.uint32), 0
+        self.ids, self.used, self.asked = np.empty(0, np.uint32), 0, np.empty(0, bool)
+
+    def _shrink(self) -> None:
+        """Keep what has been asked for again since the last time, if that is
+        little enough."""
+        keep = np.flatnonzero(self.asked)
+        if len(keep) > _MEMORY_LIMIT // 2:
+            self._forget()
+            return
+        size = self.size[keep]
+        self.ids = self.ids[ranges(self.first[keep], size)]
+        self.used = len(self.ids)
+        self.keys, self.size = self.keys[keep], size
+        self.first = (np.cumsum(size, dtype=np.int64) - size).astype(np.uint32)
+        self.asked = np.zeros(len(keep), bool)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         """Encode distinct new pre-tokens; keys are in order."""
-        if len(self.keys) + len(keys) > _MEMORY_LIMIT:
-            self._forget()
         got = []
         for k in range(0, len(words), 8192):
             got += [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 8192], add_special_tokens=False)]
@@ -152,7 +167,9 @@ class ByteBpe:
         first = (self.used + np.cumsum(size) - size).astype(np.uint32)
         self.used += len(flat)
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.first, self.size = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.first, first), (self.size, size)))
+        self.keys, self.first, self.size, self.asked = (
+            np.insert(old, at, new) for old, new in ((self.keys, keys), (self.first, first), (self.size, size), (self.asked, np.zeros(len(keys), bool)))
+        )
 
     def encode(self, t: Texts, column: pa.Array, with_ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
         """All ids in text order (None if not wanted) and n+1 offsets."""
@@ -180,10 +197,13 @@ class ByteBpe:
             known = np.searchsorted(self.keys, unique)
             known[known == len(self.keys)] = 0
             new = np.ones(len(unique), bool) if not len(self.keys) else self.keys[known] != unique
+            self.asked[known[~new]] = True
             if new.any():
-                if len(self.keys) + int(new.sum()) > _MEMORY_LIMIT:
-                    self._forget()
-                    new[:] = True
+                if len(self.keys) and len(self.keys) + int(new.sum()) > _MEMORY_LIMIT:
+                    self._shrink()
+                    known = np.searchsorted(self.keys, unique)
+                    known[known == len(self.keys)] = 0
+                    new = np.ones(len(unique), bool) if not len(self.keys) else self.keys[known] != unique
                 raw = t.data.tobytes()
                 words = [raw[s:e].decode() for s, e in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)]
                 self._learn(unique[new], words)

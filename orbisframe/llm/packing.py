@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbisframe.llm.bytebpe import worker_encoder
+from orbisframe.llm.bytebpe import SLICE, worker_encoder
 from orbisframe.llm.textvec import slices
 from orbisframe.session import cut
 
@@ -39,7 +39,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: i
     long document is its first piece, so every later piece fills a sequence."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in slices(batches):
+        for part, t in slices(batches, limit=SLICE):
             ids, off = worker_encoder(tokenizer_path).encode(t, part.column(1))
             rows: list[tuple] = []
             doc = part.column(0).to_pylist()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbisframe.llm.bytebpe import file_digest, worker_encoder
+from orbisframe.llm.bytebpe import SLICE, file_digest, worker_encoder
 from orbisframe.llm.textvec import Texts, slices
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -36,7 +36,7 @@ def count_batches(path: str):
         return [len(x) for x in SentencePieceProcessor(model_file=path).encode(texts, num_threads=1)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in slices(batches):
+        for part, t in slices(batches, limit=SLICE):
             text = part.column(1)
             if piece:
                 n = np.array(pieces([x or "" for x in text.to_pylist()]), np.int64)

@@ -242,6 +242,18 @@ def test_weighted_signature_is_unbiased():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.03
 
 
+def test_encoder_forgets_without_a_change(monkeypatch):
+    from orbisframe.llm import bytebpe
+
+    monkeypatch.setattr(bytebpe, "_MEMORY_LIMIT", 60)
+    rng, enc = random.Random(3), ByteBpe(tokenizer_file())
+    for _ in range(40):
+        col = pa.array([_prose(rng, 12) + f" the {rng.random()}" for _ in range(4)])
+        ids, off = enc.encode(Texts(col), col)
+        for k, e in enumerate(enc.tokenizer.encode_batch(col.to_pylist(), add_special_tokens=False)):
+            assert ids[off[k] : off[k + 1]].tolist() == e.ids
+
+
 def test_encoder_equals_library():
     rng = random.Random(2)
     parts = [*"abc's tdrevml 'll \n\t \r éß漢١½#$.,!", "<|endoftext|>", "'re", "  ", "\n\n", "don't", "I'll", " ", " ", "\U0001f600"]
