@@ -23,33 +23,33 @@ HUES = {
 LUMINOSITIES = ("Bright", "Dark", "Light")
 
 
-def _by_hue(hue: Column, pick) -> Column:
-    """``pick`` of the first named colour whose range holds the hue."""
+def _named(hue: Column) -> Column:
+    """The first named colour whose range holds the hue, as a struct. The
+    table is one folded constant, so the expression stays small."""
+    num = lambda v: F.lit(float(v))
+    table = [
+        F.struct(
+            num(low).alias("low"), num(high).alias("high"), num(bounds[0][0]).alias("least"), num(bounds[-1][0]).alias("most"),
+            F.array(*[F.struct(num(s1).alias("s1"), num(s2).alias("s2"), num(v1).alias("v1"), num((v2 - v1) / (s2 - s1)).alias("slope")) for (s1, v1), (s2, v2) in zip(bounds, bounds[1:], strict=False)]).alias("steps"),
+        )
+        for low, high, bounds in HUES.values()
+    ]
     h = F.pmod(hue, F.lit(360.0))
     h = F.when(h >= 334, h - 360).otherwise(h)
-    out = F.lit(None)
-    for low, high, bounds in reversed(HUES.values()):
-        out = F.when((h >= low) & (h <= high), pick(bounds)).otherwise(out)
-    return out
+    return F.get(F.filter(F.array(*table), lambda x: (h >= x["low"]) & (h <= x["high"])), F.lit(0))
 
 
 def least_value(hue: Column, saturation: Column) -> Column:
     """Lowest value of a colour with that hue and saturation; 0 outside the
     saturations that its named colour lists."""
-
-    def pick(bounds: tuple) -> Column:
-        out = F.lit(0.0)
-        for (s1, v1), (s2, v2) in reversed(list(zip(bounds, bounds[1:], strict=False))):
-            out = F.when((saturation >= s1) & (saturation <= s2), v1 + (saturation - s1) * ((v2 - v1) / (s2 - s1))).otherwise(out)
-        return out
-
-    return _by_hue(hue, pick)
+    step = F.get(F.filter(_named(hue)["steps"], lambda x: (saturation >= x["s1"]) & (saturation <= x["s2"])), F.lit(0))
+    return F.coalesce(step["v1"] + (saturation - step["s1"]) * step["slope"], F.lit(0.0))
 
 
 def saturation_range(hue: Column, luminosity: str | None) -> tuple[Column, Column]:
     if luminosity is None:
         return F.lit(0.0), F.lit(1.0)
-    low, high = _by_hue(hue, lambda b: F.lit(b[0][0])), _by_hue(hue, lambda b: F.lit(b[-1][0]))
+    low, high = _named(hue)["least"], _named(hue)["most"]
     return {"Bright": (F.lit(0.55), high), "Dark": (low - 0.10, high), "Light": (low, F.lit(0.55))}[luminosity]
 
 
