@@ -61,6 +61,20 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str
     return body.select("px", (F.lit(int(head["nrows"]) - 1) - F.col("r")).cast("int").alias("py"), F.when(value != none, value).otherwise(None).alias("value") if none is not None else value.alias("value")), head
 
 
+def raster_bounds(head: dict[str, float]) -> tuple[float, float, float, float]:
+    """(west, south, width, height) of a grid by its header; a header that
+    names the middle of the first cell is half a cell off its corner."""
+    cell = head["cellsize"]
+    west = head["xllcorner"] if "xllcorner" in head else head["xllcenter"] - cell / 2
+    south = head["yllcorner"] if "yllcorner" in head else head["yllcenter"] - cell / 2
+    return west, south, head["ncols"] * cell, head["nrows"] * cell
+
+
+def raster_min_max(raster: DataFrame) -> DataFrame:
+    """One row: lowest and highest value."""
+    return raster.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 def read_namers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(name, method, words, doubled, behaviors, suffix) of namers: JSON files
     hold lists of them, text files one word list each. Later files replace

@@ -1,28 +1,42 @@
+import math
+import random
+
 import pytest
 
 from orbisframe.functions.curves import control_points, flatten
 from orbisframe.operators import construct
 from orbisframe.sources import codec
 
-GOLDEN = ["North", "36", "(42,East)", "West", "[36,(42,East),West]", "[]", "(72,45.6)", "[(72,45.6),((49,Southeast),0.1)]", "LakeIsland", "Glacier(-4)", "Matrix([(23,24),(12,20),(13,4)])"]
+# One text of each stored kind of field.
+STORED = (
+    "North", "Southwest", "36", "(42,East)", "West", "[36,(42,East),West]", "[]", "(72,45.6)", "[(72,45.6),((49,Southeast),0.1)]",
+    "LakeIsland", "Confluence", "Mouth", "Fresh", "Hunting", "Glacier(-4)", "Matrix([(23,24),(12,20),(13,4)])",
+)
 
 
-@pytest.mark.parametrize("text", GOLDEN)
+@pytest.mark.parametrize("text", STORED)
 def test_codec(text):
     assert codec.dump(codec.parse(text)) == text
     assert codec.parse(text.replace(",", " ,  ")) == codec.parse(text)
 
 
 def test_curve_pieces():
-    line = [(0.5, 0.5), (1.0, -0.5), (1.5, 1.0), (2.25, 1.1), (2.6, -0.5), (3.0, 0.5)]
-    want = [
-        (0.6666666666666666, 0.16666666666666669, 0.6666666666666667, -0.6666666666666666), (1.4714045207910318, -0.26429773960448416, 1.1755270999091973, 0.5846746878837725),
-        (1.655273081384295, 1.1987495441718978, 2.100850731900237, 1.3033853655905858), (2.572851825487011, 0.6597475106995305, 2.1736888549287925, -0.15895108394303398),
-        (2.8803404821067753, -0.7242723856854201, 2.8666666666666667, 0.16666666666666669),
-    ]
-    for (_, c0, c1, _), w in zip(control_points(line), want, strict=True):
-        assert [*c0, *c1] == pytest.approx(w, abs=1e-12)
-    assert flatten(line)[0] == line[0] and flatten(line)[-1] == line[-1]
+    """Control points lie a third of a piece's length from its ends, along the
+    line between the neighbours of that end, or along the piece at an outer one."""
+    rng = random.Random(4)
+    line = [(k + rng.random(), rng.uniform(-3, 3)) for k in range(12)]
+    pieces = control_points(line)
+    assert len(pieces) == 11
+    for k, (p, c0, c1, q) in enumerate(pieces):
+        assert (p, q) == (line[k], line[k + 1])
+        third = math.dist(p, q) / 3
+        before, after = line[k - 1] if k else p, line[k + 2] if k < 10 else q
+        for at, c, along in ((p, c0, (q[0] - before[0], q[1] - before[1])), (q, c1, (p[0] - after[0], p[1] - after[1]))):
+            step = (c[0] - at[0], c[1] - at[1])
+            assert math.hypot(*step) == pytest.approx(third)
+            assert step[0] * along[1] - step[1] * along[0] == pytest.approx(0, abs=1e-9) and step[0] * along[0] + step[1] * along[1] > 0
+    drawn = flatten(line)
+    assert drawn[0] == line[0] and drawn[-1] == line[-1] and set(line) <= set(drawn) and flatten(line[:2]) == line[:2]
 
 
 def test_tiles_cover_the_map(spark):

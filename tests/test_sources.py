@@ -1,4 +1,5 @@
 import json
+import sqlite3
 
 from orbisframe.sources import config
 from orbisframe.sources.geopackage import GeoPackage, add_header, layers, strip_header
@@ -12,6 +13,8 @@ def test_geopackage_round_trip(spark, tmp_path):
     df.write.format("geopackage").option("path", path).option("layer", "towns").mode("append").save()
     got = spark.read.format("geopackage").option("path", path).option("layer", "towns").option("rows", "3").load()
     assert sorted((r.fid, r.name, r.v, bytes(r.geom)) for r in got.collect()) == rows
+    with sqlite3.connect(path) as db:
+        assert {r[0] for r in db.execute("select srs_id from gpkg_spatial_ref_sys")} == {-1, 0, 4326}
     assert layers(path) == ["towns"] and strip_header(add_header(b"abc")) == b"abc"
 
 
@@ -24,3 +27,5 @@ def test_configuration(spark, tmp_path):
     (tmp_path / "g.asc").write_text("ncols 2\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -9\n1 2\n3 -9\n")
     grid, head = config.read_ascii_grid(spark, str(tmp_path / "g.asc"))
     assert {(r.px, r.py): r.value for r in grid.collect()} == {(0, 1): 1.0, (1, 1): 2.0, (0, 0): 3.0, (1, 0): None} and head["ncols"] == 2
+    assert config.raster_bounds(head) == (0.0, 0.0, 2.0, 2.0) and config.raster_bounds({"ncols": 4, "nrows": 2, "xllcenter": 1, "yllcenter": 1, "cellsize": 2}) == (0, 0, 8, 4)
+    assert tuple(config.raster_min_max(grid).first()) == (1.0, 3.0)
