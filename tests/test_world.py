@@ -34,9 +34,11 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_all_queries_have_a_plan(spark):
-    for name, q in registry.queries().items():
-        if name not in ("terrain_flood_ocean", "shore_distance", "grouping_components", "grouping", "load_tiles", "sort_sites", "sort_elevation_desc"):
-            assert q(spark, SF).columns, name
+    """Those that run jobs while they are planned are left to other tests."""
+    busy = ("terrain_flood_ocean", "shore_distance", "grouping_components", "grouping", "load_tiles", "sort_sites", "sort_elevation_desc", "list_pick", "assign_subnation_colors")
+    for name, (f, _) in registry._QUERIES.items():
+        if name not in busy and f.__module__ == registry.__name__:
+            assert registry.queries()[name](spark, SF).columns, name
 
 
 def test_flow_keeps_water(spark):
