@@ -27,7 +27,7 @@ _SPACE, _LETTER, _NUMBER, _OTHER, _UNSAFE = 0, 1, 2, 3, 9
 #: those go that no later slice has asked for again.
 _MEMORY_LIMIT = 1_000_000
 #: Bytes of text in a slice that is encoded at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _class_of(code: int) -> int:
