@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbisframe.llm import chat, decontaminate, licenses, linededup, mainhtml, neardup, packing, quality, suffixdedup, tokencount
+from orbisframe.llm import chat, chatrepair, decontaminate, licenses, linededup, mainhtml, neardup, packing, quality, suffixdedup, tokencount
 from orbisframe.session import shared_folder
 
 
@@ -74,8 +74,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chatrepair.repair_report(rows, chatrepair.damage(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_main_text, op2_suffix_dedup, op3_quality_rules, op4_license_scan, op5_decontaminate, op6_best_fit_packing, op7_minhash_near_dedup, op8_token_counts, op9_line_dedup, op10_chat_format)
+    own = (op1_main_text, op2_suffix_dedup, op3_quality_rules, op4_license_scan, op5_decontaminate, op6_best_fit_packing, op7_minhash_near_dedup, op8_token_counts, op9_line_dedup, op10_chat_format, op13_conversation_repair)
     out = {f.__name__: f for f in own}
     import corpus_pipeline
 
@@ -84,7 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINE_DEDUP_SQL, "op10_chat_format": CHAT_SQL}
+    return {"op9_line_dedup": LINE_DEDUP_SQL, "op10_chat_format": CHAT_SQL, "op13_conversation_repair": REPAIR_SQL}
 
 
 #: Each turn is framed by 20 characters, and each control string or backslash inside it takes one more.
@@ -124,3 +129,63 @@ with l as (
 select d.doc_id, coalesce(n.n, 0)::bigint as n_lines, (coalesce(n.n, 0) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
 from documents d left join n on d.doc_id = n.doc_id left join kept k on d.doc_id = k.doc_id
 """
+
+
+#: The checksum is computed byte by byte from the table of its polynomial. The
+#: repair goes row by row with the cheapest letters up to each of four states
+#: (0 none, 1 system, 2 user, 3 assistant read last); of two ways of one cost to
+#: one state the ASCII-least stays the least whatever follows.
+REPAIR_SQL = r"""
+with recursive poly as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i::bigint] || list_transform(range(8), lambda k: 0::bigint), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))
+), raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations
+), fate as (
+  select r.*, xor(list_reduce([4294967295::bigint] || list_transform(string_split(k, ''), lambda c: ascii(c)::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 as f from raw r, poly
+), hurt as (
+  select conv_id, turn, case when f = 4 then 'user' else role end as role,
+    case when f = 1 then '' when f = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from fate, range(case when f = 0 then 0 when f = 3 then 2 else 1 end)
+), numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') as body, left(role, 1) as ini
+  from hurt
+), kinds as (
+  select *, case when body = '' then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd' when right(body, 1) not in ('.', '!', '?') then 't' else 'k' end as kind,
+    lag(ini) over (partition by conv_id order by i) as prior
+  from numbered
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (kind = 'b')::bigint as blank,
+    count(*) filter (kind = 'd')::bigint as duplicate, count(*) filter (kind = 't')::bigint as truncated,
+    count(*) filter (prior is not null and prior || ini not in ('su', 'ua', 'au'))::bigint as illegal, max(i) as n
+  from kinds group by conv_id
+), walk as (
+  select conv_id, 0::bigint as i, 0 as st, 0 as ins, 0::bigint as cost, '' as audit, '' as made from counts
+  union all
+  select * from (
+    select conv_id, i, st, ins, cost, audit, made from (
+      select *, row_number() over (partition by conv_id, i, st, ins order by cost, audit) as best from (
+        -- up to two empty turns go before a row and after the last one
+        select conv_id, i, case when st = 2 then 3 else 2 end as st, ins + 1 as ins, cost + 3 as cost, audit || 'I' as audit, made || (case when st = 2 then chr(10) || 'assistant:' else chr(10) || 'user:' end) as made from walk where ins < 2
+        union all
+        select w.conv_id, w.i + 1, e.st, 0, w.cost + e.cost, w.audit || e.letter,
+          w.made || (case e.letter when 'D' then '' when 'K' then chr(10) || k.role || ':' || k.text else chr(10) || (case e.st when 2 then 'user' else 'assistant' end) || ':' || k.text end)
+        from walk w join kinds k on w.conv_id is not distinct from k.conv_id and k.i = w.i + 1,
+          lateral (
+            select 'D' as letter, w.st as st, 4 as cost
+            union all select 'R', case when w.st = 2 then 3 else 2 end, 3 + (case when k.kind = 't' then 3 else 0 end) where k.kind in ('t', 'k')
+            union all select 'K', case k.ini when 's' then 1 when 'u' then 2 else 3 end, case when k.kind = 't' then 3 else 0 end
+              where k.kind in ('t', 'k') and ((k.ini = 's' and w.st = 0) or (k.ini = 'u' and w.st in (0, 1, 3)) or (k.ini = 'a' and w.st = 2))) e
+      )
+    ) where best = 1
+  )
+), ended as (
+  select w.conv_id, w.cost, w.audit, w.made, row_number() over (partition by w.conv_id order by w.cost, w.audit) as best
+  from walk w join counts c on w.conv_id is not distinct from c.conv_id and w.i = c.n where w.st in (0, 3)
+)
+select o.conv_id, coalesce(c.gaps, 0)::bigint as gaps, coalesce(c.blank, 0)::bigint as blank, coalesce(c.duplicate, 0)::bigint as duplicate, coalesce(c.truncated, 0)::bigint as truncated,
+  coalesce(c.illegal, 0)::bigint as illegal, coalesce(e.cost, 0)::bigint as cost, coalesce(e.audit, '') as audit, sha256(coalesce(substr(e.made, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id
+left join ended e on o.conv_id is not distinct from e.conv_id and e.best = 1
+"""

@@ -116,3 +116,26 @@ def tree_verdict(model, row):
             node = model.child[node] + int(row[model.feature[node]] > model.threshold[node])
         total += model.value[node]
     return total
+
+
+def cheapest_repair(rows):
+    """(cost, audit, roles) by a search over edit letters in the order of cost
+    and letters; ``rows``: role initial, must go, truncated."""
+    import heapq
+
+    heap = [(0, "", 0, "")]
+    while True:
+        cost, audit, at, made = heapq.heappop(heap)
+        if at == len(rows) and re.fullmatch("(s?(ua)+)?", made):
+            return cost, audit, made
+        if not re.fullmatch("s?(ua)*u?", made) or len(made) > len(rows) + 3:
+            continue
+        for role in "ua":
+            heapq.heappush(heap, (cost + 3, audit + "I", at, made + role))
+        if at < len(rows):
+            role, must_go, truncated = rows[at]
+            heapq.heappush(heap, (cost + 4, audit + "D", at + 1, made))
+            if not must_go:
+                heapq.heappush(heap, (cost + 3 * truncated, audit + "K", at + 1, made + (role or "?")))
+                for to in "ua":
+                    heapq.heappush(heap, (cost + 3 + 3 * truncated, audit + "R", at + 1, made + to))
