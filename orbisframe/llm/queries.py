@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbisframe.llm import chat, chatrepair, decontaminate, licenses, linededup, mainhtml, neardup, packing, quality, suffixdedup, tokencount
+from orbisframe.llm import chat, chatrepair, decontaminate, licenses, linededup, mainhtml, neardup, packing, quality, suffixdedup, tokencount, treapsearch
 from orbisframe.session import shared_folder
 
 
@@ -74,13 +74,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treapsearch.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chatrepair.repair_report(rows, chatrepair.damage(rows))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_main_text, op2_suffix_dedup, op3_quality_rules, op4_license_scan, op5_decontaminate, op6_best_fit_packing, op7_minhash_near_dedup, op8_token_counts, op9_line_dedup, op10_chat_format, op13_conversation_repair)
+    own = (op1_main_text, op2_suffix_dedup, op3_quality_rules, op4_license_scan, op5_decontaminate, op6_best_fit_packing, op7_minhash_near_dedup, op8_token_counts, op9_line_dedup, op10_chat_format, op12_treap_search, op13_conversation_repair)
     out = {f.__name__: f for f in own}
     import corpus_pipeline
 
@@ -89,7 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINE_DEDUP_SQL, "op10_chat_format": CHAT_SQL, "op13_conversation_repair": REPAIR_SQL}
+    return {"op9_line_dedup": LINE_DEDUP_SQL, "op10_chat_format": CHAT_SQL, "op12_treap_search": SEARCH_SQL, "op13_conversation_repair": REPAIR_SQL}
 
 
 #: Each turn is framed by 20 characters, and each control string or backslash inside it takes one more.
@@ -189,3 +193,23 @@ select o.conv_id, coalesce(c.gaps, 0)::bigint as gaps, coalesce(c.blank, 0)::big
 from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id
 left join ended e on o.conv_id is not distinct from e.conv_id and e.best = 1
 """
+
+
+SEARCH_SQL = r"""
+with dw as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from documents
+), tf as (select doc_id, term, count(*) as tf from dw group by all
+), size as (select doc_id, sum(tf)::bigint as n from tf group by doc_id
+), total as (select count(*)::bigint as nn, sum(n)::bigint as ll from size
+), w as (
+  select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf, total group by term, nn
+), qw as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from benchmark
+), scored as (
+  select q.item_id, t.doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 12 * (75 + (25 * s.n * nn) // ll))))::bigint as score
+  from qw q join tf t using (term) join w using (term) join size s on t.doc_id = s.doc_id, total group by q.item_id, t.doc_id
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""

@@ -139,3 +139,24 @@ def cheapest_repair(rows):
                 heapq.heappush(heap, (cost + 3 * truncated, audit + "K", at + 1, made + (role or "?")))
                 for to in "ua":
                     heapq.heappush(heap, (cost + 3 + 3 * truncated, audit + "R", at + 1, made + to))
+
+
+def ranked(docs, items, k=20):
+    """Item, rank, document and score, every document scored for every item."""
+    import math
+
+    low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    bags = [(i, Counter(low(t))) for i, t in docs]
+    bags = [(i, c, sum(c.values())) for i, c in bags if c]
+    n_docs, n_terms = len(bags), sum(n for _, _, n in bags)
+    df = Counter(w for _, c, _ in bags for w in c)
+    out = []
+    for item, text in {(i, t) for i, t in items if t is not None}:
+        scores = []
+        for i, c, n in bags:
+            m = 100 - 25 + (25 * n * n_docs) // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * ((1_000_000_000 * c[w]) // (1000 * c[w] + 12 * m)) for w in low(text) if c[w])
+            if score > 0:
+                scores.append((-score, i is None, i or 0, i))
+        out += [(item, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=repr)
