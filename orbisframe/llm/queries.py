@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbisframe.llm import chat, chatrepair, decontaminate, licenses, linededup, mainhtml, neardup, packing, quality, suffixdedup, tokencount, treapsearch
+from orbisframe.llm import chat, chatrepair, decontaminate, licenses, linededup, mainhtml, neardup, packing, quality, setjoin, suffixdedup, tokencount, treapsearch
 from orbisframe.session import shared_folder
 
 
@@ -74,6 +74,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treapsearch.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -84,7 +88,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_main_text, op2_suffix_dedup, op3_quality_rules, op4_license_scan, op5_decontaminate, op6_best_fit_packing, op7_minhash_near_dedup, op8_token_counts, op9_line_dedup, op10_chat_format, op12_treap_search, op13_conversation_repair)
+    own = (op1_main_text, op2_suffix_dedup, op3_quality_rules, op4_license_scan, op5_decontaminate, op6_best_fit_packing, op7_minhash_near_dedup, op8_token_counts, op9_line_dedup, op10_chat_format, op11_ngram_jaccard_join, op12_treap_search, op13_conversation_repair)
     out = {f.__name__: f for f in own}
     import corpus_pipeline
 
@@ -93,7 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINE_DEDUP_SQL, "op10_chat_format": CHAT_SQL, "op12_treap_search": SEARCH_SQL, "op13_conversation_repair": REPAIR_SQL}
+    return {"op9_line_dedup": LINE_DEDUP_SQL, "op10_chat_format": CHAT_SQL, "op11_ngram_jaccard_join": JOIN_SQL, "op12_treap_search": SEARCH_SQL, "op13_conversation_repair": REPAIR_SQL}
 
 
 #: Each turn is framed by 20 characters, and each control string or backslash inside it takes one more.
@@ -213,3 +217,21 @@ with dw as (
 )
 select item_id, rank, doc_id, score from ranked where rank <= 20
 """
+
+
+JOIN_SQL = r"""
+with recursive dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), sh as (
+  select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from dw, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) u(i) where len(ws) > 0
+), size as (select doc_id, count(*) as n from sh group by doc_id
+), pair as (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared from sh a join sh b on a.g = b.g and a.doc_id <> b.doc_id group by all
+), link as (
+  select x, y from pair join size p on p.doc_id = x join size q on q.doc_id = y where 100 * shared >= 80 * (p.n + q.n - shared)
+), reach as (
+  select doc_id as x, doc_id as y from dw union select reach.x, link.y from reach join link on reach.y = link.x
+)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, r.component_id
+from dw d left join size s using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by x) r using (doc_id)
+"""

@@ -160,3 +160,31 @@ def ranked(docs, items, k=20):
                 scores.append((-score, i is None, i or 0, i))
         out += [(item, r + 1, x[3], -x[0]) for r, x in enumerate(sorted(scores)[:k])]
     return sorted(out, key=repr)
+
+
+def link_components(docs, percent=80, size=5):
+    """Number of shingles and smallest reachable id of each row."""
+    sets = []
+    for _, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    label = list(range(len(docs)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for k, a in enumerate(sets):
+        for j in range(k):
+            b = sets[j]
+            same_id = docs[k][0] is not None and docs[k][0] == docs[j][0]
+            near = a and b and 100 * len(a & b) >= percent * len(a | b)
+            # a row without an id belongs to equal sets and links nothing
+            if same_id or (near and (a == b or None not in (docs[k][0], docs[j][0]))):
+                label[find(k)] = find(j)
+    best = {}
+    for k, (i, _) in enumerate(docs):
+        if i is not None:
+            best[find(k)] = min(best.get(find(k), i), i)
+    return [(i, len(sets[k]), best.get(find(k))) for k, (i, _) in enumerate(docs)]
