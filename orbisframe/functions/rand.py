@@ -1,12 +1,36 @@
 """Keyed random draws: a value depends on (tag, key) only, so results don't
-depend on partitioning and any engine with md5 can repeat them."""
+depend on partitioning and any engine with md5 can repeat them.
+
+A stream is a prefix of tags, made of a world's seed and of the place where
+something is drawn, such as a task of a recipe. Draws of different streams are
+independent; the empty stream is that of no seed and no place."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stream(seed: int | str | None, *places: object) -> str:
+    """The stream of a seed and a place; places are steps, from the outside
+    in, and no two different lists of them give one stream."""
+    steps = ([] if seed is None else [f"seed={seed}"]) + [str(p) for p in places]
+    return "".join(s.replace("%", "%25").replace("/", "%2F") + "/" for s in steps)
+
+
+def draw(*key: object) -> float:
+    """``uniform`` on the driver: the same value for the same tag and key."""
+    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) / 4294967296
+
+
+def whole(low: int, high: int, *key: object) -> int:
+    """A whole number from ``low`` to ``high``, both included."""
+    return low + math.floor(draw(*key) * (high - low + 1))
+
+
 def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

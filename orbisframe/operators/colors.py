@@ -76,22 +76,22 @@ def hue_of(color: Column) -> Column:
     return turn * 60.0
 
 
-def random_colors(rows: DataFrame, hue_low: float = 0.0, hue_high: float = 360.0, luminosity: str | None = "Light") -> DataFrame:
+def random_colors(rows: DataFrame, hue_low: float = 0.0, hue_high: float = 360.0, luminosity: str | None = "Light", stream: str = "") -> DataFrame:
     """``rows`` (with fid) and ``color``: the hue range in as many equal parts
     as rows, dealt in a keyed order, a random hue in each, saturation and value
     drawn inside the bounds that hue and luminosity set."""
     n = rows.agg(F.count("*").alias("_all"))
-    dealt = number_rows(rows.withColumn("_u", uniform("deal", "fid")), ["_u", "fid"], "_place", 0)
-    hue = F.lit(hue_low) + (F.col("_place") + uniform("hue", "fid")) * (hue_high - hue_low) / F.col("_all")
-    return color_by_hue(dealt.crossJoin(F.broadcast(n)).withColumn("_h", hue), luminosity).drop("_all", "_u", "_place")
+    dealt = number_rows(rows.withColumn("_u", uniform(f"{stream}deal", "fid")), ["_u", "fid"], "_place", 0)
+    hue = F.lit(hue_low) + (F.col("_place") + uniform(f"{stream}hue", "fid")) * (hue_high - hue_low) / F.col("_all")
+    return color_by_hue(dealt.crossJoin(F.broadcast(n)).withColumn("_h", hue), luminosity, stream).drop("_all", "_u", "_place")
 
 
-def color_by_hue(rows: DataFrame, luminosity: str | None) -> DataFrame:
+def color_by_hue(rows: DataFrame, luminosity: str | None, stream: str = "") -> DataFrame:
     """``color`` for rows with fid and a hue ``_h``."""
     low, high = saturation_range(F.col("_h"), luminosity)
-    rows = rows.withColumn("_s", low + uniform("sat", "fid") * (high - low))
+    rows = rows.withColumn("_s", low + uniform(f"{stream}sat", "fid") * (high - low))
     low, high = value_range(F.col("_h"), F.col("_s"), luminosity)
-    rows = rows.withColumn("_v", low + uniform("val", "fid") * (high - low))
+    rows = rows.withColumn("_v", low + uniform(f"{stream}val", "fid") * (high - low))
     return rows.withColumn("color", hex_color(F.col("_h"), F.col("_s"), F.col("_v"))).drop("_h", "_s", "_v")
 
 
@@ -106,7 +106,7 @@ def hue_subranges(rows: DataFrame, count: int, low: float = 0.0, high: float = 3
     return rows.withColumn("hue_low", F.when(inside, low + k * step).otherwise(h)).withColumn("hue_high", F.when(inside, low + (k + 1) * step).otherwise(h))
 
 
-def subnation_colors(subnations: DataFrame, nations: DataFrame) -> DataFrame:
+def subnation_colors(subnations: DataFrame, nations: DataFrame, stream: str = "") -> DataFrame:
     """(fid, color): colours of subnations inside the part of the hue circle
     that their nation's colour came from, one part of that each. Nations are
     fid and color; both are joined by id, counted by group."""
@@ -114,7 +114,7 @@ def subnation_colors(subnations: DataFrame, nations: DataFrame) -> DataFrame:
 
     n = nations.select(F.col("fid").alias("nation_id"), "color").join(subnations.groupBy("nation_id").agg(F.count("*").alias("_n")), "nation_id")
     ranged = hue_subranges(n, max(1, nations.count())).drop("color")
-    k = F.row_number().over(Window.partitionBy("nation_id").orderBy(uniform("sub_deal", "fid"), "fid")) - 1
+    k = F.row_number().over(Window.partitionBy("nation_id").orderBy(uniform(f"{stream}sub_deal", "fid"), "fid")) - 1
     j = subnations.select("fid", "nation_id").withColumn("_k", k).join(ranged, "nation_id")
-    hue = F.col("hue_low") + (F.col("_k") + uniform("hue", "fid")) * (F.col("hue_high") - F.col("hue_low")) / F.col("_n")
-    return color_by_hue(j.withColumn("_h", hue), "Light").select("fid", "color")
+    hue = F.col("hue_low") + (F.col("_k") + uniform(f"{stream}hue", "fid")) * (F.col("hue_high") - F.col("hue_low")) / F.col("_n")
+    return color_by_hue(j.withColumn("_h", hue), "Light", stream).select("fid", "color")

@@ -13,14 +13,14 @@ from orbisframe.functions.rand import uniform
 from orbisframe.operators.terrain import Limits
 
 
-def gen_points(spark: SparkSession, n_tiles: int, lim: Limits = Limits(), jitter: float = 0.45, tag: str = "point") -> DataFrame:
+def gen_points(spark: SparkSession, n_tiles: int, lim: Limits = Limits(), jitter: float = 0.45, stream: str = "") -> DataFrame:
     """(key, x, y): a grid of about ``n_tiles`` cells, each point moved by a
     keyed draw, and four far corners with negative keys."""
     step = math.sqrt(lim.width * lim.height / n_tiles)
     cols, rows = max(1, round(lim.width / step)), max(1, round(lim.height / step))
     dx, dy = lim.width / cols, lim.height / rows
     g = spark.range(cols * rows).withColumnRenamed("id", "key")
-    move = lambda axis, d: (uniform(f"{tag}_{axis}", "key") * 2 - 1) * jitter * d
+    move = lambda axis, d: (uniform(f"{stream}point_{axis}", "key") * 2 - 1) * jitter * d
     grid = g.select("key", (lim.west + (F.col("key") % cols + 0.5) * dx + move("x", dx)).alias("x"), (lim.south + (F.expr(f"key div {cols}") + 0.5) * dy + move("y", dy)).alias("y"))
     far = [(-1 - k, lim.west + a * lim.width, lim.south + b * lim.height) for k, (a, b) in enumerate(((-1.0, -1.0), (2.0, -1.0), (-1.0, 2.0), (2.0, 2.0)))]
     return grid.unionByName(spark.createDataFrame(far, "key long, x double, y double"))
@@ -115,38 +115,3 @@ def clip_ring(ring: list[tuple[float, float]], lim: Limits) -> list[tuple[float,
                 out.append(q)
         ring = out
     return ring
-
-
-def union_rings(rings: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Border of the union of cells that share vertices exactly: directed
-    edges that occur in both directions cancel, the rest is linked to rings."""
-    nxt: dict[tuple, list] = {}
-    for ring in rings:
-        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-            if a in nxt.get(b, ()):
-                nxt[b].remove(a)
-            else:
-                nxt.setdefault(a, []).append(b)
-    out = []
-    while True:
-        start = min((a for a, to in nxt.items() if to), default=None)
-        if start is None:
-            return out
-        ring, at = [start], nxt[start].pop()
-        while at != start:
-            ring.append(at)
-            at = nxt[at].pop()
-        out.append(ring)
-
-
-def dissolve(tiles: DataFrame, theme: str) -> DataFrame:
-    """(theme, rings): border rings of the union of each theme's tiles. A tile
-    whose every neighbour has its theme adds only cancelling edges, so the
-    union is done by group after the tiles' rings meet there."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = union_rings([[(p["x"], p["y"]) for p in r] for r in pdf["ring"]])
-        return pd.DataFrame({"theme": [pdf["theme"].iloc[0]], "rings": [[[{"x": a, "y": b} for a, b in r] for r in rings]]})
-
-    rows = tiles.where(F.col(theme).isNotNull()).select(F.col(theme).cast("string").alias("theme"), "ring")
-    return rows.groupBy("theme").applyInPandas(lambda pdf: work(pdf), "theme string, rings array<array<struct<x:double,y:double>>>")

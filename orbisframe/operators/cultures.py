@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbisframe.functions.rand import uniform
+from orbisframe.functions.rand import draw, uniform
 from orbisframe.operators.people import culture_type, expansionism, preference
 from orbisframe.operators.settle import name_duplicates
 from orbisframe.operators.tables import number_rows
@@ -20,20 +19,15 @@ ATTEMPTS = 100
 PATIENCE = 200
 
 
-def draw(*key: object) -> float:
-    """The same keyed uniform as ``functions.rand.uniform``, on the driver."""
-    return int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) / 4294967296
-
-
-def weighted_reject_sample(items: list[tuple[object, float]], count: int, tag: str = "culture_set") -> list[object]:
+def weighted_reject_sample(items: list[tuple[object, float]], count: int, stream: str = "") -> list[object]:
     """Up to ``count`` of the items (a configuration's list) without
     replacement: one is drawn evenly and kept with its probability, else
     another is drawn; after 200 draws in all, whatever is drawn is kept."""
     left, out, draws = list(items), [], 0
     while left and len(out) < count:
         draws += 1
-        k = int(draw(f"{tag}_pick", draws) * len(left))
-        if draws >= PATIENCE or draw(f"{tag}_keep", draws) < left[k][1]:
+        k = int(draw(f"{stream}culture_set_pick", draws) * len(left))
+        if draws >= PATIENCE or draw(f"{stream}culture_set_keep", draws) < left[k][1]:
             out.append(left.pop(k)[0])
     return out
 
@@ -62,7 +56,7 @@ def too_close(points: DataFrame, placed: list[tuple[float, float]], spacing: flo
 
 
 def generate_cultures(
-    tiles: DataFrame, sources: list[dict], count: int, width: float = 360.0, height: float = 180.0, variance: float = 1.0, river_threshold: float = 10.0, compat: bool = False
+    tiles: DataFrame, sources: list[dict], count: int, width: float = 360.0, height: float = 180.0, variance: float = 1.0, river_threshold: float = 10.0, compat: bool = False, stream: str = ""
 ) -> tuple[DataFrame, list[str]]:
     """(cultures, warnings). ``tiles``: the columns that preferences and
     culture types read, with site_x, site_y, habitability and population;
@@ -86,10 +80,10 @@ def generate_cultures(
         warnings.append(f"there aren't enough habitable tiles, the count is limited to {count}")
     spacing = (width + height) / 2 / count if count else 0.0
     chosen, half = [], max(n // 2, 1)
-    for k, source in enumerate(weighted_reject_sample([(s, float(s.get("probability") or 1)) for s in sources], count)):
+    for k, source in enumerate(weighted_reject_sample([(s, float(s.get("probability") or 1)) for s in sources], count, stream)):
         gone = [c["center_tile_id"] for c in chosen]
         ranked = sort_preference(people.where(~F.col("fid").isin(gone)) if gone else people, source.get("preferences") or "Habitability", top or 1.0, not compat)
-        places = [0] * (ATTEMPTS + 2) if compat else [int(draw("center", f"{k}_{i}") ** 5 * half) for i in range(ATTEMPTS + 2)]
+        places = [0] * (ATTEMPTS + 2) if compat else [int(draw(f"{stream}center", f"{k}_{i}") ** 5 * half) for i in range(ATTEMPTS + 2)]
         found = {r.place: r for r in ranked.where(F.col("place").isin(sorted(set(places)))).select("place", "fid", "site_x", "site_y").collect()}
         for i, place in enumerate(places):
             r = found[place]
@@ -100,6 +94,6 @@ def generate_cultures(
     rows = tiles.sparkSession.createDataFrame(
         [(c["fid"], c["name"], c["namer"], c["center_tile_id"]) for c in chosen], "fid long, name string, namer string, center_tile_id long"
     )
-    center = people.withColumn("_type", culture_type(river_threshold)).select(F.col("fid").alias("center_tile_id"), F.col("_type").alias("type_"))
+    center = people.withColumn("_type", culture_type(river_threshold, stream=stream)).select(F.col("fid").alias("center_tile_id"), F.col("_type").alias("type_"))
     out = name_duplicates(rows).join(center, "center_tile_id")
-    return out.select("fid", "name", "namer", "type_", expansionism(F.col("type_"), "fid", variance).alias("expansionism"), "center_tile_id"), warnings
+    return out.select("fid", "name", "namer", "type_", expansionism(F.col("type_"), "fid", variance, stream).alias("expansionism"), "center_tile_id"), warnings

@@ -92,11 +92,11 @@ def preference(tree: dict | str | float, max_habitability: Column | float = 1.0)
     raise ValueError(f"unknown preference {kind}")
 
 
-def culture_type(river_threshold: float = 10.0, key: str = "fid") -> Column:
+def culture_type(river_threshold: float = 10.0, key: str = "fid", stream: str = "") -> Column:
     """Type of a culture centred on the tile: a decision list whose chances
     are drawn by the tile's key."""
     lake = F.col("neighboring_lake_size")
-    naval = (lake.isNull() & (uniform("ct_sea", key) < 0.1)) | ((F.col("water_count") == 1) & (uniform("ct_bay", key) < 0.6)) | ((F.col("grouping") == "Islet") & (uniform("ct_islet", key) < 0.4))
+    naval = (lake.isNull() & (uniform(f"{stream}ct_sea", key) < 0.1)) | ((F.col("water_count") == 1) & (uniform(f"{stream}ct_bay", key) < 0.6)) | ((F.col("grouping") == "Islet") & (uniform(f"{stream}ct_islet", key) < 0.4))
     return (
         F.when((F.col("elevation_scaled") < 70) & F.col("supports_nomadic"), "Nomadic").when(F.col("elevation_scaled") > 50, "Highland")
         .when(F.col("water_count").isNotNull() & (F.coalesce(lake, F.lit(0)) > 5), "Lake").when(F.col("water_count").isNotNull() & naval, "Naval")
@@ -104,8 +104,8 @@ def culture_type(river_threshold: float = 10.0, key: str = "fid") -> Column:
     )
 
 
-def expansionism(type_: Column, key: Column | str, variance: float = 1.0, tag: str = "expansion") -> Column:
-    return (uniform(tag, key) * variance / 2.0 + 1.0) * lookup(type_, EXPANSION_BASE, 1.0)
+def expansionism(type_: Column, key: Column | str, variance: float = 1.0, stream: str = "") -> Column:
+    return (uniform(f"{stream}expansion", key) * variance / 2.0 + 1.0) * lookup(type_, EXPANSION_BASE, 1.0)
 
 
 def shore_cost(t: Column, d: Column) -> Column:

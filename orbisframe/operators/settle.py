@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from orbisframe.functions.rand import normal, uniform
 
 
-def score_tiles(tiles: DataFrame, tag: str = "town") -> DataFrame:
+def score_tiles(tiles: DataFrame, stream: str = "") -> DataFrame:
     """Tiles that can hold a town, with a score for capitals (habitability by
     a factor of one half to one) and one for towns (by a clamped normal)."""
-    factor = F.greatest(F.lit(0.0), F.least(F.lit(20.0), normal(f"{tag}_t", "fid", 1.0, 3.0)))
-    return tiles.where("habitability > 0").select("*", (F.col("habitability") * (uniform(f"{tag}_c", "fid") * 0.5 + 0.5)).alias("capital_score"), (F.col("habitability") * factor).alias("town_score"))
+    factor = F.greatest(F.lit(0.0), F.least(F.lit(20.0), normal(f"{stream}town_t", "fid", 1.0, 3.0)))
+    return tiles.where("habitability > 0").select("*", (F.col("habitability") * (uniform(f"{stream}town_c", "fid") * 0.5 + 0.5)).alias("capital_score"), (F.col("habitability") * factor).alias("town_score"))
 
 
 def capitals_topk(scored: DataFrame, count: int) -> DataFrame:
@@ -30,9 +30,9 @@ def town_counts(extent_area: float, populated: int, capitals: int | None = None,
     return n, min(towns if towns is not None else int(extent_area / 100), populated - n)
 
 
-def generate_towns(tiles: DataFrame, n_capitals: int, n_towns: int) -> DataFrame:
+def generate_towns(tiles: DataFrame, n_capitals: int, n_towns: int, stream: str = "") -> DataFrame:
     """(tile_id, is_capital, fid): capitals first, each in the order of its score."""
-    scored = score_tiles(tiles)
+    scored = score_tiles(tiles, stream)
     cap = capitals_topk(scored, n_capitals)
     rows = cap.select("fid", F.lit(True).alias("is_capital"), F.col("capital_score").alias("score")).unionByName(towns_topk(scored, cap, n_towns).select("fid", F.lit(False).alias("is_capital"), F.col("town_score").alias("score")))
     # the number of towns is bounded by the two limits above
@@ -59,14 +59,14 @@ def populate_towns(towns: DataFrame, tiles: DataFrame, lakes: DataFrame, river_t
     return j.select("fid", F.floor(pop).cast("int").alias("population"), (F.col("_port") & ~alone).alias("is_port"), move("site_x").alias("x"), move("site_y").alias("y"))
 
 
-def generate_nations(towns: DataFrame, cultures: DataFrame, variance: float = 1.0) -> DataFrame:
+def generate_nations(towns: DataFrame, cultures: DataFrame, variance: float = 1.0, stream: str = "") -> DataFrame:
     """One nation a capital: type of its culture or Generic."""
     c = cultures.select(F.col("culture_key").alias("_c"), F.col("type_").alias("_t"))
     rows = towns.where("is_capital").join(F.broadcast(c), F.col("culture_key") == F.col("_c"), "left")
     order = Window.orderBy("fid")  # capitals are a bounded top-k
     return rows.select(
         F.row_number().over(order).cast("long").alias("fid"), F.col("fid").alias("capital_town_id"), "culture_key", F.col("tile_id").alias("center_tile_id"),
-        F.coalesce("_t", F.lit("Generic")).alias("type_"), (1.0 + (uniform("nation_x", "fid") * 0.9 + 0.1) * variance).alias("expansionism"),
+        F.coalesce("_t", F.lit("Generic")).alias("type_"), (1.0 + (uniform(f"{stream}nation_x", "fid") * 0.9 + 0.1) * variance).alias("expansionism"),
     )
 
 
@@ -116,22 +116,22 @@ def normalize_subnations(tiles: DataFrame, edges: DataFrame, seats: DataFrame, g
     return normalize(tiles, edges, "subnation_id", ~F.col(grouping).isin("Ocean", "Lake"), fixed, seats, "nation_id")
 
 
-def subnation_seats(towns: DataFrame, percentage: float = 20.0, largest_first: bool = False) -> DataFrame:
+def subnation_seats(towns: DataFrame, percentage: float = 20.0, largest_first: bool = False, stream: str = "") -> DataFrame:
     """Per nation the first towns by population with a random factor:
     ascending, as the rule has always been, unless ``largest_first``."""
-    key = F.col("population") * F.greatest(F.lit(0.5), F.least(F.lit(1.5), normal("seat", "fid", 1.0, 0.2)))
+    key = F.col("population") * F.greatest(F.lit(0.5), F.least(F.lit(1.5), normal(f"{stream}seat", "fid", 1.0, 0.2)))
     w = Window.partitionBy("nation_id")
     ranked = towns.withColumn("_k", F.row_number().over(w.orderBy(F.desc(key) if largest_first else key, "fid"))).withColumn("_n", F.count("*").over(w))
     return ranked.where(F.col("_k") <= F.floor(F.greatest(F.lit(2.0), F.col("_n") * percentage / 100))).drop("_k", "_n")
 
 
-def generate_subnations(towns: DataFrame, nations: DataFrame, cultures: DataFrame, made_name: Column, percentage: float = 20.0) -> DataFrame:
+def generate_subnations(towns: DataFrame, nations: DataFrame, cultures: DataFrame, made_name: Column, percentage: float = 20.0, stream: str = "") -> DataFrame:
     """(fid, name, culture_key, center_tile_id, type_, seat_town_id, nation_id,
     color): one a seat in every nation of two towns at least, called after its
     town or, in half of the cases, by ``made_name``, a Column over the seats;
     type of its culture, colour of its nation. ``towns`` have nation_id."""
     many = towns.groupBy("nation_id").agg(F.count("*").alias("_towns")).where("_towns >= 2").select("nation_id")
-    seats = subnation_seats(towns.join(many, "nation_id", "left_semi"), percentage)
+    seats = subnation_seats(towns.join(many, "nation_id", "left_semi"), percentage, stream=stream)
     c = cultures.select(F.col("culture_key").alias("_c"), F.col("type_").alias("_t"))
     n = nations.select(F.col("fid").alias("nation_id"), "color")
     rows = seats.withColumn("_made", made_name).join(F.broadcast(c), F.col("culture_key") == F.col("_c"), "left").join(n, "nation_id")
@@ -139,7 +139,7 @@ def generate_subnations(towns: DataFrame, nations: DataFrame, cultures: DataFram
 
     numbered = number_rows(rows.withColumnRenamed("fid", "seat_town_id"), ["nation_id", "seat_town_id"], "fid")
     return numbered.select(
-        "fid", F.when(uniform("sub_name", "seat_town_id") < 0.5, F.col("name")).otherwise(F.col("_made")).alias("name"), "culture_key",
+        "fid", F.when(uniform(f"{stream}sub_name", "seat_town_id") < 0.5, F.col("name")).otherwise(F.col("_made")).alias("name"), "culture_key",
         F.col("tile_id").alias("center_tile_id"), F.coalesce("_t", F.lit("Generic")).alias("type_"), "seat_town_id", "nation_id", "color",
     )
 

@@ -1,7 +1,8 @@
 """Terrain tasks: each takes tiles and returns tiles with new elevations.
 
 Tiles have fid, site_x, site_y, elevation and grouping; neighbour tasks also
-take the edge table (src, dst). Random tasks draw by (tag, fid).
+take the edge table (src, dst). Random tasks draw from the stream they are
+given, those of single rows by fid.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbisframe.functions.rand import between, uniform
+from orbisframe.functions.rand import between, uniform, whole
+from orbisframe.functions.rand import stream as streams
 
 # How far a hill spreads, by the largest number of tiles it holds for.
 BLOB_POWERS = (
@@ -137,10 +139,10 @@ def fill_ocean(tiles: DataFrame, grouping: str = "grouping") -> DataFrame:
     return tiles.withColumn(grouping, F.when(F.col("elevation") < 0, F.lit("Ocean")).otherwise(F.col(grouping)))
 
 
-def random_uniform(tiles: DataFrame, delta: Span, span: Span | None = None, lim: Limits = Limits(), tag: str = "ru") -> DataFrame:
+def random_uniform(tiles: DataFrame, delta: Span, span: Span | None = None, lim: Limits = Limits(), stream: str = "") -> DataFrame:
     """Add a random share of the heights between the two deltas."""
     low, high = (math.copysign(relative_height(abs(v), lim), v) for v in (delta.low, delta.high))
-    return tiles.withColumn("elevation", F.when(height_filter(span, lim), clamp(F.col("elevation") + between(tag, "fid", low, high), lim)).otherwise(F.col("elevation")))
+    return tiles.withColumn("elevation", F.when(height_filter(span, lim), clamp(F.col("elevation") + between(f"{stream}ru", "fid", low, high), lim)).otherwise(F.col("elevation")))
 
 
 def mask(tiles: DataFrame, power: float = 1.0, lim: Limits = Limits()) -> DataFrame:
@@ -177,7 +179,7 @@ def nearest_tile(points: DataFrame, tiles: DataFrame, cell: float) -> DataFrame:
     return near.join(sites, ["gx", "gy"]).groupBy("key").agg(F.min_by("fid", F.struct(d.alias("d"), F.col("fid"))).alias("fid"), F.min(d).alias("d2"))
 
 
-def invert(tiles: DataFrame, probability: float, axes: str = "xy", lim: Limits = Limits(), cell: float = 20.0, tag: str = "inv") -> DataFrame:
+def invert(tiles: DataFrame, probability: float, axes: str = "xy", lim: Limits = Limits(), cell: float = 20.0, stream: str = "") -> DataFrame:
     """With the given probability (one draw for the map) every tile takes the
     elevation of the tile nearest to its mirror point."""
     flip = F.col("_u") < probability
@@ -186,7 +188,7 @@ def invert(tiles: DataFrame, probability: float, axes: str = "xy", lim: Limits =
     points = tiles.select(F.col("fid").alias("key"), x.alias("x"), y.alias("y"))
     twin = nearest_tile(points, tiles, cell).select("key", F.col("fid").alias("twin"))
     height = tiles.select(F.col("fid").alias("twin"), F.col("elevation").alias("other"))
-    out = tiles.join(twin.join(height, "twin"), tiles["fid"] == F.col("key"), "left").withColumn("_u", uniform(tag, F.lit(0)))
+    out = tiles.join(twin.join(height, "twin"), tiles["fid"] == F.col("key"), "left").withColumn("_u", uniform(f"{stream}inv", F.lit(0)))
     return out.withColumn("elevation", F.when(flip & F.col("other").isNotNull(), F.col("other")).otherwise(F.col("elevation"))).drop("key", "twin", "other", "_u")
 
 
@@ -218,8 +220,8 @@ def sample_ocean_below(tiles: DataFrame, raster: DataFrame, columns: int, rows:
     return got.withColumn(grouping, F.when(F.col("sample") < level, F.lit("Ocean")).otherwise(F.col(grouping))).drop("sample")
 
 
-# Order-dependent tasks run as one kernel over a world: the visiting order is
-# part of their meaning. ``world`` columns make several worlds run side by side.
+# Order-dependent tasks run as one kernel over the map: the visiting order is
+# part of their meaning.
 
 
 def _kernel(tiles: DataFrame, edges: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.DataFrame], grouping: str) -> DataFrame:
@@ -236,10 +238,8 @@ def _kernel(tiles: DataFrame, edges: DataFrame, fn: Callable[[pd.DataFrame, dict
     return rows.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda pdf: work(pdf), tiles.schema)
 
 
-def _rng(tag: str, seed: int) -> np.random.Generator:
-    import hashlib
-
-    return np.random.default_rng(int(hashlib.md5(f"{seed}:{tag}".encode()).hexdigest()[:15], 16))
+def _rng(stream: str, tag: str) -> np.random.Generator:
+    return np.random.default_rng(int(hashlib.md5(f"{stream}{tag}".encode()).hexdigest()[:15], 16))
 
 
 def _start_tiles(pdf: pd.DataFrame, x: Span, y: Span, lim: Limits) -> np.ndarray:
@@ -250,12 +250,12 @@ def _start_tiles(pdf: pd.DataFrame, x: Span, y: Span, lim: Limits) -> np.ndarray
 _ALL = Span(0, 100)
 
 
-def add_hill(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Span = _ALL, y: Span = _ALL, lim: Limits = Limits(), seed: int = 0, grouping: str = "grouping") -> DataFrame:
+def add_hill(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Span = _ALL, y: Span = _ALL, lim: Limits = Limits(), stream: str = "", grouping: str = "grouping") -> DataFrame:
     """Blobs: a random start is raised, and each ring around it by a power of
     the ring before with a random factor, until the rise is at most 1."""
 
     def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
-        rng, power = _rng("hill", seed), blob_power(len(pdf))
+        rng, power = _rng(stream, "hill"), blob_power(len(pdf))
         h = pdf["elevation"].to_numpy(float).copy()
         starts = _start_tiles(pdf, x, y, lim)
         for _ in range(count if len(starts) else 0):
@@ -305,12 +305,12 @@ def _walk(pdf: pd.DataFrame, near: list[list[int]], start: int, end: int, miss:
     return path
 
 
-def add_range(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Span = _ALL, y: Span = _ALL, lim: Limits = Limits(), seed: int = 0, grouping: str = "grouping") -> DataFrame:
+def add_range(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Span = _ALL, y: Span = _ALL, lim: Limits = Limits(), stream: str = "", grouping: str = "grouping") -> DataFrame:
     """Ranges: a jagged ridge is raised, its sides by decaying heights, and at
     every sixth ridge tile a spur runs downhill."""
 
     def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
-        rng, power = _rng("range", seed), line_power(len(pdf))
+        rng, power = _rng(stream, "range"), line_power(len(pdf))
         h = pdf["elevation"].to_numpy(float).copy()
         starts = _start_tiles(pdf, x, y, lim)
         for _ in range(count if len(starts) else 0):
@@ -342,11 +342,11 @@ def add_range(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Sp
     return _kernel(tiles, edges, work, grouping)
 
 
-def add_strait(tiles: DataFrame, edges: DataFrame, width: float, vertical: bool = True, lim: Limits = Limits(), seed: int = 0, grouping: str = "grouping") -> DataFrame:
+def add_strait(tiles: DataFrame, edges: DataFrame, width: float, vertical: bool = True, lim: Limits = Limits(), stream: str = "", grouping: str = "grouping") -> DataFrame:
     """A path across the map whose rings are lowered by falling exponents."""
 
     def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
-        rng = _rng("strait", seed)
+        rng = _rng(stream, "strait")
         h = pdf["elevation"].to_numpy(float).copy()
         xs, ys = pdf["site_x"].to_numpy(), pdf["site_y"].to_numpy()
 
@@ -404,11 +404,11 @@ def erode(tiles: DataFrame, edges: DataFrame, weathering: float = 1000.0, iterat
     return _kernel(tiles, edges, work, grouping)
 
 
-def seed_ocean(tiles: DataFrame, edges: DataFrame, count: int, x: Span = _ALL, y: Span = _ALL, lim: Limits = Limits(), seed: int = 0, grouping: str = "grouping") -> DataFrame:
+def seed_ocean(tiles: DataFrame, edges: DataFrame, count: int, x: Span = _ALL, y: Span = _ALL, lim: Limits = Limits(), stream: str = "", grouping: str = "grouping") -> DataFrame:
     """From random starts follow the steepest descent to a tile below zero and mark it."""
 
     def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
-        rng = _rng("seed", seed)
+        rng = _rng(stream, "seed")
         h, g = pdf["elevation"].to_numpy(float), pdf[grouping].tolist()
         starts = _start_tiles(pdf, x, y, lim)
         for _ in range(count if len(starts) else 0):
@@ -455,15 +455,15 @@ _ROW_TASKS = {
     "FloodOcean": lambda t, e, p, lim: flood_ocean(t, e),
     "Add": lambda t, e, p, lim: add(t, p["height_delta"], _opt(p), lim),
     "Multiply": lambda t, e, p, lim: multiply(t, p["height_factor"], _opt(p), lim),
-    "RandomUniform": lambda t, e, p, lim: random_uniform(t, Span.parse(p["height_delta"]), _opt(p), lim),
+    "RandomUniform": lambda t, e, p, lim: random_uniform(t, Span.parse(p["height_delta"]), _opt(p), lim, p["_stream"]),
     "Mask": lambda t, e, p, lim: mask(t, p.get("power", 1), lim),
     "Smooth": lambda t, e, p, lim: smooth(t, e, p.get("fr", 2), lim),
-    "Invert": lambda t, e, p, lim: invert(t, p["probability"], p.get("axes", "xy").lower().replace("both", "xy"), lim),
+    "Invert": lambda t, e, p, lim: invert(t, p["probability"], p.get("axes", "xy").lower().replace("both", "xy"), lim, stream=p["_stream"]),
     "Erode": lambda t, e, p, lim: erode(t, e, p.get("weathering_amount", 1000), p.get("iterations", 10), lim),
-    "AddHill": lambda t, e, p, lim: add_hill(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
-    "AddRange": lambda t, e, p, lim: add_range(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
-    "AddStrait": lambda t, e, p, lim: add_strait(t, e, _drawn(p, "width"), p.get("direction", "Vertical") == "Vertical", lim),
-    "SeedOcean": lambda t, e, p, lim: seed_ocean(t, e, _drawn(p, "count"), _axis(p, "x_filter"), _axis(p, "y_filter"), lim),
+    "AddHill": lambda t, e, p, lim: add_hill(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_stream"]),
+    "AddRange": lambda t, e, p, lim: add_range(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_stream"]),
+    "AddStrait": lambda t, e, p, lim: add_strait(t, e, _drawn(p, "width"), p.get("direction", "Vertical") == "Vertical", lim, p["_stream"]),
+    "SeedOcean": lambda t, e, p, lim: seed_ocean(t, e, _drawn(p, "count"), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_stream"]),
 }
 _KNOWN = {"task", "height_filter", "height_delta", "height_factor", "power", "fr", "probability", "axes", "weathering_amount", "iterations", "count", "x_filter", "y_filter", "width", "direction", "source", "recipe", "elevation"}
 
@@ -477,14 +477,14 @@ def _axis(p: dict, name: str) -> Span:
 
 
 def _drawn(p: dict, name: str) -> int:
-    """A whole number out of a task's range, drawn by the task and its place."""
+    """A whole number out of a task's range, drawn from the task's stream."""
     span = Span.parse(p.get(name, 1))
-    u = int(hashlib.md5(f"{p['task']}:{name}:{p.get('_place', '')}".encode()).hexdigest()[:8], 16) / 4294967296
-    return int(span.low + math.floor(u * max(span.high - span.low + span.inclusive, 1)))
+    return whole(int(span.low), max(int(span.high) - (not span.inclusive), int(span.low)), p["_stream"] + p["task"], name)
 
 
 def recipe(
-    tiles: DataFrame, edges: DataFrame, tasks: list[dict], lim: Limits = Limits(), rasters: dict[str, tuple[DataFrame, int, int]] | None = None, recipes: dict[str, list[dict]] | None = None
+    tiles: DataFrame, edges: DataFrame, tasks: list[dict], lim: Limits = Limits(), rasters: dict[str, tuple[DataFrame, int, int]] | None = None, recipes: dict[str, list[dict]] | None = None,
+    stream: str = "",
 ) -> DataFrame:
     """Run a list of tasks, then clamp and scale. Row-local tasks fuse into
     one stage; unknown keys are warned about, unknown tasks are an error.
@@ -492,19 +492,21 @@ def recipe(
     ``rasters``: height maps by the name that a task's ``source`` gives, each
     with its columns and rows, for the three sample tasks. ``recipes``: task
     lists by name for tasks that are recipes (``recipe`` names one, or is a
-    list itself)."""
-    return elevation_scale(_run(tiles, edges, tasks, lim, rasters or {}, recipes or {}, ""), lim)
+    list itself). Every task draws from a stream of its own: ``stream`` (the
+    world's) and its place, so equal tasks differ, and a list that is run
+    again in the same stream gives the same heights."""
+    return elevation_scale(_run(tiles, edges, tasks, lim, rasters or {}, recipes or {}, stream), lim)
 
 
 def _run(tiles: DataFrame, edges: DataFrame, tasks: list[dict], lim: Limits, rasters: dict, recipes: dict, place: str) -> DataFrame:
     for k, p in enumerate(tasks):
         if extra := set(p) - _KNOWN:
             warnings.warn(f"{p.get('task')}: keys without meaning: {sorted(extra)}", stacklevel=3)
-        at = f"{place}{k}"
+        at = place + streams(None, k)
         match p["task"]:
             case "Recipe" | "RecipeSet":
                 named = p.get("recipe", p.get("source"))
-                tiles = _run(tiles, edges, named if isinstance(named, list) else recipes[named], lim, rasters, recipes, f"{at}.")
+                tiles = _run(tiles, edges, named if isinstance(named, list) else recipes[named], lim, rasters, recipes, at)
             case "SampleOceanMasked":
                 tiles = sample_ocean_masked(tiles, *rasters[p["source"]])
             case "SampleOceanBelow":
@@ -512,7 +514,7 @@ def _run(tiles: DataFrame, edges: DataFrame, tasks: list[dict], lim: Limits, ras
             case "SampleElevation":
                 tiles = sample_elevation(tiles, *rasters[p["source"]])
             case task:
-                tiles = _ROW_TASKS[task](tiles, edges, {**p, "_place": at}, lim)
+                tiles = _ROW_TASKS[task](tiles, edges, {**p, "_stream": at}, lim)
     return tiles
 
 

@@ -834,4 +834,4 @@ def list_pick(w):
     return f(w.nations.select("fid"), ["Ael", "Bor", "Cym", "Dun"])
 
 
-from orbisframe.plans import more  # noqa: E402, F401  the queries of geometry, lakes, founding and naming
+from orbisframe.plans import atlas, more  # noqa: E402, F401  the queries of geometry, lakes, founding and naming

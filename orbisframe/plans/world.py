@@ -89,7 +89,7 @@ def _close(text: str, at: int) -> int:
 def render(text: str, dialect: str) -> str:
     """Replace U(), PMOD(), IDIV, WORDS() and RLIKE() by the dialect's forms."""
     spark = dialect == "spark"
-    while m := re.search(r"\bU\((\w+),", text):
+    while m := re.search(r"\bU\(([\w/=]+),", text):
         end = _close(text, m.end() - len(m[1]) - 2)
         key = text[m.end() : end]
         u = f"(cast(conv(substr(md5(concat('{m[1]}:',{key})),1,8),16,10) as bigint)/4294967296e0)" if spark else f"(('0x'||substr(md5('{m[1]}:'||{key}),1,8))::BIGINT/4294967296e0)"

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from orbisframe.functions.rand import uniform, whole
+
 
 def read_word_lists(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(name, word) from files of one word a line, named by the file; a later
@@ -40,13 +42,11 @@ def read_recipes(spark: SparkSession, path: str) -> dict[str, list[dict]]:
     return {"": raw} if isinstance(raw, list) else dict(sorted(raw.items()))
 
 
-def choose_recipe(recipes: dict[str, list[dict]], name: str | None = None, seed: int = 0) -> list[dict]:
-    import hashlib
-
+def choose_recipe(recipes: dict[str, list[dict]], name: str | None = None, seed: int | str = 0) -> list[dict]:
     if name is not None:
         return recipes[name]
     names = sorted(recipes)
-    return recipes[names[int(hashlib.md5(f"{seed}:recipe".encode()).hexdigest()[:8], 16) % len(names)]]
+    return recipes[names[whole(0, len(names) - 1, seed, "recipe")]]
 
 
 def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, float]]:
@@ -123,10 +123,8 @@ def write_layer(rows: DataFrame, folder: str, name: str, overwrite: bool = False
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def weighted_sets(cultures: DataFrame, count: int) -> DataFrame:
+def weighted_sets(cultures: DataFrame, count: int, stream: str = "") -> DataFrame:
     """Choose ``count`` entries without replacement, likelier ones first: the
     largest keyed draws to the power of 1 / probability."""
-    from orbisframe.functions.rand import uniform
-
-    key = F.pow(uniform("culture_set", "position"), 1 / F.greatest(F.col("probability"), F.lit(1e-9)))
+    key = F.pow(uniform(f"{stream}culture_set", "position"), 1 / F.greatest(F.col("probability"), F.lit(1e-9)))
     return cultures.withColumn("_k", F.row_number().over(Window.orderBy(F.desc(key), "position"))).where(F.col("_k") <= count).drop("_k")

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbisframe.operators import biomes as B
-from orbisframe.operators import climate, colors, construct, cultures, graph, lakes, layers, naming, neighbors, outlines, people, settle, tables, terrain, water
+from orbisframe.operators import climate, colors, construct, cultures, graph, lakes, layers, naming, neighbors, outlines, overlay, people, settle, tables, terrain, water
+from orbisframe.functions.rand import stream
 from orbisframe.operators.terrain import Limits
 from orbisframe.session import cut
 
@@ -44,11 +45,12 @@ class Source:
     heightmap: DataFrame | None = None  # (px, py, value), row 0 in the south
     columns: int = 0
     rows: int = 0
+    seed: int | str | None = None  # worlds of one seed are equal, others are independent
 
 
 class WorldMap:
     def __init__(self, spark: SparkSession, source: Source = Source()):
-        self.spark, self.source, self.t, self.warnings = spark, source, {}, []
+        self.spark, self.source, self.t, self.warnings, self._runs = spark, source, {}, [], 0
 
     @property
     def tiles(self) -> DataFrame:
@@ -62,6 +64,10 @@ class WorldMap:
     def inner(self) -> DataFrame:
         return self.edges.where("dst is not null")
 
+    def stream(self, *places: object) -> str:
+        """The stream of a step of this world."""
+        return stream(self.source.seed, *places)
+
     def put(self, name: str, rows: DataFrame) -> DataFrame:
         self.t[name] = cut(rows)
         return self.t[name]
@@ -100,7 +106,7 @@ class WorldMap:
 
     def create(self) -> "WorldMap":
         s, lim = self.source, self.source.limits
-        points = self.put("points", construct.gen_points(self.spark, s.n_tiles, lim))
+        points = self.put("points", construct.gen_points(self.spark, s.n_tiles, lim, stream=self.stream("create")))
         triangles = self.put("triangles", construct.delaunay(points))
         cells = construct.voronoi(points, triangles, lim)
         rows = tables.number_rows(cells.drop("key"), ["site_x", "site_y"])
@@ -115,7 +121,8 @@ class WorldMap:
 
     def terrain(self, tasks: list[dict]) -> "WorldMap":
         if tasks:
-            self.put("tiles", terrain.recipe(self.tiles, self.inner, tasks, self.source.limits))
+            self.put("tiles", terrain.recipe(self.tiles, self.inner, tasks, self.source.limits, stream=self.stream("terrain", self._runs)))
+            self._runs += 1  # a list that is run again draws anew
         return self
 
     # climate, water, biomes
@@ -135,7 +142,7 @@ class WorldMap:
         self._rivers(curve)
         self._shore()
         self.fill(graph.grouping(self.tiles, self.edges, F.col("grouping") == "Ocean", F.col("lake_id")), "grouping", "grouping_id")
-        self.put("coastlines", outlines.coastline(self.tiles, F.col("grouping") == "Ocean", "grouping_id", self.source.limits, curve))
+        self.put("coastlines", overlay.coast(self.tiles, F.col("grouping") == "Ocean", "grouping_id", self.source.limits, curve))
         return self
 
     def _rivers(self, curve: float) -> None:
@@ -159,9 +166,9 @@ class WorldMap:
 
     def _outline(self, column: str, layer: str, key: str, curve: float) -> "WorldMap":
         """Rings of a layer's regions, reaching over the shoreline, with
-        shared borders curved once."""
+        shared borders curved once, inside the map."""
         theme = settle.dissolve_theme(self.tiles, self.inner, column)
-        rings = outlines.curvify(self.tiles.select("fid", "ring").join(theme.withColumn("theme", F.col("theme").cast("string")), "fid"), "theme", curve)
+        rings = overlay.region_outlines(self.tiles.select("fid", "ring").join(theme.withColumn("theme", F.col("theme").cast("string")), "fid"), "theme", self.source.limits, curve)
         rows = self.t[layer].drop("rings")
         self.put(layer, rows.join(rings.select("theme", "rings"), rows[key].cast("string") == F.col("theme"), "left").drop("theme"))
         return self
@@ -175,28 +182,28 @@ class WorldMap:
         size = self.t["lakes"].select(F.col("fid").alias("_l"), F.col("size").alias("neighboring_lake_size"))
         ready = self.tiles.join(F.broadcast(flags), "biome", "left").join(harbor.join(size, "_l").drop("_l"), "harbor_tile_id", "left")
         lim = self.source.limits
-        found, more = cultures.generate_cultures(ready, sources, count, lim.width, lim.height, variance, threshold)
+        found, more = cultures.generate_cultures(ready, sources, count, lim.width, lim.height, variance, threshold, stream=self.stream("people"))
         self.warnings += more
         made = cut(found.withColumn("culture_key", F.col("fid").cast("int")))
-        self.put("cultures", colors.random_colors(made))
+        self.put("cultures", colors.random_colors(made, stream=self.stream("people")))
         area = layers.average_tile_area(self.tiles, lim).first().avg_area
         spread = people.expand_cultures(self.tiles, self.inner, made, self.t["biomes"], 10000.0 / area * factor, threshold)
         self.fill(spread.withColumn("culture_key", F.col("owner").cast("int")), "culture_key")
         return self._outline("culture_key", "cultures", "culture_key", curve)
 
-    def names(self, rows: DataFrame, words: DataFrame, key: str = "fid") -> DataFrame:
+    def names(self, rows: DataFrame, words: DataFrame, step: str, key: str = "fid") -> DataFrame:
         """``rows`` (with namer) and ``word``, by each namer's trained chain.
         ``words``: namer, word. Rows without a namer take the first one."""
         default = words.agg(F.min("namer").alias("_first"))
         rows = rows.crossJoin(F.broadcast(default)).withColumn("namer", F.coalesce("namer", "_first")).drop("_first")
-        return naming.make_words(rows, naming.markov_chain(words, "namer", "word"), naming.length_statistics(words, "namer", "word"), "namer", key, naming.duplicate_letters(words, "namer", "word"), words)
+        return naming.make_words(rows, naming.markov_chain(words, "namer", "word"), naming.length_statistics(words, "namer", "word"), "namer", key, naming.duplicate_letters(words, "namer", "word"), words, self.stream(step))
 
     def gen_towns(self, words: DataFrame, capitals: int | None = None, towns: int | None = None, threshold: float = 10.0) -> "WorldMap":
         lim = self.source.limits
         n = settle.town_counts(lim.width * lim.height, self.tiles.where("habitability > 0").count(), capitals, towns)
-        rows = settle.generate_towns(self.tiles, *n).join(self.tiles.select(F.col("fid").alias("tile_id"), "culture_key", "grouping_id"), "tile_id")
+        rows = settle.generate_towns(self.tiles, *n, stream=self.stream("towns")).join(self.tiles.select(F.col("fid").alias("tile_id"), "culture_key", "grouping_id"), "tile_id")
         namer = self.t["cultures"].select("culture_key", "namer")
-        named = self.names(rows.join(F.broadcast(namer), "culture_key", "left"), words).withColumnRenamed("word", "name").drop("namer")
+        named = self.names(rows.join(F.broadcast(namer), "culture_key", "left"), words, "towns").withColumnRenamed("word", "name").drop("namer")
         self.put("towns", named)
         self.fill(self.t["towns"].select(F.col("tile_id").alias("fid"), F.col("fid").alias("town_id")), "town_id")
         more = settle.populate_towns(self.t["towns"], self.tiles, self.t["lakes"], threshold)
@@ -204,11 +211,11 @@ class WorldMap:
         return self
 
     def gen_nations(self, words: DataFrame, variance: float = 1.0, factor: float = 1.0, threshold: float = 10.0, curve: float = 100.0) -> "WorldMap":
-        rows = settle.generate_nations(self.t["towns"], self.t["cultures"], variance)
+        rows = settle.generate_nations(self.t["towns"], self.t["cultures"], variance, self.stream("nations"))
         namer = self.t["cultures"].select("culture_key", "namer")
-        named = self.names(rows.join(F.broadcast(namer), "culture_key", "left"), words).withColumnRenamed("word", "name")
-        named = naming.state_names(named).drop("name", "namer").withColumnRenamed("state", "name")
-        nations = self.put("nations", colors.random_colors(cut(named)))
+        named = self.names(rows.join(F.broadcast(namer), "culture_key", "left"), words, "nations").withColumnRenamed("word", "name")
+        named = naming.state_names(named, stream=self.stream("nations")).drop("name", "namer").withColumnRenamed("state", "name")
+        nations = self.put("nations", colors.random_colors(cut(named), stream=self.stream("nations")))
         area = layers.average_tile_area(self.tiles, self.source.limits).first().avg_area
         spread = people.expand_nations(self.tiles, self.inner, nations, self.t["biomes"], 5000.0 / area * factor, threshold)
         self.fill(spread.withColumn("nation_id", F.col("owner")), "nation_id")
@@ -219,9 +226,9 @@ class WorldMap:
         t = self.tiles
         towns = self.t["towns"].join(t.where("nation_id is not null").select(F.col("fid").alias("tile_id"), "nation_id"), "tile_id")
         namer = self.t["cultures"].select("culture_key", "namer")
-        made = self.names(towns.join(F.broadcast(namer), "culture_key", "left"), words)
-        states = naming.state_names(made.select("fid", F.col("word").alias("name"))).select("fid", F.col("state").alias("_made"))
-        subs = cut(settle.generate_subnations(cut(towns.join(states, "fid")), self.t["nations"], self.t["cultures"], F.col("_made"), percentage))
+        made = self.names(towns.join(F.broadcast(namer), "culture_key", "left"), words, "subnations")
+        states = naming.state_names(made.select("fid", F.col("word").alias("name")), stream=self.stream("subnations")).select("fid", F.col("state").alias("_made"))
+        subs = cut(settle.generate_subnations(cut(towns.join(states, "fid")), self.t["nations"], self.t["cultures"], F.col("_made"), percentage, self.stream("subnations")))
         area = layers.average_tile_area(t, self.source.limits).first().avg_area
         limit = settle.subnation_cost_limit(area, percentage)
         cost = people.subnation_cost(F.col("elevation_scaled"), F.col("area"), F.col("shore_distance"))
@@ -232,7 +239,7 @@ class WorldMap:
         self.fill(more, "subnation_id")
         self._join_founded(subs, more)
         self.put("tiles", settle.normalize_subnations(self.tiles, self.inner, self.t["subnations"].select(F.col("center_tile_id").alias("fid"))))
-        shades = colors.subnation_colors(self.t["subnations"], self.t["nations"])
+        shades = colors.subnation_colors(self.t["subnations"], self.t["nations"], self.stream("subnations"))
         self.put("subnations", self.t["subnations"].drop("color").join(shades, "fid", "left"))
         return self._outline("subnation_id", "subnations", "fid", curve)
 

@@ -43,9 +43,3 @@ def test_tiles_cover_the_map(spark):
     points = construct.gen_points(spark, 200)
     tiles = construct.voronoi(points, construct.delaunay(points)).collect()
     assert len(tiles) == points.where("key >= 0").count() and abs(sum(t.area for t in tiles) - 64800) < 1e-3
-
-
-def test_union_cancels_shared_edges():
-    a, b = [(0, 0), (0, 1), (1, 1), (1, 0)], [(1, 0), (1, 1), (2, 1), (2, 0)]
-    (ring,) = construct.union_rings([a, b])
-    assert len(ring) == 6
