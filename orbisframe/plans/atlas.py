@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orbisframe.functions.rand import stream
-from orbisframe.operators import outlines, overlay, terrain
+from orbisframe.functions.rand import stream, uniform
+from orbisframe.operators import construct, outlines, overlay, terrain
 from orbisframe.operators.terrain import Limits
 from orbisframe.plans.registry import _CL, R6, G, query, rings
 
@@ -64,3 +64,43 @@ def coastline_rings(w):
     """Land and the ocean as its difference with the map, straight lines."""
     out = overlay.coast(rings(w), F.col(G) == "Ocean", G, Limits(), None)
     return out.groupBy("kind", "name").agg(F.round(F.sum("area"), 4).alias("area"))
+
+
+# tessellation
+
+
+def _sites(w):
+    """A scattered point for each customer, and the four far ones."""
+    c = w.spark.read.parquet(f"{w.sf_dir}/customer.parquet")
+    at = c.select(F.col("c_custkey").alias("key"), (-180.0 + uniform("sx", "c_custkey") * 360.0).alias("x"), (-90.0 + uniform("sy", "c_custkey") * 180.0).alias("y"))
+    return at.unionByName(construct.gen_points(w.spark, 1).where("key < 0"))
+
+
+@query("select count(*) sites, 2*(count(*)+4)-2-4 triangles, 3e0*360e0*3e0*180e0 area from customer")
+def delaunay_sites(w):
+    """Triangles fill the hull of all points without gaps: their number and
+    area follow from the number of sites. A test compares them one by one."""
+    points = _sites(w)
+    t = construct.delaunay(points).withColumn("t", F.monotonically_increasing_id())
+    p = lambda k: points.select(F.col("key").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    t = t.join(p("a"), "a").join(p("b"), "b").join(p("c"), "c")
+    twice = F.abs((F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("cx") - F.col("ax")) * (F.col("by") - F.col("ay")))
+    sites = points.where("key >= 0").agg(F.count("*").alias("sites"))
+    return t.agg(F.count("*").alias("triangles"), F.round(F.sum(twice) / 2, 3).alias("area")).crossJoin(sites)
+
+
+@query("select rw as row, greatest(1,floor(360e0*cos(radians(-90e0+(rw+0.5e0)*(180e0/n)))/step+0.5e0))::bigint points from (select step, n, unnest(range(n)) rw from (select step, greatest(1,round(180e0/step))::bigint n from (select sqrt(129600e0/pi()/count(*)) step from customer)))")
+def sphere_points(w):
+    """As many points as customers, by the row of the globe they are in."""
+    n = w.spark.read.parquet(f"{w.sf_dir}/customer.parquet").count()
+    rows, _ = construct.rows_of_points(n, sphere=True)
+    most = max(1, round(360 / construct.rows_of_points(n, sphere=True)[1]))
+    return construct.gen_points(w.spark, n, sphere=True).where("key >= 0").groupBy(F.expr(f"key div {most}").alias("row")).agg(F.count("*").alias("points"))
+
+
+@query("select count(*) sites, round(4e0*pi()*6378137e0*6378137e0/12392029000e0,3) area from customer")
+def sphere_tiles(w):
+    """Cells of the customers' points on the sphere cover it."""
+    points = _sites(w)
+    cells = construct.voronoi(points, construct.delaunay(points), sphere=True)
+    return cells.agg(F.count("*").alias("sites"), F.round(F.sum("area"), 3).alias("area"))

@@ -106,9 +106,9 @@ class WorldMap:
 
     def create(self) -> "WorldMap":
         s, lim = self.source, self.source.limits
-        points = self.put("points", construct.gen_points(self.spark, s.n_tiles, lim, stream=self.stream("create")))
+        points = self.put("points", construct.gen_points(self.spark, s.n_tiles, lim, stream=self.stream("create"), sphere=s.sphere))
         triangles = self.put("triangles", construct.delaunay(points))
-        cells = construct.voronoi(points, triangles, lim)
+        cells = construct.voronoi(points, triangles, lim, s.sphere)
         rows = tables.number_rows(cells.drop("key"), ["site_x", "site_y"])
         rows = rows.select("fid", "site_x", "site_y", "area", "ring", F.lit(0.0).alias("elevation"), F.lit(20).alias("elevation_scaled"), F.lit("Continent").alias("grouping"))
         self.put("tiles", neighbors.with_edge(rows, lim))
