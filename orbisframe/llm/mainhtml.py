@@ -47,72 +47,97 @@ _SKIP = frozenset(
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _P_ENDS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul summary".split()
 )
 _SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"thead", "tbody"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|outbrain|taboola|comment\w*|disqus|respond|replies|reply|discussion|sidebar\w*|side-bar|rail|widget\w*|"
-    r"menu\w*|nav|navbar|navigation|breadcrumb\w*|pagination|pager|footer|foot|masthead|header|topbar|toolbar|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|"
-    r"subscribe\w*|subscription|signup|login|register|share|sharing|social\w*|related\w*|recommend\w*|read-?more|more-?stories|trending|popular|tags?|tag-?list|meta|byline-share|"
-    r"legal|disclaimer|copyright|skip|hidden|search\w*|form|rating\w*|feedback|shoutbox|poll)(?:$|[\s_-])",
-    re.I,
-)
-# a class or id of one of these words, also with further parts, whatever else it says
-_SURE = re.compile(
-    r"(?!(?:has|with|no|is|js|layout)[-_])(?:\w+?[-_]+)*(?:comments?|commentlist|disqus\w*|respond|replies|sidebar|newsletter|cookies?|consent|gdpr|advert\w*|adsense|sponsor\w*|promo|"
-    r"share|sharing|social|related|recommended|recommendations|breadcrumbs?|navbar|menu|popup|modal|subscribe|outbrain|taboola)(?:[-_]+(?!layout|page)\w+)*",
-    re.I,
-)
-# names of a page's topic or layout, which say nothing about what an element is
-_NEUTRAL = re.compile(r"(?:(?:post[-_])?(?:category|categories|cat|tag|tagged|topic)[-_]\S+|(?:\w+[-_])*(?:sidebar|menu|navbar)[-_](?:left|right|both|none|no)|(?:left|right|both|no)[-_]sidebar|related[-_]work)", re.I)
-_READERS = re.compile(r"(?:^|[-_])(?:comments?|commentlist|disqus\w*|respond|replies)(?:$|[-_])", re.I)
-_GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main\w*|page|post\w*|text|blog|story\w*|hentry|prose)(?:$|[\s_-])", re.I)
+# Words that class and id names of page furniture are made of. A name says what
+# an element is only if all its parts are such words: "related-links" does, but
+# "related-work" and "legal-history" are what somebody wrote about.
+_BAD = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion promoted outbrain taboola comment comments commentlist disqus "
+    "respond replies reply discussion sidebar sidebars rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot masthead header topbar toolbar "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social related recommend recommended "
+    "recommendations readmore trending popular tags tag taglist meta byline legal disclaimer copyright skip hidden search searchbox form rating ratings feedback shoutbox poll".split()
+)
+_SURE = frozenset(
+    "comment comments commentlist disqus respond replies sidebar newsletter cookie cookies consent gdpr advert adverts advertisement advertising adsense sponsor sponsored sponsors promo share sharing "
+    "social related recommended recommendations breadcrumb breadcrumbs navbar menu popup modal subscribe outbrain taboola".split()
+)
+_READERS = frozenset("comment comments commentlist disqus respond replies".split())
+_GOOD = frozenset("article articles body content entry main maincontent page post posts text blog story storybody hentry prose".split())
+_PLAIN = frozenset(
+    "list item items box boxes block blocks wrapper wrap container inner outer area areas section sections panel panels bar bars top bottom left right center middle title titles heading link links "
+    "icon icons button buttons btn group row rows col cols column columns grid card cards module component unit units slot zone region primary secondary global local site pages field fields "
+    "count counter author avatar thread threads toggle open close closed fixed sticky floating mobile desktop small large medium full wide narrow has with no is js layout both none wp image images "
+    "img logo network networks media buttonset more read stories news latest recent view bottombar feed reader readers user users form forms policy settings message messages skyscraper leaderboard".split()
+)
+_SIDES = frozenset("left right both none no".split())
+_TOPICS = frozenset("category categories cat tag tagged topic".split())
+_LAYOUT = frozenset("has with no is js layout".split())
+_PARTS = re.compile(r"[^-_:./]+")
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar alertdialog status tooltip".split())
 
 
 class _Node:
-    __slots__ = ("children", "links", "name", "parent", "score", "weight", "size", "skip", "own", "doubt")
+    __slots__ = ("children", "links", "name", "parent", "score", "weight", "size", "skip", "own", "doubt", "id")
 
     def __init__(self, name: str, parent: "_Node | None", skip: bool, weight: float):
         self.name, self.parent, self.skip, self.weight = name, parent, skip, weight
         self.children: list = []  # nodes, and texts as (text, in a link)
-        self.score, self.links, self.size, self.own, self.doubt = 0.0, 0, 0, 0, False
+        self.score, self.links, self.size, self.own, self.doubt, self.id = 0.0, 0, 0, 0, False, ""
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or "" for m in _ATTR.finditer(raw)}
 
 
-def _kind(name: str, raw: str, inside: bool) -> tuple[bool, float, bool]:
-    """Whether an element is boilerplate, the weight of its names, and whether
-    it is boilerplate by a name that others of its names speak against."""
+def _layout(parts: list[str]) -> bool:
+    """Names that say on which side of the page something stands."""
+    aside = [x for x in parts if x.startswith(("sidebar", "menu", "navbar"))]
+    return bool(aside) and len(parts) > 1 and (parts[-1] in _SIDES or parts[0] in _SIDES and parts[-1] == "sidebar")
+
+
+def _names(words: list[str]) -> list[list[str]]:
+    """The parts of the names that say what an element is. Names of a topic
+    don't, nor do those of the layout, if there are others."""
+    every = [_PARTS.findall(x.lower()) for x in words]
+    out = [x for x in every if x and not (len(x) > 1 and (x[0] in _TOPICS or x[0] == "post" and x[1] in _TOPICS and len(x) > 2))]
+    return [x for x in out if not _layout(x)] or out
+
+
+def _kind(name: str, raw: str, inside: bool) -> tuple[bool, float, bool, str]:
+    """Whether an element is boilerplate, the weight of its names, whether it
+    is boilerplate by a name that others of its names speak against or that
+    may be its heading's, and its id."""
     weight = {"article": 25.0, "main": 25.0, "section": 3.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "div": 5.0, "body": 0.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "address": -3.0, "th": -5.0}.get(name, 0.0)
-    doubt = False
+    doubt, own_id = False, ""
     skip = name in _SKIP or (name in ("header", "footer") and not inside)
     if raw and not raw.isspace():
         a = _attributes(raw)
         if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _BAD_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
             skip = True
-        full = f"{a.get('class', '')} {a.get('id', '')}".split()
-        names = " ".join(x for x in full if not _NEUTRAL.fullmatch(x))
-        if not names or all(x.lower().startswith(("sidebar", "menu", "navbar", "left-", "right-", "left_", "right_")) for x in full):
-            names = " ".join(x for x in full if not re.match(r"(?:related[-_]work|(?:post[-_])?(?:category|categories|cat|tag|tagged|topic)[-_])", x, re.I))
+        own_id = a.get("id", "")
+        # a heading's id is made from its words
+        names = _names(f"{a.get('class', '')} {'' if name in _HEADINGS else own_id}".split())
         if names and name not in ("html", "body", "main"):
-            good = bool(_GOOD.search(names))
-            sure = [x for x in names.split() if _SURE.fullmatch(x)]
-            if any(_READERS.match(x) if name == "article" else _READERS.search(x) for x in sure) or name != "article" and sure and not good:
-                skip = True
-            doubt = bool(sure) and name != "article" and not skip
-        if names and name not in ("html", "body", "article", "main"):
-            if _BAD.search(names):
-                weight -= 25
-                skip |= not good
-            if good:
-                weight += 25
-    return skip, weight, doubt
+            good = any(not _GOOD.isdisjoint(x) for x in names)
+            said = [x for x in names if all(y in _BAD or y in _GOOD or y in _PLAIN or y.isdigit() for y in x)]
+            sure = [x for x in said if not _SURE.isdisjoint(x) and not (len(x) > 1 and (x[0] in _LAYOUT or x[-1] in ("layout", "page")))]
+            by_name = any(x[0] in _READERS if name == "article" else not _READERS.isdisjoint(x) for x in sure) or name != "article" and bool(sure) and not good
+            if name != "article":
+                bad = any(not _BAD.isdisjoint(x) for x in said)
+                weight += 25 * good - 25 * bad
+                by_name |= bad and not good
+                doubt = bool(sure)
+            if name == "section" and by_name and own_id and not any(not _BAD.isdisjoint(x) for x in _names(a.get("class", "").split())):
+                by_name, doubt = False, True
+            skip |= by_name
+            doubt &= not skip
+    return skip, weight, doubt, own_id
 
 
 def _tree(page: str) -> _Node:
@@ -187,7 +212,7 @@ def _tree(page: str) -> _Node:
         if name in _INLINE:
             skip = False
             if m[4] and not m[4].isspace():
-                hard, _, doubt = _kind(name, m[4], True)
+                hard, _, doubt, _ = _kind(name, m[4], True)
                 skip = (hard or doubt) and name == "span"
             if skip:
                 node = _Node(name, at, True, 0.0)
@@ -200,9 +225,9 @@ def _tree(page: str) -> _Node:
             stack.append(name)
             links += name == "a"
             continue
-        skip, weight, doubt = _kind(name, m[4], name == "header" and bool(places["article"] or places["main"]))
+        skip, weight, doubt, own_id = _kind(name, m[4], name == "header" and bool(places["article"] or places["main"]))
         node = _Node(name, at, skip or at.skip, weight)
-        node.doubt = doubt and not node.skip
+        node.doubt, node.id = doubt and not node.skip, own_id
         at.children.append(node)
         at = node
         places[name].append(len(stack))
@@ -242,9 +267,27 @@ def _blocks(top: _Node, out: list[str], begin: list[str] | None = None) -> None:
                 run = []
 
 
+def _named_by_heading(node: _Node) -> bool:
+    """Whether an element's id is made from the words of its first heading,
+    and most of its text isn't links."""
+    work, words, found, size, linked = [node], "", False, 0, 0
+    while work:
+        x = work.pop()
+        for c in x.children:
+            if isinstance(c, tuple):
+                size += len(c[0])
+                linked += len(c[0]) * c[1]
+        if x.name in _HEADINGS and not found:
+            words, found = _squeeze([c[0] for c in x.children if isinstance(c, tuple)]), True
+        work += [c for c in reversed(x.children) if not isinstance(c, tuple) and not c.skip]
+    slug = lambda t: re.findall(r"\w+", t.lower().replace("_", " "))
+    return found and bool(slug(words)) and slug(words) == slug(node.id) and 2 * linked <= size and _READERS.isdisjoint(slug(node.id)[:1])
+
+
 def _settle(root: _Node) -> None:
     """An element in doubt stays if it holds most of the page's text outside
-    of links; the others are boilerplate."""
+    of links, or if it is a section that has its heading's name; the others
+    are boilerplate."""
     order, work, in_doubt = [], [root], False
     while work:
         node = work.pop()
@@ -258,7 +301,7 @@ def _settle(root: _Node) -> None:
         mine = sum(len(_WHITE.sub(" ", c[0]).strip()) for c in node.children if isinstance(c, tuple) and not c[1])
         held[id(node)] = mine + sum(held[id(c)] for c in node.children if not isinstance(c, tuple) and not c.skip)
     for node in order:
-        node.skip |= node.doubt and 2 * held[id(node)] <= held[id(root)]
+        node.skip |= node.doubt and 2 * held[id(node)] <= held[id(root)] and not (node.name == "section" and _named_by_heading(node))
 
 
 def _measure(root: _Node) -> list[_Node]:

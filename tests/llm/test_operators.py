@@ -544,3 +544,35 @@ def test_pipeline_stages_keep_columns(spark):
         before = docs.count()
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.select("doc_id").distinct().count() == before
+
+
+TOPICS = ("related-literature", "popular-science", "comments-on-the-law", "menu-engineering", "social-history", "search-algorithms", "notice-period", "legal-history", "form-and-function", "related-work", "related_work_in_law")
+
+
+@pytest.mark.parametrize("name", TOPICS)
+def test_sections_named_after_their_topic(name):
+    p = "<p>Running text of the story, long enough, with commas, so that it counts, and so on, for a while at least.</p>"
+    for inner in (f'<section id="{name}"><h2>Any heading</h2>{p}</section>', f'<h2 id="{name}">Any heading</h2>{p}', f'<div class="{name}"><h2>Any heading</h2>{p}</div>'):
+        text = mainhtml.extract_text(f"<body><article>{p * 2}{inner}</article><footer>f</footer></body>")
+        assert text.count("Running text") == 3 and "Any heading" in text
+
+
+def test_sections_with_their_headings_name():
+    p = "<p>Running text of the story, long enough, with commas, so that it counts, and so on, for a while at least.</p>"
+    for word in ("Legal", "Notice", "Popular", "Search", "Related"):
+        text = mainhtml.extract_text(f'<body><article>{p * 5}<section id="{word.lower()}"><h2>{word}</h2>{p}</section></article></body>')
+        assert text.count("Running text") == 6 and word in text
+        text = mainhtml.extract_text(f'<body><article>{p * 5}<section id="{word.lower()}"><h2>More of this</h2><a href="/">{p}</a></section></article></body>')
+        assert text.count("Running text") == 5 and "More" not in text
+    assert mainhtml.extract_text(f'<body><article>{p * 5}<section id="comments"><h2>Comments</h2>{p}</section></article></body>').count("Running text") == 5
+
+
+def test_long_names_take_linear_time():
+    def took(n):
+        at = time.process_time()
+        for c in ("_", "a_", "sidebar-", "-"):
+            mainhtml.extract_text(f'<div class="{c * n}x"><p>text</p></div>')
+        return time.process_time() - at
+
+    took(100)
+    assert took(40_000) < 16 * max(took(10_000), 0.05)
