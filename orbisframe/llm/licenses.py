@@ -7,6 +7,11 @@ ordered rules: a rule names the sentences that must follow one another, with
 sentences that nobody knows between them skipped up to a gap. Longer rules go
 first and their sentences aren't used again.
 
+A part that ends with a semicolon or an abbreviation's full stop may go on; it
+is read with the next parts first, so a sentence is found whole. Sentences that
+put something under a licence by its name are known for all names that
+``license_names`` builds.
+
 Defined results: null and empty texts have no licence. A licence that stands
 several times is counted and listed each time, in order of its place. Every
 sentence of the whole text is looked at; texts without any of the words of
@@ -55,18 +60,19 @@ SENTENCES: dict[str, str] = {
     "Lgpl3Ref": r"(?:this .* is )?licensed under the gnu lesser general public license version 3(?: or .*)?",
     "Lgpl21Ref": r"(?:this .* is )?licensed under the gnu lesser general public license version 2 1(?: or .*)?",
     "Agpl3Ref": r"(?:this .* is )?licensed under the gnu affero general public license version 3(?: or .*)?",
-    "Gpl3Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu general public license.*version 3.*",
-    "Gpl2Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu general public license.*version 2.*",
-    "Lgpl3Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu lesser general public license.*version 3.*",
-    "Lgpl21Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu lesser general public license.*version 2 1.*",
-    "Agpl3Free": r"(?:this (?:program|library) is free software )?you can redistribute it and or modify it under the terms of the gnu affero general public license.*version 3.*",
-    "GplHope": r"this program is distributed in the hope that it will be useful but without any warranty.*",
-    "GplSee": r"see the gnu general public license for more details",
-    "GplCopy": r"you should have received a copy of the gnu general public license along with this program.*",
+    "Gpl3Free": r"(?:.* is free software )?you (?:can|may) redistribute it and or modify it under the terms of (?:the gnu general public license .*version 3(?: .*)?|version 3 (?:only )?of the gnu general public license.*)",
+    "Gpl2Free": r"(?:.* is free software )?you (?:can|may) redistribute it and or modify it under the terms of (?:the gnu general public license .*version 2(?: .*)?|version 2 (?:only )?of the gnu general public license.*)",
+    "Lgpl3Free": r"(?:.* is free software )?you (?:can|may) redistribute it and or modify it under the terms of (?:the gnu lesser general public license .*version 3(?: .*)?|version 3 (?:only )?of the gnu lesser general public license.*)",
+    "Lgpl21Free": r"(?:.* is free software )?you (?:can|may) redistribute it and or modify it under the terms of (?:the gnu lesser general public license .*version 2 1(?: .*)?|version 2 1 (?:only )?of the gnu lesser general public license.*)",
+    "Agpl3Free": r"(?:.* is free software )?you (?:can|may) redistribute it and or modify it under the terms of (?:the gnu affero general public license .*version 3(?: .*)?|version 3 (?:only )?of the gnu affero general public license.*)",
+    "GplHope": r".* is distributed in the hope that it will be useful but without any warranty.*",
+    "GplSee": r"see the gnu (?:lesser |affero )?general public license for more details",
+    "GplCopy": r"you should have received a copy of the gnu (?:lesser |affero )?general public license along with .*",
     "EplRef": r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v|version |v )?2 0.*",
     "ArtisticRef": r"(?:this .* is )?(?:released|licensed|distributed) under (?:the terms of )?the artistic license (?:version )?2 0",
     "OflRef": r"this font software is licensed under the sil open font license version 1 1.*",
     "MplRef": r"this source code form is subject to the terms of the mozilla public license v(?:ersion)? 2 0",
+    "MplCopy": r"if a copy of the mpl was not distributed with this file you can obtain one at .*",
     "CcByNc4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by nc 4 0|creative commons attribution non ?commercial 4 0(?: international)?)(?: license)?",
     "CcByNcSa4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by nc sa 4 0|creative commons attribution non ?commercial share ?alike 4 0(?: international)?)(?: license)?",
     "CcByNcNd4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by nc nd 4 0|creative commons attribution non ?commercial no ?derivatives 4 0(?: international)?)(?: license)?",
@@ -74,7 +80,7 @@ SENTENCES: dict[str, str] = {
     "CcBySa4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by sa 4 0|creative commons attribution share ?alike 4 0(?: international)?)(?: license)?",
     "CcBy4": r"(?:this .* is )?(?:released|licensed|distributed|available) under (?:a |the )?(?:cc by 4 0|creative commons attribution 4 0(?: international)?)(?: license)?",
     "Cc0": r"(?:this .* is )?(?:released|licensed|dedicated|distributed|available) (?:to|under) (?:the public domain under )?(?:cc0|cc0 1 0)(?: license)?",
-    "Spdx": r"spdx license identifier [a-z0-9 ]+",
+    "Spdx": r"(?:.* )?spdx license identifier [a-z0-9 ]+",
     "Copyright": r"copyright (?:c )?\d{4}.*",
     "AllRights": r"all rights reserved",
 }
@@ -116,6 +122,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("EPL-2.0", ("EplRef",)),
     ("Artistic-2.0", ("ArtisticRef",)),
     ("OFL-1.1", ("OflRef",)),
+    ("MPL-2.0", ("MplRef", "MplCopy")),
     ("MPL-2.0", ("MplRef",)),
     ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
     ("CC-BY-NC-ND-4.0", ("CcByNcNd4",)),
@@ -125,15 +132,68 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-4.0", ("CcBy4",)),
     ("CC0-1.0", ("Cc0",)),
     ("SPDX", ("Spdx",)),
-]
+]  # a sentence that names a licence is a rule of its own, see ``license_names``
+
+#: Families of licences: abbreviation, name, versions. A licence is called by
+#: either, with its version.
+FAMILIES = (
+    ("GPL", "gnu general public license", "2.0 3.0"), ("LGPL", "gnu lesser general public license", "2.1 3.0"), ("AGPL", "gnu affero general public license", "3.0"),
+    ("GFDL", "gnu free documentation license", "1.2 1.3"), ("Apache", "apache license", "1.1 2.0"), ("MPL", "mozilla public license", "1.1 2.0"), ("EPL", "eclipse public license", "1.0 2.0"),
+    ("EUPL", "european union public licen[cs]e", "1.1 1.2"), ("CDDL", "common development and distribution license", "1.0 1.1"), ("CPL", "common public license", "1.0"), ("AFL", "academic free license", "3.0"),
+    ("OSL", "open software license", "3.0"), ("Artistic", "artistic license", "1.0 2.0"), ("BSL", "boost software license", "1.0"), ("OFL", "(?:sil )?open font license", "1.0 1.1"),
+)
+#: Licences without a version.
+SINGLE = {
+    "MIT": "(?:the )?(?:mit|expat|mit expat)", "ISC": "isc", "Zlib": "zlib(?: libpng)?", "Unlicense": "unlicense", "WTFPL": "wtfpl", "0BSD": "0bsd|zero clause bsd|bsd zero clause",
+    "BSD-2-Clause": "bsd 2 clause|(?:2|two) clause bsd|simplified bsd|freebsd", "BSD-3-Clause": "bsd 3 clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd", "CC0-1.0": "cc0(?: 1 0)?(?: universal)?",
+}
+#: Parts of Creative Commons licences, and their versions.
+COMMONS = {"BY": "attribution", "SA": "share ?alike", "ND": "no ?deriv(?:ative)?s?(?: works)?", "NC": "non ?commercial"}
+COMMONS_KINDS, COMMONS_VERSIONS = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"), ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def _versioned(version: str) -> str:
+    major, minor = version.split(".")
+    return f"{major}(?: 0)?" if minor == "0" else f"{major} {minor}"
+
+
+def license_names() -> dict[str, str]:
+    """Patterns of what each licence is called, by its identifier."""
+    out = {}
+    for short, long, versions in FAMILIES:
+        for version in versions.split():
+            v = _versioned(version)
+            out[f"{short}-{version}"] = rf"(?:gnu )?{short.lower()}(?: license)?,? ?(?:v|version |v )?{v}|{long},? ?(?:v|version |v )?{v}|version {v} of the {long}".replace(",?", "")
+    out |= SINGLE
+    for kind in COMMONS_KINDS:
+        parts = kind.split("-")
+        for version in COMMONS_VERSIONS:
+            out[f"CC-{kind}-{version}"] = rf"(?:cc {' '.join(parts).lower()}|(?:the )?creative commons {' '.join(COMMONS[x] for x in parts)}) (?:license )?{version.replace('.', ' ')}(?: (?:international|unported|generic))?"
+    return out
+
+
+NAMES = license_names()
+_GROUPS = {f"n{k}": name for k, name in enumerate(NAMES)}
+_NAME = re.compile("(?:the |an? )?(?:" + "|".join(f"(?P<{g}>{NAMES[n]})" for g, n in _GROUPS.items()) + r")(?: (?:public )?licen[sc]e)?(?: only| or (?:any )?(?:later|newer|above|at your option).*| as published by .*|\+)?")
+_UNDER = re.compile(r"(?:^|.* )(?:licen[sc]ed|released|distributed|available|provided|published|covered|governed) (?:under|by)(?: the terms(?: and conditions)? of)? (.*)")
+_LABEL = re.compile(r"(?:.*? )??licen[sc]e(?: is)? (.*)")
 
 #: Every known sentence contains one of these.
-KEYWORDS = ("licen", "copyright", "warrant", "permission", "redistribut", "reserved", "liable", "gnu", "spdx", "cc0", "cc by", "creative commons", "public domain", "free to copy")
+_VERBS = ("released", "distributed", "available", "provided", "published", "covered", "governed")
+KEYWORDS = tuple(f"{v} {u}" for v in _VERBS for u in ("under", "by"))
+KEYWORDS += tuple(dict.fromkeys(x for f, _, vs in FAMILIES for v in vs.split() for x in (f"{f} {v[0]}".lower(), f"{f} v".lower(), f"{f}v".lower(), f"{f}{v[0]}".lower())))
+KEYWORDS += ("bsd", "copy of the mpl", "licen", "copyright", "warrant", "permission", "redistribut", "reserved", "liable", "gnu", "spdx", "cc0", "cc by", "creative commons", "public domain", "free to copy")
 #: The same in text that isn't normalised.
 RAW_KEYWORDS = "(?i)" + "|".join(k.replace(" ", "[^a-z0-9]+") for k in KEYWORDS)
 MAX_GAP = 3
+RULES += [(name, (f"Named:{name}",)) for name in NAMES]
 
 _SPLIT = re.compile(r"\n\s*\n|(?<=[.!?;])(?=\s)|\n(?=\s*(?:[-*#]|\d+[.)])\s)|(?<=[.!?;:])\n")
+# what ends so may go on: a semicolon, or an abbreviation's full stop
+_SOFT = re.compile(r"(?:;|\b(?:v|ver|vers|no|inc|ltd|co|corp)\.)\s*$", re.I)
+#: Parts that a sentence is put together from at most.
+PARTS = 4
+_SPDX = re.compile(r"spdx-license-identifier:\s*([^\n*]*)", re.I)
 _LINE = re.compile(r"\n")
 _CLEAN = re.compile(r"[^a-z0-9]+")
 _PATTERN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SENTENCES.items()))
@@ -172,18 +232,57 @@ def _lines(part: str) -> Iterator[tuple[int, int]]:
 
 
 def _known(sentence: str) -> str | None:
+    """The identifier of a known sentence: by its pattern, or because it puts
+    something under a licence by name."""
     if not any(k in sentence for k in KEYWORDS):
         return None
     m = _PATTERN.fullmatch(sentence)
-    return m.lastgroup if m else None
+    if m:
+        return m.lastgroup
+    for form in (_UNDER, _LABEL):
+        if (m := form.fullmatch(sentence)) and (n := _NAME.fullmatch(m[1])):
+            return f"Named:{_GROUPS[n.lastgroup]}"
+    n = _NAME.fullmatch(sentence)
+    if n and (re.search(r"licen[sc]e|\d", sentence)):
+        return f"Named:{_GROUPS[n.lastgroup]}"
+    return None
+
+
+def known_sentences(text: str) -> list[tuple[int, int, int, str]]:
+    """(number, start, end, identifier). A part that may go on is read
+    together with the next ones first, the longest known reading counts."""
+    parts = list(sentences(text))
+    out, n = [], 0
+    while n < len(parts):
+        last = n
+        while last + 1 < min(n + PARTS, len(parts)) and _SOFT.search(text[parts[last][0] : parts[last][1]]):
+            last += 1
+        for k in range(last, n - 1, -1):
+            whole = parts[n][2] if k == n else " ".join(x[2] for x in parts[n : k + 1])
+            if name := _known(whole):
+                out.append((n, parts[n][0], parts[k][1], name))
+                n = k
+                break
+        n += 1
+    return out
+
+
+def spdx_licenses(text: str) -> list[str]:
+    """Licence identifiers of an SPDX line, exceptions left out."""
+    m = _SPDX.search(text)
+    words = re.findall(r"[A-Za-z0-9][A-Za-z0-9.+-]*", m[1]) if m else []
+    return [w.rstrip(".") for k, w in enumerate(words) if w.upper() not in ("AND", "OR", "WITH") and (not k or words[k - 1].upper() != "WITH")]
 
 
 def recognise(text: str | None) -> tuple[list[str], list[tuple[str, int, int]]]:
     """(sentence identifiers in order, licences as (name, start, end))."""
     if not text:
         return [], []
-    found = [(n, a, b, k) for n, (a, b, s) in enumerate(sentences(text)) if (k := _known(s))]
-    out = [(name, found[chain[0]][1], found[chain[-1]][2]) for name, chain in match_rules([(n, k) for n, _, _, k in found])]
+    found = known_sentences(text)
+    out = []
+    for name, chain in match_rules([(n, k) for n, _, _, k in found]):
+        a, b = found[chain[0]][1], found[chain[-1]][2]
+        out += [(x, a, b) for x in (spdx_licenses(text[a:b]) if name == "SPDX" else [name])]
     return [x[3] for x in found], sorted(out, key=lambda x: x[1:])
 
 

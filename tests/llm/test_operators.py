@@ -576,3 +576,36 @@ def test_long_names_take_linear_time():
 
     took(100)
     assert took(40_000) < 16 * max(took(10_000), 0.05)
+
+
+GPL = "{} is free software; you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation; either version {} of the License, or\n(at your option) any later version.\n\n{} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {}General Public License for more details.\n\nYou should have received a copy of the GNU {}General Public License along\nwith this program; if not, write to the Free Software Foundation."
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    (GPL.format("This program", "", "2", "This program", "", ""), ["GPL-2.0"]), (GPL.format("GIMP", "", "3", "GIMP", "", ""), ["GPL-3.0"]),
+    (GPL.format("This library", "Lesser ", "2.1", "This library", "Lesser ", "Lesser "), ["LGPL-2.1"]), (GPL.format("The tool", "Affero ", "3", "The tool", "Affero ", "Affero "), ["AGPL-3.0"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+    ("GPLv3", ["GPL-3.0"]), ("Licensed under MIT", ["MIT"]), ("Apache 2.0 license", ["Apache-2.0"]), ("License: ISC", ["ISC"]), ("SPDX-License-Identifier: MIT", ["MIT"]),
+    ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause", ["GPL-2.0-only", "BSD-3-Clause"]), ("Released under the 3-clause BSD license.", ["BSD-3-Clause"]),
+    ("This work is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.", ["CC-BY-SA-3.0"]), ("Available under CC BY-NC 2.5.", ["CC-BY-NC-2.5"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("It is available under the terms of the GNU LGPL v2.1 or later.", ["LGPL-2.1"]), ("Published under the EUPL 1.2.", ["EUPL-1.2"]),
+    ("This file is licensed under the GNU General Public License v3.0 or later.", ["GPL-3.0"]), ("You may not use MIT; apache helicopters fly. GPL stands for something.", []),
+])
+def test_headers_and_names(text, want):
+    for t in (text, " ".join(text.split()) if "\n" in text else text, text.replace("\n", "\r\n")):
+        assert [x[0] for x in licenses.recognise(f"Some words before.\n\n{t}\n\nAnd after.")[1]] == want, t
+
+
+def test_every_name_is_found():
+    for name, pattern in licenses.NAMES.items():
+        for x in _examples(licenses.re._parser.parse(pattern)):
+            for form in ("Released under the {}.", "This is licensed under {} license", "License: {}"):
+                text = form.format(x.replace(" ", "-")).upper()
+                assert [k for k, _, _ in licenses.recognise(text)[1]] == [name], (name, text)
+                assert licenses.pc.match_substring_regex(pa.array([text]), licenses.RAW_KEYWORDS)[0].as_py(), text
+
+
+def test_reading_on_is_bounded():
+    at = time.process_time()
+    assert licenses.recognise("the license; " * 50_000)[1] == []
+    assert time.process_time() - at < 20
