@@ -2,43 +2,48 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbisframe.session import cut
+
 
 def water_flow(tiles: DataFrame, edges: DataFrame, world: str | None = None) -> DataFrame:
     """(fid, water_flow, water_accumulation, flow_to): rain runs down from the
     highest tile to all lowest neighbours in equal parts; where none is lower
-    or level it gathers. Descending height, then fid, is the order, so a world
-    is one group, and several, keyed by ``world``, are independent. An edge off the map (dst null) takes water away."""
-    near = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.coalesce("dst", F.lit(-1)))).alias("near"))
-    key = F.lit(0) if world is None else F.col(world)
-    rows = tiles.select(key.alias("_w"), "fid", "elevation", "precipitation", (F.col("grouping") == "Ocean").alias("sea")).join(near, F.col("fid") == F.col("src"), "left").drop("src")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["elevation", "fid"], ascending=[False, True])
-        height = dict(zip(pdf["fid"].tolist(), pdf["elevation"].tolist(), strict=True))
-        height[-1] = float("-inf")
-        scale = (len(pdf) / 10000) ** 0.25
-        flow, kept, to = dict.fromkeys(pdf["fid"].tolist(), 0.0), dict.fromkeys(pdf["fid"].tolist(), 0.0), {}
-        for r in pdf.itertuples():
-            if r.sea:
-                continue
-            flow[r.fid] += r.precipitation / scale
-            near = [n for n in (() if r.near is None else r.near) if n in height]
-            low = min((height[n] for n in near), default=float("inf"))
-            if low <= r.elevation:
-                out = [n for n in near if height[n] == low or abs(height[n] - low) < 2.220446049250313e-16]
-                to[r.fid] = out
-                for n in out:
-                    if n != -1:
-                        flow[n] += flow[r.fid] / len(out)
-            else:
-                kept[r.fid] += flow[r.fid]
-        return pd.DataFrame({"fid": list(flow), "water_flow": list(flow.values()), "water_accumulation": [kept[f] for f in flow], "flow_to": [to.get(f, []) for f in flow]})
-
-    return rows.groupBy("_w").applyInPandas(lambda pdf: work(pdf), "fid long, water_flow double, water_accumulation double, flow_to array<long>")
+    or level it gathers. Descending height, then fid, is the order; what flows
+    into a level tile that has had its turn stays there. An edge off the map
+    (dst null) takes water away. ``world`` names the worlds of a table of
+    several, which have fids of their own.
+
+    Flow is rain times the sum of all powers of the matrix of shares, and
+    shares go along an acyclic graph. The powers are doubled: with those up to
+    k steps known, a join with the k-step shares gives those up to 2 k, so
+    the number of rounds is the logarithm of the longest way down."""
+    height = tiles.select(F.col("fid").alias("dst"), F.col("elevation").alias("low"))
+    size = tiles.groupBy(*([F.col(world).alias("_w")] if world else [])).agg(F.pow(F.count("*") / F.lit(10000.0), F.lit(0.25)).alias("_scale"))
+    here = tiles.select("fid", "elevation", (F.col("grouping") == "Ocean").alias("sea"), "precipitation", *([F.col(world).alias("_w")] if world else []))
+    here = here.join(size, "_w") if world else here.crossJoin(F.broadcast(size))
+    here = cut(here.withColumn("rain", F.when(F.col("sea"), 0.0).otherwise(F.col("precipitation") / F.col("_scale"))).drop("_scale", "precipitation"))
+    near = edges.select(F.col("src").alias("fid"), "dst").distinct().join(height, "dst", "left").where("dst is null or low is not null")
+    near = near.join(here.where("not sea").select("fid", "elevation"), "fid").withColumn("low", F.when(F.col("dst").isNull(), F.lit(float("-inf"))).otherwise(F.col("low")))
+    least = near.groupBy("fid").agg(F.min("low").alias("least"))
+    tie = (F.col("low") == F.col("least")) | (F.abs(F.col("low") - F.col("least")) < 2.220446049250313e-16)
+    down = near.join(least.alias("l"), "fid").where(tie & (F.col("least") <= F.col("elevation")))
+    to = down.groupBy("fid").agg(F.array_sort(F.collect_list(F.coalesce("dst", F.lit(-1)))).alias("flow_to"))
+    down = cut(down.join(to.select("fid", F.size("flow_to").alias("n")), "fid").where("dst is not null").select(F.col("fid").alias("src"), "dst", (1.0 / F.col("n")).alias("share"), ((F.col("low") < F.col("elevation")) | ((F.col("low") == F.col("elevation")) & (F.col("dst") > F.col("fid")))).alias("goes_on")))
+
+    steps = down.where("goes_on").drop("goes_on")
+    through = here.select("fid", F.col("rain").alias("x"))
+    while not steps.isEmpty():
+        come = steps.join(through.select(F.col("fid").alias("src"), "x"), "src").where("x > 0").groupBy("dst").agg(F.sum(F.col("x") * F.col("share")).alias("more"))
+        through = cut(through.join(come, F.col("fid") == F.col("dst"), "left").select("fid", (F.col("x") + F.coalesce("more", F.lit(0.0))).alias("x")))
+        second = steps.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("share").alias("part"))
+        steps = cut(steps.join(second, "dst").groupBy("src", F.col("end").alias("dst")).agg(F.sum(F.col("share") * F.col("part")).alias("share")))
+    stays = down.where("not goes_on").join(through.select(F.col("fid").alias("src"), "x"), "src").groupBy("dst").agg(F.sum(F.col("x") * F.col("share")).alias("more"))
+    out = here.select("fid", "sea").join(through, "fid").join(stays, F.col("fid") == F.col("dst"), "left").join(to, "fid", "left")
+    kept = F.when(~F.col("sea") & F.col("flow_to").isNull(), F.col("x")).otherwise(0.0)
+    return out.select("fid", (F.col("x") + F.coalesce("more", F.lit(0.0))).alias("water_flow"), kept.alias("water_accumulation"), F.coalesce("flow_to", F.array().cast("array<bigint>")).alias("flow_to"))
 
 
 def lake_evaporation(temperature: Column, elevation: Column, size: Column) -> Column:

@@ -389,7 +389,15 @@ def next_prev_segment(w):
     return out.select("from", "to", F.coalesce("prev", F.lit(0)).alias("prev"), F.coalesce("nxt", F.lit(0)).alias("nxt"))
 
 
-@query()
+_DOWN = """select src fid, dst, h, hd, least, count(*) over (partition by src) n from (select e.src, e.dst, a.elevation h, b.elevation hd, min(b.elevation) over (partition by e.src) least
+  from (select distinct src, dst from edges) e join tiles a on a.fid=e.src join tiles b on b.fid=e.dst where a.grouping_<>'Ocean') where (hd=least or abs(hd-least)<2.220446049250313e-16) and least<=h"""
+_PASSED = """select fid, sum(x) x from (with /*rec*/ recursive q(step,fid,x) as (select 0, fid, case when grouping_='Ocean' then 0e0 else precipitation/pow((select count(*) from tiles)/10000e0,0.25e0) end from tiles
+  union all select step+1, d.dst, sum(x/n) from q join down d on d.fid=q.fid where d.hd<d.h or (d.hd=d.h and d.dst>d.fid) group by step, d.dst) select * from q) group by fid"""
+
+
+@query("""select t.fid, round(p.x+coalesce(s.more,0e0),6) water_flow, round(case when grouping_<>'Ocean' and o.fid is null then p.x else 0e0 end,6) water_accumulation, coalesce(o.n,0)::int n_to
+  from tiles t join passed p on p.fid=t.fid left join (select fid, max(n) n from down group by 1) o on o.fid=t.fid
+  left join (select dst, sum(x/n) more from down d join passed using (fid) where not (hd<h or (hd=h and dst>d.fid)) group by 1) s on s.dst=t.fid""", down=_DOWN, passed=_PASSED)
 def water_flow(w):
     t = w.tiles.withColumnRenamed(G, "grouping")
     return water.water_flow(t, w.edges).select("fid", R6(F.col("water_flow")).alias("water_flow"), R6(F.col("water_accumulation")).alias("water_accumulation"), F.size("flow_to").alias("n_to"))
