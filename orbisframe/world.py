@@ -1,13 +1,15 @@
 """A world from an empty map to named regions: the steps as commands.
 
 ``WorldMap`` holds the layers as DataFrames. Each command replaces some of
-them by tables cut from their lineage; ``save`` makes a folder of Parquet
-tables of them, visible at once. ``generate`` runs everything.
+them by tables cut from their lineage; ``save`` makes a version of them in a
+folder, visible at once, and ``transaction`` undoes edits that fail.
+``generate`` runs everything.
 """
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from orbisframe.operators import climate, colors, construct, cultures, graph, la
 from orbisframe.functions.rand import stream
 from orbisframe.operators.terrain import Limits
 from orbisframe.session import cut
+from orbisframe.sources import geotiff, snapshots
 
 #: Commands and what they take; ``command_docs`` writes them as text.
 COMMANDS = {
@@ -47,10 +50,20 @@ class Source:
     rows: int = 0
     seed: int | str | None = None  # worlds of one seed are equal, others are independent
 
+    @staticmethod
+    def from_raster(spark: SparkSession, path: str, n_tiles: int = 10_000, band: int = 1, **more: object) -> "Source":
+        """A height map's own extent, its lowest and highest value as limits."""
+        rows, head = geotiff.read_geotiff(spark, path, [band])
+        rows = rows.select("px", "py", "value")
+        low, high = rows.agg(F.min("value"), F.max("value")).first()
+        limits = head.limits(*((low, high) if low is not None else ()))
+        return Source(n_tiles=n_tiles, limits=limits, heightmap=rows, columns=head.width, rows=head.height, **more)
+
 
 class WorldMap:
     def __init__(self, spark: SparkSession, source: Source = Source()):
         self.spark, self.source, self.t, self.warnings, self._runs = spark, source, {}, [], 0
+        self._stored: tuple = ()
 
     @property
     def tiles(self) -> DataFrame:
@@ -77,28 +90,41 @@ class WorldMap:
         kept = self.tiles.drop(*columns)
         self.put("tiles", kept.join(rows.select("fid", *columns), "fid", "left"))
 
-    def save(self, folder: str, overwrite: bool = False) -> None:
-        """All layers as Parquet tables below ``folder``, which appears at
-        once by a rename when the last one is written."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        target, staged = path(folder), f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(target) and not overwrite:
+    def save(self, folder: str, overwrite: bool = False) -> int:
+        """A new version of the world in ``folder``, complete at once; layers
+        that it has already aren't written again. A world that is there is an
+        error without ``overwrite``, and stays readable until the new version
+        is complete; a version that somebody else made since this one was read
+        is a ``ConflictError``."""
+        folder = folder.rstrip("/")
+        known, stored = self._stored if self._stored and self._stored[0][0] == folder else ((folder, None), {})
+        if not overwrite and snapshots.versions(self.spark, folder):
             raise FileExistsError(folder)
-        for name, rows in self.t.items():
-            rows.write.parquet(f"{staged}/{name}")
-        if fs.exists(target):
-            fs.delete(target, True)
-        fs.rename(path(staged), target)
+        kept = {n: place for n, (rows, place) in stored.items() if self.t.get(n) is rows}
+        version, places = snapshots.commit(self.spark, folder, self.t, kept, known[1])
+        self._stored = ((folder, version), {n: (self.t[n], places[n]) for n in self.t})
+        return version
 
     @staticmethod
-    def load(spark: SparkSession, folder: str, source: Source = Source()) -> "WorldMap":
-        out = WorldMap(spark, source)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
-            out.t[s.getPath().getName()] = spark.read.parquet(s.getPath().toString())
+    def load(spark: SparkSession, folder: str, source: Source = Source(), version: int | None = None) -> "WorldMap":
+        out, folder = WorldMap(spark, source), folder.rstrip("/")
+        version, places, out.t = snapshots.read(spark, folder, version)
+        out._stored = ((folder, version), {n: (rows, places[n]) for n, rows in out.t.items()})
         return out
 
+    @contextlib.contextmanager
+    def transaction(self, folder: str | None = None) -> "Iterator[WorldMap]":
+        """Edits that hold together: if one fails, all layers are as before.
+        With a folder, the result is saved there as one version."""
+        before, warnings, runs, stored = dict(self.t), list(self.warnings), self._runs, self._stored
+        try:
+            yield self
+            if folder is not None:
+                self.save(folder, overwrite=True)
+        except BaseException:
+            self.t, self.warnings, self._runs, self._stored = before, warnings, runs, stored
+            raise
+
     def info(self) -> DataFrame:
         return layers.dataset_info(self.t)
 
@@ -116,7 +142,7 @@ class WorldMap:
         limits = [("elevation-limits", f"({lim.low},{lim.high})"), ("world-shape", "Sphere" if s.sphere else "Cylinder")]
         self.put("properties", self.spark.createDataFrame(limits, "name string, value string"))
         if s.heightmap is not None:
-            self.put("tiles", terrain.elevation_scale(terrain.sample_elevation(self.tiles, s.heightmap, s.columns, s.rows), lim))
+            self.put("tiles", terrain.elevation_scale(terrain.sample_elevation(self.tiles, s.heightmap, s.columns, s.rows, lim), lim))
         return self.terrain(s.tasks)
 
     def terrain(self, tasks: list[dict]) -> "WorldMap":
