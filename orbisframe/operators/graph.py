@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,26 +45,90 @@ def majority(tiles: DataFrame, edges: DataFrame, column: str) -> DataFrame:
     return votes.groupBy("src").agg(F.min_by("value", F.struct((-F.col("count")).alias("c"), F.col("value"))).alias("value"))
 
 
+#: Tiles to a part, about: what one task holds of the map at a time.
+PART = 50_000
+#: Hops of what is not reached; exact as a floating number too.
+_FAR = 1 << 60
+
+
+def _parts(tiles: DataFrame) -> Column:
+    """The part of a tile by its fid: equal ranges of fids, and neighbours
+    have near fids, so most links stay inside a part."""
+    n, low, high = tiles.agg(F.count("*"), F.min("fid"), F.max("fid")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-n // PART))))
+    return F.floor((F.col("fid") - F.lit(low or 0)) / width).cast("long")
+
+
+def _same_medium(tiles: DataFrame, edges: DataFrame) -> DataFrame:
+    """(p, src, dst, q) of links between tiles (fid, m, p) of equal m."""
+    a = tiles.select(F.col("fid").alias("src"), F.col("m").alias("a"), "p")
+    b = tiles.select(F.col("fid").alias("dst"), F.col("m").alias("b"), F.col("p").alias("q"))
+    return edges.where("dst is not null").select("src", "dst").join(a, "src").join(b, "dst").where("a = b").select("p", "src", "dst", "q")
+
+
+def _spread(fid: np.ndarray, start: np.ndarray, end: np.ndarray, hops: np.ndarray) -> np.ndarray:
+    """Least hops of the tiles of a part, over its own links and from what is
+    known: links are places in ``fid``, the unreached have a large number."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    off = np.searchsorted(start, np.arange(len(fid) + 1))
+    level, far = int(hops.min(initial=_FAR)), _FAR
+    while level < far:
+        here = np.flatnonzero(hops == level)
+        count = off[here + 1] - off[here]
+        at = np.repeat(off[here] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        to = np.unique(end[at])
+        to = to[hops[to] > level + 1]
+        hops[to] = level + 1
+        later = hops[hops > level]
+        level = int(later.min()) if len(later) else far
+    return hops
+
+
 def hops(tiles: DataFrame, edges: DataFrame, seed: Column, medium: Column) -> DataFrame:
-    """(fid, hops): steps from the nearest seed through tiles of its medium,
-    by a frontier loop; seeds are at 1. Unreached tiles have null. Every edge
-    stands in both directions."""
-    tiles = cut(tiles.select("fid", medium.alias("m"), seed.alias("seed")))
-    same = cut(edges.where("dst is not null").select("src", "dst").join(tiles.select(F.col("fid").alias("src"), F.col("m").alias("a")), "src").join(tiles.select(F.col("fid").alias("dst"), F.col("m").alias("b")), "dst").where("a = b").select("src", "dst"))
-    # links go both ways, so a step reaches the last two frontiers and new tiles
-    # only: just these are compared, and all frontiers are put together once
-    waves = [cut(tiles.where("seed").select("fid", F.lit(1).alias("hops")))]
+    """(fid, hops): steps from the nearest seed through tiles of its medium;
+    seeds are at 1. Unreached tiles have null.
+
+    The map is worked on in parts. In a round each part that has news goes on
+    from them as far as its own links lead, and sends what crosses its border;
+    it ends when nothing is sent that is nearer than what is known. Rounds are
+    as many as the parts that a shortest way passes, not its steps."""
+    marked = tiles.select("fid", medium.alias("m"), F.coalesce(seed, F.lit(False)).alias("seed"))
+    marked = cut(marked.withColumn("p", _parts(marked)))
+    links = cut(_same_medium(marked, edges))
+    far = _FAR
+
+    def work(links: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        columns = ["fid", "p", "hops", "sent"]
+        if not len(known) or not known["news"].any():
+            return pd.DataFrame([], columns=columns)
+        fid = known["fid"].to_numpy(np.int64)
+        order = np.argsort(fid)
+        fid, old, news = fid[order], known["hops"].fillna(far).to_numpy(np.int64)[order], known["news"].fillna(far).to_numpy(np.int64)[order]
+        src, dst = links["src"].to_numpy(np.int64), links["dst"].to_numpy(np.int64)
+        inside = (links["p"] == links["q"]).to_numpy()
+        place = lambda x: np.searchsorted(fid, x)
+        now = _spread(fid, place(src[inside]), place(dst[inside]), np.minimum(old, news))
+        nearer = np.flatnonzero(now < old)
+        mine = pd.DataFrame({"fid": fid[nearer], "p": int(known["p"].iloc[0]), "hops": now[nearer], "sent": False})
+        out = np.flatnonzero(~inside)
+        out = out[now[place(src[out])] < old[place(src[out])]] if len(out) else out
+        theirs = pd.DataFrame({"fid": dst[out], "p": links["q"].to_numpy()[out], "hops": now[place(src[out])] + 1, "sent": True})
+        return pd.concat([mine, theirs])[columns]
+
+    known = marked.select("fid", "p", F.lit(None).cast("long").alias("hops"))
+    news = marked.where("seed").select(F.col("fid").alias("_f"), F.lit(1).cast("long").alias("news"))
     while True:
-        nxt = same.join(waves[-1], same["src"] == waves[-1]["fid"]).select(F.col("dst").alias("fid")).distinct()
-        for old in waves[-2:]:
-            nxt = nxt.join(old.select("fid"), "fid", "left_anti")
-        nxt = cut(nxt.select("fid", F.lit(len(waves) + 1).alias("hops")))
-        if nxt.isEmpty():
-            reached = waves[0]
-            for wave in waves[1:]:
-                reached = reached.unionByName(wave)
-            return tiles.select("fid").join(reached, "fid", "left")
-        waves.append(nxt)
+        told = known.join(news, F.col("fid") == F.col("_f"), "left").select("fid", "p", "hops", "news")
+        busy = told.where("news is not null").select("p").distinct()
+        state = told.join(busy, "p", "left_semi")
+        got = cut(links.join(busy, "p", "left_semi").groupBy("p").cogroup(state.groupBy("p")).applyInPandas(lambda a, b: work(a, b), "fid long, p long, hops long, sent boolean"))
+        mine = got.where("not sent").select(F.col("fid").alias("_f"), F.col("hops").alias("_h"))
+        known = cut(known.join(mine, F.col("fid") == F.col("_f"), "left").select("fid", "p", F.least("hops", "_h").alias("hops")))
+        sent = got.where("sent").groupBy(F.col("fid").alias("_f")).agg(F.min("hops").alias("news"))
+        news = cut(sent.join(known.select(F.col("fid").alias("_f"), F.col("hops").alias("_k")), "_f").where("_k is null or news < _k").select("_f", "news"))
+        if news.isEmpty():
+            return known.select("fid", F.col("hops").cast("int").alias("hops"))
 
 
 def shore_distance(tiles: DataFrame, edges: DataFrame, water: Column) -> DataFrame:
@@ -74,22 +140,51 @@ def shore_distance(tiles: DataFrame, edges: DataFrame, water: Column) -> DataFra
     return hops(marked, edges, F.col("_seed"), F.col("_w")).join(sign, "fid").select("fid", F.when(F.col("_w"), -F.col("hops")).otherwise(F.col("hops")).alias("shore_distance"))
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """(src, dst): for the tiles of each part the largest tile that they are
+    linked with inside it, and the links that leave the part."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        inside = (pdf["p"] == pdf["q"]).to_numpy()
+        src, dst = pdf["src"].to_numpy(np.int64), pdf["dst"].to_numpy(np.int64)
+        fid, place = np.unique(np.concatenate((src[inside], dst[inside])), return_inverse=True)
+        a, b = place[: inside.sum()], place[inside.sum() :]
+        label = np.arange(len(fid))
+        while len(a):
+            top = label.copy()
+            np.maximum.at(top, label[a], label[b])
+            np.maximum.at(top, label[b], label[a])
+            while (top[top] != top).any():
+                top = top[top]
+            if (top[label] == label).all():
+                break
+            label = top[label]
+        mine = pd.DataFrame({"src": fid, "dst": fid[label]})
+        return pd.concat([mine[mine["src"] != mine["dst"]], pd.DataFrame({"src": src[~inside], "dst": dst[~inside]})])
+
+    return links.groupBy("p").applyInPandas(lambda pdf: work(pdf), "src long, dst long")
+
+
 def components(tiles: DataFrame, edges: DataFrame, klass: Column) -> DataFrame:
-    """(fid, label): largest fid of the tile's component of equal class, by
-    neighbour maximum and pointer jumping, in rounds logarithmic in reach for
-    long chains and never more than the diameter."""
-    marked = cut(tiles.select("fid", klass.alias("k")))
-    same = edges.where("dst is not null").select("src", "dst").join(marked.select(F.col("fid").alias("src"), F.col("k").alias("a")), "src").join(marked.select(F.col("fid").alias("dst"), F.col("k").alias("b")), "dst").where("a = b")
-    same = cut(same.select("src", "dst"))
-    label = marked.select("fid", F.col("fid").alias("label"))
+    """(fid, label): largest fid of the tile's component of equal class. Each
+    part of the map is contracted first, to one link a tile; then neighbour
+    maximum and pointer jumping run over these and the links between parts,
+    over tiles that still have any."""
+    marked = tiles.select("fid", klass.alias("m"))
+    marked = cut(marked.withColumn("p", _parts(marked)))
+    star = cut(_stars(_same_medium(marked, edges)))
+    both = cut(star.unionByName(star.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = both.select(F.col("src").alias("fid")).distinct().withColumn("label", F.col("fid"))
     while True:
-        near = same.join(label.select(F.col("fid").alias("dst"), "label"), "dst").groupBy("src").agg(F.max("label").alias("n"))
+        near = both.join(label.select(F.col("fid").alias("dst"), "label"), "dst").groupBy("src").agg(F.max("label").alias("n"))
         step = cut(label.join(near, label["fid"] == near["src"], "left").select("fid", F.col("label").alias("old"), F.greatest("label", F.coalesce("n", "label")).alias("label")))
         up = step.select(F.col("fid").alias("at"), F.col("label").alias("up"))
         nxt = cut(step.join(up, F.col("label") == F.col("at")).select("fid", "old", F.greatest("label", "up").alias("label")))
         if nxt.where("old != label").isEmpty():
-            return nxt.select("fid", "label")
+            break
         label = nxt.select("fid", "label")
+    found = nxt.select(F.col("fid").alias("_f"), F.col("label").alias("_l"))
+    return marked.select("fid").join(found, F.col("fid") == F.col("_f"), "left").select("fid", F.coalesce("_l", "fid").alias("label"))
 
 
 def grouping(tiles: DataFrame, edges: DataFrame, ocean: Column, lake: Column) -> DataFrame:

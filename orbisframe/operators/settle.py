@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbisframe.functions.rand import normal, uniform
+from orbisframe.session import cut
 
 
 def score_tiles(tiles: DataFrame, stream: str = "") -> DataFrame:
@@ -54,8 +55,11 @@ def populate_towns(towns: DataFrame, tiles: DataFrame, lakes: DataFrame, river_t
     pop = F.greatest(F.col("habitability") / 2.0 * 1000.0, F.lit(100.0)) * F.when(F.col("is_capital"), 1.3).otherwise(1.0) * F.when(F.col("_port"), 1.3).otherwise(1.0)
     shift = F.when(~F.col("_port") & (F.col("water_flow") > river_threshold), F.least(F.col("water_flow") / 150.0, F.lit(1.0))).otherwise(0.0)
     move = lambda c: F.when(F.col(c) % 2.0 < 1.0, F.col(c) + shift).otherwise(F.col(c) - shift)
-    on_body = F.count("*").over(Window.partitionBy("_hid"))
-    alone = F.col("_h").isNotNull() & (on_body == 1)
+    # counted apart: all towns of an ocean are on one body
+    j = cut(j)
+    body = j.where("_h is not null").groupBy(F.col("_hid").alias("_body")).agg(F.count("*").alias("_on"))
+    j = j.join(body, F.col("_hid").eqNullSafe(F.col("_body")) & F.col("_h").isNotNull(), "left")
+    alone = F.col("_h").isNotNull() & (F.col("_on") == 1)
     return j.select("fid", F.floor(pop).cast("int").alias("population"), (F.col("_port") & ~alone).alias("is_port"), move("site_x").alias("x"), move("site_y").alias("y"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from orbisframe.functions.rand import between, uniform, whole
 from orbisframe.functions.rand import stream as streams
+from orbisframe.operators import graph
 
 # How far a hill spreads, by the largest number of tiles it holds for.
 BLOB_POWERS = (
@@ -423,28 +424,12 @@ def seed_ocean(tiles: DataFrame, edges: DataFrame, count: int, x: Span = _ALL, y
     return _kernel(tiles, edges, work, grouping)
 
 
-def flood_ocean(tiles: DataFrame, edges: DataFrame, grouping: str = "grouping", rounds: int | None = None) -> DataFrame:
-    """Ocean spreads through neighbours below zero until nothing changes: a
-    frontier loop of joins, whose length is the flooded region's reach. Every
-    edge stands in both directions, so a step meets the last two frontiers and
-    new tiles only; the frontiers are put together once."""
-    from orbisframe.session import cut
-
-    low = cut(tiles.select("fid", (F.col("elevation") < 0).alias("low"), (F.col(grouping) == "Ocean").alias("sea")))
-    waves = [low.where("sea").select("fid")]
-    while rounds is None or len(waves) <= rounds:
-        nxt = edges.join(waves[-1], edges["src"] == waves[-1]["fid"]).select(F.col("dst").alias("fid")).distinct()
-        nxt = nxt.join(low.where("low"), "fid", "left_semi")
-        for old in waves[-2:]:
-            nxt = nxt.join(old, "fid", "left_anti")
-        nxt = cut(nxt)
-        if nxt.isEmpty():
-            break
-        waves.append(nxt)
-    wet = waves[0]
-    for wave in waves[1:]:
-        wet = wet.unionByName(wave)
-    mark = wet.select(F.col("fid").alias("_wet"))
+def flood_ocean(tiles: DataFrame, edges: DataFrame, grouping: str = "grouping") -> DataFrame:
+    """Ocean spreads through neighbours below zero until nothing changes: what
+    can be reached from it over ocean and low ground, part by part of the map."""
+    sea = F.coalesce(F.col(grouping) == "Ocean", F.lit(False))
+    wet = graph.hops(tiles, edges, sea, sea | F.coalesce(F.col("elevation") < 0, F.lit(False)))
+    mark = wet.where("hops is not null").select(F.col("fid").alias("_wet"))
     return tiles.join(mark, tiles["fid"] == F.col("_wet"), "left").withColumn(grouping, F.when(F.col("_wet").isNotNull(), F.lit("Ocean")).otherwise(F.col(grouping))).drop("_wet")
 
 

@@ -54,3 +54,38 @@ def test_flow_of_several_worlds(spark):
 def test_flow_of_nothing(spark):
     none = spark.createDataFrame([], "fid long, elevation double, precipitation double, grouping string")
     assert water.water_flow(none, spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+@pytest.mark.parametrize("part", [50_000, 20, 7])
+def test_hops_and_components_by_parts(spark, part, monkeypatch):
+    """Mazes, whose shortest ways cross many parts and come back."""
+    from pyspark.sql import functions as F
+
+    from orbisframe.operators import graph
+
+    monkeypatch.setattr(graph, "PART", part)
+    rng, side = random.Random(part), 12
+    kind = [rng.random() < 0.6 for _ in range(side * side)]
+    edges = [(a, b) for a in range(side * side) for b in (a - 1, a + 1, a - side, a + side) if 0 <= b < side * side and abs(a % side - b % side) < 2]
+    seeds = {k for k in range(side * side) if rng.random() < 0.04}
+    tiles = spark.createDataFrame([(k, kind[k], k in seeds) for k in range(side * side)], "fid long, kind boolean, seed boolean")
+    e = spark.createDataFrame([*edges, (0, None)], "src long, dst long")
+    near = {k: [b for a, b in edges if a == k and kind[a] == kind[b]] for k in range(side * side)}
+    want, wave = dict.fromkeys(seeds, 1), list(seeds)
+    for k in wave:
+        for n in near[k]:
+            if n not in want:
+                want[n] = want[k] + 1
+                wave.append(n)
+    got = {r.fid: r.hops for r in graph.hops(tiles, e, F.col("seed"), F.col("kind")).collect()}
+    assert got == {k: want.get(k) for k in range(side * side)}
+    label = {}
+    for k in sorted(near, reverse=True):
+        work = [] if k in label else [k]
+        for n in work:
+            if n not in label:
+                label[n] = k
+                work += near[n]
+    assert {r.fid: r.label for r in graph.components(tiles, e, F.col("kind")).collect()} == label
+    none = tiles.limit(0)
+    assert graph.hops(none, e, F.col("seed"), F.col("kind")).count() == 0 and graph.components(none, e, F.col("kind")).count() == 0
