@@ -170,9 +170,9 @@ def _simplify(line: list[Point], tolerance: float) -> list[Point]:
     return [line[k] for k in sorted(keep)]
 
 
-def lake_shapes(tiles: DataFrame, tile_width: float, buffer_scale: float = 2.0, curve: float = 100.0, lake: str = "lake_id") -> DataFrame:
+def lake_shapes(tiles: DataFrame, tile_width: float, buffer_scale: float = 2.0, curve: float | None = 100.0, lake: str = "lake_id") -> DataFrame:
     """(fid, rings, area): each lake's tiles in one outline, drawn in by a
-    share of a tile's width, simplified and curved."""
+    share of a tile's width, simplified and, but for no ``curve``, curved."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -181,7 +181,8 @@ def lake_shapes(tiles: DataFrame, tile_width: float, buffer_scale: float = 2.0,
                 drawn = []
                 for r in rings:
                     line = [(p["x"], p["y"]) for p in r]
-                    drawn.append(curve_ring(simplify_ring(shrink_ring(line, tile_width / 10 * buffer_scale), tile_width / 10), curve))
+                    kept = simplify_ring(shrink_ring(line, tile_width / 10 * buffer_scale), tile_width / 10)
+                    drawn.append(kept if curve is None else curve_ring(kept, curve))
                 rows.append((int(theme), _as_rows(drawn), abs(sum(map(signed_area, drawn)))))
             yield pd.DataFrame(rows, columns=["fid", "rings", "area"])
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbisframe.functions.rand import stream, uniform
-from orbisframe.operators import construct, outlines, overlay, terrain
+from orbisframe.operators import construct, layers, outlines, overlay, terrain
 from orbisframe.operators.terrain import Limits
 from orbisframe.plans.registry import _CL, R6, G, query, rings
 
@@ -104,3 +104,24 @@ def sphere_tiles(w):
     points = _sites(w)
     cells = construct.voronoi(points, construct.delaunay(points), sphere=True)
     return cells.agg(F.count("*").alias("sites"), F.round(F.sum("area"), 3).alias("area"))
+
+
+# borders
+
+
+@query("""select lake_id fid, round((360e0/w-sqrt(2)*s)*(180e0/w-sqrt(2)*s),6) area from (select lake_id, w, 0.2e0*sqrt(64800e0/(w*w)) s from tiles where lake_id is not null)""")
+def lake_shape_area(w):
+    """Lakes of one tile, drawn in along the bisectors of their corners."""
+    width = layers.average_tile_area(w.tiles).first().avg_area ** 0.5
+    return outlines.lake_shapes(rings(w), width, curve=None).select("fid", R6(F.col("area")).alias("area"))
+
+
+@query("""select a.fid a_fid, b.fid b_fid from tiles a join tiles b on mod(a.col+a.rw,2)=0 and ((abs(a.col-b.col)=1 and a.rw=b.rw) or (a.col=b.col and abs(a.rw-b.rw)=1))""")
+def segment_match_sides(w):
+    """The sides of every other tile are those of its four neighbours, drawn
+    in the other direction."""
+    t = rings(w)
+    s = outlines.sides(t.select(((F.col("col") + F.col("rw")) % 2).alias("odd"), "fid", "ring"), "odd", "fid")
+    line = F.array(*[F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in ("a", "b")])
+    s = s.select("odd", F.col("fid").alias("key"), line.alias("line"))
+    return outlines.segment_match(s.where("odd = 0"), s.where("odd = 1")).where("reversed").select(F.col("a_key").alias("a_fid"), F.col("b_key").alias("b_fid"))

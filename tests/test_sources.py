@@ -1,13 +1,15 @@
 import json
 import sqlite3
+import struct
 
 from orbisframe.sources import config
-from orbisframe.sources.geopackage import GeoPackage, add_header, layers, strip_header
+from orbisframe.sources.geopackage import GeoPackage, add_header, layers, strip_header, wkb_bounds
 
 
 def test_geopackage_round_trip(spark, tmp_path):
     spark.dataSource.register(GeoPackage)
-    rows = [(k, f"n{k}", k / 2, bytes([1, 2, k])) for k in range(1, 8)]
+    point = lambda x, y: struct.pack("<BIdd", 1, 1, x, y)
+    rows = [(k, f"n{k}", k / 2, point(k, -k)) for k in range(1, 8)]
     df = spark.createDataFrame(rows, "fid long, name string, v double, geom binary")
     path = str(tmp_path / "w.gpkg")
     df.write.format("geopackage").option("path", path).option("layer", "towns").mode("append").save()
@@ -15,7 +17,15 @@ def test_geopackage_round_trip(spark, tmp_path):
     assert sorted((r.fid, r.name, r.v, bytes(r.geom)) for r in got.collect()) == rows
     with sqlite3.connect(path) as db:
         assert {r[0] for r in db.execute("select srs_id from gpkg_spatial_ref_sys")} == {-1, 0, 4326}
-    assert layers(path) == ["towns"] and strip_header(add_header(b"abc")) == b"abc"
+        assert db.execute("select data_type, min_x, min_y, max_x, max_y, srs_id from gpkg_contents").fetchall() == [("features", 1, -7, 7, -1, 4326)]
+        assert db.execute("select length(last_change) from gpkg_contents").fetchone() == (24,) and db.execute("pragma foreign_key_check").fetchall() == []
+    assert [f.name for f in tmp_path.iterdir()] == ["w.gpkg"]
+    df.drop("geom").write.format("geopackage").option("path", path).option("layer", "plain").mode("append").save()
+    assert layers(path) == ["plain", "towns"]
+    line = struct.pack(">BII", 0, 2, 2) + struct.pack(">4d", 1, 5, -3, 2)
+    ring = struct.pack("<BIII", 1, 1003, 1, 2) + struct.pack("<6d", 0, 0, 9, 4, 4, 9)
+    assert wkb_bounds(line) == (-3, 2, 1, 5) and wkb_bounds(struct.pack("<BII", 1, 7, 2) + line + ring) == (-3, 0, 4, 5) and wkb_bounds(struct.pack("<BII", 1, 2, 0)) is None
+    assert layers(path)[1:] == ["towns"] and strip_header(add_header(b"abc")) == b"abc"
 
 
 def test_configuration(spark, tmp_path):
