@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,8 +50,6 @@ def majority(tiles: DataFrame, edges: DataFrame, column: str) -> DataFrame:
 
 #: Tiles to a part, about: what one task holds of the map at a time.
 PART = 50_000
-#: Hops of what is not reached; exact as a floating number too.
-_FAR = 1 << 60
 
 
 def _parts(tiles: DataFrame) -> Column:
@@ -66,69 +67,115 @@ def _same_medium(tiles: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.where("dst is not null").select("src", "dst").join(a, "src").join(b, "dst").where("a = b").select("p", "src", "dst", "q")
 
 
-def _spread(fid: np.ndarray, start: np.ndarray, end: np.ndarray, hops: np.ndarray) -> np.ndarray:
-    """Least hops of the tiles of a part, over its own links and from what is
-    known: links are places in ``fid``, the unreached have a large number."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], end[order]
-    off = np.searchsorted(start, np.arange(len(fid) + 1))
-    level, far = int(hops.min(initial=_FAR)), _FAR
-    while level < far:
-        here = np.flatnonzero(hops == level)
+def _by_levels(off: np.ndarray, end: np.ndarray, step: np.ndarray, value: np.ndarray, limit: float) -> np.ndarray:
+    """Least values of the tiles of a part where each step costs one: all of a
+    level at once. ``off``, ``end``: links by their start."""
+    level = value.min(initial=np.inf)
+    while level < np.inf:
+        here = np.flatnonzero(value == level)
         count = off[here + 1] - off[here]
         at = np.repeat(off[here] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         to = np.unique(end[at])
-        to = to[hops[to] > level + 1]
-        hops[to] = level + 1
-        later = hops[hops > level]
-        level = int(later.min()) if len(later) else far
-    return hops
-
-
-def hops(tiles: DataFrame, edges: DataFrame, seed: Column, medium: Column) -> DataFrame:
-    """(fid, hops): steps from the nearest seed through tiles of its medium;
-    seeds are at 1. Unreached tiles have null.
+        to = to[value[to] > level + 1]
+        value[to] = level + 1
+        level = value[value > level].min(initial=np.inf)
+    return value
+
+
+def _by_cost(off: np.ndarray, end: np.ndarray, step: np.ndarray, value: np.ndarray, limit: float) -> np.ndarray:
+    """The same with any costs of steps, cheapest tile first, up to ``limit``."""
+    best, end, step, off = value.tolist(), end.tolist(), step.tolist(), off.tolist()
+    queue = [(v, k) for k, v in enumerate(best) if v < np.inf]
+    heapq.heapify(queue)
+    while queue:
+        so_far, k = heapq.heappop(queue)
+        if so_far > best[k]:
+            continue
+        for j in range(off[k], off[k + 1]):
+            total = so_far + step[j]
+            if total < best[end[j]] and total <= limit:
+                best[end[j]] = total
+                heapq.heappush(queue, (total, end[j]))
+    return np.array(best, float)
+
+
+def _distances(marked: DataFrame, links: DataFrame, start: DataFrame, spread: Callable, limit: float = np.inf) -> DataFrame:
+    """(fid, p, value): least sum of steps from the tiles of ``start`` (fid,
+    value) along ``links`` (p, src, dst, q, w); null where none leads.
 
     The map is worked on in parts. In a round each part that has news goes on
     from them as far as its own links lead, and sends what crosses its border;
     it ends when nothing is sent that is nearer than what is known. Rounds are
     as many as the parts that a shortest way passes, not its steps."""
-    marked = tiles.select("fid", medium.alias("m"), F.coalesce(seed, F.lit(False)).alias("seed"))
-    marked = cut(marked.withColumn("p", _parts(marked)))
-    links = cut(_same_medium(marked, edges))
-    far = _FAR
 
     def work(links: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        columns = ["fid", "p", "hops", "sent"]
-        if not len(known) or not known["news"].any():
+        columns = ["fid", "p", "value", "sent"]
+        if not len(known) or not known["news"].notna().any():
             return pd.DataFrame([], columns=columns)
         fid = known["fid"].to_numpy(np.int64)
         order = np.argsort(fid)
-        fid, old, news = fid[order], known["hops"].fillna(far).to_numpy(np.int64)[order], known["news"].fillna(far).to_numpy(np.int64)[order]
-        src, dst = links["src"].to_numpy(np.int64), links["dst"].to_numpy(np.int64)
+        fid, old, news = fid[order], known["value"].fillna(np.inf).to_numpy(float)[order], known["news"].fillna(np.inf).to_numpy(float)[order]
+        src, dst, step = np.searchsorted(fid, links["src"].to_numpy(np.int64)), links["dst"].to_numpy(np.int64), links["w"].to_numpy(float)
         inside = (links["p"] == links["q"]).to_numpy()
-        place = lambda x: np.searchsorted(fid, x)
-        now = _spread(fid, place(src[inside]), place(dst[inside]), np.minimum(old, news))
+        own = np.flatnonzero(inside)[np.argsort(src[inside], kind="stable")]
+        now = spread(np.searchsorted(src[own], np.arange(len(fid) + 1)), np.searchsorted(fid, dst[own]), step[own], np.minimum(old, news), limit)
         nearer = np.flatnonzero(now < old)
-        mine = pd.DataFrame({"fid": fid[nearer], "p": int(known["p"].iloc[0]), "hops": now[nearer], "sent": False})
+        mine = pd.DataFrame({"fid": fid[nearer], "p": int(known["p"].iloc[0]), "value": now[nearer], "sent": False})
         out = np.flatnonzero(~inside)
-        out = out[now[place(src[out])] < old[place(src[out])]] if len(out) else out
-        theirs = pd.DataFrame({"fid": dst[out], "p": links["q"].to_numpy()[out], "hops": now[place(src[out])] + 1, "sent": True})
-        return pd.concat([mine, theirs])[columns]
+        out = out[(now[src[out]] < old[src[out]]) & (now[src[out]] + step[out] <= limit)]
+        theirs = pd.DataFrame({"fid": dst[out], "p": links["q"].to_numpy()[out], "value": now[src[out]] + step[out], "sent": True})
+        return pd.concat([x for x in (mine, theirs) if len(x)] or [mine])[columns]
 
-    known = marked.select("fid", "p", F.lit(None).cast("long").alias("hops"))
-    news = marked.where("seed").select(F.col("fid").alias("_f"), F.lit(1).cast("long").alias("news"))
+    known = marked.select("fid", "p", F.lit(None).cast("double").alias("value"))
+    news = start.select(F.col("fid").alias("_f"), F.col("value").cast("double").alias("news"))
     while True:
-        told = known.join(news, F.col("fid") == F.col("_f"), "left").select("fid", "p", "hops", "news")
+        told = known.join(news, F.col("fid") == F.col("_f"), "left").select("fid", "p", "value", "news")
         busy = told.where("news is not null").select("p").distinct()
         state = told.join(busy, "p", "left_semi")
-        got = cut(links.join(busy, "p", "left_semi").groupBy("p").cogroup(state.groupBy("p")).applyInPandas(lambda a, b: work(a, b), "fid long, p long, hops long, sent boolean"))
-        mine = got.where("not sent").select(F.col("fid").alias("_f"), F.col("hops").alias("_h"))
-        known = cut(known.join(mine, F.col("fid") == F.col("_f"), "left").select("fid", "p", F.least("hops", "_h").alias("hops")))
-        sent = got.where("sent").groupBy(F.col("fid").alias("_f")).agg(F.min("hops").alias("news"))
-        news = cut(sent.join(known.select(F.col("fid").alias("_f"), F.col("hops").alias("_k")), "_f").where("_k is null or news < _k").select("_f", "news"))
+        got = cut(links.join(busy, "p", "left_semi").groupBy("p").cogroup(state.groupBy("p")).applyInPandas(lambda a, b: work(a, b), "fid long, p long, value double, sent boolean"))
+        mine = got.where("not sent").select(F.col("fid").alias("_f"), F.col("value").alias("_h"))
+        known = cut(known.join(mine, F.col("fid") == F.col("_f"), "left").select("fid", "p", F.least("value", "_h").alias("value")))
+        sent = got.where("sent").groupBy(F.col("fid").alias("_f")).agg(F.min("value").alias("news"))
+        news = cut(sent.join(known.select(F.col("fid").alias("_f"), F.col("value").alias("_k")), "_f").where("_k is null or news < _k").select("_f", "news"))
         if news.isEmpty():
-            return known.select("fid", F.col("hops").cast("int").alias("hops"))
+            return known
+
+
+def hops(tiles: DataFrame, edges: DataFrame, seed: Column, medium: Column) -> DataFrame:
+    """(fid, hops): steps from the nearest seed through tiles of its medium;
+    seeds are at 1. Unreached tiles have null."""
+    marked = tiles.select("fid", medium.alias("m"), F.coalesce(seed, F.lit(False)).alias("seed"))
+    marked = cut(marked.withColumn("p", _parts(marked)))
+    links = cut(_same_medium(marked, edges).withColumn("w", F.lit(1.0)))
+    known = _distances(marked, links, marked.where("seed").select("fid", F.lit(1.0).alias("value")), _by_levels)
+    return known.select("fid", F.col("value").cast("int").alias("hops"))
+
+
+def least_cost(tiles: DataFrame, edges: DataFrame, seeds: DataFrame, cost: Column, medium: Column, limit: float) -> DataFrame:
+    """(fid, owner, cost): for each tile the owner whose center is the nearest
+    by the costs of the tiles on the way, up to ``limit``; no way leaves its
+    medium or passes a tile without a cost or another center. ``seeds``:
+    owner, center. Of equally cheap ways the one counts whose last step begins
+    at the smaller cost, then at the smaller tile. A center costs 1."""
+    center = seeds.groupBy(F.col("center").alias("_c")).agg(F.min("owner").alias("own"))
+    marked = tiles.select("fid", medium.alias("m"), cost.cast("double").alias("step")).join(center, F.col("fid") == F.col("_c"), "left").drop("_c")
+    marked = cut(marked.withColumn("p", _parts(marked)))
+    into = marked.where("own is null and step is not null").select(F.col("fid").alias("_f"), F.col("step").alias("w"))
+    links = cut(_same_medium(marked, edges).join(into, F.col("dst") == F.col("_f")).select("p", "src", "dst", "q", "w"))
+    known = cut(_distances(marked, links, marked.where("own is not null").select("fid", F.lit(0.0).alias("value")), _by_cost, limit).where("value is not null").select("fid", "value"))
+    before = links.join(known.select(F.col("fid").alias("src"), F.col("value").alias("a")), "src").join(known.select(F.col("fid").alias("dst"), F.col("value").alias("b")), "dst").where("a + w = b")
+    before = before.groupBy(F.col("dst").alias("fid")).agg(F.min_by("src", F.struct("a", "src")).alias("at"))
+    here = marked.where("own is not null").select("fid", F.col("fid").alias("at")).unionByName(before)
+    here = cut(here)
+    while True:  # each tile points at the one that its own points at
+        onward = here.select(F.col("fid").alias("at"), F.col("at").alias("next"))
+        step = cut(here.join(onward, "at").select("fid", F.col("next").alias("at"), (F.col("next") != F.col("at")).alias("moved")))
+        here = step.select("fid", "at")
+        if step.where("moved").isEmpty():
+            break
+    own = marked.where("own is not null").select(F.col("fid").alias("at"), F.col("own").alias("owner"))
+    out = here.join(own, "at").join(known, "fid")
+    return out.select("fid", "owner", F.when(F.col("at") == F.col("fid"), 1.0).otherwise(F.col("value")).alias("cost"))
 
 
 def shore_distance(tiles: DataFrame, edges: DataFrame, water: Column) -> DataFrame:

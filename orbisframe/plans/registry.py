@@ -506,14 +506,23 @@ def expand_nations(w):
     return people.expand_nations(w.tiles, w.edges, w.nations, B.defaults(w.spark), 20000.0, grouping=G).select("fid", "owner", R6(F.col("cost")).alias("cost"))
 
 
-@query()
+_SUBCOST = "case when shore_distance>=-3 then case when elevation_scaled>=70 then 100e0 when elevation_scaled>=50 then 30e0 else 10e0 end*area end"
+
+
+@query("""select fid, owner, round(cost,6) cost from (select fid, owner, case when fid in (select center from sd) then 1e0 else cost end as cost from own join dist using (fid))""",
+       cand="""select o.fid owner, o.tile_id center, t.nation_id, row_number() over (partition by t.nation_id order by o.population*greatest(0.5e0,least(1.5e0,1e0+0.2e0*sqrt(-2e0*ln(1e0-U(seat_a,o.fid)))*cos(6.283185307179586e0*U(seat_b,o.fid)))), o.fid) k, count(*) over (partition by t.nation_id) n from towns o join tiles t on t.fid=o.tile_id where t.nation_id is not null""",
+       sd="select owner, center from cand where k<=floor(greatest(2e0,n*50e0/100e0))",
+       lk=f"select e.src, e.dst, b.c w from edges e join tiles a on a.fid=e.src join (select fid, nation_id, {_SUBCOST} c from tiles) b on b.fid=e.dst where a.nation_id=b.nation_id and b.c is not null and e.dst not in (select center from sd)",
+       dist="""select fid, cost from (with /*rec*/ recursive r(fid,cost) using key (fid) as (select center fid, 0e0 as cost from sd union
+         select l.dst, min(r.cost+l.w) from r join lk l on l.src=r.fid left join recurring.r p on p.fid=l.dst where r.cost+l.w<=5000e0 and (p.cost is null or r.cost+l.w<p.cost) group by l.dst) select fid, cost from r)""",
+       pred="select dst, src from (select l.dst, l.src, row_number() over (partition by l.dst order by a.cost, l.src) k from lk l join dist a on a.fid=l.src join dist b on b.fid=l.dst where a.cost+l.w=b.cost) where k=1",
+       own="select fid, owner from (with /*rec*/ recursive q(fid,owner) as (select center, owner from sd union all select p.dst, q.owner from q join pred p on p.src=q.fid) select * from q)")
 def expand_subnations(w):
     t = w.tiles.where("nation_id is not null")
     s = settle.subnation_seats(w.towns.join(t.select(F.col("fid").alias("tile_id"), "nation_id"), "tile_id"), 50.0)
     cost = people.subnation_cost(F.col("elevation_scaled"), F.col("area"), F.col("shore_distance"))
-    seeds = s.select(F.col("fid").alias("owner"), F.col("tile_id").alias("center"), "nation_id")
-    e = t.join(seeds.select("owner", "nation_id"), "nation_id").select("owner", "fid", cost.alias("cost"), "nation_id").where("cost is not null")
-    return people.expand(e, w.edges, seeds, 5000.0, "nation_id").select("fid", "owner", R6(F.col("cost")).alias("cost"))
+    seeds = s.select(F.col("fid").alias("owner"), F.col("tile_id").alias("center"))
+    return graph.least_cost(t, w.edges, seeds, cost, F.col("nation_id"), 5000.0).select("fid", "owner", R6(F.col("cost")).alias("cost"))
 
 
 # towns, nations, subnations

@@ -258,9 +258,9 @@ class WorldMap:
         area = layers.average_tile_area(t, self.source.limits).first().avg_area
         limit = settle.subnation_cost_limit(area, percentage)
         cost = people.subnation_cost(F.col("elevation_scaled"), F.col("area"), F.col("shore_distance"))
-        entries = t.where("nation_id is not null").join(subs.select(F.col("fid").alias("owner"), "nation_id"), "nation_id").select("owner", "fid", cost.alias("cost"), "nation_id").where("cost is not null")
-        seeds = subs.select(F.col("fid").alias("owner"), F.col("center_tile_id").alias("center"), "nation_id")
-        self.fill(people.expand(entries, self.inner, seeds, limit, "nation_id").withColumn("subnation_id", F.col("owner")), "subnation_id")
+        seeds = subs.select(F.col("fid").alias("owner"), F.col("center_tile_id").alias("center"))
+        reached = graph.least_cost(t.where("nation_id is not null"), self.inner, seeds, cost, F.col("nation_id"), limit)
+        self.fill(reached.withColumn("subnation_id", F.col("owner")), "subnation_id")
         more = cut(settle.fill_empty_subnations(self.tiles, self.inner, limit))
         self.fill(more, "subnation_id")
         self._join_founded(subs, more)

@@ -89,3 +89,23 @@ def test_hops_and_components_by_parts(spark, part, monkeypatch):
     assert {r.fid: r.label for r in graph.components(tiles, e, F.col("kind")).collect()} == label
     none = tiles.limit(0)
     assert graph.hops(none, e, F.col("seed"), F.col("kind")).count() == 0 and graph.components(none, e, F.col("kind")).count() == 0
+
+
+@pytest.mark.parametrize("part", [50_000, 9])
+def test_least_cost_equals_the_queue(spark, part, monkeypatch):
+    """Owners and costs are those of one queue over all tiles, ties too."""
+    from pyspark.sql import functions as F
+
+    from orbisframe.operators import graph, people
+
+    monkeypatch.setattr(graph, "PART", part)
+    rng, side = random.Random(part), 11
+    cost = {k: rng.choice([None, 1.0, 2.0, 2.0, 5.0]) for k in range(side * side)}
+    region = {k: (k % side) // 6 for k in range(side * side)}
+    edges = [(a, b) for a in range(side * side) for b in (a - 1, a + 1, a - side, a + side) if 0 <= b < side * side and abs(a % side - b % side) < 2]
+    seeds = [(o, c) for o, c in enumerate(rng.sample(range(side * side), 5))]
+    near = {k: sorted(b for a, b in edges if a == k and region[a] == region[b]) for k in range(side * side)}
+    owner, best = people.spread(near, seeds, 14.0, lambda o, f, n: cost[n])
+    tiles = spark.createDataFrame([(k, region[k], cost[k]) for k in range(side * side)], "fid long, region int, cost double")
+    got = graph.least_cost(tiles, spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(seeds, "owner long, center long"), F.col("cost"), F.col("region"), 14.0)
+    assert {r.fid: (r.owner, r.cost) for r in got.collect()} == {f: (owner[f], best[f]) for f in owner}
