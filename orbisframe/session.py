@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch folders that are already marked to go.
+_MARKED: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
@@ -28,6 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "orbisframe-checkpoints")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder of this application below the shared one. It goes when the
+    driver's JVM ends in an orderly way, since nothing can read it then."""
+    sc = spark.sparkContext
+    folder = f"{shared_folder(spark)}/cuts-{sc.applicationId}"
+    if folder not in _MARKED:
+        _MARKED.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and read it back.
 
@@ -37,6 +54,6 @@ def cut(df: DataFrame) -> DataFrame:
     and the number itself gets too long to compute with.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
