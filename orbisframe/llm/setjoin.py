@@ -37,6 +37,7 @@ and text are read. Shingles, and sets, are told apart by 64 bits of hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ SHINGLE, PERCENT = 5, 80
 #: Bytes of text in a batch of the packed join, and to a range of hashes, about.
 BATCH_BYTES, RANGE_BYTES = 32 << 20, 8 << 20
 #: A set of n shingles has n // EXTRA more of them in its prefix, to be shared.
-EXTRA = 32
+EXTRA = 4
 _ROUNDS = 2
 
 _SPACE = class_table(b" \t\n\x0b\x0c\r")
@@ -258,13 +259,55 @@ def _links(sets: DataFrame, member: DataFrame, percent: int) -> DataFrame:
             pairs = neardup._apart(pairs, neardup._stars(found))
         wave = cut(_compare(_compare(pairs, sets, "other", percent), sets, "keys", percent))
         found = wave if found is None else found.unionByName(wave)
-    # all sets of a shingle have met its first one; those still apart meet each other
+    # all sets of a shingle have met its first one; those still apart meet each other,
+    # in units of sizes: sets that link are of one step of 100 / percent, or of two neighbouring ones
     bags = sets.select(F.col("node").alias("doc_id"), F.col("keys").alias("ids"), F.expr("array_repeat(1, size(keys))").alias("counts"))
-    grouped = grouped.drop("x")
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9)
+    unit = F.explode(F.array(step, step + 1))
+    grouped = grouped.select(F.col("key").alias("_k"), "y", "size", unit.alias("_u")).select(F.xxhash64("_k", "_u").alias("key"), "y", "size")
+    return _cross(cut(grouped), found, bags, percent)
+
+
+def _mixed(grouped: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, y, label, size, n, total): the groups with sets of several
+    components, one of those with the same sets."""
+    of = neardup.components(found).withColumnRenamed("node", "y")
+    now = cut(grouped.join(of, "y", "left").select("key", "y", F.coalesce("label", "y").alias("label"), "size"))
+    one = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "y"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total"), one(1).alias("a"), one(2).alias("b"))
+    mixed = mixed.where("low < high").groupBy("n", "a", "b").agg(F.min("key").alias("key"), F.first("total").alias("total"))
+    return cut(now.join(mixed.select("key", "n", "total"), "key"))
+
+
+def _cross(grouped: DataFrame, found: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
+    """``found`` and the links between sets (key, y, size) of one group that
+    are still in different components. Groups that share sets are a family; a
+    family that fits in a part is compared whole, so each of its sets travels
+    once however many groups it is in. In larger families the widest groups
+    are compared, then those that don't lie in one of them."""
+    parts = F.ceil(F.col("total") / neardup.PART).cast("int").alias("parts")
+    held = _mixed(grouped, found)
+    if held.isEmpty():
+        return found
+    family = neardup.components(held.groupBy("key").agg(F.min("y").alias("x")).join(held.select("key", "y"), "key").where("x != y").select("x", "y").distinct())
+    member = held.select("y", "label", "size").distinct().join(family.select(F.col("node").alias("y"), F.col("label").alias("key")), "y")
+    whole = member.groupBy("key").agg(F.sum("size").alias("total")).where(F.col("total") <= neardup.PART).select("key")
+    member = cut(member.join(whole, "key", "left_semi"))
+    found = found.unionByName(cut(neardup._across(member.select("key", "y", "label", F.lit(1).alias("parts")), bags, percent / 100)))
+    grouped = cut(held.join(member.select("y"), "y", "left_anti").select("key", "y", "size"))
     for widest in (True, False):
-        of = neardup.components(found).withColumnRenamed("node", "y")
-        now = cut(grouped.join(of, "y", "left").select("key", "y", F.coalesce("label", "y").alias("label"), "size"))
-        found = found.unionByName(cut(neardup._across(neardup._mixed(now, widest), bags, percent / 100)))
+        if grouped.isEmpty():
+            break
+        chosen = held = _mixed(grouped, found)
+        if widest:
+            own = cut(held.groupBy("y").agg(F.max(F.struct("n", "key")).alias("top")).select("y", F.col("top.key").alias("own")))
+            chosen = cut(held.join(own.select(F.col("own").alias("key")).distinct(), "key", "left_semi"))
+        found = found.unionByName(cut(neardup._across(chosen.select("key", "y", "label", parts), bags, percent / 100)))
+        if widest:
+            # a group whose sets all have the same widest one lies in that
+            rest = held.join(chosen.select("key").distinct(), "key", "left_anti")
+            open_keys = rest.select("key", "y").join(own, "y").groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a != b").select("key")
+            grouped = cut(rest.join(open_keys, "key", "left_semi").select("key", "y", "size"))
     return found
 
 
