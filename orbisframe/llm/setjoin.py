@@ -242,73 +242,84 @@ def _compare(pairs: DataFrame, sets: DataFrame, column: str, percent: int) -> Da
     return told.mapInArrow(work, "x long, y long")
 
 
-def _links(sets: DataFrame, member: DataFrame, percent: int) -> DataFrame:
-    """(x, y): links that connect the components of all links. ``member``:
-    (key, node, n) under the second order."""
+def _links(sets: DataFrame, member: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(node, label): components of the links between the ``sets`` that share
+    a shingle of ``member`` (key, node, n) under the second order, and of the
+    pairs ``known`` (x, y)."""
     firsts = member.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("last")).where("x < last").select("key", "x")
-    sizes = member.groupBy("node").agg(F.first("n").alias("n"))
+    sizes = cut(member.groupBy("node").agg(F.first("n").alias("n")))
     grouped = cut(member.join(firsts, "key").where("node != x").select("key", F.col("node").alias("y"), "x", F.col("n").alias("size")))
     ranked = grouped.groupBy("y").agg(F.array_sort(F.collect_set("x")).alias("xs")).select("y", F.posexplode("xs").alias("turn", "x"))
     fit = lambda a, b: F.col(a) * 100 >= percent * F.col(b)
     ranked = ranked.join(sizes.select(F.col("node").alias("x"), F.col("n").alias("x_n")), "x").join(sizes.select(F.col("node").alias("y"), F.col("n").alias("y_n")), "y")
     ranked = cut(ranked.where(fit("x_n", "y_n") & fit("y_n", "x_n")).select("x", "y", "turn"))
-    found = None
-    for low, high in neardup.WAVES:
-        pairs = ranked.where(F.col("turn").between(low, high)).select("x", "y")
-        if found is not None:
-            pairs = neardup._apart(pairs, neardup._stars(found))
-        wave = cut(_compare(_compare(pairs, sets, "other", percent), sets, "keys", percent))
-        found = wave if found is None else found.unionByName(wave)
+    # a set meets the first of its shingles' smallest sets, then the others that it isn't connected with
+    judge = lambda pairs: cut(_compare(_compare(pairs, sets, "other", percent), sets, "keys", percent))
+    found = judge(ranked.where("turn = 0").select("x", "y"))
+    found = found.unionByName(judge(neardup._apart(ranked.where("turn > 0").select("x", "y"), neardup._stars(found)))).unionByName(known)
     # all sets of a shingle have met its first one; those still apart meet each other,
     # in units of sizes: sets that link are of one step of 100 / percent, or of two neighbouring ones
     bags = sets.select(F.col("node").alias("doc_id"), F.col("keys").alias("ids"), F.expr("array_repeat(1, size(keys))").alias("counts"))
     step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9)
     unit = F.explode(F.array(step, step + 1))
     grouped = grouped.select(F.col("key").alias("_k"), "y", "size", unit.alias("_u")).select(F.xxhash64("_k", "_u").alias("key"), "y", "size")
-    return _cross(cut(grouped), found, bags, percent)
+    return _cross(cut(grouped), neardup.components(found), bags, percent)
 
 
-def _mixed(grouped: DataFrame, found: DataFrame) -> DataFrame:
+def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, label) after further links (x, y): only the labels
+    that these connect are looked at again."""
+    if links.isEmpty():
+        return of
+    pairs = links
+    for c in ("x", "y"):
+        pairs = pairs.join(of.select(F.col("node").alias(c), F.col("label").alias(f"{c}_of")), c, "left").withColumn(f"{c}_of", F.coalesce(f"{c}_of", c))
+    top = neardup.components(pairs.select(F.col("x_of").alias("x"), F.col("y_of").alias("y")).where("x != y").distinct())
+    new = top.select(F.col("node").alias("label"), F.col("label").alias("_top"))
+    lone = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct().join(of, "node", "left_anti").withColumn("label", F.col("node"))
+    return cut(of.unionByName(lone).join(new, "label", "left").select("node", F.coalesce("_top", "label").alias("label")))
+
+
+def _mixed(grouped: DataFrame, of: DataFrame) -> DataFrame:
     """(key, y, label, size, n, total): the groups with sets of several
     components, one of those with the same sets."""
-    of = neardup.components(found).withColumnRenamed("node", "y")
-    now = cut(grouped.join(of, "y", "left").select("key", "y", F.coalesce("label", "y").alias("label"), "size"))
+    now = cut(grouped.join(of.withColumnRenamed("node", "y"), "y", "left").select("key", "y", F.coalesce("label", "y").alias("label"), "size"))
     one = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "y"))
     mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("total"), one(1).alias("a"), one(2).alias("b"))
     mixed = mixed.where("low < high").groupBy("n", "a", "b").agg(F.min("key").alias("key"), F.first("total").alias("total"))
     return cut(now.join(mixed.select("key", "n", "total"), "key"))
 
 
-def _cross(grouped: DataFrame, found: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
-    """``found`` and the links between sets (key, y, size) of one group that
-    are still in different components. Groups that share sets are a family; a
-    family that fits in a part is compared whole, so each of its sets travels
-    once however many groups it is in. In larger families the widest groups
-    are compared, then those that don't lie in one of them."""
+def _cross(grouped: DataFrame, of: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
+    """The components ``of`` with the links between sets (key, y, size) of one
+    group that are still in different ones. Groups that share sets are a
+    family; a family that fits in a part is compared whole, so each of its
+    sets travels once however many groups it is in. In larger families the
+    widest groups are compared, then those that don't lie in one of them."""
     parts = F.ceil(F.col("total") / neardup.PART).cast("int").alias("parts")
-    held = _mixed(grouped, found)
+    held = _mixed(grouped, of)
     if held.isEmpty():
-        return found
+        return of
     family = neardup.components(held.groupBy("key").agg(F.min("y").alias("x")).join(held.select("key", "y"), "key").where("x != y").select("x", "y").distinct())
     member = held.select("y", "label", "size").distinct().join(family.select(F.col("node").alias("y"), F.col("label").alias("key")), "y")
     whole = member.groupBy("key").agg(F.sum("size").alias("total")).where(F.col("total") <= neardup.PART).select("key")
     member = cut(member.join(whole, "key", "left_semi"))
-    found = found.unionByName(cut(neardup._across(member.select("key", "y", "label", F.lit(1).alias("parts")), bags, percent / 100)))
+    of = _joined(of, cut(neardup._across(member.select("key", "y", "label", F.lit(1).alias("parts")), bags, percent / 100)))
     grouped = cut(held.join(member.select("y"), "y", "left_anti").select("key", "y", "size"))
     for widest in (True, False):
         if grouped.isEmpty():
             break
-        chosen = held = _mixed(grouped, found)
+        chosen = held = _mixed(grouped, of)
         if widest:
             own = cut(held.groupBy("y").agg(F.max(F.struct("n", "key")).alias("top")).select("y", F.col("top.key").alias("own")))
             chosen = cut(held.join(own.select(F.col("own").alias("key")).distinct(), "key", "left_semi"))
-        found = found.unionByName(cut(neardup._across(chosen.select("key", "y", "label", parts), bags, percent / 100)))
+        of = _joined(of, cut(neardup._across(chosen.select("key", "y", "label", parts), bags, percent / 100)))
         if widest:
             # a group whose sets all have the same widest one lies in that
             rest = held.join(chosen.select("key").distinct(), "key", "left_anti")
             open_keys = rest.select("key", "y").join(own, "y").groupBy("key").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a != b").select("key")
             grouped = cut(rest.join(open_keys, "key", "left_semi").select("key", "y", "size"))
-    return found
+    return of
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, batch_bytes: int = BATCH_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -333,21 +344,14 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     if not known.groupBy("doc_id", "node").count().where("count > 1").isEmpty():  # whole rows repeat, their sets needn't
         sets = sets.dropDuplicates(["node"])
     sets = cut(sets)
-    links = _links(sets, rare, percent)
-
-    # components in terms of doc_ids: linked sets, and sets of one doc_id
-    name = lambda c: reps.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep"))
-    edges = links.join(name("x"), "x").join(name("y"), "y").select(F.col("x_rep").alias("x"), F.col("y_rep").alias("y"))
-    own = every.where("doc_id is not null").join(reps.select("node", "rep"), "node", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).where("doc_id != rep")
-    edges = edges.unionByName(own.select(F.col("rep").alias("x"), F.col("doc_id").alias("y")).join(_repeated_ids(every), "y", "left_semi"))
-    label = neardup.components(edges.where("x != y"))
-    of = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("label", "rep").alias("component"))
-    out = every.join(of, "node", "left")
-    # a row without shingles is alone, but for other rows of its doc_id
-    lone = label.select(F.col("node").alias("doc_id"), "label")
-    return out.join(lone, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "label", "doc_id").alias("component_id"))
-
-
-def _repeated_ids(every: DataFrame) -> DataFrame:
-    """(y): the doc_ids of several different sets."""
-    return every.where("doc_id is not null").groupBy(F.col("doc_id").alias("y")).agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("y")
+    # sets of one doc_id are connected, too
+    several = known.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("last")).where("x < last").select("doc_id", "x")
+    same_id = known.join(several, "doc_id").select("x", F.col("node").alias("y")).where("x != y").distinct()
+    label = cut(reps.join(_links(sets, rare, cut(same_id), percent), "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")))
+    best = label.groupBy("label").agg(F.min("rep").alias("component"))
+    of = label.join(best, "label").select("node", "component")
+    out = cut(every.join(of, "node", "left"))
+    # a row without shingles has no more to say than other rows of its doc_id
+    empty = out.where("component is null and doc_id is not null").select("doc_id").distinct()
+    beside = out.join(empty, "doc_id", "left_semi").where("component is not null").groupBy("doc_id").agg(F.min("component").alias("_c"))
+    return out.join(beside, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "_c", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).alias("component_id"))
