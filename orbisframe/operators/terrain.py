@@ -440,15 +440,15 @@ _ROW_TASKS = {
     "FloodOcean": lambda t, e, p, lim: flood_ocean(t, e),
     "Add": lambda t, e, p, lim: add(t, p["height_delta"], _opt(p), lim),
     "Multiply": lambda t, e, p, lim: multiply(t, p["height_factor"], _opt(p), lim),
-    "RandomUniform": lambda t, e, p, lim: random_uniform(t, Span.parse(p["height_delta"]), _opt(p), lim, p["_stream"]),
+    "RandomUniform": lambda t, e, p, lim: random_uniform(t, Span.parse(p["height_delta"]), _opt(p), lim, p["_place"]),
     "Mask": lambda t, e, p, lim: mask(t, p.get("power", 1), lim),
     "Smooth": lambda t, e, p, lim: smooth(t, e, p.get("fr", 2), lim),
-    "Invert": lambda t, e, p, lim: invert(t, p["probability"], p.get("axes", "xy").lower().replace("both", "xy"), lim, stream=p["_stream"]),
+    "Invert": lambda t, e, p, lim: invert(t, p["probability"], p.get("axes", "xy").lower().replace("both", "xy"), lim, stream=p["_place"]),
     "Erode": lambda t, e, p, lim: erode(t, e, p.get("weathering_amount", 1000), p.get("iterations", 10), lim),
-    "AddHill": lambda t, e, p, lim: add_hill(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_stream"]),
-    "AddRange": lambda t, e, p, lim: add_range(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_stream"]),
-    "AddStrait": lambda t, e, p, lim: add_strait(t, e, _drawn(p, "width"), p.get("direction", "Vertical") == "Vertical", lim, p["_stream"]),
-    "SeedOcean": lambda t, e, p, lim: seed_ocean(t, e, _drawn(p, "count"), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_stream"]),
+    "AddHill": lambda t, e, p, lim: add_hill(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_place"]),
+    "AddRange": lambda t, e, p, lim: add_range(t, e, _drawn(p, "count"), Span.parse(p["height_delta"]), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_place"]),
+    "AddStrait": lambda t, e, p, lim: add_strait(t, e, _drawn(p, "width"), p.get("direction", "Vertical") == "Vertical", lim, p["_place"]),
+    "SeedOcean": lambda t, e, p, lim: seed_ocean(t, e, _drawn(p, "count"), _axis(p, "x_filter"), _axis(p, "y_filter"), lim, p["_place"]),
 }
 _KNOWN = {"task", "height_filter", "height_delta", "height_factor", "power", "fr", "probability", "axes", "weathering_amount", "iterations", "count", "x_filter", "y_filter", "width", "direction", "source", "recipe", "elevation"}
 
@@ -464,7 +464,7 @@ def _axis(p: dict, name: str) -> Span:
 def _drawn(p: dict, name: str) -> int:
     """A whole number out of a task's range, drawn from the task's stream."""
     span = Span.parse(p.get(name, 1))
-    return whole(int(span.low), max(int(span.high) - (not span.inclusive), int(span.low)), p["_stream"] + p["task"], name)
+    return whole(int(span.low), max(int(span.high) - (not span.inclusive), int(span.low)), p.get("_place", "") + p["task"], name)
 
 
 def recipe(
@@ -499,7 +499,7 @@ def _run(tiles: DataFrame, edges: DataFrame, tasks: list[dict], lim: Limits, ras
             case "SampleElevation":
                 tiles = sample_elevation(tiles, *rasters[p["source"]])
             case task:
-                tiles = _ROW_TASKS[task](tiles, edges, {**p, "_stream": at}, lim)
+                tiles = _ROW_TASKS[task](tiles, edges, {**p, "_place": at}, lim)
     return tiles
 
 
