@@ -174,7 +174,7 @@ def _pack(docs: DataFrame, size: int, percent: int, ranges_n: int, batch_bytes:
 
 
 def _shared(packed: DataFrame, ranges_n: int) -> DataFrame:
-    """(key, node): prefix shingles that several sets hold, with these sets."""
+    """(key, node): prefix shingles that several sets hold, with these sets, repeated ones too."""
 
     def work(table: pa.Table) -> pa.Table:
         key, node = (np.concatenate([np.asarray(c.flatten()) for c in table.column(name).chunks]) for name in ("keys", "nodes"))
@@ -187,7 +187,17 @@ def _shared(packed: DataFrame, ranges_n: int) -> DataFrame:
             key, node = key[several], node[several]
         return pa.table({"key": key, "node": node})
 
-    return packed.groupBy("bucket").applyInArrow(work, "key long, node long").distinct()
+    return packed.groupBy("bucket").applyInArrow(work, "key long, node long")
+
+
+def _thinned(member: DataFrame, percent: int) -> DataFrame:
+    """``member`` (key, node, n) without the shingles of one set and the sets
+    that share too few, with the sets of each shingle (df) and the shingles of
+    each set (r). Counted in windows, so the rows travel once by shingle and
+    once by set, however the planner would have dealt joins with the counts."""
+    of = lambda c: F.count("*").over(Window.partitionBy(c))
+    held = member.select("key", "node", "n").withColumn("df", of("key")).where("df > 1")
+    return held.withColumn("r", of("node")).where(F.col("r") >= need(F.col("n"), percent))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
@@ -246,9 +256,9 @@ def _links(sets: DataFrame, member: DataFrame, known: DataFrame, percent: int) -
     """(node, label): components of the links between the ``sets`` that share
     a shingle of ``member`` (key, node, n) under the second order, and of the
     pairs ``known`` (x, y)."""
-    firsts = member.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("last")).where("x < last").select("key", "x")
+    first = F.min("node").over(Window.partitionBy("key"))
     sizes = cut(member.groupBy("node").agg(F.first("n").alias("n")))
-    grouped = cut(member.join(firsts, "key").where("node != x").select("key", F.col("node").alias("y"), "x", F.col("n").alias("size")))
+    grouped = cut(member.withColumn("x", first).where("node != x").select("key", F.col("node").alias("y"), "x", F.col("n").alias("size")))
     ranked = grouped.groupBy("y").agg(F.array_sort(F.collect_set("x")).alias("xs")).select("y", F.posexplode("xs").alias("turn", "x"))
     fit = lambda a, b: F.col(a) * 100 >= percent * F.col(b)
     ranked = ranked.join(sizes.select(F.col("node").alias("x"), F.col("n").alias("x_n")), "x").join(sizes.select(F.col("node").alias("y"), F.col("n").alias("y_n")), "y")
@@ -330,12 +340,11 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     known = every.where("doc_id is not null and n_shingles > 0")
     reps = cut(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
 
-    member = cut(_shared(_pack(docs, size, percent, ranges_n, batch_bytes), ranges_n).join(reps.select("node", "n"), "node"))
+    # distinct by the nodes that the join needs next
+    shared = _shared(_pack(docs, size, percent, ranges_n, batch_bytes), ranges_n).repartition("node").distinct()
+    member = shared.join(reps.select("node", "n"), "node")
     for _ in range(_ROUNDS):  # sets that go leave shingles that are no longer shared
-        alive = member.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-        member = member.drop("df").join(alive, "key")
-        stay = member.groupBy("node").agg(F.count("*").alias("r"), F.first("n").alias("size")).where(F.col("r") >= need(F.col("size"), percent)).select("node", "r")
-        member = cut(member.drop("r").join(stay, "node"))
+        member = _thinned(cut(member), percent)
     # under the second order the shingles nobody else holds come first
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
     rare = cut(member.withColumn("rank", rank).where(F.col("rank") <= F.col("r") - need(F.col("n"), percent) + 1).select("key", "node", "n"))

@@ -85,3 +85,11 @@ def test_sets_of_texts():
 
 def test_no_rows(spark):
     assert setjoin.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_counts_take_one_exchange_each(spark):
+    rows = [(k, n, 4) for n, keys in ((1, "abcd"), (2, "abcx"), (3, "y"), (4, "ay")) for k in map(ord, keys)]
+    got = setjoin._thinned(spark.createDataFrame(rows, "key long, node long, n long"), 80)
+    assert {tuple(r) for r in got.select("key", "node", "df", "r").collect()} == {(97, 1, 3, 3), (98, 1, 2, 3), (99, 1, 2, 3), (97, 2, 3, 3), (98, 2, 2, 3), (99, 2, 2, 3), (121, 4, 2, 2), (97, 4, 3, 2)}
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2 and "Join" not in text, text
