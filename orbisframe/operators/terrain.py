@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from orbisframe.functions.rand import between, uniform, whole
 from orbisframe.functions.rand import stream as streams
 from orbisframe.operators import graph
+from orbisframe.session import cut
 
 # How far a hill spreads, by the largest number of tiles it holds for.
 BLOB_POWERS = (
@@ -168,16 +169,42 @@ def smooth(tiles: DataFrame, edges: DataFrame, fr: float = 2.0, lim: Limits = Li
     return tiles.join(near, tiles["fid"] == near["src"], "left").withColumn("elevation", new).drop("src", "hs")
 
 
-def nearest_tile(points: DataFrame, tiles: DataFrame, cell: float) -> DataFrame:
-    """Nearest tile of each point (key, x, y): candidates from the point's grid
-    cell and those around it, so the join is on equal cells. ``cell`` must be
-    at least the largest distance of a point from its nearest site."""
-    gx, gy = F.floor(F.col("site_x") / cell), F.floor(F.col("site_y") / cell)
-    sites = tiles.select(F.col("fid"), F.col("site_x"), F.col("site_y"), gx.alias("gx"), gy.alias("gy"))
+def _spacing(sites: DataFrame) -> float:
+    """Width of a grid cell with about two sites, 0 if they have no extent."""
+    n, dx, dy = sites.agg(F.count("*"), F.max("site_x") - F.min("site_x"), F.max("site_y") - F.min("site_y")).first()
+    return 1.5 * math.sqrt(dx * dy / n) if n and dx and dy else 0.0
+
+
+def _candidates(points: DataFrame, sites: DataFrame, size: float) -> DataFrame:
+    """(key, fid, d): each point with the sites of its grid cell and of those around it."""
+    at = lambda c: F.floor(F.col(c) / size)
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    near = points.withColumn("s", F.explode(steps)).withColumn("gx", F.floor(F.col("x") / cell) + F.col("s.dx")).withColumn("gy", F.floor(F.col("y") / cell) + F.col("s.dy"))
+    near = points.select("key", "x", "y", F.explode(steps).alias("s")).select("key", "x", "y", (at("x") + F.col("s.dx")).alias("gx"), (at("y") + F.col("s.dy")).alias("gy"))
     d = (F.col("site_x") - F.col("x")) * (F.col("site_x") - F.col("x")) + (F.col("site_y") - F.col("y")) * (F.col("site_y") - F.col("y"))
-    return near.join(sites, ["gx", "gy"]).groupBy("key").agg(F.min_by("fid", F.struct(d.alias("d"), F.col("fid"))).alias("fid"), F.min(d).alias("d2"))
+    return near.join(sites.withColumn("gx", at("site_x")).withColumn("gy", at("site_y")), ["gx", "gy"]).select("key", "fid", d.alias("d"))
+
+
+def nearest_tile(points: DataFrame, tiles: DataFrame, cell: float) -> DataFrame:
+    """Nearest tile of each point (key, x, y), the smallest fid of equally near
+    ones: candidates from the point's grid cell and those around it, so the
+    join is on equal cells. Cells begin at the sites' own spacing; a point
+    whose nearest candidate isn't within a cell's width looks again in cells
+    of twice the width. ``cell``, the widest, must be at least the largest
+    distance of a point from its nearest site."""
+    sites = cut(tiles.select("fid", "site_x", "site_y"))
+    size = min(cell, _spacing(sites) or cell)
+    found = None
+    while True:
+        got = _candidates(points, sites, size).groupBy("key").agg(F.min_by("fid", F.struct("d", "fid")).alias("fid"), F.min("d").alias("d2"))
+        if size >= cell:
+            return got if found is None else found.unionByName(got)
+        # all sites within a cell's width have been candidates; the margin is for rounding
+        got = cut(got.where(F.col("d2") <= (0.999 * size) ** 2))
+        found = got if found is None else found.unionByName(got)
+        points = cut(points.select("key", "x", "y").join(got.select(F.col("key").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_anti"))
+        if points.isEmpty():
+            return found
+        size = min(cell, 2 * size)
 
 
 def invert(tiles: DataFrame, probability: float, axes: str = "xy", lim: Limits = Limits(), cell: float = 20.0, stream: str = "") -> DataFrame:
