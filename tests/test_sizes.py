@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from orbisframe.operators import terrain
+from orbisframe.operators import graph, terrain
+from orbisframe.plans import registry
 
 
 def test_nearest_tile_in_cells_of_the_sites_spacing(spark):
@@ -19,3 +20,19 @@ def test_nearest_tile_in_cells_of_the_sites_spacing(spark):
     even = spark.range(4900).select(F.col("id").alias("fid"), (F.col("id") % 70 / 10).alias("site_x"), (F.floor(F.col("id") / 70) / 10).alias("site_y"))
     points = even.select(F.col("fid").alias("key"), F.col("site_x").alias("x"), F.col("site_y").alias("y"))
     assert terrain._candidates(points, even, terrain._spacing(even)).count() < 40 * 4900
+
+
+def _line(spark, n):
+    tiles = spark.range(n).select(F.col("id").alias("fid"), F.when(F.col("id") < 3, "Ocean").otherwise("Continent").alias("grouping_"))
+    edges = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit("Tile").alias("kind"))
+    return tiles, edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
+
+
+def test_shore_distance_of_the_query_ends_where_its_sql_does(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 20)
+    world = type("W", (), {})()
+    world.tiles, world.edges = _line(spark, 60)
+    want = {0: -3, 1: -2, 2: -1} | {k: k - 2 for k in range(3, 60)}
+    assert dict(map(tuple, graph.shore_distance(world.tiles, world.edges, F.col("grouping_") == "Ocean").collect())) == want
+    got = dict(map(tuple, registry._QUERIES["shore_distance"][0](world).collect()))
+    assert got == {k: v for k, v in want.items() if v <= 40}
