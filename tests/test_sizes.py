@@ -1,10 +1,13 @@
 """Work and memory that grow with the input only, with the results of plain loops."""
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from orbisframe.operators import graph, terrain
+from orbisframe.functions.rand import draw
+from orbisframe.operators import graph, naming, tables, terrain
 from orbisframe.plans import registry
 
 
@@ -36,3 +39,51 @@ def test_shore_distance_of_the_query_ends_where_its_sql_does(spark, monkeypatch)
     assert dict(map(tuple, graph.shore_distance(world.tiles, world.edges, F.col("grouping_") == "Ocean").collect())) == want
     got = dict(map(tuple, registry._QUERIES["shore_distance"][0](world).collect()))
     assert got == {k: v for k, v in want.items() if v <= 40}
+
+
+def _walked(counts, mean, sd, least, key, doubled, seeds):
+    """One word by plain loops over the sorted chain."""
+    z = math.sqrt(-2 * math.log(1 - draw("len_a", key))) * math.cos(6.283185307179586 * draw("len_b", key))
+    size, word = max(least, math.ceil(mean + sd * z)), ""
+    for step in range(20):
+        options = sorted((s, n) for (p, s), n in counts.items() if p == word[-1:]) or sorted((s, n) for (p, s), n in counts.items() if p == "")
+        pick, total = draw("syl", key, step) * sum(n for _, n in options), 0
+        for syllable, n in options:
+            total += n
+            if pick < total:
+                break
+        if word and len(word) + len(syllable) > size:
+            word += syllable if len(word) < least else ""
+            break
+        word += syllable
+    return naming.clean_word(word, doubled, seeds, key)
+
+
+def test_words_are_made_in_groups_with_one_chain_each(spark, monkeypatch):
+    monkeypatch.setattr(naming, "WALKS", 20)
+    texts = {"a": ["alba", "berin", "corvo", "dunnmar", "elstad", "alba"], "b": ["-", "-", "x"]}
+    words = spark.createDataFrame([(g, x) for g, xs in texts.items() for x in xs], "lang string, word string")
+    rows = spark.range(70).select(F.col("id").alias("fid"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit(None)), (F.col("id") % 4 + 1).cast("int")).alias("lang"))
+    out = naming.make_words(rows, naming.markov_chain(words, "lang", "word"), naming.length_statistics(words, "lang", "word"), "lang", "fid", naming.duplicate_letters(words, "lang", "word"), words)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in text and "_chain" not in text  # no row holds a chain
+    got = {r.fid: r.word for r in out.collect()}
+    assert len(got) == 70
+    for fid, word in got.items():
+        own = texts.get("abc "[fid % 4])
+        if own is None:
+            assert word is None
+            continue
+        counts: dict = {}
+        for w in own:
+            for s in naming.syllables(w):
+                counts[s] = counts.get(s, 0) + 1
+        n = np.array([len(w) for w in own])
+        assert word == _walked(counts, n.mean(), n.std(), n.min(), fid, {"n"} if fid % 4 == 0 else set(), sorted(set(own))), fid
+
+
+def test_rows_are_numbered_without_a_second_exchange(spark):
+    rows = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.col("id").alias("v"))
+    got = tables.number_rows(rows, ["k"], "place", 0)
+    assert all(r.place == r.k and r.k == r.v * 37 % 500 for r in got.collect())
+    assert not {"_k", "_p", "_b"} & set(got.columns)
