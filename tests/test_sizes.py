@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from orbisframe.functions.rand import draw
-from orbisframe.operators import graph, naming, tables, terrain
+from orbisframe.operators import biomes, graph, naming, people, tables, terrain
 from orbisframe.plans import registry
+from orbisframe.plans.world import World
 
 
 def test_nearest_tile_in_cells_of_the_sites_spacing(spark):
@@ -87,3 +88,10 @@ def test_rows_are_numbered_without_a_second_exchange(spark):
     got = tables.number_rows(rows, ["k"], "place", 0)
     assert all(r.place == r.k and r.k == r.v * 37 % 500 for r in got.collect())
     assert not {"_k", "_p", "_b"} & set(got.columns)
+
+
+def test_pairs_of_tiles_and_owners_are_dealt_over_all_cores(spark):
+    w = World(spark, "/root/testdata/sf0.001")
+    bio, cores = biomes.defaults(spark), spark.sparkContext.defaultParallelism
+    assert people.nation_entries(w.tiles, w.nations, bio, grouping="grouping_").rdd.getNumPartitions() >= 4 * cores
+    assert people.culture_entries(w.tiles, w.cultures, bio, grouping="grouping_").rdd.getNumPartitions() >= 4 * cores
