@@ -10,14 +10,17 @@ from __future__ import annotations
 import hashlib
 import math
 import warnings
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbisframe.functions.near import Near
 from orbisframe.functions.rand import between, uniform, whole
 from orbisframe.functions.rand import stream as streams
 from orbisframe.operators import graph
@@ -252,18 +255,23 @@ def sample_ocean_below(tiles: DataFrame, raster: DataFrame, columns: int, rows:
 # part of their meaning.
 
 
-def _kernel(tiles: DataFrame, edges: DataFrame, fn: Callable[[pd.DataFrame, dict], pd.DataFrame], grouping: str) -> DataFrame:
-    near = edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("_near"))
-    rows = tiles.join(near, tiles["fid"] == near["src"], "left").drop("src")
-    names = tiles.columns
+def _kernel(tiles: DataFrame, edges: DataFrame, fn: Callable[[pd.DataFrame, Near], pd.DataFrame], changed: str = "elevation") -> DataFrame:
+    """``tiles`` with the column ``changed`` as ``fn`` makes it, from the
+    numbers that it reads and the neighbours in flat arrays."""
+    near = edges.where("dst is not null").groupBy("src").agg(F.array_sort(F.collect_list(F.col("dst").cast("long"))).alias("_near"))
+    reads = list(dict.fromkeys(("fid", "site_x", "site_y", "elevation", changed)))
+    rows = tiles.select(*reads).join(near, F.col("fid") == near["src"], "left").drop("src")
+    kind = dict(tiles.dtypes)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("fid", ignore_index=True)
-        at = {f: k for k, f in enumerate(pdf["fid"].tolist())}
-        near = [[at[d] for d in (() if n is None else n) if d in at] for n in pdf["_near"]]
-        return fn(pdf, near)[names]
+    def work(table: pa.Table) -> pa.Table:
+        order, near = Near.of(np.asarray(table.column("fid")), table.column("_near"))
+        pdf = table.select(reads).to_pandas().iloc[order].reset_index(drop=True)
+        del table
+        return pa.Table.from_pandas(fn(pdf, near)[["fid", changed]], preserve_index=False)
 
-    return rows.groupBy(F.lit(0).alias("_one")).applyInPandas(lambda pdf: work(pdf), tiles.schema)
+    new = rows.groupBy(F.lit(0).alias("_one")).applyInArrow(lambda table: work(table), f"fid {kind['fid']}, {changed} {kind[changed]}")
+    new = new.select(F.col("fid").alias("_f"), F.col(changed).alias("_new"))
+    return tiles.join(new, F.col("fid") == F.col("_f")).select(*[F.col("_new").alias(c) if c == changed else F.col(c) for c in tiles.columns])
 
 
 def _rng(stream: str, tag: str) -> np.random.Generator:
@@ -282,7 +290,7 @@ def add_hill(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Spa
     """Blobs: a random start is raised, and each ring around it by a power of
     the ring before with a random factor, until the rise is at most 1."""
 
-    def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame, near: Near) -> pd.DataFrame:
         rng, power = _rng(stream, "hill"), blob_power(len(pdf))
         h = pdf["elevation"].to_numpy(float).copy()
         starts = _start_tiles(pdf, x, y, lim)
@@ -293,22 +301,25 @@ def add_hill(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Spa
                 s = int(rng.choice(starts))
                 if lim.low * 0.9 <= h[s] + sign * rise <= lim.high * 0.9:
                     break
-            change, queue = {s: rise}, [s]
-            for tile in queue:
-                for n in near[tile]:
-                    if n not in change:
-                        grown = change[tile] ** power * rng.uniform(0.9, 1.1)
+            change, used, queue, done = array("d", [rise]), bytearray(len(h)), array("q", [s]), 0
+            used[s] = 1
+            while done < len(queue):
+                for n in near[queue[done]]:
+                    if not used[n]:
+                        grown = change[done] ** power * rng.uniform(0.9, 1.1)
                         if grown > 1:
-                            change[n] = grown
+                            used[n] = 1
+                            change.append(grown)
                             queue.append(n)
-            for k, v in change.items():
-                h[k] = min(max(h[k] + sign * v, lim.low), lim.high)
+                done += 1
+            at = np.frombuffer(queue, np.int64)
+            h[at] = np.clip(h[at] + sign * np.frombuffer(change), lim.low, lim.high)
         return pdf.assign(elevation=h)
 
-    return _kernel(tiles, edges, work, grouping)
+    return _kernel(tiles, edges, work)
 
 
-def _walk(pdf: pd.DataFrame, near: list[list[int]], start: int, end: int, miss: float, rng: np.random.Generator) -> list[int]:
+def _walk(pdf: pd.DataFrame, near: Near, start: int, end: int, miss: float, rng: np.random.Generator) -> list[int]:
     """Greedy path by distance; with probability ``miss`` a step's distance is halved, which makes it jagged."""
     xs, ys = pdf["site_x"].to_numpy(), pdf["site_y"].to_numpy()
     path, used, cur = [start], {start}, start
@@ -337,7 +348,7 @@ def add_range(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Sp
     """Ranges: a jagged ridge is raised, its sides by decaying heights, and at
     every sixth ridge tile a spur runs downhill."""
 
-    def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame, near: Near) -> pd.DataFrame:
         rng, power = _rng(stream, "range"), line_power(len(pdf))
         h = pdf["elevation"].to_numpy(float).copy()
         starts = _start_tiles(pdf, x, y, lim)
@@ -345,7 +356,9 @@ def add_range(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Sp
             pick = rng.uniform(delta.low, delta.high)
             rise, sign = abs(pick) / 100 * lim.high, math.copysign(1, pick)
             ridge = _walk(pdf, near, int(rng.choice(starts)), int(rng.integers(len(pdf))), 0.15, rng)
-            used, ring = set(ridge), list(ridge)
+            used, ring = bytearray(len(h)), list(ridge)
+            for k in ridge:
+                used[k] = 1
             level, depth = rise, 0
             while ring and level >= 2:
                 for k in ring:
@@ -354,8 +367,8 @@ def add_range(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Sp
                 nxt = []
                 for k in ring:
                     for n in near[k]:
-                        if n not in used:
-                            used.add(n)
+                        if not used[n]:
+                            used[n] = 1
                             nxt.append(n)
                 ring = nxt
             for k in ridge[::6]:
@@ -367,13 +380,13 @@ def add_range(tiles: DataFrame, edges: DataFrame, count: int, delta: Span, x: Sp
                     k = low
         return pdf.assign(elevation=h)
 
-    return _kernel(tiles, edges, work, grouping)
+    return _kernel(tiles, edges, work)
 
 
 def add_strait(tiles: DataFrame, edges: DataFrame, width: float, vertical: bool = True, lim: Limits = Limits(), stream: str = "", grouping: str = "grouping") -> DataFrame:
     """A path across the map whose rings are lowered by falling exponents."""
 
-    def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame, near: Near) -> pd.DataFrame:
         rng = _rng(stream, "strait")
         h = pdf["elevation"].to_numpy(float).copy()
         xs, ys = pdf["site_x"].to_numpy(), pdf["site_y"].to_numpy()
@@ -388,7 +401,9 @@ def add_strait(tiles: DataFrame, edges: DataFrame, width: float, vertical: bool
             a = at(lim.west, lim.south + lim.height * rng.uniform(0.3, 0.7))
             b = at(lim.west + lim.width, lim.south + lim.height * rng.uniform(0.15, 0.85))
         ring = _walk(pdf, near, a, b, 0.2, rng)
-        used, rings = set(ring), max(1, round(width))
+        used, rings = bytearray(len(h)), max(1, round(width))
+        for t in ring:
+            used[t] = 1
         step = 0.1 / rings
         for k in range(rings):
             exp = 0.99 - step * (rings - k)
@@ -397,20 +412,20 @@ def add_strait(tiles: DataFrame, edges: DataFrame, width: float, vertical: bool
             nxt = []
             for t in ring:
                 for n in near[t]:
-                    if n not in used:
-                        used.add(n)
+                    if not used[n]:
+                        used[n] = 1
                         nxt.append(n)
             ring = nxt
         return pdf.assign(elevation=h)
 
-    return _kernel(tiles, edges, work, grouping)
+    return _kernel(tiles, edges, work)
 
 
 def erode(tiles: DataFrame, edges: DataFrame, weathering: float = 1000.0, iterations: int = 10, lim: Limits = Limits(), grouping: str = "grouping") -> DataFrame:
     """Each round turns rock into soil and moves it from high tiles to their
     lowest neighbours; the sum of elevations is kept."""
 
-    def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame, near: Near) -> pd.DataFrame:
         h = pdf["elevation"].to_numpy(float).copy()
         for _ in range(iterations):
             soil = np.minimum(np.full(len(h), weathering / iterations), h - lim.low)
@@ -429,13 +444,13 @@ def erode(tiles: DataFrame, edges: DataFrame, weathering: float = 1000.0, iterat
             h = rock + soil
         return pdf.assign(elevation=h)
 
-    return _kernel(tiles, edges, work, grouping)
+    return _kernel(tiles, edges, work)
 
 
 def seed_ocean(tiles: DataFrame, edges: DataFrame, count: int, x: Span = _ALL, y: Span = _ALL, lim: Limits = Limits(), stream: str = "", grouping: str = "grouping") -> DataFrame:
     """From random starts follow the steepest descent to a tile below zero and mark it."""
 
-    def work(pdf: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame, near: Near) -> pd.DataFrame:
         rng = _rng(stream, "seed")
         h, g = pdf["elevation"].to_numpy(float), pdf[grouping].tolist()
         starts = _start_tiles(pdf, x, y, lim)

@@ -4,10 +4,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from orbisframe.functions.near import Near
 from orbisframe.functions.rand import draw
-from orbisframe.operators import biomes, graph, naming, people, tables, terrain
+from orbisframe.operators import biomes, climate, graph, naming, people, tables, terrain
 from orbisframe.plans import registry
 from orbisframe.plans.world import World
 
@@ -95,3 +97,20 @@ def test_pairs_of_tiles_and_owners_are_dealt_over_all_cores(spark):
     bio, cores = biomes.defaults(spark), spark.sparkContext.defaultParallelism
     assert people.nation_entries(w.tiles, w.nations, bio, grouping="grouping_").rdd.getNumPartitions() >= 4 * cores
     assert people.culture_entries(w.tiles, w.cultures, bio, grouping="grouping_").rdd.getNumPartitions() >= 4 * cores
+
+
+def test_neighbours_in_flat_arrays():
+    fid = np.array([30, 10, 20, 40])
+    lists = pa.chunked_array([pa.array([[10, 99], None], pa.list_(pa.int64())), pa.array([[10, 30, 30], []], pa.list_(pa.int64()))])
+    order, near = Near.of(fid, lists)
+    assert order.tolist() == [1, 2, 0, 3] and [near[k] for k in range(4)] == [[], [0, 2, 2], [0], []]
+    assert [Near.of(fid, lists, True)[1][k] for k in range(4)] == [[], [0, 2, 2], [0, -1], []]
+
+
+def test_rain_keeps_the_visits_of_one_start_only(spark, monkeypatch):
+    n = 300
+    tiles = spark.range(n).selectExpr("id fid", "1.0D elevation", "90 wind", "10.0D temperature", "0.0D site_y", "if(id % 3 = 0, 'Ocean', 'Land') grouping")
+    edges = spark.range(n).selectExpr("id src", f"(id + 1) % {n} dst", "'Tile' kind", "90.0D bearing")
+    text = climate.precipitation(tiles, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in text and "bearing" in text  # links against the wind stay outside the kernel
+    assert climate.precipitation(tiles, edges).where("precipitation > 0").count() == n
