@@ -111,6 +111,15 @@ def test_rain_keeps_the_visits_of_one_start_only(spark, monkeypatch):
     n = 300
     tiles = spark.range(n).selectExpr("id fid", "1.0D elevation", "90 wind", "10.0D temperature", "0.0D site_y", "if(id % 3 = 0, 'Ocean', 'Land') grouping")
     edges = spark.range(n).selectExpr("id src", f"(id + 1) % {n} dst", "'Tile' kind", "90.0D bearing")
-    text = climate.precipitation(tiles, edges)._jdf.queryExecution().optimizedPlan().toString()
-    assert "FlatMapGroupsInArrow" in text and "bearing" in text  # links against the wind stay outside the kernel
-    assert climate.precipitation(tiles, edges).where("precipitation > 0").count() == n
+    out = climate.precipitation(tiles, edges)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
+    state = {k: {"elevation": 1.0, "temperature": 10.0, "sea": k % 3 == 0, "factor": 4.0, "rain": 0.0} for k in range(n)}
+    stack, seen = [(k, None, k) for k in range(n)], set()
+    while stack:
+        f, wet, start = stack.pop()
+        wet = (5.0 * 120.0 * 4.0 if state[f]["sea"] else 1.0) if wet is None else wet
+        to = (f + 1) % n
+        if wet > 0 and (start, to) not in seen:
+            seen.add((start, to))
+            stack.append((to, climate._transfer(state[f], state[to], wet), start))
+    assert {r.fid: r.precipitation for r in out.collect()} == {k: v["rain"] for k, v in state.items()}
