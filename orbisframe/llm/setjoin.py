@@ -56,6 +56,8 @@ BATCH_BYTES, RANGE_BYTES = 32 << 20, 8 << 20
 #: A set of n shingles has n // EXTRA more of them in its prefix, to be shared.
 EXTRA = 4
 _ROUNDS = 2
+#: Bits of the filter that texts pass before they are dealt, as a power of two: 16 MB as words and their places at most.
+FILTER_BITS = 26
 
 _SPACE = class_table(b" \t\n\x0b\x0c\r")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -200,6 +202,17 @@ def _thinned(member: DataFrame, percent: int) -> DataFrame:
     return held.withColumn("r", of("node")).where(F.col("r") >= need(F.col("n"), percent))
 
 
+def _likely(docs: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be one of ``wanted``: all that are,
+    and few others, by a bitmap of hashes that is broadcast and doesn't grow
+    beyond its bits. So only texts that are asked for travel."""
+    place = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    marks = cut(wanted.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    asked = docs.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(marks), "_word")
+    return asked.where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, keys, other) of the wanted (doc_id, want): the whole set, and its
     prefix under the third order, both in ascending order."""
@@ -222,7 +235,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> Dat
                 ["node", "keys", "other"],
             )
 
-    return docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), "doc_id").select("want", "text").mapInArrow(work, "node long, keys array<long>, other array<long>")
+    return _likely(docs.select("doc_id", "text"), wanted).join(wanted.hint("shuffle_hash"), "doc_id").select("want", "text").mapInArrow(work, "node long, keys array<long>, other array<long>")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -348,7 +361,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     # under the second order the shingles nobody else holds come first
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
     rare = cut(member.withColumn("rank", rank).where(F.col("rank") <= F.col("r") - need(F.col("n"), percent) + 1).select("key", "node", "n"))
-    wanted = rare.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want"))
+    wanted = cut(rare.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want")))
     sets = _sets_of(docs, wanted, size, percent)
     if not known.groupBy("doc_id", "node").count().where("count > 1").isEmpty():  # whole rows repeat, their sets needn't
         sets = sets.dropDuplicates(["node"])

@@ -6,6 +6,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orbisframe.llm import neardup, setjoin
 from orbisframe.llm.textvec import Texts
@@ -93,3 +94,14 @@ def test_counts_take_one_exchange_each(spark):
     assert {tuple(r) for r in got.select("key", "node", "df", "r").collect()} == {(97, 1, 3, 3), (98, 1, 2, 3), (99, 1, 2, 3), (97, 2, 3, 3), (98, 2, 2, 3), (99, 2, 2, 3), (121, 4, 2, 2), (97, 4, 3, 2)}
     text = got._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 2 and "Join" not in text, text
+
+
+def test_only_wanted_texts_are_dealt(spark):
+    """The filter keeps every wanted row and drops most others."""
+    docs = spark.createDataFrame([(k, "text") for k in range(5000)] + [(None, "text"), (30, "other")], "doc_id int, text string")
+    wanted = spark.range(0, 5000, 100).select(F.col("id").alias("doc_id"), F.col("id").alias("want"))
+    got = setjoin._likely(docs, wanted)
+    ids = [r.doc_id for r in got.collect()]
+    assert got.columns == ["doc_id", "text"] and {*range(0, 5000, 100)} <= set(ids) and len(ids) < 60
+    assert len(setjoin._likely(docs, wanted, 1).collect()) == 5002  # a filter that is full lets all pass
+    assert setjoin._likely(docs, wanted.limit(0)).isEmpty()
