@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,21 @@ def test_lakes_of_one_height_join():
     assert not f.cut_off and len({id(b) for b in f.lake.values()}) == 1
 
 
+def test_lakes_in_flat_arrays():
+    """Numbered tiles in flat arrays give the lakes that tables of tiles give, without a table of tiles or of sides."""
+    rng = random.Random(4)
+    h = [round(rng.uniform(0, 60), 1) for _ in range(400)]
+    rain = [(k, rng.uniform(1, 90)) for k in rng.sample(range(400), 60)]
+    want = _fill(h, rain, 20, sea=(7, 8, 28, 190))
+    near, down = ([want.__dict__[c][k] for k in range(400)] for c in ("near", "down"))
+    flat = lakes.Filler(memoryview(np.array(h)), memoryview(np.full(400, 10.0)), bytes(k in (7, 8, 28, 190) for k in range(400)), near, down, 400)
+    flat.run(rain, 400)
+    told = lambda b: b and (b.name, b.level, b.bottom, b.flow, b.rim, list(b.tiles), b.outlets)
+    assert [told(b) for b in flat.lake] == [told(want.lake.get(k)) for k in range(400)] and len(want.lake) > 20
+    assert list(flat.added) == [want.added.get(k, 0.0) for k in range(400)] and flat.from_lake == want.from_lake and flat.cut_off == want.cut_off
+    assert all(b is None or b.shore is None or b.shore.itemsize == 8 for b in flat.lake)
+
+
 def test_sea_takes_water():
     f = _fill([5.0, 4.0, 3.0, 5.0, 4.0, -5.0, 5.0, 4.0, 3.0], [(4, 10.0), (5, 10.0)], 3, sea=(5,))
     assert not f.lake or all(5 not in b.tiles for b in f.lake.values())
