@@ -123,3 +123,13 @@ def test_rain_keeps_the_visits_of_one_start_only(spark, monkeypatch):
             seen.add((start, to))
             stack.append((to, climate._transfer(state[f], state[to], wet), start))
     assert {r.fid: r.precipitation for r in out.collect()} == {k: v["rain"] for k, v in state.items()}
+
+
+def test_components_send_no_map_to_the_driver(spark, monkeypatch):
+    """Tables that grow with the map are joined by shuffle in every round, however small their files are."""
+    world, plans, keep = World(spark, "/root/testdata/sf0.001"), [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    k = F.when(F.col("grouping_") == "Ocean", "o").otherwise("c")
+    plans.append(graph.components(world.tiles, world.edges, k)._jdf.queryExecution().executedPlan().toString())
+    rounds = [p for p in plans if "label" in p]
+    assert len(rounds) > 2 and not any("BroadcastHashJoin" in p for p in rounds)
