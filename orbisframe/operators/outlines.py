@@ -106,7 +106,9 @@ def dissolve(tiles: DataFrame, theme: str, curve: float | None = None) -> DataFr
         return pd.DataFrame({"theme": [str(pdf["theme"].iloc[0])], "rings": [_as_rows(rings)], "area": [abs(sum(map(signed_area, rings)))], "border": [sum(map(length, rings))]})
 
     kept = border_sides(tiles, theme).withColumn("theme", F.col("theme").cast("string"))
-    return kept.groupBy("theme").applyInPandas(lambda pdf: work(pdf), f"theme string, rings {RINGS}, area double, border double")
+    # few bytes, much work: by the size alone the planner would give all themes to one task
+    dealt = kept.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "theme")
+    return dealt.groupBy("theme").applyInPandas(lambda pdf: work(pdf), f"theme string, rings {RINGS}, area double, border double")
 
 
 def coastline(tiles: DataFrame, ocean: Column, land_mass: str, lim: Limits = Limits(), curve: float | None = 100.0) -> DataFrame:

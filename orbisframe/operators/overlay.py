@@ -43,6 +43,8 @@ HALF = 0.5 * 10.0**-DECIMALS
 _BEGIN = 0.3819660112501051
 #: Sides to a cell, about, and cells to a block's side when rings are linked.
 PER_CELL, BLOCK = 24, 8
+#: Sides to a task, about, and cells to a side of the square that one call works on.
+PER_TASK, SQUARE = 8000, 4
 
 _LINE = "array<struct<x:double,y:double>>"
 _PIECE = "side int, key string, ax double, ay double, bx double, by double, cx long, cy long"
@@ -229,15 +231,15 @@ def _inside(operation: str, names: list, left: np.ndarray, right: np.ndarray) ->
             yield names[k][1], None, *(x[:, k] for x in ins)
 
 
-def _lines(pieces: DataFrame, corners: DataFrame, operation: str, cell: float) -> DataFrame:
-    """(a, b, cx, cy, closed, line): the results' borders inside each cell."""
+def _lines(pieces: DataFrame, corners: DataFrame, operation: str, cell: float, tasks: int) -> DataFrame:
+    """(a, b, cx, cy, closed, line): the results' borders inside each cell.
+    Cells are independent; a square of them goes to one call."""
     none = F.lit(None).cast("double")
     both = pieces.withColumn("winding", F.lit(None).cast("long")).unionByName(
         corners.select("side", "key", none.alias("ax"), none.alias("ay"), none.alias("bx"), none.alias("by"), "cx", "cy", F.col("winding").cast("long").alias("winding"))
     )
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["cx"].iloc[0]), int(pdf["cy"].iloc[0])
+    def one_cell(pdf: pd.DataFrame, i: int, j: int) -> list[tuple]:
         names = list(zip(pdf["side"].tolist(), pdf["key"].tolist(), strict=True))
         is_corner = pdf["winding"].notna().to_numpy()
         corner = {names[k]: int(pdf["winding"].iloc[k]) for k in np.flatnonzero(is_corner)}
@@ -250,32 +252,42 @@ def _lines(pieces: DataFrame, corners: DataFrame, operation: str, cell: float) -
             if len(edge):
                 rings, open_lines = chains([parts[k] if l[k] else parts[k][::-1] for k in edge])
                 rows += [(one, two, i, j, closed, [{"x": x, "y": y} for x, y in line]) for closed, lines in ((True, rings), (False, open_lines)) for line in lines]
+        return rows
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [r for (i, j), one in pdf.groupby(["cx", "cy"]) for r in one_cell(one, int(i), int(j))]
         return pd.DataFrame(rows, columns=["a", "b", "cx", "cy", "closed", "line"])
 
-    return both.groupBy("cx", "cy").applyInPandas(lambda pdf: work(pdf), f"a string, b string, cx long, cy long, closed boolean, line {_LINE}")
+    both = both.withColumn("sx", F.floor(F.col("cx") / SQUARE)).withColumn("sy", F.floor(F.col("cy") / SQUARE))
+    return both.repartition(tasks, "sx", "sy").groupBy("sx", "sy").applyInPandas(lambda pdf: work(pdf), f"a string, b string, cx long, cy long, closed boolean, line {_LINE}")
 
 
-def _link(lines: DataFrame) -> DataFrame:
-    """(a, b, line): closed rings, put together in blocks of growing size."""
+def _link(lines: DataFrame, tasks: int) -> DataFrame:
+    """(a, b, line): closed rings, put together in blocks of growing size. The
+    first blocks are small, so a call takes all regions of one; later ones are
+    taken by region."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one_region(x) for _, x in pdf.groupby(["a", "b"], dropna=False)])
+
+    def one_region(pdf: pd.DataFrame) -> pd.DataFrame:
         rings, open_lines = chains([tuple((p["x"], p["y"]) for p in line) for line in pdf["line"]])
         rows = [(closed, [{"x": x, "y": y} for x, y in line]) for closed, lines in ((True, rings), (False, open_lines)) for line in lines]
         same = {c: pdf[c].iloc[0] for c in ("a", "b", "cx", "cy")}
         return pd.DataFrame([(same["a"], same["b"], same["cx"], same["cy"], *r) for r in rows], columns=["a", "b", "cx", "cy", "closed", "line"])
 
     done = lines.where("closed").select("a", "b", "line")
-    left = lines.where("not closed")
+    left, by = lines.where("not closed"), ["cx", "cy"]
     while not left.isEmpty():
         block = left.withColumn("cx", F.floor(F.col("cx") / BLOCK)).withColumn("cy", F.floor(F.col("cy") / BLOCK))
         whole = block.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
         if whole[1] - whole[0] <= 1 and whole[3] - whole[2] <= 1:  # floors of -1 and 0 never meet
             block = block.withColumn("cx", F.lit(0).cast("long")).withColumn("cy", F.lit(0).cast("long"))
-        made = cut(block.groupBy("a", "b", "cx", "cy").applyInPandas(lambda pdf: work(pdf), f"a string, b string, cx long, cy long, closed boolean, line {_LINE}"))
+        made = cut(block.repartition(tasks, *by).groupBy(*by).applyInPandas(lambda pdf: work(pdf), f"a string, b string, cx long, cy long, closed boolean, line {_LINE}"))
         done = done.unionByName(made.where("closed").select("a", "b", "line"))
         if whole[1] - whole[0] <= 1 and whole[3] - whole[2] <= 1:
             break
-        left = made.where("not closed")
+        left, by, tasks = made.where("not closed"), ["a", "b", "cx", "cy"], max(tasks // BLOCK, 8)
     return done
 
 
@@ -316,8 +328,9 @@ def overlay(a: DataFrame, a_key: str, b: DataFrame | None, b_key: str | None, op
     if not n:
         return sides.select(F.col("key").alias("a"), F.col("key").alias("b"), F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"))).alias("ring"), F.col("ax").alias("area")).limit(0)
     cell = max(round(math.sqrt(max((east - west) * (north - south), 1e-6) / max(1.0, n / PER_CELL)), DECIMALS), 1e-6)
-    pieces = cut(_pieces(sides, cell))
-    return _rings(_link(cut(_lines(pieces, _corners(pieces, cell), operation, cell))))
+    tasks = n // PER_TASK + 1
+    pieces = cut(_pieces(sides.repartition(tasks), cell))
+    return _rings(_link(cut(_lines(pieces, _corners(pieces, cell), operation, cell, tasks)), tasks))
 
 
 def intersection(a: DataFrame, b: DataFrame, a_key: str = "key", b_key: str = "key") -> DataFrame:

@@ -110,3 +110,17 @@ def test_curved_outlines_lie_in_the_map(spark):
     assert sorted(r["theme"] for r in got) == sorted({str(r[0]) for r in w.tiles.where("nation_id is not null").select("nation_id").collect()})
     for r in got:
         assert r["area"] > 0 and r["rings"][0] and abs(sum(signed_area([(p["x"], p["y"]) for p in ring]) for ring in r["rings"]) - r["area"]) < 1e-6
+
+
+def test_cells_and_blocks_go_to_calls_together(spark, monkeypatch):
+    """A call takes a square of cells or all regions of a block, and work is dealt by its sides, not by its bytes."""
+    square = lambda k, x: (f"k{k}", [[{"x": x + a, "y": 0.1 + b} for a, b in ((0.0, 0.0), (7.3, 0.0), (7.3, 9.1), (0.0, 9.1))]])
+    layer = spark.createDataFrame([square(k, 5.0 * k) for k in range(40)], "key string, rings array<array<struct<x:double,y:double>>>")
+    want = sorted((r.a, round(r.area, 6)) for r in overlay.make_valid(layer).collect())
+    assert [x for _, x in want] == [round(7.3 * 9.1, 6)] * 40
+    monkeypatch.setattr(overlay, "PER_TASK", 10)
+    monkeypatch.setattr(overlay, "PER_CELL", 1)
+    dealt = []
+    keep = overlay._lines
+    monkeypatch.setattr(overlay, "_lines", lambda pieces, corners, operation, cell, tasks: dealt.append(tasks) or keep(pieces, corners, operation, cell, tasks))
+    assert sorted((r.a, round(r.area, 6)) for r in overlay.make_valid(layer).collect()) == want and dealt == [17]
