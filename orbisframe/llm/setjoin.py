@@ -313,30 +313,65 @@ def _mixed(grouped: DataFrame, of: DataFrame) -> DataFrame:
     return cut(now.join(mixed.select("key", "n", "total"), "key"))
 
 
+def _widest(held: DataFrame) -> DataFrame:
+    """(y, own): the widest group of each set."""
+    return cut(held.groupBy("y").agg(F.max(F.struct("n", "key")).alias("top")).select("y", F.col("top.key").alias("own")))
+
+
+def _parts(total: str) -> Column:
+    return F.ceil(F.col(total) / neardup.PART).cast("int")
+
+
+def _between(member: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
+    """(x, y): links between the classes of each group (key, y, label, parts).
+    Only the sets that are asked for travel."""
+    member = cut(member)
+    return cut(neardup._across(member, _likely(bags, member.select(F.col("y").alias("doc_id"))), percent / 100))
+
+
+def _whole(held: DataFrame, of: DataFrame, blocks: DataFrame, bags: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The components ``of`` after the ``blocks`` of groups (key, block, alone)
+    that are compared whole, and the groups of the others. A block is compared
+    whole if no more shingles travel so than for those of its groups that would
+    be compared by themselves (``alone``), each as often as it has parts."""
+    blocked = cut(held.join(blocks, "key"))
+    apart = blocked.where("alone").groupBy("block").agg(F.sum(F.col("size") * _parts("total")).alias("apart"))
+    member = cut(blocked.select(F.col("block").alias("key"), "y", "label", "size").distinct())
+    size = member.groupBy("key").agg(F.sum("size").alias("total")).withColumn("parts", _parts("total"))
+    chosen = cut(size.join(apart.withColumnRenamed("block", "key"), "key").where(F.col("total") * F.col("parts") <= F.col("apart")).select("key", "parts"))
+    of = _joined(of, _between(member.join(chosen, "key").select("key", "y", "label", "parts"), bags, percent))
+    return of, cut(blocked.join(chosen.select(F.col("key").alias("block")), "block", "left_anti").select("key", "y", "size"))
+
+
 def _cross(grouped: DataFrame, of: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
     """The components ``of`` with the links between sets (key, y, size) of one
     group that are still in different ones. Groups that share sets are a
-    family; a family that fits in a part is compared whole, so each of its
-    sets travels once however many groups it is in. In larger families the
-    widest groups are compared, then those that don't lie in one of them."""
-    parts = F.ceil(F.col("total") / neardup.PART).cast("int").alias("parts")
+    family, and a set in many groups of one travels once for each part of it if
+    the family is compared whole. Where that is more than its groups take, a
+    group joins the one that is the widest of most of its sets, under the same
+    condition. Of what is left the widest groups are compared, then those that
+    don't lie in one of them."""
     held = _mixed(grouped, of)
     if held.isEmpty():
         return of
-    family = neardup.components(held.groupBy("key").agg(F.min("y").alias("x")).join(held.select("key", "y"), "key").where("x != y").select("x", "y").distinct())
-    member = held.select("y", "label", "size").distinct().join(family.select(F.col("node").alias("y"), F.col("label").alias("key")), "y")
-    whole = member.groupBy("key").agg(F.sum("size").alias("total")).where(F.col("total") <= neardup.PART).select("key")
-    member = cut(member.join(whole, "key", "left_semi"))
-    of = _joined(of, cut(neardup._across(member.select("key", "y", "label", F.lit(1).alias("parts")), bags, percent / 100)))
-    grouped = cut(held.join(member.select("y"), "y", "left_anti").select("key", "y", "size"))
+    heads = cut(held.groupBy("key").agg(F.min("y").alias("x")))
+    family = neardup.components(heads.join(held.select("key", "y"), "key").where("x != y").select("x", "y").distinct())
+    widest = _widest(held).select(F.col("own").alias("key")).distinct().withColumn("alone", F.lit(True))
+    blocks = heads.join(family.withColumnRenamed("node", "x"), "x").select("key", F.col("label").alias("block")).join(widest, "key", "left")
+    of, grouped = _whole(held, of, blocks.select("key", "block", F.coalesce("alone", F.lit(False)).alias("alone")), bags, percent)
+    if not grouped.isEmpty():
+        held = _mixed(grouped, of)
+        tops = held.select("key", "y").join(_widest(held), "y").groupBy("key", "own").count()
+        blocks = tops.groupBy("key").agg(F.max(F.struct("count", "own"))["own"].alias("block"), (F.count("*") > 1).alias("several"))
+        of, grouped = _whole(held, of, blocks.select("key", "block", (F.col("several") | (F.col("key") == F.col("block"))).alias("alone")), bags, percent)
     for widest in (True, False):
         if grouped.isEmpty():
             break
         chosen = held = _mixed(grouped, of)
         if widest:
-            own = cut(held.groupBy("y").agg(F.max(F.struct("n", "key")).alias("top")).select("y", F.col("top.key").alias("own")))
+            own = _widest(held)
             chosen = cut(held.join(own.select(F.col("own").alias("key")).distinct(), "key", "left_semi"))
-        of = _joined(of, cut(neardup._across(chosen.select("key", "y", "label", parts), bags, percent / 100)))
+        of = _joined(of, _between(chosen.select("key", "y", "label", _parts("total").alias("parts")), bags, percent))
         if widest:
             # a group whose sets all have the same widest one lies in that
             rest = held.join(chosen.select("key").distinct(), "key", "left_anti")

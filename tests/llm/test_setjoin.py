@@ -105,3 +105,69 @@ def test_only_wanted_texts_are_dealt(spark):
     assert got.columns == ["doc_id", "text"] and {*range(0, 5000, 100)} <= set(ids) and len(ids) < 60
     assert len(setjoin._likely(docs, wanted, 1).collect()) == 5002  # a filter that is full lets all pass
     assert setjoin._likely(docs, wanted.limit(0)).isEmpty()
+
+
+def _crossed(spark, monkeypatch, groups, sets):
+    """Components by _cross, and the rows of sets that it has sent."""
+    sent, plain = [], neardup._across
+    monkeypatch.setattr(neardup, "PART", 1000)
+    monkeypatch.setattr(neardup, "_across", lambda member, *a: sent.append(member.agg(F.sum("parts")).first()[0] or 0) or plain(member, *a))
+    grouped = spark.createDataFrame([(k, y, len(sets[y])) for k, g in enumerate(groups) for y in g], "key long, y long, size int")
+    bags = spark.createDataFrame([(y, sorted(x), [1] * len(x)) for y, x in sets.items()], "doc_id long, ids array<long>, counts array<int>")
+    got = setjoin._cross(grouped, spark.createDataFrame([], "node long, label long"), bags, 80)
+    return {frozenset(r.ys) for r in got.groupBy("label").agg(F.collect_set("node").alias("ys")).collect() if len(r.ys) > 1}, sum(sent)
+
+
+def _linked(groups, sets):
+    of = {y: {y} for y in sets}
+    for g in groups:
+        for x in g:
+            for y in g:
+                if of[x] is not of[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                    of[x] |= of[y]
+                    for z in of[y]:
+                        of[z] = of[x]
+    return {frozenset(v) for v in of.values() if len(v) > 1}
+
+
+def _alike(rng, ids, low, shared, apart):
+    """Sets with ``shared`` numbers of all; most have ``apart`` own ones, so they don't link, every sixth links with the one before."""
+    out = {}
+    for k in ids:
+        out[k] = out[k - 1] - {min(out[k - 1])} if k % 6 == 5 else {*range(low, low + shared)} | {rng.randrange(10**12, 10**15) for _ in range(apart)}
+    return out
+
+
+def test_family_of_many_groups_is_sent_once_a_part(spark, monkeypatch):
+    """40 sets, 4000 numbers and 4 parts, in 30 groups that lack one or two of them each."""
+    rng = random.Random(3)
+    sets = _alike(rng, range(40), 0, 60, 40)
+    groups = [[y for y in sets if y not in (k, k // 2)] for k in range(30)]
+    got, sent = _crossed(spark, monkeypatch, groups, sets)
+    assert got == _linked(groups, sets) and got
+    assert sent == 160, sent
+
+
+def test_groups_of_a_long_family_join_their_widest(spark, monkeypatch):
+    """A chain of 12 places, 8 nearly equal groups in each: too long to be compared whole, but each place is."""
+    rng = random.Random(4)
+    sets, groups = {}, []
+    for k in range(12):
+        own = list(range(10 * k, 10 * k + 10))
+        sets |= _alike(rng, own, 1000 * k, 60, 39)
+        groups += [own] + [[y for y in own if y != own[j]] for j in range(7)]
+    groups += [[10 * k + 9, 10 * k + 10] for k in range(11)]
+    got, sent = _crossed(spark, monkeypatch, groups, sets)
+    assert got == _linked(groups, sets) and len(got) >= 12
+    assert sent <= 250, sent
+
+
+def test_star_of_groups_is_left_to_them(spark, monkeypatch):
+    """Groups that each have half of a wide one: no block is cheaper, and no link is lost or made up."""
+    rng = random.Random(6)
+    sets = _alike(rng, range(60), 0, 50, 40)
+    groups = [list(range(11))] + [[*rng.sample(range(11), 6), *range(11 + 4 * k, 15 + 4 * k)] for k in range(12)]
+    got, sent = _crossed(spark, monkeypatch, groups, sets)
+    least, most = _linked(groups, sets), _linked([list(sets)], sets)
+    assert least and all(any(a <= b for b in got) for a in least) and all(any(a <= b for b in most) for a in got)
+    assert sent <= sum(map(len, groups)), sent
